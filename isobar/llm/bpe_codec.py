@@ -27,8 +27,19 @@ from pyspark.sql import DataFrame
 
 from .common import whole
 
-#: Entries a worker keeps of chunks and of words, each.
-CACHE = 600_000
+#: Entries a worker keeps of words and of prefixes' states, each.
+CACHE = 400_000
+#: Texts without these characters are split by PLAIN: they are in normal form C,
+#: lower() goes character by character, and letters and digits can be listed.
+OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0180-\U0010ffff]")
+LETTERS, DIGITS, BLANKS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
+PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{BLANKS}{LETTERS}{DIGITS}]+")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the
+#: characters from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_REST = [b for b in range(256) if b not in set(_SELF)]
+BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(_REST)}
+BACK = {c: b for b, c in BYTES.items()}
 NEVER = 1 << 60
 
 
@@ -56,6 +67,7 @@ class TrieBpe:
         self.final = {s[: -len(self.end)]: i for s, i in self.ids.items() if i in whole_ and s.endswith(self.end)} if self.end else self.inner
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.states: dict[str, int] = {}  # of the tries so far: prefix to last token
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at one edge of a token, smallest first, each with the rank
@@ -128,7 +140,9 @@ class TrieBpe:
                 node = node.setdefault(symbol, {})
             node.setdefault("", []).append(word)  # words that end one symbol below
         out: dict[str, list[int]] = {}
-        states = [-1]
+        states, met = [-1], self.states
+        if len(met) > 2 * CACHE:
+            met.clear()
         path: list[Iterator] = [iter(root.items())]
         prefix = ""
         while path:
@@ -148,7 +162,10 @@ class TrieBpe:
                     out[word] = ids[::-1]
             else:
                 prefix += symbol
-                states.append(self.last_token(prefix, len(prefix), states, self.inner))
+                token = met.get(prefix)
+                if token is None:
+                    token = met[prefix] = self.last_token(prefix, len(prefix), states, self.inner)
+                states.append(token)
                 path.append(iter(below.items()))
         return out
 
@@ -157,58 +174,58 @@ class TrieBpe:
 
 
 class Codec:
-    """From chunks between spaces to ids and decoded text, with a worker's tables."""
+    """From texts to ids and decoded text, with a worker's tables."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.bpe = TrieBpe(path)
         rules = Tokenizer.from_file(path)
-        self.normal, self.pieces = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
-            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-        self.added = added
-        self.names = self.bpe.names | {i: name for name, i in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Enter distinct chunks that are not known yet."""
-        if len(self.chunks) + len(chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        split = []
-        for chunk in chunks:
-            parts: list = []
-            for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
-                if part in self.added:
-                    parts.append(self.added[part])
-                elif part:
-                    parts += [p for p, _ in self.pieces(self.normal(part))]
-            split.append(parts)
-        new = {p for parts in split for p in parts if isinstance(p, str) and p not in self.words}
-        self.words |= self.bpe.encode(list(new))
-        for chunk, parts in zip(chunks, split, strict=True):
-            ids = [i for p in parts for i in (self.words[p] if isinstance(p, str) else (p,))]
-            self.chunks[chunk] = len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids)
+            self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.clear()
+
+    def clear(self) -> None:
+        """Ids and token names of each word, joined by spaces."""
+        self.ids, self.names = {x: str(i) for x, i in self.added.items()}, {x: x for x in self.added}
+
+    def pieces(self, text: str) -> list[str]:
+        """The words that merges stay within, normalized."""
+        if "<|" not in text and not OTHER.search(text):
+            return PLAIN.findall(text.lower())
+        out = []
+        for part in self.cut.split(text):
+            if part in self.added:
+                out.append(part)
+            elif part:
+                out += [bytes(map(BACK.__getitem__, x)).decode() for x, _ in self.split(self.normal(part))]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Enter the words that are not known yet, by one trie."""
+        mapped = {"".join(map(BYTES.__getitem__, w.encode())): w for w in words}
+        for form, ids in self.bpe.encode(list(mapped)).items():
+            self.ids[mapped[form]] = " ".join(map(str, ids))
+            self.names[mapped[form]] = " ".join(map(self.bpe.names.__getitem__, ids))
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Count, id digest and decoded digest of each text."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.chunks
-        new = {c for chunks in split for c in chunks if c not in known}
-        if len(known) + len(new) > CACHE:
-            new = {c for chunks in split for c in chunks}
-        self.learn(list(new))
-        for chunks in split:
-            found = [x for x in map(known.__getitem__, chunks) if x[0]]
-            yield (
-                sum(x[0] for x in found),
-                hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest(),
-                hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest(),
-            )
+        split = [self.pieces(text) for text in texts]
+        met = set().union(*split)
+        new = met - self.ids.keys()
+        if len(self.ids) + len(new) > CACHE:
+            self.clear()
+            new = met - self.ids.keys()
+        self.learn(new)
+        for pieces in split:
+            ids, names = (" ".join(map(t.__getitem__, pieces)) for t in (self.ids, self.names))
+            yield ids.count(" ") + 1 if ids else 0, _digest(ids), _digest(names)
+
+
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 @lru_cache(2)
