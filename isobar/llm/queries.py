@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_decode
 from .common import table
 from .quality_rules import quality_rules
+from .token_counts import token_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,11 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec)}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
 
