@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_decode
 from .common import table
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 
@@ -23,7 +24,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts)}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
 
