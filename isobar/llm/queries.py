@@ -9,6 +9,7 @@ from .bpe_codec import encode_decode
 from .common import table
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
@@ -28,7 +29,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier)}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
 
