@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_decode
 from .common import table
+from .decontamination import decontaminate
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -33,7 +34,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash)}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -61,3 +66,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(host_rate, 0) <= 0.5 AS kept, round(host_rate, 9) AS host_rate, coalesce(host_rate > 0.5, false) AS host_rejected
 FROM f LEFT JOIN v USING (source)
 """
+
+ORACLE_SQL["op6_decontamination"] = r"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id,
+       list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS g
+        FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+cand AS (SELECT r, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, lens WHERE len(w) >= n)),
+hit AS (SELECT r, i, cand.n, item_id FROM cand JOIN win ON cand.n = win.n AND cand.g = win.g),
+cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM low LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
+"""
