@@ -21,14 +21,16 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import whole
 
 #: Entries a worker keeps of words and of prefixes' states, each.
-CACHE = 400_000
+CACHE = 600_000
 #: Texts without these characters are split by PLAIN: they are in normal form C,
 #: lower() goes character by character, and letters and digits can be listed.
 OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0180-\U0010ffff]")
@@ -189,7 +191,7 @@ class Codec:
 
     def clear(self) -> None:
         """Ids and token names of each word, joined by spaces."""
-        self.ids, self.names = {x: str(i) for x, i in self.added.items()}, {x: x for x in self.added}
+        self.known = {x: (str(i), x) for x, i in self.added.items()}
 
     def pieces(self, text: str) -> list[str]:
         """The words that merges stay within, normalized."""
@@ -207,25 +209,28 @@ class Codec:
         """Enter the words that are not known yet, by one trie."""
         mapped = {"".join(map(BYTES.__getitem__, w.encode())): w for w in words}
         for form, ids in self.bpe.encode(list(mapped)).items():
-            self.ids[mapped[form]] = " ".join(map(str, ids))
-            self.names[mapped[form]] = " ".join(map(self.bpe.names.__getitem__, ids))
+            self.known[mapped[form]] = " ".join(map(str, ids)), " ".join(map(self.bpe.names.__getitem__, ids))
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Count, id digest and decoded digest of each text."""
         split = [self.pieces(text) for text in texts]
-        met = set().union(*split)
-        new = met - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE:
+        coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        new = {w for w in met if w not in self.known}
+        if len(self.known) + len(new) > CACHE:
             self.clear()
-            new = met - self.ids.keys()
+            new = set(met) - self.known.keys()
         self.learn(new)
-        for pieces in split:
-            ids, names = (" ".join(map(t.__getitem__, pieces)) for t in (self.ids, self.names))
-            yield ids.count(" ") + 1 if ids else 0, _digest(ids), _digest(names)
+        ends = pa.array([0, *accumulate(map(len, split))], pa.int32())
+        ids, names = zip(*map(self.known.__getitem__, met), strict=True) if met else ((), ())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(coded.indices)), " ") for x in (ids, names)]
+        for text_ids, text_names in zip(*(x.cast(pa.binary()) for x in joined), strict=True):
+            one = text_ids.as_py()
+            yield one.count(b" ") + 1 if one else 0, _digest(one), _digest(text_names.as_py())
 
 
-def _digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _digest(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest()
 
 
 @lru_cache(2)

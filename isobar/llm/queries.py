@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_decode
 from .common import table
 from .decontamination import decontaminate
+from .line_dedup import dedup_report
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -38,7 +39,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -82,3 +87,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM low LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
+
+ORACLE_SQL["op10_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^.?\n]+[.?\n]*|[.?\n]+') AS l FROM documents),
+k AS (SELECT r, doc_id, l, list_transform(l, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS k FROM d),
+w AS (SELECT r, doc_id, i, k[i:i+2] AS g FROM (SELECT *, unnest(range(1, len(l) - 1)) AS i FROM k WHERE len(l) >= 3)
+      WHERE length(l[i]) + length(l[i+1]) + length(l[i+2]) >= 100),
+o AS (SELECT r, i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w),
+later AS (SELECT DISTINCT r, unnest(range(i, i + 3)) AS p FROM o WHERE n > 1 AND k > 1),
+firsts AS (SELECT DISTINCT r, unnest(range(i, i + 3)) AS p FROM o WHERE n > 1 AND k = 1),
+cut AS (SELECT r, list(p) AS cut FROM (SELECT * FROM later EXCEPT SELECT * FROM firsts) GROUP BY r),
+f AS (SELECT doc_id, t, coalesce(len(cut), 0) AS n,
+             CASE WHEN cut IS NULL THEN t ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(cut, i)), lambda i: l[i]), '') END AS k
+      FROM d LEFT JOIN cut USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_removed, CAST(length(t) - length(k) AS BIGINT) AS n_chars_removed, sha256(k) AS text_sha256 FROM f
+"""

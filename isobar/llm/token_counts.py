@@ -134,7 +134,7 @@ def frequent(some: DataFrame, path: str, size: int = FREQUENT) -> tuple[np.ndarr
         some.mapInArrow(tally, "hash long, tokens long, n long")
         .groupBy("hash").agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n"))
         .where(F.col("tokens") < 256)
-        .orderBy(F.desc("n"), "hash").limit(size).select("hash", "tokens").toPandas()
+        .coalesce(4).orderBy(F.desc("n"), "hash").limit(size).select("hash", "tokens").toPandas()
     )
     hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
