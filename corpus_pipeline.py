@@ -1,3 +1,63 @@
-STAGES = []
+"""The corpus pipeline: five stages, each written as Parquet and read again."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isobar.llm.bpe_codec import encode_decode
+from isobar.llm.common import Written, table
+from isobar.llm.decontamination import decontaminate
+from isobar.llm.line_dedup import dedup_lines
+from isobar.llm.quality_classifier import keep_quality
+from isobar.llm.simhash import keep_one
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that repeat earlier ones."""
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe_codec", bpe_codec),
+]
+
+#: SQL can't express the classifier, the fingerprints or the merges.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Written(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)
