@@ -9,6 +9,7 @@ from .bpe_codec import encode_decode
 from .common import table
 from .decontamination import decontaminate
 from .line_dedup import dedup_report
+from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -43,7 +44,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op10_line_dedup)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op9_pii, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
