@@ -12,6 +12,7 @@ from .line_dedup import dedup_report
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .sharding import shard_table
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -48,7 +49,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op9_pii, op10_line_dedup)}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op8_sharding, op9_pii, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
