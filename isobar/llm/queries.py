@@ -9,6 +9,7 @@ from .bpe_codec import encode_decode
 from .common import table
 from .decontamination import decontaminate
 from .line_dedup import dedup_report
+from .lm_scoring import lm_scores
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -53,7 +54,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op8_sharding, op9_pii, op10_line_dedup)}
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op7_lm_scoring, op8_sharding, op9_pii, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
 
