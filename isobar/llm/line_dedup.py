@@ -10,8 +10,7 @@ that some window's first occurrence covers.
 
 Windows are told apart by 128 bits: counted by the first 64, and those found more
 than once once more by all.  Counts and minima are pre-aggregated; a hot window's
-occurrences meet one row in a join that is broadcast if measured small, else
-split by Spark where it is skewed.
+occurrences meet one row in a join that Spark splits where it is skewed.
 
 Cases: null texts stay null and empty ones empty; fewer than three lines have no
 window; rows of equal id and text count as one document; null ids come first; an
@@ -30,8 +29,6 @@ LINES, MIN_CHARS = 3, 100
 #: A line with its end; every character of a text is in one.
 LINE = r"[^.?\n]+[.?\n]*|[.?\n]+"
 BLANK = " \t\n\r\x0b\x0c"
-#: Rows up to which repeated windows (16 bytes) and cut positions are broadcast.
-FEW_WINDOWS, FEW_POSITIONS = 1_000_000, 1_000_000
 
 
 def lines(text: Column) -> Column:
@@ -62,13 +59,12 @@ def cuts(docs: DataFrame) -> DataFrame:
     """doc, crc, cut: the positions of the lines that go, of documents with any."""
     every = Written(occurrences(docs), "windows")
     twice = Written(every.df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
-    few = twice.df.count() <= FEW_WINDOWS
-    met = Written(every.df.join(F.broadcast(twice.df) if few else twice.df, "a", "left_semi"), "met")
+    met = Written(every.df.join(twice.df, "a", "left_semi"), "met")
     every.drop()
     twice.drop()
     place = F.struct("doc", "crc", "p")
     first = met.df.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    told = met.df.join(F.broadcast(first) if few else first, ["a", "b"]).select("doc", "crc", "p", (place != F.col("first")).alias("later"))
+    told = met.df.join(first, ["a", "b"]).select("doc", "crc", "p", (place != F.col("first")).alias("later"))
     covered = lambda later: F.array_distinct(
         F.flatten(F.transform(F.filter("w", lambda x: x["later"] == later), lambda x: F.sequence(x["p"], x["p"] + (LINES - 1))))
     )
@@ -82,9 +78,8 @@ def cuts(docs: DataFrame) -> DataFrame:
 def _with_cuts(docs: DataFrame) -> DataFrame:
     """docs with the column __cut (null: nothing goes)."""
     cut = cuts(docs).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("cut").alias("__cut"))
-    n = cut.agg(F.sum(F.size("__cut"))).first()[0] or 0
     same = docs["doc_id"].eqNullSafe(cut["__doc"]) & (_crc(docs["text"]) == cut["__crc"])
-    return docs.join(F.broadcast(cut) if n <= FEW_POSITIONS else cut, same, "left").drop("__doc", "__crc")
+    return docs.join(cut, same, "left").drop("__doc", "__crc")
 
 
 def _kept(text: Column) -> Column:
