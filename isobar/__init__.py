@@ -1,0 +1,5 @@
+"""Gridded ensembles and point tracks as Spark DataFrames.
+
+A cube is long: dataset, variable, realization, time, lat, lon, value, one row a
+cell, null where a value is missing.  Operators take and return DataFrames.
+"""
