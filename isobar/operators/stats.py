@@ -90,7 +90,7 @@ def cohen_bootstrap(samples: DataFrame, keys: list[str], resamples: int = 5000,
             rng = _seeded(key, seed)
             x, y = rng.choice(a, (resamples, len(a))), rng.choice(b, (resamples, len(b)))
             spread = np.sqrt((x.var(1) + y.var(1)) / 2)
-            ok = spread > 0
+            ok = spread > 1e-12 * max(np.abs(a).max(), np.abs(b).max())  # resamples of one value have no spread
             d = float(((x.mean(1) - y.mean(1))[ok] / spread[ok]).mean()) if ok.any() else None
         return pd.DataFrame([[*key, d]])
 

@@ -1,4 +1,8 @@
-"""The supplied tables as cubes, series and tracks, in Spark and in SQL."""
+"""The supplied tables as cubes, series and tracks, in Spark and in SQL.
+
+Prices and event values are divided by seven: means of amounts in cents would
+often lie exactly between two roundings, which engines settle differently.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_returnflag").alias("variable"), F.col("l_linenumber").alias("realization"), F.col("l_shipdate").alias("time"),
         ((F.col("l_suppkey") % 18) * 10 - 85).cast("double").alias("lat"), ((F.col("l_partkey") % 36) * 10).cast("double").alias("lon"),
-        F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("quantity"),
+        (F.col("l_extendedprice") / 7.0).alias("value"), F.col("l_quantity").alias("quantity"),
     )
 
 
@@ -28,7 +32,7 @@ def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("variable"), F.col("l_linenumber").alias("realization"),
         ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("k"),
         ((F.col("l_suppkey") % 6) * 30 - 75).cast("double").alias("lat"), ((F.col("l_partkey") % 4) * 90).cast("double").alias("lon"),
-        F.col("l_extendedprice").alias("value"),
+        (F.col("l_extendedprice") / 7.0).alias("value"),
     )
     return placed.groupBy("variable", "realization", "k", "lat", "lon").agg(F.avg("value").alias("value"))
 
@@ -62,7 +66,7 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("n", F.sum(F.when(hours > 86400, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy("user_id", "n").orderBy("ts", "event_id")
     e = e.withColumn("pt", F.row_number().over(own) - 1)
-    wind = F.col("value") / 8
+    wind = F.col("value") / 7.0
     return e.select(
         F.when(F.col("user_id") % 2 == 0, "control").otherwise("model").alias("dataset"),
         (F.col("user_id") * 1000 + F.col("n")).cast("long").alias("storm"), F.col("pt").cast("int").alias("pt"), "ts",
@@ -74,9 +78,9 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CUBE = """cube AS (SELECT l_returnflag AS variable, l_linenumber AS realization, l_shipdate AS time, CAST((l_suppkey % 18) * 10 - 85 AS DOUBLE) AS lat,
- CAST((l_partkey % 36) * 10 AS DOUBLE) AS lon, l_extendedprice AS value, l_quantity AS quantity FROM lineitem)"""
+ CAST((l_partkey % 36) * 10 AS DOUBLE) AS lon, l_extendedprice / 7.0 AS value, l_quantity AS quantity FROM lineitem)"""
 COARSE = """coarse AS (SELECT l_returnflag AS variable, l_linenumber AS realization, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS k,
- CAST((l_suppkey % 6) * 30 - 75 AS DOUBLE) AS lat, CAST((l_partkey % 4) * 90 AS DOUBLE) AS lon, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL),
+ CAST((l_suppkey % 6) * 30 - 75 AS DOUBLE) AS lat, CAST((l_partkey % 4) * 90 AS DOUBLE) AS lon, avg(l_extendedprice / 7.0) AS value FROM lineitem GROUP BY ALL),
 sim AS (SELECT realization, k, lat, lon, value FROM coarse WHERE variable = 'A'),
 obs AS (SELECT k, lat, lon, avg(value) AS value FROM coarse WHERE variable = 'R' GROUP BY ALL)"""
 HOURLY = """hourly AS (SELECT event_type AS variable, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS k, avg(value) AS value FROM events GROUP BY ALL),
@@ -85,5 +89,5 @@ TRACKS = """e1 AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, eve
 e2 AS (SELECT *, sum(CASE WHEN ts - prev > INTERVAL 86400 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM e1),
 e3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY ts, event_id) - 1 AS pt FROM e2),
 points AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'model' END AS dataset, CAST(user_id * 1000 + n AS BIGINT) AS storm, CAST(pt AS INTEGER) AS pt, ts,
- CAST((user_id * 37 + pt * 3) % 100 - 50 AS DOUBLE) AS lat, CAST((user_id * 53 + event_id * 7) % 360 AS DOUBLE) AS lon, value / 8 AS wind,
- 1010.0::DOUBLE - pow(value / 8, 1.2) + event_id % 5 AS pres, CAST(month(ts) AS INTEGER) AS month, CAST(year(ts) AS INTEGER) AS year FROM e3)"""
+ CAST((user_id * 37 + pt * 3) % 100 - 50 AS DOUBLE) AS lat, CAST((user_id * 53 + event_id * 7) % 360 AS DOUBLE) AS lon, value / 7.0 AS wind,
+ 1010.0::DOUBLE - pow(value / 7.0, 1.2) + event_id % 5 AS pres, CAST(month(ts) AS INTEGER) AS month, CAST(year(ts) AS INTEGER) AS year FROM e3)"""
