@@ -303,7 +303,7 @@ def joi3(spark, d):
     return there.unionByName(sim.join(obs, "k", "left_anti").select("k", F.lit(0).cast("long").alias("cells"), F.lit(True).alias("missing")))
 
 
-@query("joi4_outer_merge", f"WITH {B.COARSE}, a AS (SELECT k, lat, lon, avg(value) AS va FROM sim WHERE k % 2 = 0 GROUP BY ALL), b AS (SELECT k, lat, lon, value AS vb FROM obs WHERE k % 3 = 0) SELECT CAST(k AS INTEGER) AS k, lat, lon, round(va, 4) AS va, round(vb, 4) AS vb FROM a FULL JOIN b USING (k, lat, lon)", 4)
+@query("joi4_outer_merge", f"WITH {B.COARSE}, a AS (SELECT k, lat, lon, avg(value) AS va FROM sim WHERE k % 2 = 0 GROUP BY ALL), b AS (SELECT k, lat, lon, value AS vb FROM obs WHERE k % 3 = 0) SELECT CAST(k AS INTEGER) AS k, lat, lon, round(va, 6) AS va, round(vb, 6) AS vb FROM a FULL JOIN b USING (k, lat, lon)")
 def joi4(spark, d):
     a = B.simulated(spark, d).where("k % 2 = 0").groupBy("k", "lat", "lon").agg(F.avg("value").alias("va"))
     return a.join(B.observed(spark, d).where("k % 3 = 0").withColumnRenamed("value", "vb"), ["k", "lat", "lon"], "full")
