@@ -127,7 +127,7 @@ def background(spectrum: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "wavenumber int, frequency double, background double"])
     if keys:
         return mean.groupBy(*keys).applyInPandas(one, schema)
-    return mean.groupBy(F.lit(0)).applyInPandas(one, schema)
+    return mean.groupBy(F.lit("all")).applyInPandas(one, schema)
 
 
 def normalised(spectrum: DataFrame, keys: list[str]) -> DataFrame:
