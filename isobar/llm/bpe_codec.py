@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import whole
 
 #: Entries a worker keeps of words and of prefixes' states, each.
-CACHE = 600_000
+CACHE = 450_000
 #: Texts without these characters are split by PLAIN: they are in normal form C,
 #: lower() goes character by character, and letters and digits can be listed.
 OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0180-\U0010ffff]")

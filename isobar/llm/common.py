@@ -75,6 +75,13 @@ class Written:
         atexit.unregister(self.drop)
 
 
+def if_small(small: DataFrame, size: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, marked for broadcast if its measured size (by default its rows) is
+    within the limit; else as it is, for a join that Spark splits where it is
+    skewed.  ``small`` is written already, or cheap."""
+    return F.broadcast(small) if (small.count() if size is None else size) <= limit else small
+
+
 def join_measured(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
     """Join on one key where ``big`` may hold a third of its rows under one key.
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER, Written, whole
+from .common import BROADCAST_ROWS, LOWER, UPPER, Written, if_small, whole
 
 WINDOW, SHINGLE = 13, 5
 #: What stands between words, upper-case letters being still there.
@@ -129,3 +129,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with their columns."""
+    judged = decontaminate(docs, items)
+    bad = Written(judged.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated").df
+    return docs.join(if_small(bad), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, if_small
 
 LINES, MIN_CHARS = 3, 100
 #: A line with its end; every character of a text is in one.
 LINE = r"[^.?\n]+[.?\n]*|[.?\n]+"
+#: Positions (four bytes) that may be broadcast; beyond, the texts are moved.
+FEW_POSITIONS = 10_000_000
 BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -79,7 +81,8 @@ def _with_cuts(docs: DataFrame) -> DataFrame:
     """docs with the column __cut (null: nothing goes)."""
     cut = cuts(docs).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("cut").alias("__cut"))
     same = docs["doc_id"].eqNullSafe(cut["__doc"]) & (_crc(docs["text"]) == cut["__crc"])
-    return docs.join(cut, same, "left").drop("__doc", "__crc")
+    positions = cut.agg(F.sum(F.size("__cut"))).first()[0] or 0
+    return docs.join(if_small(cut, positions, FEW_POSITIONS), same, "left").drop("__doc", "__crc")
 
 
 def _kept(text: Column) -> Column:

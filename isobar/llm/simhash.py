@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import groups
-from .common import LOWER, UPPER, Written, whole
+from .common import LOWER, UPPER, Written, if_small, whole
 from .components import stars
 
 SEED, RADIUS, SHINGLE = 42, 3, 3
@@ -215,8 +215,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document that names each component, once, with its columns.  A component
-    without any id keeps one of its rows."""
-    found = Written(near_duplicates(docs).select("doc_id", "component_id").distinct(), "components").df
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    named = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    without any id keeps one of its rows.
+
+    Rows that go are named by their ids, so texts are moved only where the ids are
+    too many to broadcast; ids that several rows share are settled apart.
+    """
+    found = Written(near_duplicates(docs), "components").df
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = Written(found.where(~same).select(F.col("doc_id").alias("__id")).distinct(), "gone").df
+    shared = Written(found.where(same).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "shared").df
+    by_id = F.col("doc_id").eqNullSafe(F.col("__id"))
+    left = docs.join(if_small(gone), by_id, "left_anti")
+    if not shared.limit(1).count():
+        return left
+    some = if_small(shared)
+    return left.join(some, by_id, "left_anti").unionByName(left.join(some, by_id, "left_semi").dropDuplicates(["doc_id"]))
