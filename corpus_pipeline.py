@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from isobar.llm.bpe_codec import encode_decode
 from isobar.llm.common import Written, table
-from isobar.llm.decontamination import decontaminate
+from isobar.llm.decontamination import keep_clean
 from isobar.llm.line_dedup import dedup_lines
 from isobar.llm.quality_classifier import keep_quality
 from isobar.llm.simhash import keep_one
@@ -33,9 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
