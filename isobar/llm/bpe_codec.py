@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import whole
 
 #: Entries a worker keeps of words and of prefixes' states, each.
-CACHE = 450_000
+CACHE = 200_000
 #: Texts without these characters are split by PLAIN: they are in normal form C,
 #: lower() goes character by character, and letters and digits can be listed.
 OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0180-\U0010ffff]")
@@ -120,7 +120,7 @@ class TrieBpe:
         pair = before, token
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             known = self.pairs[pair] = not self._crossed(self.last[before], self.first[token])
         return known

@@ -30,7 +30,7 @@ from .bpe_codec import BACK, OTHER, groups
 from .common import whole
 
 #: Entries of tier one, of a task's candidates for it, and of a worker's tier two.
-FREQUENT, CANDIDATES, CACHE = 60_000, 60_000, 600_000
+FREQUENT, CANDIDATES, CACHE = 60_000, 60_000, 400_000
 #: The sample: files at most, spread over the input, and about so many rows.
 SAMPLE_FILES, SAMPLE_ROWS = 8, 10_000
 #: Pre-tokens of texts without OTHER characters, whose classes can be listed.
