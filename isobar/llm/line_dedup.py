@@ -66,7 +66,9 @@ def cuts(docs: DataFrame) -> DataFrame:
     twice.drop()
     place = F.struct("doc", "crc", "p")
     first = met.df.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    told = met.df.join(first, ["a", "b"]).select("doc", "crc", "p", (place != F.col("first")).alias("later"))
+    # Written, so that both sides of the join are exchanges and Spark can split a hot window's rows.
+    first = Written(first, "first")
+    told = met.df.join(first.df, ["a", "b"]).select("doc", "crc", "p", (place != F.col("first")).alias("later"))
     covered = lambda later: F.array_distinct(
         F.flatten(F.transform(F.filter("w", lambda x: x["later"] == later), lambda x: F.sequence(x["p"], x["p"] + (LINES - 1))))
     )
@@ -74,6 +76,7 @@ def cuts(docs: DataFrame) -> DataFrame:
     cut = by_doc.select("doc", "crc", F.sort_array(F.array_except(covered(True), covered(False))).alias("cut"))
     out = Written(cut.where(F.size("cut") > 0), "cuts").df
     met.drop()
+    first.drop()
     return out
 
 

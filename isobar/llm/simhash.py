@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
     smallest = linked.join(unique, "fp").groupBy("root").agg(F.min("first").alias("least"))
     component = linked.join(smallest, "root").select("fp", "least")
-    named = unique.join(component, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that both sides of the last join are exchanges and Spark can split a hot fingerprint's rows.
+    named = Written(unique.join(component, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named").df
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(named, "fp").select("doc_id", hex_.alias("fingerprint"), "component_id")
 
