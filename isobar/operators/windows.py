@@ -201,3 +201,24 @@ def dispersion(spark: SparkSession, waves: int = 50, depths: tuple[float, ...] =
     named = {"kelvin": kelvin, "er": rossby, "ig1": ig(1), "ig2": ig(2), "mrg": mixed, "eig": east0}
     wide = rows.select("wavenumber", "depth", *[(x * day).alias(n) for n, x in named.items()])
     return wide.unpivot(["wavenumber", "depth"], list(named), "wave", "frequency").where(F.col("frequency").isNotNull())
+
+
+def climatology_anomaly(series: DataFrame, keys: list[str], group: Column) -> DataFrame:
+    """Value less the mean of its key's calendar group."""
+    w = Window.partitionBy(*keys, group)
+    return series.withColumn("value", F.col("value") - F.avg("value").over(w))
+
+
+def yearly_activity(pcs: DataFrame, year: Column) -> DataFrame:
+    """phase, mean over years of the yearly mean amplitude, and mean yearly days."""
+    from ..functions.expr import phase
+
+    amp = pcs.select(year.alias("year"), phase("pc1", "pc2").alias("phase"), F.sqrt(F.col("pc1") * F.col("pc1") + F.col("pc2") * F.col("pc2")).alias("amp"))
+    by = amp.groupBy("year", "phase").agg(F.avg("amp").alias("amp"), F.count(F.lit(1)).alias("days"))
+    return by.groupBy("phase").agg(F.avg("amp").alias("amplitude"), F.avg("days").alias("days"))
+
+
+def first_last_valid(series: DataFrame, keys: list[str]) -> DataFrame:
+    """The first and last step of each key that has a value."""
+    valid = F.when(F.col("value").isNotNull(), F.col("k"))
+    return series.groupBy(*keys).agg(F.min(valid).alias("first"), F.max(valid).alias("last"))

@@ -223,11 +223,11 @@ class ScientificEvaluation(_Registry):
         cube, out = self._named([name])[0].cube, None
         for v in variables:
             sim, o = cube.where(F.col("variable") == v), obs.where(F.col("variable") == v)
-            mean = lambda df, c: df.agg(F.avg("value").alias(c))
+            mean = lambda df, c, v=v: df.agg(F.avg("value").alias(c)).withColumn("variable", F.lit(v))
             means = sim.groupBy("realization", "lat", "lon").agg(F.avg("value").alias("x"))
             pairs = means.join(o.groupBy("lat", "lon").agg(F.avg("value").alias("y")), ["lat", "lon"])
-            row = mean(reduce.absolute_bias(sim, o), "bias").join(mean(reduce.absolute_rmse(sim, o), "rmse"), how="cross")
-            row = row.join(mean(reduce.pattern_correlation(pairs, ["realization"]), "r"), how="cross").withColumn("variable", F.lit(v))  # rows of one
+            row = mean(reduce.absolute_bias(sim, o), "bias").join(mean(reduce.absolute_rmse(sim, o), "rmse"), "variable")
+            row = row.join(mean(reduce.pattern_correlation(pairs, ["realization"]), "r"), "variable")
             out = row if out is None else out.unionByName(row)
         return Evaluation({"scores": out})
 

@@ -14,7 +14,8 @@ from ..operators import windows as W
 from ..sources import files
 from ..streaming import events
 from . import bindings as B
-from .queries import ORACLE_SQL, QUERIES, _kernel_sql, _members, query  # noqa: F401
+from ..operators import tracks as T
+from .queries import ORACLE_SQL, PCS, PHASE, QUERIES, _kernel_sql, _members, _pcs, query  # noqa: F401
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -241,3 +242,153 @@ def plt2(spark, d):
     return plots.map_table(S.cohen_bootstrap(m, R.CELL, 1000).withColumnRenamed("d", "value"), p)
 
 
+
+
+# --- further operators ----------------------------------------------------------------
+
+
+@query("fil1_2_select", f"WITH {B.CUBE} SELECT variable, lat, lon, round(avg(value), 6) AS value FROM cube WHERE variable IN ('A', 'N') AND realization = 3 GROUP BY ALL")
+def fil1_2(spark, d):
+    return B.cube(spark, d).where("variable IN ('A', 'N') AND realization = 3").drop("realization").groupBy("variable", "lat", "lon").agg(F.avg("value").alias("value"))
+
+
+@query("fil19_coarser_grid", f"WITH {B.COARSE} SELECT (SELECT min(d) FROM (SELECT lat - lag(lat) OVER (ORDER BY lat) AS d FROM (SELECT DISTINCT lat FROM obs))) AS lat_step, (SELECT min(d) FROM (SELECT lon - lag(lon) OVER (ORDER BY lon) AS d FROM (SELECT DISTINCT lon FROM obs))) AS lon_step")
+def fil19(spark, d):
+    o = B.observed(spark, d)
+    return spark.createDataFrame([(regrid.spacing(o, "lat"), regrid.spacing(o, "lon"))], "lat_step double, lon_step double")
+
+
+@query("joi2_climatology_anomaly", f"WITH {B.COARSE} SELECT CAST(k AS INTEGER) AS k, lat, lon, round(value - avg(value) OVER (PARTITION BY lat, lon, k % 12), 6) AS value FROM obs")
+def joi2(spark, d):
+    return W.climatology_anomaly(B.observed(spark, d), ["lat", "lon"], F.col("k") % 12)
+
+
+@query("joi6_nearest_index", f"WITH {B.TRACKS} SELECT storm, pt, CAST(least(greatest(ceil((lat + 90) / 2.5 - 0.5), 0), 72) AS INTEGER) AS lat_index FROM points")
+def joi6(spark, d):
+    from ..operators.detect import nearest_index
+
+    axis = spark.range(73).select(F.col("id").cast("int").alias("i"), (F.col("id") * 2.5 - 90).cast("double").alias("value"))
+    return nearest_index(B.track_points(spark, d), axis, "lat").select("storm", "pt", "lat_index")
+
+
+@query("srt3_first_last_valid", f"WITH {B.HOURLY} SELECT variable, CAST(min(k) FILTER (k % 11 > 4) AS INTEGER) AS first, CAST(max(k) FILTER (k % 11 > 4) AS INTEGER) AS last FROM hourly GROUP BY variable")
+def srt3(spark, d):
+    gaps = B.hourly(spark, d).withColumn("value", F.when(F.col("k") % 11 > 4, F.col("value")))
+    return W.first_last_valid(gaps, ["variable"])
+
+
+@query("srt4_top_modes", digits=5)
+def srt4(spark, d):
+    return eof.fit(_embedded(spark, d, 64), 10)[0].orderBy(F.desc("eigval")).limit(2)
+
+
+@query("agg24_yearly_activity", f"""WITH {B.HOURLY}, {PCS}, y AS (SELECT k // 168 AS y, {PHASE} AS phase, avg(sqrt(pc1*pc1 + pc2*pc2)) AS a, count(*) AS n FROM pcs GROUP BY ALL)
+    SELECT phase, round(avg(a), 6) AS amplitude, round(avg(n), 6) AS days FROM y GROUP BY phase""")
+def agg24(spark, d):
+    return W.yearly_activity(_pcs(spark, d), F.floor(F.col("k") / 168))
+
+
+@query("agg40_mean_with_least_hits", f"WITH {B.TRACKS} SELECT dataset, CAST(trunc((lat + 90) / 10) AS INTEGER) AS i, CAST(trunc(lon / 10) AS INTEGER) % 36 AS j, round(avg(wind), 6) AS wind_mean FROM points GROUP BY ALL HAVING count(*) >= 5")
+def agg40(spark, d):
+    return T.density(B.track_points(spark, d), 10.0).where("hits >= 5").select("dataset", "i", "j", "wind_mean")
+
+
+@query("agg46_interannual_std", f"WITH {B.CUBE}, y AS (SELECT variable, year(time) AS y, avg(value) AS v FROM cube GROUP BY ALL) SELECT variable, round(stddev_pop(v), 6) AS spread FROM y GROUP BY variable")
+def agg46(spark, d):
+    yearly = B.cube(spark, d).groupBy("variable", F.year("time").alias("y")).agg(F.avg("value").alias("v"))
+    return yearly.groupBy("variable").agg(F.stddev_pop("v").alias("spread"))
+
+
+@query("agg48_spread_norm", f"WITH {B.COARSE}, s AS (SELECT lon, stddev_pop(v) AS s FROM (SELECT k, lon, avg(value) AS v FROM obs GROUP BY ALL) GROUP BY lon) SELECT CAST(k AS INTEGER) AS k, lon, round(v / (SELECT avg(s) FROM s), 6) AS value FROM (SELECT k, lon, avg(value) AS v FROM obs GROUP BY ALL)")
+def agg48(spark, d):
+    m = B.observed(spark, d).groupBy("k", "lon").agg(F.avg("value").alias("v"))
+    s = m.groupBy("lon").agg(F.stddev_pop("v").alias("s")).agg(F.avg("s")).first()[0]  # one number
+    return m.select("k", "lon", (F.col("v") / F.lit(s)).alias("value"))
+
+
+@query("src10_best_track", "SELECT CAST(user_id AS BIGINT) AS storm, event_id AS step, CASE WHEN event_id % 360 - 180 < 0 THEN CAST(event_id % 360 - 180 + 360 AS DOUBLE) ELSE CAST(event_id % 360 - 180 AS DOUBLE) END AS lon, round(value / 1.94384449, 6) AS wind, round((1000 - value / 10) * 100, 6) AS psl FROM events")
+def src10(spark, d):
+    e = B.table(spark, d, "events")
+    raw = e.select(
+        F.col("user_id").alias("storm"), F.col("event_id").alias("step"), F.year("ts").alias("season"), F.col("ts").alias("time"), F.lit(10.0).alias("lat"),
+        (F.col("event_id") % 360 - 180).cast("double").alias("lon"), F.col("value").alias("wind_kt"), (1000 - F.col("value") / 10).alias("pres_hpa"),
+    )
+    return files.best_track(raw).select("storm", "step", "lon", "wind", "psl")
+
+
+@query("val2_monotone", "SELECT 'monotone' AS \"check\", 'lon' AS subject, 'error' AS severity, 'not strictly monotone' AS detail")
+def val2(spark, d):
+    e = B.table(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_nationkey") % 3).cast("double").alias("lon"))
+    return validate.report([validate.monotone(e, "lat", "n_nationkey"), validate.monotone(e, "lon", "n_nationkey")])
+
+
+@query("val3_normal_time", "SELECT l_returnflag AS variable, CAST(count(DISTINCT l_shipdate) AS BIGINT) AS days, CAST(max(hour(l_shipdate)) AS INTEGER) AS hours FROM (SELECT l_returnflag, date_trunc('day', l_shipdate) AS l_shipdate FROM lineitem) GROUP BY l_returnflag")
+def val3(spark, d):
+    noon = B.cube(spark, d).withColumn("time", F.expr("time + interval 12 hours"))
+    return validate.normal_time(noon).groupBy("variable").agg(F.count_distinct("time").alias("days"), F.max(F.hour("time")).alias("hours"))
+
+
+@query("val9_normal_units", "SELECT n_nationkey, regexp_replace('kg m-2 s-' || n_nationkey, '([A-Za-z])(-?[0-9]+)', '\\1**\\2', 'g') AS units FROM nation")
+def val9(spark, d):
+    return B.table(spark, d, "nation").select("n_nationkey", E.normal_units(F.concat(F.lit("kg m-2 s-"), F.col("n_nationkey").cast("string"))).alias("units"))
+
+
+@query("spe3_taper", "SELECT CAST(n AS INTEGER) AS k, round(CASE WHEN n < 6 THEN 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 9) WHEN n >= 92 THEN 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (n - 86) / 9) ELSE 1 END, 6) AS weight FROM (SELECT unnest(range(0, 96)) AS n)")
+def spe3(spark, d):
+    return spark.createDataFrame([(k, float(w)) for k, w in enumerate(spectrum.taper(96))], "k int, weight double")
+
+
+@query("spe9_latitude_mean", f"WITH {SPECTRUM_SQL} SELECT variable, wavenumber, round(frequency, 6) AS frequency, round(avg(power), 6) AS power FROM spec GROUP BY ALL")
+def spe9(spark, d):
+    return spectrum.latitude_aggregate(_spectrum(spark, d), ["variable"], "mean")
+
+
+@query("eof14_scaled_loadings", digits=4)
+def eof14(spark, d):
+    modes, loads = eof.fit(_embedded(spark, d, 64), 2)
+    return eof.scaled(loads, modes)
+
+
+@query("eof8_projection_on_observed", digits=4)
+def eof8(spark, d):
+    long = _embedded(spark, d, 64)
+    modes, loads = eof.fit(long.where("sample % 2 = 0"), 2)
+    return eof.standard(eof.project(long.where("sample % 2 = 1"), loads), modes)
+
+
+@query("plt5_score_table", f"""WITH {B.COARSE}, m AS (SELECT 'member ' || realization AS "row", avg(value) AS mean, stddev_pop(value) AS spread FROM sim GROUP BY realization),
+    l AS (SELECT "row", 'mean' AS "column", mean AS value FROM m UNION ALL SELECT "row", 'spread', spread FROM m), h AS (SELECT "column", max(abs(value)) AS hi FROM l WHERE "row" <> 'member 1' GROUP BY "column")
+    SELECT "row", l."column", round(value, 6) AS value, round(-hi, 6) AS lo, round(hi, 6) AS hi FROM l JOIN h USING ("column")""")
+def plt5(spark, d):
+    from . import plots
+
+    m = B.simulated(spark, d).groupBy(F.concat(F.lit("member "), F.col("realization").cast("string")).alias("row")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))
+    return plots.score_table(m.unpivot(["row"], ["mean", "spread"], "column", "value"), "member 1")
+
+
+@query("plt8_spectrum_with_curves", digits=5)
+def plt8(spark, d):
+    from . import plots
+
+    return plots.spectrum(_spectrum(spark, d).where("variable = 'view'"), W.dispersion(spark))
+
+
+@query("plt23_track_lines", f"WITH {B.TRACKS}, s AS (SELECT dataset, storm, arg_min(year, pt) AS year, max(wind) AS w, count(*) * 0.25 AS tcd FROM points GROUP BY ALL), y AS (SELECT dataset, year, CAST(count(*) AS DOUBLE) AS count, sum(tcd) AS tcd FROM s GROUP BY ALL) SELECT dataset, year, 'count' AS metric, round(count, 5) AS value FROM y UNION ALL SELECT dataset, year, 'tcd', round(CAST(tcd AS DOUBLE), 5) FROM y", 5)
+def plt23(spark, d):
+    from . import plots
+
+    y = T.yearly(T.storm_stats(B.track_points(spark, d))).select("dataset", "year", "count", "tcd")
+    return plots.lines(y, "year", ["count", "tcd"])
+
+
+@query("src6_7_detect_and_stitch", digits=4)
+def src67(spark, d):
+    """Detection on a made field: suppliers' storms that drift with the hours."""
+    from ..operators import detect
+
+    where = B.table(spark, d, "supplier").where("s_suppkey <= 2").select("s_suppkey")
+    cells = where.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("lat", F.explode(F.sequence(F.lit(-5), F.lit(30)).cast("array<double>"))).withColumn("lon", F.explode(F.sequence(F.lit(90), F.lit(125)).cast("array<double>")))
+    r2 = F.pow(F.col("lat") - 8.1 - F.col("step") * 0.5 - F.col("s_suppkey"), 2) + F.pow(F.col("lon") - 100.1 - F.col("step"), 2)
+    fields = cells.select("s_suppkey", "step", "lat", "lon", (101000 - 3000 * F.exp(-r2 / 4)).alias("psl"), (4000 + 30 * F.exp(-r2 / 9)).alias("thickness"), (5 + 30 * F.exp(-r2 / 16)).alias("wind"))
+    nodes = detect.detect_nodes(fields.where("s_suppkey = 1"), ["step"]).withColumn("node", F.col("step").cast("long"))
+    return detect.stitch_nodes(nodes).select("track", "pt", "step", "lat", "lon", "psl", "wind")
