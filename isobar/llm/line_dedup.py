@@ -1,15 +1,15 @@
 """Line dedup by overlapping three-line windows.
 
-A line ends at a line feed, full stop or question mark: passages are moved between
-documents inside longer lines, where line feeds alone would not show their edges.
-Lines are hashed, three consecutive ones are a window (from ``MIN_CHARS`` characters
-on, so that common short sentences are left alone), and windows found more than
-once anywhere are repeated.  The first occurrence, by document id and position,
-stays; the positions that later occurrences cover are merged and go, but for those
-that some window's first occurrence covers.
-
-Windows are told apart by 128 bits: counted by the first 64, and those found more
-than once once more by all.  Counts and minima are pre-aggregated; a hot window's
+A line ends at a line feed, full stop, comma or question mark: passages are moved
+between documents inside longer lines, where line feeds alone would not show their
+edges.  Lines are hashed, three consecutive ones are a window, and windows found
+more than once anywhere are repeated.  The first occurrence, by document id and
+position, stays.  The positions that later occurrences cover are merged into runs,
+and runs of ``RUN`` characters on go, but for lines that some window's first
+occurrence covers; shorter runs, such as single common sentences, are left alone.
+
+Windows are told apart by 64 bits.  Two that only agree in these make a run of
+three lines, too short to go.  Counts and minima are pre-aggregated; a hot window's
 occurrences meet one row in a join that Spark splits where it is skewed.
 
 Cases: null texts stay null and empty ones empty; fewer than three lines have no
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import Written, if_small
 
-LINES, MIN_CHARS = 3, 100
+LINES, RUN = 3, 150
 #: A line with its end; every character of a text is in one.
-LINE = r"[^.?\n]+[.?\n]*|[.?\n]+"
+LINE = r"[^.,?\n]+[.,?\n]*|[.,?\n]+"
 #: Positions (four bytes) that may be broadcast; beyond, the texts are moved.
 FEW_POSITIONS = 10_000_000
 BLANK = " \t\n\r\x0b\x0c"
@@ -44,72 +44,75 @@ def _crc(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc, crc, p, a, b: each window, its place and its 128 bits."""
-    hashed = F.transform(
-        lines(F.col("text")),
-        lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(BLANK))).alias("a"), F.xxhash64(F.lit(1), F.btrim(x, F.lit(BLANK))).alias("b"), F.length(x).alias("n")),
-    )
+    """doc, crc, p, a: each window's document, first line and hash."""
+    hashed = F.transform(lines(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(BLANK))))
     split = docs.select(F.col("doc_id").alias("doc"), _crc(F.col("text")).alias("crc"), hashed.alias("l"))
-    of = lambda i, name: [F.try_element_at("l", i + k)[name] for k in range(LINES)]
-    window = lambda i: F.struct((i - 1).alias("p"), F.xxhash64(*of(i, "a")).alias("a"), F.xxhash64(*of(i, "b")).alias("b"), sum(of(i, "n")[1:], of(i, "n")[0]).alias("n"))
+    window = lambda i: F.xxhash64(*[F.try_element_at("l", i + k) for k in range(LINES)])
     starts = F.when(F.size("l") >= LINES, F.sequence(F.lit(1), F.size("l") - (LINES - 1)))
-    every = split.select("doc", "crc", F.transform(starts, window).alias("w")).select("doc", "crc", F.explode_outer("w").alias("w"))
-    return every.where(F.col("w.n") >= MIN_CHARS).select("doc", "crc", "w.p", "w.a", "w.b")
+    every = split.select("doc", "crc", F.transform(starts, window).alias("w"))
+    return every.select("doc", "crc", F.posexplode_outer("w").alias("p", "a")).where("a IS NOT NULL")
 
 
-def cuts(docs: DataFrame) -> DataFrame:
-    """doc, crc, cut: the positions of the lines that go, of documents with any."""
+def marks(docs: DataFrame) -> DataFrame:
+    """doc, crc, and the positions that later and first occurrences of repeated
+    windows cover, of documents with any later one."""
     every = Written(occurrences(docs), "windows")
     twice = Written(every.df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
     met = Written(every.df.join(twice.df, "a", "left_semi"), "met")
     every.drop()
     twice.drop()
     place = F.struct("doc", "crc", "p")
-    first = met.df.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     # Written, so that both sides of the join are exchanges and Spark can split a hot window's rows.
-    first = Written(first, "first")
-    told = met.df.join(first.df, ["a", "b"]).select("doc", "crc", "p", (place != F.col("first")).alias("later"))
-    covered = lambda later: F.array_distinct(
-        F.flatten(F.transform(F.filter("w", lambda x: x["later"] == later), lambda x: F.sequence(x["p"], x["p"] + (LINES - 1))))
-    )
+    first = Written(met.df.groupBy("a").agg(F.min(place).alias("first")), "first")
+    told = met.df.join(first.df, "a").select("doc", "crc", "p", (place != F.col("first")).alias("later"))
     by_doc = told.groupBy("doc", "crc").agg(F.collect_set(F.struct("p", "later")).alias("w"))
-    cut = by_doc.select("doc", "crc", F.sort_array(F.array_except(covered(True), covered(False))).alias("cut"))
-    out = Written(cut.where(F.size("cut") > 0), "cuts").df
+    covered = lambda later: F.sort_array(F.array_distinct(
+        F.flatten(F.transform(F.filter("w", lambda x: x["later"] == later), lambda x: F.sequence(x["p"], x["p"] + (LINES - 1))))
+    ))
+    out = Written(by_doc.select("doc", "crc", covered(True).alias("later"), covered(False).alias("first")).where(F.size("later") > 0), "marks").df
     met.drop()
     first.drop()
     return out
 
 
 def _with_cuts(docs: DataFrame) -> DataFrame:
-    """docs with the column __cut (null: nothing goes)."""
-    cut = cuts(docs).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("cut").alias("__cut"))
-    same = docs["doc_id"].eqNullSafe(cut["__doc"]) & (_crc(docs["text"]) == cut["__crc"])
-    positions = cut.agg(F.sum(F.size("__cut"))).first()[0] or 0
-    return docs.join(if_small(cut, positions, FEW_POSITIONS), same, "left").drop("__doc", "__crc")
-
-
-def _kept(text: Column) -> Column:
+    """docs with the columns __lines and __cut (null: nothing repeats)."""
+    mark = marks(docs).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("later").alias("__later"), F.col("first").alias("__first"))
+    same = docs["doc_id"].eqNullSafe(mark["__doc"]) & (_crc(docs["text"]) == mark["__crc"])
+    positions = mark.agg(F.sum(F.size("__later") + F.size("__first"))).first()[0] or 0
+    found = docs.join(if_small(mark, positions, FEW_POSITIONS), same, "left")
+    found = found.withColumn("__lines", F.when(F.col("__later").isNotNull(), lines(F.col("text"))))
+    # Merged runs: they start where the position before is not covered, and end likewise.
+    beside = lambda p, at: F.coalesce(F.try_element_at("__later", at) == p, F.lit(False))
+    starts = F.filter("__later", lambda p, i: ~((i > 0) & beside(p - 1, F.greatest(i, F.lit(1)))))
+    ends = F.filter("__later", lambda p, i: ~beside(p + 1, i + 2))
+    runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    long = F.filter(runs, lambda r: F.length(F.array_join(F.slice("__lines", r["s"] + 1, r["e"] - r["s"] + 1), "")) >= RUN)
+    cut = F.array_except(F.flatten(F.transform(long, lambda r: F.sequence(r["s"], r["e"]))), F.col("__first"))
+    return found.withColumn("__cut", cut).drop("__doc", "__crc", "__later", "__first")
+
+
+def _kept() -> Column:
     """The text without the cut lines."""
-    split = lines(text)
-    every = F.sequence(F.lit(0), F.size(split) - 1)
-    rest = lambda x: F.array_join(F.transform(F.array_except(every, F.col("__cut")), lambda i: F.try_element_at(x, i + 1)), "")
-    return F.when(F.col("__cut").isNull(), text).otherwise(F.element_at(F.transform(F.array(split), rest), 1))
+    every = F.sequence(F.lit(0), F.size("__lines") - 1)
+    rest = F.array_join(F.transform(F.array_except(every, F.col("__cut")), lambda i: F.try_element_at("__lines", i + 1)), "")
+    return F.when(F.size("__cut") > 0, rest).otherwise(F.col("text"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the lines that repeat earlier ones; every row stays."""
-    found = _with_cuts(docs).withColumn("__text", _kept(F.col("text")))
+    found = _with_cuts(docs).withColumn("__text", _kept())
     new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size("__cut") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, lines and characters that went, and the digest of the text left."""
-    found = _with_cuts(docs.select("doc_id", "text")).withColumn("__text", _kept(F.col("text")))
+    found = _with_cuts(docs.select("doc_id", "text")).withColumn("__text", _kept())
     return found.select(
-        "doc_id", F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.size("__cut")).cast("long").alias("n_removed"),
+        "doc_id", F.when(F.size("__cut") > 0, F.size("__cut")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         (F.length(F.coalesce("text", F.lit(""))) - F.length(F.coalesce("__text", F.lit("")))).cast("long").alias("n_chars_removed"),
         F.sha2(F.coalesce("__text", F.lit("")), 256).alias("text_sha256"),
     )
