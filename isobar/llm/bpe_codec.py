@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from .common import whole
 
-#: Entries a worker keeps of words and of prefixes' states, each.
-CACHE = 200_000
+#: Entries a worker keeps of words, of prefixes' states and of token pairs, each.
+CACHE = 150_000
 #: Texts without these characters are split by PLAIN: they are in normal form C,
 #: lower() goes character by character, and letters and digits can be listed.
 OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0180-\U0010ffff]")
@@ -61,9 +61,6 @@ class TrieBpe:
             a, b = self.ids[left], self.ids[right]
             self.rank[a, b] = rank
             self.parts.setdefault(self.ids[left + right], (a, b, rank))
-        self.first, self.last = {}, {}
-        for i in self.ids.values():
-            self.first[i], self.last[i] = self._spine(i, 0), self._spine(i, 1)
         whole_ = {i for i in self.ids.values() if self._merges_back(i)}
         self.inner = {s: i for s, i in self.ids.items() if i in whole_ and not s.endswith(self.end)}
         self.final = {s[: -len(self.end)]: i for s, i in self.ids.items() if i in whole_ and s.endswith(self.end)} if self.end else self.inner
@@ -102,8 +99,8 @@ class TrieBpe:
             return True
         a, b, rank = self.parts[token]
         # Up to its own merge nothing may cross; the merge itself is the one that does at the top.
-        left = self.last[a][:-1] + [(a, rank)]
-        right = self.first[b][:-1] + [(b, rank)]
+        left = self._spine(a, 1)[:-1] + [(a, rank)]
+        right = self._spine(b, 0)[:-1] + [(b, rank)]
         i = j = 0
         while (i, j) != (len(left) - 1, len(right) - 1):
             (x, x_until), (y, y_until) = left[i], right[j]
@@ -120,9 +117,9 @@ class TrieBpe:
         pair = before, token
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            known = self.pairs[pair] = not self._crossed(self.last[before], self.first[token])
+            known = self.pairs[pair] = not self._crossed(self._spine(before, 1), self._spine(token, 0))
         return known
 
     def last_token(self, word: str, n: int, states: list[int], names: dict[str, int]) -> int:
@@ -143,7 +140,7 @@ class TrieBpe:
             node.setdefault("", []).append(word)  # words that end one symbol below
         out: dict[str, list[int]] = {}
         states, met = [-1], self.states
-        if len(met) > 2 * CACHE:
+        if len(met) > CACHE:
             met.clear()
         path: list[Iterator] = [iter(root.items())]
         prefix = ""
@@ -242,12 +239,13 @@ def codec(path: str) -> Codec:
 TAKE = 1_000_000
 
 
-def groups(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about TAKE characters."""
+def groups(texts: list[str] | pa.Array) -> Iterator[list[str]]:
+    """Runs of texts of about TAKE characters; of a column, one run at a time is made
+    into strings."""
     run, size = [], 0
     for text in texts:
-        run.append(text)
-        size += len(text)
+        run.append(text.as_py() if isinstance(text, pa.Scalar) else text)
+        size += len(run[-1])
         if size >= TAKE:
             yield run
             run, size = [], 0
@@ -261,7 +259,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path)
         for batch in batches:
-            rows = [row for run in groups(batch.column(1).to_pylist()) for row in made.texts(run)]
+            rows = [row for run in groups(batch.column(1)) for row in made.texts(run)]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],

@@ -77,7 +77,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprints(run) for run in groups(batch.column(1).to_pylist())]
+            found = [fingerprints(run) for run in groups(batch.column(1))]
             fp = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 

@@ -121,7 +121,7 @@ def frequent(some: DataFrame, path: str, size: int = FREQUENT) -> tuple[np.ndarr
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, seen = counts(path), Counter()
         for batch in batches:
-            for run in groups(batch.column(0).to_pylist()):
+            for run in groups(batch.column(0)):
                 seen.update(chain.from_iterable(map(made.pieces, run)))
         top = seen.most_common(CANDIDATES)
         pieces = [p for p, _ in top]
@@ -149,7 +149,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, tier_one: int =
         made = counts(path)
         hashes, lengths = table.value
         for batch in batches:
-            n = [made.texts(run, hashes, lengths) for run in groups(batch.column(2).to_pylist())]
+            n = [made.texts(run, hashes, lengths) for run in groups(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["doc_id", "n_bytes", "n_tokens"]
             )
