@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -18,7 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MONTH = F.col("k") % 12 + 1
+
+def month() -> Column:
+    """Of a step in months from a January."""
+    return F.col("k") % 12 + 1
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -190,7 +193,7 @@ fo AS (SELECT season, region, s.* FROM obs s JOIN ms ON ms.m = s.k % 12 + 1 JOIN
     SELECT CAST(realization AS INTEGER) AS realization, season, region, metric, round(CASE metric WHEN 'RK08' THEN rk WHEN 'Bias' THEN bi WHEN 'RMSE' THEN rm ELSE (rk + bi + rm) / 3 END, 6) AS score
     FROM sc, (SELECT unnest(['RK08', 'Bias', 'RMSE', 'Combined']) AS metric)""")
 def agg19(spark, d):
-    return R.season_region_scores(B.simulated(spark, d), B.observed(spark, d), MONTH)
+    return R.season_region_scores(B.simulated(spark, d), B.observed(spark, d), month())
 
 
 @query("agg17_18_ensemble_scores", f"""WITH {B.COARSE}, {CLIM}, {CRMSE}, r AS (SELECT realization, {wmean('exp(-v / c)')} AS v FROM crmse JOIN clim USING (lat, lon) GROUP BY realization),
@@ -435,12 +438,12 @@ def eof6(spark, d):
 
 @query("agg20_monthly_share", f"WITH {B.HOURLY}, {PCS}, {LABELS} SELECT CAST(month AS INTEGER) AS month, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM freq")
 def agg20(spark, d):
-    return W.monthly_share(_labelled(spark, d), MONTH)
+    return W.monthly_share(_labelled(spark, d), month())
 
 
 @query("agg21_taylor_skill", f"WITH {B.HOURLY}, {PCS}, {LABELS}, m AS (SELECT corr(f1, f2) AS r, stddev_pop(f1) / stddev_pop(f2) AS s FROM freq) SELECT round(r, 6) AS r, round(s, 6) AS sigma, round(4 * pow(1 + r, 4) / (pow(s + 1 / s, 2) * 16), 6) AS tss FROM m")
 def agg21(spark, d):
-    return W.taylor_skill(W.monthly_share(_labelled(spark, d), MONTH).select(F.col("f1").alias("x"), F.col("f2").alias("y")))
+    return W.taylor_skill(W.monthly_share(_labelled(spark, d), month()).select(F.col("f1").alias("x"), F.col("f2").alias("y")))
 
 
 @query("agg22_alpha", f"WITH {B.HOURLY}, {PCS} SELECT round((avg(abs(pc1)) FILTER (k % 2 = 0) + avg(abs(pc2)) FILTER (k % 2 = 0)) / (avg(abs(pc1)) FILTER (k % 2 = 1) + avg(abs(pc2)) FILTER (k % 2 = 1)), 6) AS alpha FROM pcs")
@@ -509,7 +512,7 @@ def sta14(spark, d):
 
 def _score_samples(spark, d):
     """Scores of two ensembles (odd and even members' A) as samples."""
-    s = R.season_region_scores(B.simulated(spark, d), B.observed(spark, d), MONTH)
+    s = R.season_region_scores(B.simulated(spark, d), B.observed(spark, d), month())
     return s.select("season", "region", "metric", F.when(F.col("realization") <= 4, "test").otherwise("ref").alias("side"), F.col("score").alias("value"))
 
 
