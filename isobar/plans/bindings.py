@@ -49,13 +49,13 @@ def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as series: variable (event type), k (hour), value."""
     hour = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("int")
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variable"), hour.alias("k")).agg(F.avg("value").alias("value"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("variable"), hour.alias("k")).agg(F.avg(F.col("value") / 7.0).alias("value"))
 
 
 def all_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, value over all event types."""
     hour = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("int")
-    return table(spark, sf_dir, "events").groupBy(hour.alias("k")).agg(F.avg("value").alias("value"))
+    return table(spark, sf_dir, "events").groupBy(hour.alias("k")).agg(F.avg(F.col("value") / 7.0).alias("value"))
 
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,8 @@ COARSE = """coarse AS (SELECT l_returnflag AS variable, l_linenumber AS realizat
  CAST((l_suppkey % 6) * 30 - 75 AS DOUBLE) AS lat, CAST((l_partkey % 4) * 90 AS DOUBLE) AS lon, avg(l_extendedprice / 7.0) AS value FROM lineitem GROUP BY ALL),
 sim AS (SELECT realization, k, lat, lon, value FROM coarse WHERE variable = 'A'),
 obs AS (SELECT k, lat, lon, avg(value) AS value FROM coarse WHERE variable = 'R' GROUP BY ALL)"""
-HOURLY = """hourly AS (SELECT event_type AS variable, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS k, avg(value) AS value FROM events GROUP BY ALL),
-hours AS (SELECT CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS k, avg(value) AS value FROM events GROUP BY ALL)"""
+HOURLY = """hourly AS (SELECT event_type AS variable, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS k, avg(value / 7.0) AS value FROM events GROUP BY ALL),
+hours AS (SELECT CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS k, avg(value / 7.0) AS value FROM events GROUP BY ALL)"""
 TRACKS = """e1 AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 e2 AS (SELECT *, sum(CASE WHEN ts - prev > INTERVAL 86400 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM e1),
 e3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY ts, event_id) - 1 AS pt FROM e2),

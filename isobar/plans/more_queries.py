@@ -29,15 +29,15 @@ TARGET_SQL = "tgt AS (SELECT CAST(la AS DOUBLE) AS lat, CAST(lo AS DOUBLE) AS lo
 
 @query("reg1_bilinear", f"""WITH {B.COARSE}, m AS (SELECT lat, lon, avg(value) AS v FROM obs GROUP BY ALL), {TARGET_SQL},
     q AS (SELECT lat, lon, floor((lat + 75) / 30) * 30 - 75 AS a, floor(lon / 90) * 90 AS b FROM tgt), w AS (SELECT *, (lat - a) / 30 AS u, (lon - b) / 90 AS t FROM q)
-    SELECT w.lat, w.lon, round((1-u)*(1-t)*m1.v + CASE WHEN u > 0 THEN u*(1-t)*m2.v ELSE 0 END + CASE WHEN t > 0 THEN (1-u)*t*m3.v ELSE 0 END + CASE WHEN u > 0 AND t > 0 THEN u*t*m4.v ELSE 0 END, 4) AS value
-    FROM w JOIN m m1 ON m1.lat = a AND m1.lon = b LEFT JOIN m m2 ON m2.lat = a + 30 AND m2.lon = b LEFT JOIN m m3 ON m3.lat = a AND m3.lon = b + 90 LEFT JOIN m m4 ON m4.lat = a + 30 AND m4.lon = b + 90""", 4)
+    SELECT w.lat, w.lon, round((1-u)*(1-t)*m1.v + CASE WHEN u > 0 THEN u*(1-t)*m2.v ELSE 0 END + CASE WHEN t > 0 THEN (1-u)*t*m3.v ELSE 0 END + CASE WHEN u > 0 AND t > 0 THEN u*t*m4.v ELSE 0 END, 6) AS value
+    FROM w JOIN m m1 ON m1.lat = a AND m1.lon = b LEFT JOIN m m2 ON m2.lat = a + 30 AND m2.lon = b LEFT JOIN m m3 ON m3.lat = a AND m3.lon = b + 90 LEFT JOIN m m4 ON m4.lat = a + 30 AND m4.lon = b + 90""", 6)
 def reg1(spark, d):
     means = B.observed(spark, d).groupBy("lat", "lon").agg(F.avg("value").alias("value"))
     target = spark.range(-60, 61, 20).select(F.col("id").cast("double").alias("lat"), F.explode(F.sequence(F.lit(0), F.lit(270), F.lit(45)).cast("array<double>")).alias("lon"))
     return regrid.bilinear(means, target, [])
 
 
-@query("reg2_cyclic", f"WITH {B.COARSE}, m AS (SELECT lat, lon, avg(value) AS v FROM obs GROUP BY ALL) SELECT lat, lon, round(v, 4) AS value FROM m UNION ALL SELECT lat, lon + 360, round(v, 4) FROM m WHERE lon = (SELECT min(lon) FROM m)", 4)
+@query("reg2_cyclic", f"WITH {B.COARSE}, m AS (SELECT lat, lon, avg(value) AS v FROM obs GROUP BY ALL) SELECT lat, lon, round(v, 6) AS value FROM m UNION ALL SELECT lat, lon + 360, round(v, 6) FROM m WHERE lon = (SELECT min(lon) FROM m)", 6)
 def reg2(spark, d):
     return regrid.cyclic(B.observed(spark, d).groupBy("lat", "lon").agg(F.avg("value").alias("value")))
 
@@ -155,7 +155,7 @@ BOX = "frequency BETWEEN 0.02 AND 0.2"
 
 @query("agg25_28_band_scores", f"""WITH {SPECTRUM_SQL} SELECT variable, round(sum(power) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4), 5) AS power,
     round(sum(power) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4) / sum(power) FILTER ({BOX} AND wavenumber BETWEEN -4 AND 0), 5) AS ratio,
-    round(sum(power / nullif(frequency, 0)) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4) / sum(power) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4), 5) AS period FROM spec GROUP BY variable""", 5)
+    round(sum(power / nullif(frequency, 0)) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4) / sum(power) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4), 5) AS period FROM spec GROUP BY variable HAVING sum(power) FILTER ({BOX} AND wavenumber BETWEEN 0 AND 4) IS NOT NULL""", 5)
 def agg25(spark, d):
     s, f = _spectrum(spark, d), (0.02, 0.2)
     out = spectrum.band_power(s, ["variable"], frequency=f).join(spectrum.east_west(s, ["variable"], f), "variable")
@@ -183,7 +183,7 @@ def eof2(spark, d):
     return spectrum.prefilter(cube, 24, 120)
 
 
-@query("win3_lanczos_grouped", f"WITH {B.HOURLY}, h(o, h) AS (VALUES {_kernel_sql()}), c AS (SELECT k + o AS k, sum(h * value) AS v FROM hours, h GROUP BY ALL) SELECT 'all' AS variable, CAST(c.k AS INTEGER) AS k, round(v, 6) AS filtered FROM c JOIN hours USING (k)")
+@query("win3_lanczos_grouped", f"WITH {B.HOURLY}, h(o, h) AS (VALUES {_kernel_sql()}), m AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM hours), c AS (SELECT n + o AS n, sum(h * value) AS v FROM m, h GROUP BY ALL) SELECT 'all' AS variable, CAST(m.k AS INTEGER) AS k, round(v, 6) AS filtered FROM c JOIN m USING (n)")
 def win3g(spark, d):
     dense = B.all_hours(spark, d).select(F.lit("all").alias("variable"), "k", "value")
     return spectrum.bandpass(dense, ["variable"], W.lanczos(141, 1 / 90, 1 / 25)).withColumnRenamed("value", "filtered")

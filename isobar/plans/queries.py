@@ -52,7 +52,7 @@ def wmean(x: str, w: str = W_) -> str:
 # --- reductions -------------------------------------------------------------------
 
 
-@query("agg1_area_mean_annual", f"WITH {B.CUBE} SELECT variable, CAST(realization AS INTEGER) AS realization, CAST(year(time) AS INTEGER) AS year, round({wmean('value')}, 4) AS value FROM cube GROUP BY ALL", 4)
+@query("agg1_area_mean_annual", f"WITH {B.CUBE} SELECT variable, CAST(realization AS INTEGER) AS realization, CAST(year(time) AS INTEGER) AS year, round({wmean('value')}, 6) AS value FROM cube GROUP BY ALL", 6)
 def agg1(spark, d):
     return R.area_mean(B.cube(spark, d).withColumn("year", F.year("time")), ["variable", "realization", "year"])
 
@@ -60,8 +60,8 @@ def agg1(spark, d):
 @query(
     "agg2_resample_mean",
     f"""WITH {B.CUBE}, daily AS (SELECT variable, realization, time, {wmean('value')} AS v FROM cube GROUP BY ALL)
-    SELECT variable, CAST(realization AS INTEGER) AS realization, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month, round(avg(v), 4) AS value FROM daily GROUP BY ALL""",
-    4,
+    SELECT variable, CAST(realization AS INTEGER) AS realization, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month, round(avg(v), 6) AS value FROM daily GROUP BY ALL""",
+    6,
 )
 def agg2(spark, d):
     daily = R.area_mean(B.cube(spark, d), ["variable", "realization", "time"])
@@ -69,7 +69,7 @@ def agg2(spark, d):
 
 
 @query("agg2_empty_bins", f"""WITH {B.COARSE}, s AS (SELECT lat, lon, k, value FROM obs WHERE k % 3 = 0), r AS (SELECT lat, lon, unnest(range(min(k), max(k) + 1)) AS k FROM s GROUP BY lat, lon)
-    SELECT lat, lon, CAST(k AS INTEGER) AS k, round(value, 4) AS value FROM r LEFT JOIN s USING (lat, lon, k)""", 4)
+    SELECT lat, lon, CAST(k AS INTEGER) AS k, round(value, 6) AS value FROM r LEFT JOIN s USING (lat, lon, k)""", 6)
 def agg2_bins(spark, d):
     return R.fill_bins(B.observed(spark, d).where("k % 3 = 0"), ["lat", "lon"])
 
@@ -82,12 +82,12 @@ def agg3(spark, d):
 MAPS = "maps AS (SELECT variable, lat, lon, avg(v) AS v FROM (SELECT variable, realization, lat, lon, avg(value) AS v FROM cube GROUP BY ALL) GROUP BY ALL)"
 
 
-@query("agg4_mean_map", f"WITH {B.CUBE}, {MAPS} SELECT variable, lat, lon, round(v, 4) AS value FROM maps", 4)
+@query("agg4_mean_map", f"WITH {B.CUBE}, {MAPS} SELECT variable, lat, lon, round(v, 6) AS value FROM maps", 6)
 def agg4(spark, d):
     return R.mean_map(B.cube(spark, d), ["variable"])
 
 
-@query("agg5_difference_map", f"WITH {B.CUBE}, {MAPS} SELECT a.lat, a.lon, round(a.v - r.v, 4) AS value FROM (SELECT * FROM maps WHERE variable = 'A') a JOIN (SELECT * FROM maps WHERE variable = 'R') r USING (lat, lon)", 4)
+@query("agg5_difference_map", f"WITH {B.CUBE}, {MAPS} SELECT a.lat, a.lon, round(a.v - r.v, 6) AS value FROM (SELECT * FROM maps WHERE variable = 'A') a JOIN (SELECT * FROM maps WHERE variable = 'R') r USING (lat, lon)", 6)
 def agg5(spark, d):
     return R.difference_map(B.cube(spark, d), "A", "R").where("value IS NOT NULL")
 
@@ -99,49 +99,49 @@ def fil10(spark, d):
     return R.difference_map(masked, "A", "R", substitute=True).join(R.difference_map(B.cube(spark, d), "A", "R").where("value IS NOT NULL").select("lat", "lon"), ["lat", "lon"], "left_semi")
 
 
-@query("agg6_bias_map", f"""WITH {B.COARSE} SELECT lat, lon, round(s.v - o.v, 4) AS value FROM (SELECT lat, lon, avg(v) AS v FROM (SELECT realization, lat, lon, avg(value) AS v FROM sim GROUP BY ALL) GROUP BY ALL) s
-    JOIN (SELECT lat, lon, avg(value) AS v FROM obs GROUP BY ALL) o USING (lat, lon)""", 4)
+@query("agg6_bias_map", f"""WITH {B.COARSE} SELECT lat, lon, round(s.v - o.v, 6) AS value FROM (SELECT lat, lon, avg(v) AS v FROM (SELECT realization, lat, lon, avg(value) AS v FROM sim GROUP BY ALL) GROUP BY ALL) s
+    JOIN (SELECT lat, lon, avg(value) AS v FROM obs GROUP BY ALL) o USING (lat, lon)""", 6)
 def agg6(spark, d):
     return R.bias_map(B.simulated(spark, d), B.observed(spark, d))
 
 
-CLIM = "clim AS (SELECT lat, lon, avg(value) AS m, stddev_pop(value) AS s, sqrt(var_pop(value) * count(value) / (count(*) - 1)) AS c FROM obs GROUP BY ALL)"
+CLIM = "clim AS (SELECT lat, lon, avg(value) AS m, stddev_pop(value) AS s, sqrt(var_pop(value) * count(value) / nullif(count(*) - 1, 0)) AS c FROM obs GROUP BY ALL)"
 CRMSE = """sa AS (SELECT *, value - avg(value) OVER (PARTITION BY realization, lat, lon) AS a, count(*) OVER (PARTITION BY realization, lat, lon) AS t FROM sim),
 oa AS (SELECT *, value - avg(value) OVER (PARTITION BY lat, lon) AS b FROM obs),
-crmse AS (SELECT sa.realization, sa.lat, sa.lon, sqrt(sum((a - b) * (a - b)) / (max(t) - 1)) AS v FROM sa JOIN oa ON sa.k = oa.k AND sa.lat = oa.lat AND sa.lon = oa.lon GROUP BY ALL)"""
+crmse AS (SELECT sa.realization, sa.lat, sa.lon, sqrt(sum((a - b) * (a - b)) / nullif(max(t) - 1, 0)) AS v FROM sa JOIN oa ON sa.k = oa.k AND sa.lat = oa.lat AND sa.lon = oa.lon GROUP BY ALL)"""
 
 
-@query("agg7_rk_score", f"WITH {B.COARSE}, {CLIM} SELECT CAST(realization AS INTEGER) AS realization, round(sqrt({wmean('exp(-pow((value - m) / s, 2))')}), 6) AS value FROM sim JOIN clim USING (lat, lon) GROUP BY realization")
+@query("agg7_rk_score", f"WITH {B.COARSE}, {CLIM} SELECT CAST(realization AS INTEGER) AS realization, round(sqrt({wmean('exp(-pow((value - m) / nullif(s, 0), 2))')}), 6) AS value FROM sim JOIN clim USING (lat, lon) GROUP BY realization")
 def agg7(spark, d):
     return R.rk_score(B.simulated(spark, d), B.observed(spark, d))
 
 
-@query("agg8_crms", f"WITH {B.COARSE}, {CLIM} SELECT lat, lon, round(c, 4) AS value FROM clim", 4)
+@query("agg8_crms", f"WITH {B.COARSE}, {CLIM} SELECT lat, lon, round(c, 6) AS value FROM clim", 6)
 def agg8(spark, d):
     return R.crms(B.observed(spark, d), R.CELL)
 
 
-@query("agg9_crmse", f"WITH {B.COARSE}, {CRMSE} SELECT CAST(realization AS INTEGER) AS realization, lat, lon, round(v, 4) AS value FROM crmse", 4)
+@query("agg9_crmse", f"WITH {B.COARSE}, {CRMSE} SELECT CAST(realization AS INTEGER) AS realization, lat, lon, round(v, 6) AS value FROM crmse", 6)
 def agg9(spark, d):
     return R.crmse(B.simulated(spark, d), B.observed(spark, d))
 
 
-@query("agg10_bias_score", f"WITH {B.COARSE}, {CLIM} SELECT CAST(realization AS INTEGER) AS realization, round({wmean('exp(-abs(value - m) / c)')}, 6) AS value FROM sim JOIN clim USING (lat, lon) GROUP BY realization")
+@query("agg10_bias_score", f"WITH {B.COARSE}, {CLIM} SELECT CAST(realization AS INTEGER) AS realization, round({wmean('exp(-abs(value - m) / nullif(c, 0))')}, 6) AS value FROM sim JOIN clim USING (lat, lon) GROUP BY realization")
 def agg10(spark, d):
     return R.bias_score(B.simulated(spark, d), B.observed(spark, d))
 
 
-@query("agg11_rmse_score", f"WITH {B.COARSE}, {CLIM}, {CRMSE} SELECT CAST(realization AS INTEGER) AS realization, round({wmean('exp(-v / c)')}, 6) AS value FROM crmse JOIN clim USING (lat, lon) GROUP BY realization")
+@query("agg11_rmse_score", f"WITH {B.COARSE}, {CLIM}, {CRMSE} SELECT CAST(realization AS INTEGER) AS realization, round({wmean('exp(-v / nullif(c, 0))')}, 6) AS value FROM crmse JOIN clim USING (lat, lon) GROUP BY realization")
 def agg11(spark, d):
     return R.rmse_score(B.simulated(spark, d), B.observed(spark, d))
 
 
-@query("agg12_absolute_bias", f"WITH {B.COARSE}, {CLIM}, m AS (SELECT realization, lat, lon, avg(value) AS v FROM sim GROUP BY ALL) SELECT CAST(realization AS INTEGER) AS realization, round({wmean('abs(v - m)')}, 4) AS value FROM m JOIN clim USING (lat, lon) GROUP BY realization".replace("abs(v - m)", "abs(m.v - clim.m)"), 4)
+@query("agg12_absolute_bias", f"WITH {B.COARSE}, {CLIM}, m AS (SELECT realization, lat, lon, avg(value) AS v FROM sim GROUP BY ALL) SELECT CAST(realization AS INTEGER) AS realization, round({wmean('abs(v - m)')}, 6) AS value FROM m JOIN clim USING (lat, lon) GROUP BY realization".replace("abs(v - m)", "abs(m.v - clim.m)"))
 def agg12(spark, d):
     return R.absolute_bias(B.simulated(spark, d), B.observed(spark, d))
 
 
-@query("agg13_absolute_rmse", f"WITH {B.COARSE}, {CRMSE} SELECT CAST(realization AS INTEGER) AS realization, round({wmean('v')}, 4) AS value FROM crmse GROUP BY realization", 4)
+@query("agg13_absolute_rmse", f"WITH {B.COARSE}, {CRMSE} SELECT CAST(realization AS INTEGER) AS realization, round({wmean('v')}, 6) AS value FROM crmse GROUP BY realization", 6)
 def agg13(spark, d):
     return R.absolute_rmse(B.simulated(spark, d), B.observed(spark, d))
 
@@ -166,7 +166,7 @@ def agg14u(spark, d):
     return R.pattern_correlation(_pairs(spark, d), ["realization"], centred=False)
 
 
-@query("agg15_weighted_rmse", f"WITH {B.COARSE}, {PAIRS} SELECT CAST(realization AS INTEGER) AS realization, round(sqrt(sum({W_}*(x-y)*(x-y))/sum({W_})), 4) AS value FROM pairs GROUP BY realization", 4)
+@query("agg15_weighted_rmse", f"WITH {B.COARSE}, {PAIRS} SELECT CAST(realization AS INTEGER) AS realization, round(sqrt(sum({W_}*(x-y)*(x-y))/sum({W_})), 6) AS value FROM pairs GROUP BY realization", 6)
 def agg15(spark, d):
     return R.weighted_rmse(_pairs(spark, d), ["realization"])
 
@@ -184,20 +184,20 @@ fo AS (SELECT season, region, s.* FROM obs s JOIN ms ON ms.m = s.k % 12 + 1 JOIN
 
 
 @query("agg19_season_region_scores", f"""WITH {B.COARSE}, {SECTIONS},
-    cl AS (SELECT season, region, lat, lon, avg(value) AS m, stddev_pop(value) AS s, sqrt(var_pop(value) * count(*) / (count(*) - 1)) AS c FROM fo GROUP BY ALL),
+    cl AS (SELECT season, region, lat, lon, avg(value) AS m, stddev_pop(value) AS s, sqrt(var_pop(value) * count(*) / nullif(count(*) - 1, 0)) AS c FROM fo GROUP BY ALL),
     a AS (SELECT *, value - avg(value) OVER (PARTITION BY season, region, realization, lat, lon) AS a, count(*) OVER (PARTITION BY season, region, realization, lat, lon) AS t FROM fs),
     b AS (SELECT *, value - avg(value) OVER (PARTITION BY season, region, lat, lon) AS b FROM fo),
-    e AS (SELECT a.season, a.region, a.realization, a.lat, a.lon, sqrt(sum((a - b) * (a - b)) / (max(t) - 1)) AS e FROM a JOIN b ON a.season = b.season AND a.region = b.region AND a.k = b.k AND a.lat = b.lat AND a.lon = b.lon GROUP BY ALL),
+    e AS (SELECT a.season, a.region, a.realization, a.lat, a.lon, sqrt(sum((a - b) * (a - b)) / nullif(max(t) - 1, 0)) AS e FROM a JOIN b ON a.season = b.season AND a.region = b.region AND a.k = b.k AND a.lat = b.lat AND a.lon = b.lon GROUP BY ALL),
     m AS (SELECT season, region, realization, lat, lon, avg(value) AS v FROM fs GROUP BY ALL),
-    sc AS (SELECT realization, season, region, sqrt({wmean('exp(-pow((v - cl.m) / s, 2))')}) AS rk, {wmean('exp(-abs(v - cl.m) / c)')} AS bi, {wmean('exp(-e / c)')} AS rm FROM m JOIN cl USING (season, region, lat, lon) LEFT JOIN e USING (season, region, realization, lat, lon) GROUP BY ALL)
+    sc AS (SELECT realization, season, region, sqrt({wmean('exp(-pow((v - cl.m) / nullif(s, 0), 2))')}) AS rk, {wmean('exp(-abs(v - cl.m) / nullif(c, 0))')} AS bi, {wmean('exp(-e / nullif(c, 0))')} AS rm FROM m JOIN cl USING (season, region, lat, lon) LEFT JOIN e USING (season, region, realization, lat, lon) GROUP BY ALL)
     SELECT CAST(realization AS INTEGER) AS realization, season, region, metric, round(CASE metric WHEN 'RK08' THEN rk WHEN 'Bias' THEN bi WHEN 'RMSE' THEN rm ELSE (rk + bi + rm) / 3 END, 6) AS score
     FROM sc, (SELECT unnest(['RK08', 'Bias', 'RMSE', 'Combined']) AS metric)""")
 def agg19(spark, d):
     return R.season_region_scores(B.simulated(spark, d), B.observed(spark, d), month())
 
 
-@query("agg17_18_ensemble_scores", f"""WITH {B.COARSE}, {CLIM}, {CRMSE}, r AS (SELECT realization, {wmean('exp(-v / c)')} AS v FROM crmse JOIN clim USING (lat, lon) GROUP BY realization),
-    b AS (SELECT realization, {wmean('exp(-abs(value - m) / c)')} AS v FROM sim JOIN clim USING (lat, lon) GROUP BY realization)
+@query("agg17_18_ensemble_scores", f"""WITH {B.COARSE}, {CLIM}, {CRMSE}, r AS (SELECT realization, {wmean('exp(-v / nullif(c, 0))')} AS v FROM crmse JOIN clim USING (lat, lon) GROUP BY realization),
+    b AS (SELECT realization, {wmean('exp(-abs(value - m) / nullif(c, 0))')} AS v FROM sim JOIN clim USING (lat, lon) GROUP BY realization)
     SELECT round(avg(r.v), 6) AS rmse, round(avg(b.v), 6) AS bias, round(avg((r.v + b.v) / 2), 6) AS combined FROM r JOIN b USING (realization)""")
 def agg17(spark, d):
     s, o = B.simulated(spark, d), B.observed(spark, d)
@@ -208,7 +208,7 @@ def agg17(spark, d):
 # --- filters, sets, scalar functions --------------------------------------------------
 
 
-@query("fil3_year_slice", f"WITH {B.CUBE} SELECT variable, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS value FROM cube WHERE time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1999-01-01' GROUP BY variable", 4)
+@query("fil3_year_slice", f"WITH {B.CUBE} SELECT variable, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS value FROM cube WHERE time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1999-01-01' GROUP BY variable", 6)
 def fil3(spark, d):
     cut = B.cube(spark, d).where("time >= timestamp_ntz'1996-01-01' AND time < timestamp_ntz'1999-01-01'")
     return cut.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"))
@@ -216,7 +216,7 @@ def fil3(spark, d):
 
 @query("fil4_5_6_season_region", f"""WITH {B.CUBE}, c AS (SELECT *, CASE WHEN month(time) IN (12,1,2) THEN 'DJF' WHEN month(time) IN (3,4,5) THEN 'MAM' WHEN month(time) IN (6,7,8) THEN 'JJA' ELSE 'SON' END AS s, CASE WHEN lat BETWEEN -30 AND 30 THEN 'Tropics' ELSE 'Extratropics' END AS r FROM cube),
     f AS (SELECT season, region, c.* FROM c, (SELECT unnest(['All','DJF','MAM','JJA','SON']) AS season), (SELECT unnest(['Global','Tropics','Extratropics']) AS region) WHERE (season = 'All' OR season = s) AND (region = 'Global' OR region = r))
-    SELECT season, region, variable, round({wmean('value')}, 4) AS value, round(stddev_pop(value), 4) AS spread FROM f GROUP BY ALL""", 4)
+    SELECT season, region, variable, round({wmean('value')}, 6) AS value, round(stddev_pop(value), 6) AS spread FROM f GROUP BY ALL""", 6)
 def fil456(spark, d):
     f = R.fan_out(B.cube(spark, d), F.month("time"))
     return f.groupBy("season", "region", "variable").agg(E.weighted_mean("value", E.weight()).alias("value"), F.stddev_pop("value").alias("spread"))
@@ -499,7 +499,7 @@ def sta9(spark, d):
     return S.mann_whitney(_samples(spark, d), R.CELL)
 
 
-@query("sta13_quantiles", f"WITH {B.CUBE} SELECT variable, CAST(year(time) AS INTEGER) AS year, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.05), 4) AS q05, round(quantile_cont(value, 0.95), 4) AS q95 FROM cube GROUP BY ALL", 4)
+@query("sta13_quantiles", f"WITH {B.CUBE} SELECT variable, CAST(year(time) AS INTEGER) AS year, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.95), 6) AS q95 FROM cube GROUP BY ALL", 6)
 def sta13(spark, d):
     q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.95)))
     return B.cube(spark, d).groupBy("variable", F.year("time").alias("year")).agg(F.avg("value").alias("mean"), q[0].alias("q05"), q[1].alias("q95"))
