@@ -16,7 +16,6 @@ table gives an empty result; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -26,6 +25,7 @@ from itertools import accumulate, chain
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import whole
 
@@ -208,8 +208,8 @@ class Codec:
         for form, ids in self.bpe.encode(list(mapped)).items():
             self.known[mapped[form]] = " ".join(map(str, ids)), " ".join(map(self.bpe.names.__getitem__, ids))
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Count, id digest and decoded digest of each text."""
+    def texts(self, texts: list[str]) -> list[pa.Array]:
+        """Ids (decimal, joined by spaces) and decoded text of each text."""
         split = [self.pieces(text) for text in texts]
         coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
         met = coded.dictionary.to_pylist()
@@ -220,14 +220,7 @@ class Codec:
         self.learn(new)
         ends = pa.array([0, *accumulate(map(len, split))], pa.int32())
         ids, names = zip(*map(self.known.__getitem__, met), strict=True) if met else ((), ())
-        joined = [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(coded.indices)), " ") for x in (ids, names)]
-        for text_ids, text_names in zip(*(x.cast(pa.binary()) for x in joined), strict=True):
-            one = text_ids.as_py()
-            yield one.count(b" ") + 1 if one else 0, _digest(one), _digest(text_names.as_py())
-
-
-def _digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
+        return [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(coded.indices)), " ") for x in (ids, names)]
 
 
 @lru_cache(2)
@@ -254,17 +247,21 @@ def groups(texts: list[str] | pa.Array) -> Iterator[list[str]]:
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text."""
+    """doc_id, ids (decimal, joined by spaces) and decoded text of each whole text."""
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path)
         for batch in batches:
-            rows = [row for run in groups(batch.column(1)) for row in made.texts(run)]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            done = 0
+            for run in groups(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[done : done + len(run)], *made.texts(run)], names=["doc_id", "ids", "decoded"])
+                done += len(run)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", whole().alias("text")).mapInArrow(coded, f"doc_id {kind}, ids string, decoded string")
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of coded texts."""
+    n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "), F.lit(""))) + 1)
+    return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -81,7 +81,8 @@ def _key() -> list[Column]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+    """doc_id, n_words, n_hit, items (ids as strings, sorted) and contaminated of each
+    document."""
     lengths = [r["k"] for r in windows(items, window).select("k").distinct().collect()]  # five values at most
     # Each window once: its identity, length, and the shingles of its words with their places.
     own = windows(items, window).withColumn("same", _same(F.col("words"), F.col("start"), F.col("n")))
@@ -126,8 +127,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return every.join(found, same_row, "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), names.alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 

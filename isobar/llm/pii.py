@@ -18,14 +18,14 @@ Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import whole
 
@@ -177,21 +177,33 @@ def find(text: str) -> dict[str, list[Span]]:
     return spans
 
 
-def _listed(spans: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
-    return ",".join(f"{kind}:{a}:{b}" for kind in kinds for a, b in spans[kind])
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans."""
+    """doc_id and the spans (kind, start, end) of each whole text, by kind as listed,
+    then start."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [find(text.as_py()) for text in batch.column(1)]
-            counted = [pa.array([len(x[kind]) for x in found], pa.int64()) for kind in BASE]
-            digests = pa.array([hashlib.sha256(_listed(x, BASE).encode()).hexdigest() for x in found], pa.string())
-            listed = pa.array([_listed(x, KINDS) for x in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counted, digests, listed], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            spans = [[{"kind": kind, "start": a, "end": b} for kind in KINDS for a, b in x[kind]] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string"
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(mapped, schema)
+    return docs.select("doc_id", whole().alias("text")).mapInArrow(mapped, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans as text."""
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    return found.select("doc_id", *map(_count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
