@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from isobar.llm.bpe_codec import encode_decode
+from isobar.llm.bpe_codec import digests, encode_decode
 from isobar.llm.common import Written, table
 from isobar.llm.decontamination import keep_clean
 from isobar.llm.line_dedup import dedup_lines
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
-    return encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return digests(encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
