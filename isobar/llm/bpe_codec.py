@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-#: Entries a worker keeps of words, of prefixes' states and of token pairs, each.
+#: Entries of a generation of words, of prefixes' states and of token pairs.  A full
+#: generation becomes the old one, from which what is met again is taken over.
 CACHE = 150_000
 #: Texts without these characters are split by PLAIN: they are in normal form C,
 #: lower() goes character by character, and letters and digits can be listed.
@@ -67,6 +68,7 @@ class TrieBpe:
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[str, int] = {}  # of the tries so far: prefix to last token
+        self.old_states: dict[str, int] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts at one edge of a token, smallest first, each with the rank
@@ -117,7 +119,7 @@ class TrieBpe:
         pair = before, token
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             known = self.pairs[pair] = not self._crossed(self._spine(before, 1), self._spine(token, 0))
         return known
@@ -139,9 +141,9 @@ class TrieBpe:
                 node = node.setdefault(symbol, {})
             node.setdefault("", []).append(word)  # words that end one symbol below
         out: dict[str, list[int]] = {}
-        states, met = [-1], self.states
-        if len(met) > CACHE:
-            met.clear()
+        if len(self.states) > CACHE:
+            self.old_states, self.states = self.states, {}
+        states, met, old = [-1], self.states, self.old_states
         path: list[Iterator] = [iter(root.items())]
         prefix = ""
         while path:
@@ -163,7 +165,8 @@ class TrieBpe:
                 prefix += symbol
                 token = met.get(prefix)
                 if token is None:
-                    token = met[prefix] = self.last_token(prefix, len(prefix), states, self.inner)
+                    token = old.get(prefix)
+                    token = met[prefix] = self.last_token(prefix, len(prefix), states, self.inner) if token is None else token
                 states.append(token)
                 path.append(iter(below.items()))
         return out
@@ -184,11 +187,9 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.clear()
-
-    def clear(self) -> None:
-        """Ids and token names of each word, joined by spaces."""
-        self.known = {x: (str(i), x) for x, i in self.added.items()}
+        self.names = {str(i): name for i, name in (self.bpe.names | {i: x for x, i in self.added.items()}).items()}
+        self.known = {x: str(i) for x, i in self.added.items()}  # ids of each word, joined by spaces
+        self.old: dict[str, str] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The words that merges stay within, normalized."""
@@ -206,20 +207,21 @@ class Codec:
         """Enter the words that are not known yet, by one trie."""
         mapped = {"".join(map(BYTES.__getitem__, w.encode())): w for w in words}
         for form, ids in self.bpe.encode(list(mapped)).items():
-            self.known[mapped[form]] = " ".join(map(str, ids)), " ".join(map(self.bpe.names.__getitem__, ids))
+            self.known[mapped[form]] = " ".join(map(str, ids))
 
     def texts(self, texts: list[str]) -> list[pa.Array]:
         """Ids (decimal, joined by spaces) and decoded text of each text."""
         split = [self.pieces(text) for text in texts]
         coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
         met = coded.dictionary.to_pylist()
-        new = {w for w in met if w not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.clear()
-            new = set(met) - self.known.keys()
-        self.learn(new)
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {x: str(i) for x, i in self.added.items()}
+        known, old = self.known, self.old
+        known.update([(w, old[w]) for w in met if w not in known and w in old])
+        self.learn({w for w in met if w not in known})
         ends = pa.array([0, *accumulate(map(len, split))], pa.int32())
-        ids, names = zip(*map(self.known.__getitem__, met), strict=True) if met else ((), ())
+        ids = [known[w] for w in met]
+        names = [" ".join(map(self.names.__getitem__, x.split(" "))) for x in ids]
         return [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(coded.indices)), " ") for x in (ids, names)]
 
 
