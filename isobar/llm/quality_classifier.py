@@ -1,6 +1,6 @@
 """Quality classifier: random Fourier features, ridge scores, isotonic calibration.
 
-Document statistics are DataFrame expressions, so no text reaches Python.  Cosines
+Document statistics are counted from a text's bytes, in Arrow batches.  Cosines
 of random projections approximate a Gaussian kernel over the standardized
 statistics; each partition sums its part of the normal equations, the few sums
 are added and solved.  Scores that a row's own label had no part in (three-fold)
@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, fold, whole, words
+from .common import Written, fold
 
 #: Labelled rows learnt from at most (about), cosines, kernel scale, ridge,
 #: cross-fitting parts, calibration bins, partitions that sum.
@@ -35,21 +34,30 @@ SAMPLE, COSINES, SCALE, RIDGE, PARTS, BINS, SUMMERS = 40_000, 192, 0.15, 0.02, 3
 LOW, HIGH = -0.5, 1.5
 
 
-def statistics(column: str = "text") -> list[Column]:
-    """What a score sees of a text."""
-    text = whole(column)
-    kept = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
-    split = words(text)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
-    n_words, n_lines = F.greatest(F.size(split), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
-    dense = F.greatest(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit(1))
-    every = [
-        F.log1p(F.length(text)), F.log1p(F.size(split)), dense / n_words,
-        kept("A-Z") / dense, kept("0-9") / dense, kept(r"#*$%&<>") / dense, kept("|") / dense, kept("!") / dense, kept(".,;:?") / dense,
-        F.size(F.array_distinct(split)) / n_words, 1 - F.size(F.array_distinct(lines)) / n_lines, n_lines / n_words,
-        (F.octet_length(text) - F.length(text)) / dense, kept(".") / n_words,
+#: Bytes that are counted, a statistic each; capitals and the others are ASCII.
+COUNTED = (bytes(range(65, 91)), b"0123456789", b"#*$%&<>", b"|", b"!", b".,;:?")
+SPACE = b" \t\n\r\x0b\x0c"
+STATISTICS = 14
+
+
+def statistics(text: str) -> list[float]:
+    """What a score sees of a text: a few passes over its bytes, and its distinct
+    words and lines."""
+    raw = text.encode()
+    split = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip(b" ")]
+    count = lambda some: len(raw) - len(raw.translate(None, some))
+    n_words, n_lines = max(len(split), 1), max(len(lines), 1)
+    dense = max(len(text) - count(SPACE), 1)
+    return [
+        np.log1p(len(text)), np.log1p(len(split)), dense / n_words, *[count(some) / dense for some in COUNTED],
+        len(set(split)) / n_words, 1 - len(set(lines)) / n_lines, n_lines / n_words, (len(raw) - len(text)) / dense, raw.count(b".") / n_words,
     ]
-    return [x.cast("double") for x in every]
+
+
+def _matrix_of(texts: pa.Array) -> np.ndarray:
+    """The statistics of a column of texts; one text at a time is made a string."""
+    return np.array([statistics(text.as_py() or "") for text in texts], np.float64).reshape(-1, STATISTICS)
 
 
 @dataclass
@@ -98,13 +106,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, bound
     y = Written(y.sample(min(1.0, bound / max(y.count(), 1)), 5), "labels").df
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
     # y is about ``bound`` rows of 16 bytes
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select(F.array(*statistics()).alias("x"), "y", part.alias("part"))
+    some = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("text", "y", part.alias("part"))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array(list(_matrix_of(batch.column(0))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([x, batch.column(1), batch.column(2)], names=["x", "y", "part"])
+
+    return some.mapInArrow(seen, "x array<double>, y double, part int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, bound: int = SAMPLE) -> Model | None:
     """None if no document outside the held-out fold has a label."""
-    rows = Written(labelled(docs, labels, label, divisor, bound).coalesce(SUMMERS), "labelled")
-    n = len(statistics())
+    rows = Written(labelled(docs, labels, label, divisor, bound), "labelled")
+    n = STATISTICS
     column = [F.col("x")[k] for k in range(n)]
     m = rows.df.agg(F.count(F.lit(1)), *[F.avg(c) for c in column], *[F.stddev_pop(c) for c in column]).first()
     if not m[0]:
@@ -152,11 +167,11 @@ def score(model: Model | None, column: str = "text") -> Column:
         return F.lit(0.5)
     given = model
 
-    @F.pandas_udf("double")
-    def scored(*x: pd.Series) -> pd.Series:
-        return pd.Series(given.score(np.column_stack([c.to_numpy(np.float64) for c in x])))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(given.score(_matrix_of(texts)), pa.float64())
 
-    return scored(*statistics(column))
+    return scored(F.col(column))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, limit: float = 0.3) -> DataFrame:
