@@ -4,8 +4,8 @@ The documents are only mapped over: each batch's distinct pre-tokens that no
 earlier batch has met go into a trie, and a depth-first walk gives each node the
 last token of its prefix's encoding.  A prefix's encoding is its last token put
 behind the encoding of what stands before that token, so what words share at
-their start is encoded once.  The memory of a worker is bounded: its tables are
-emptied at ``CACHE`` entries.
+their start is encoded once.  The memory of a worker is bounded: a table makes way
+for a new one at ``CACHE`` entries.
 
 A last token is right if it stands at the prefix's end, its own parts merge back
 to it, and no merge would reach across the boundary to the token before it.
