@@ -15,8 +15,9 @@ window's (128 bits: exact in effect).
 
 Cases: null and empty texts have no words and no hits; null or empty items have no
 window; equal items each count; equal windows of one or several items are one
-window with several items; repeated documents are each given the same counts;
-empty tables give no rows, or documents without hits; other columns are ignored.
+window with several items; null ids of documents and items count like others (a
+null item_id is one item, without a name); repeated documents are each given the
+same counts; empty tables give no rows, or documents without hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,11 +84,16 @@ def _key() -> list[Column]:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted) and contaminated of each
     document."""
+    return _judged(docs, items, window, share).drop("_text")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
+    """decontaminate(), with the rest of each document's key."""
     lengths = [r["k"] for r in windows(items, window).select("k").distinct().collect()]  # five values at most
     # Each window once: its identity, length, and the shingles of its words with their places.
     own = windows(items, window).withColumn("same", _same(F.col("words"), F.col("start"), F.col("n")))
     words_ = F.slice("words", F.col("start") + 1, F.col("n"))
-    each = Written(own.groupBy("same", "n", "k").agg(F.first(words_).alias("w"), F.collect_set("item_id").alias("items")), "windows").df
+    each = Written(own.groupBy("same", "n", "k").agg(F.first(words_).alias("w"), F.collect_set(F.struct("item_id")).alias("items")), "windows").df
     own_shingles = F.coalesce(_none() if not lengths else F.lit(None), *[F.when(F.col("k") == n, _runs(F.col("w"), n)) for n in lengths])
     inside = each.select("same", "n", "k", F.explode(own_shingles).alias("s")).select("same", "n", F.col("s.p").alias("at"), F.col("s.h").alias("h"))
     tokens = inside.select("h").distinct()
@@ -115,24 +121,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
         "spans", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["sum"] + F.greatest(x["end"] - F.greatest(a["end"], x["start"]), F.lit(0))).alias("sum"), F.greatest(a["end"], x["end"]).alias("end")),
     )["sum"]
-    of = each.select("same", F.explode("items").alias("item"))
+    of = each.select("same", F.explode("items.item_id").alias("item"))
     named = hits.select("doc_id", "_text", "same").distinct().join(F.broadcast(of) if few else of, "same")
-    named = named.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    found = spans.select("doc_id", "_text", covered.cast("long").alias("hit")).join(named, ["doc_id", "_text"])
+    names = F.sort_array(F.collect_set(F.struct(F.col("item").cast("string").alias("item"))))["item"]  # sets drop bare nulls
+    named = named.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(names.alias("items"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    found = spans.select("doc_id", "_text", covered.cast("long").alias("hit")).join(named, same_row, "left").drop("_id", "_hash")
 
     count = F.size(F.array_remove(F.split("text", BETWEEN, -1), "")).cast("long")
     every = docs.select("doc_id", whole().alias("text")).select(*_key(), count.alias("n_words"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "hit", "items")
-    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return every.join(found, same_row, "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), names.alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "_text", "n_words", n_hit.alias("n_hit"), names.alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    judged = decontaminate(docs, items)
-    bad = Written(judged.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated").df
-    return docs.join(if_small(bad), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    judged = _judged(docs, items, WINDOW, 20)
+    bad = Written(judged.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("_text").alias("__hash")).distinct(), "contaminated").df
+    same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(whole()) == F.col("__hash"))
+    return docs.join(if_small(bad), same_row, "left_anti")

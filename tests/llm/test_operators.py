@@ -251,6 +251,20 @@ def test_decontamination_of_nothing(spark, docs, none, texts):
     assert decontamination.decontaminate(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr("isobar.llm.common.BROADCAST_ROWS", limit)
+    passage, other, clean = (" ".join(f"{x}{k}" for k in range(20)) for x in "poc")
+    items = [(1, passage), (None, passage), (None, other)]
+    rows = [(None, passage), (None, clean), (1, f"{other} x"), (2, passage), (2, clean), (3, None), (None, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()
+    both, none, unnamed = [None, "1"], [], [None]
+    same(got, [(None, 20, 20, both, True), (None, 20, 0, none, False), (1, 21, 20, unnamed, True), (2, 20, 20, both, True), (2, 20, 0, none, False), (3, 0, 0, none, False), (None, 0, 0, none, False)])
+    same(decontamination.keep_clean(docs, bench).collect(), [(None, clean), (2, clean), (3, None), (None, None)])
+
+
 # 7
 
 
