@@ -72,17 +72,19 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return np.packbits(out, axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprinted(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, further columns, fp (the 64 bits as a long)."""
+    read = docs.select("doc_id", *more, whole().alias("__text"))
+    names = read.columns[:-1]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprints(run) for run in groups(batch.column(1))]
+            found = [fingerprints(run) for run in groups(batch.column(len(names)))]
             fp = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(fp)], names=[*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole().alias("text")).mapInArrow(mapped, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in names)
+    return read.mapInArrow(mapped, f"{kinds}, fp long")
 
 
 def keys() -> Column:
@@ -200,12 +202,17 @@ def near(unique: DataFrame) -> DataFrame:
     return grouped.mapInArrow(bucket_links, "a long, b long")
 
 
+def components(unique: DataFrame) -> DataFrame:
+    """fp, root: the component of every fingerprint with a link, roots too."""
+    roots = stars(near(unique.select("fp")))
+    return roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id reachable."""
     own = Written(fingerprinted(docs), "fingerprints").df
     unique = Written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique").df
-    roots = stars(near(unique))
-    linked = roots.select(F.col("node").alias("fp"), "root").union(roots.select("root", "root").distinct())
+    linked = components(unique)
     smallest = linked.join(unique, "fp").groupBy("root").agg(F.min("first").alias("least"))
     component = linked.join(smallest, "root").select("fp", "least")
     # Written, so that both sides of the last join are exchanges and Spark can split a hot fingerprint's rows.
@@ -214,20 +221,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(named, "fp").select("doc_id", hex_.alias("fingerprint"), "component_id")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(whole())
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document that names each component, once, with its columns.  A component
-    without any id keeps one of its rows.
+    """One document of each component, with its columns: that of the smallest id, or,
+    where no id is in it, of the smallest text hash.
 
-    Rows that go are named by their ids, so texts are moved only where the ids are
-    too many to broadcast; ids that several rows share are settled apart.
+    Rows are told apart by id and text hash, as ids may be null or repeat, so texts
+    are moved only where the keys that go are too many to broadcast; keys that
+    several rows share are settled apart.
     """
-    found = Written(near_duplicates(docs), "components").df
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = Written(found.where(~same).select(F.col("doc_id").alias("__id")).distinct(), "gone").df
-    shared = Written(found.where(same).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "shared").df
-    by_id = F.col("doc_id").eqNullSafe(F.col("__id"))
-    left = docs.join(if_small(gone), by_id, "left_anti")
+    own = Written(fingerprinted(docs, _text_hash().alias("hash")), "fingerprints").df
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    unique = Written(own.groupBy("fp").agg(F.min(place).alias("first")), "unique").df
+    linked = components(unique)
+    smallest = linked.join(unique, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    component = linked.join(smallest, "root").select("fp", "least")
+    named = Written(unique.join(component, "fp", "left").select("fp", F.coalesce("least", "first").alias("stays")), "named").df
+    stays = (F.col("hash") == F.col("stays.hash")) & F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
+    key = [F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")]
+    found = Written(own.join(named, "fp").select(*key, stays.alias("stays")), "components").df
+    gone = Written(found.where("NOT stays").select("__id", "__hash").distinct(), "gone").df
+    shared = Written(found.where("stays").groupBy("__id", "__hash").count().where("count > 1").select("__id", "__hash"), "shared").df
+    by_key = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__hash"))
+    left = docs.join(if_small(gone), by_key, "left_anti")
     if not shared.limit(1).count():
         return left
     some = if_small(shared)
-    return left.join(some, by_id, "left_anti").unionByName(left.join(some, by_id, "left_semi").dropDuplicates(["doc_id"]))
+    several = left.join(some, by_key, "left_semi").withColumn("__hash", _text_hash())
+    return left.join(some, by_key, "left_anti").unionByName(several.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))

@@ -208,6 +208,21 @@ def test_one_of_each_stays(docs, texts):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == sorted(c for c in comps if c is not None)
 
 
+def test_no_unique_document_is_lost(spark):
+    """Null and repeated ids: one row of each component, whatever its id."""
+    rng = np.random.default_rng(3)
+    made = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))
+    a, b, c, d, e, f = (made() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (1, c), (8, d), (8, e), (3, b), (None, f), (None, f), (9, f.upper())]
+    fps = {fingerprint(x) for _, x in rows}
+    assert len(fps) == 6 and min((x ^ y).bit_count() for x in fps for y in fps if x != y) > 3
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(kept.collect(), [(None, a), (1, c), (8, d), (8, e), (3, b), (9, f.upper())])
+    none = [(None, a), (None, b), (None, b), (None, c), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(none, "doc_id long, text string")).collect()
+    assert sorted(r["text"] or "" for r in kept) == sorted([a, b, c, ""])
+
+
 # 6
 
 
