@@ -7,9 +7,11 @@ more than once anywhere are repeated.  The first occurrence, by document id and
 position, stays.  The positions that later occurrences cover are merged into runs,
 and runs of ``RUN`` characters on go, but for lines that some window's first
 occurrence covers; shorter runs, such as single common sentences, are left alone.
+This is the rule of the query's SQL.  With ``every``, all positions that later
+occurrences cover go: each line of them still stands where it came first.
 
 Windows are told apart by 64 bits.  Two that only agree in these make a run of
-three lines, too short to go.  Counts and minima are pre-aggregated; a hot window's
+three lines, too short to go but with ``every``.  Counts and minima are pre-aggregated; a hot window's
 occurrences meet one row in a join that Spark splits where it is skewed.
 
 Cases: null texts stay null and empty ones empty; fewer than three lines have no
@@ -75,13 +77,15 @@ def marks(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _with_cuts(docs: DataFrame) -> DataFrame:
+def _with_cuts(docs: DataFrame, every: bool = False) -> DataFrame:
     """docs with the columns __lines and __cut (null: nothing repeats)."""
     mark = marks(docs).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("later").alias("__later"), F.col("first").alias("__first"))
     same = docs["doc_id"].eqNullSafe(mark["__doc"]) & (_crc(docs["text"]) == mark["__crc"])
     positions = mark.agg(F.sum(F.size("__later") + F.size("__first"))).first()[0] or 0
     found = docs.join(if_small(mark, positions, FEW_POSITIONS), same, "left")
     found = found.withColumn("__lines", F.when(F.col("__later").isNotNull(), lines(F.col("text"))))
+    if every:
+        return found.withColumn("__cut", F.col("__later")).drop("__doc", "__crc", "__later", "__first")
     # Merged runs: they start where the position before is not covered, and end likewise.
     beside = lambda p, at: F.coalesce(F.try_element_at("__later", at) == p, F.lit(False))
     starts = F.filter("__later", lambda p, i: ~((i > 0) & beside(p - 1, F.greatest(i, F.lit(1)))))
@@ -99,9 +103,10 @@ def _kept() -> Column:
     return F.when(F.size("__cut") > 0, rest).otherwise(F.col("text"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the lines that repeat earlier ones; every row stays."""
-    found = _with_cuts(docs).withColumn("__text", _kept())
+def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """The documents without the lines that repeat earlier ones (``every``: short runs
+    and those beside first occurrences too); every row stays."""
+    found = _with_cuts(docs, every).withColumn("__text", _kept())
     new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("__cut") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -393,6 +393,14 @@ def test_a_window_stays_once(docs):
             assert any(piece.strip() in x for x in rows)
 
 
+def test_every_later_window_goes(spark):
+    """Short ones, and those beside a first occurrence."""
+    p = "p one, p two, p three,"
+    rows = [(1, f"a1, {p} a2,"), (2, f"x1, x2, {p} y1, y2,"), (3, f"x1, x2, {p} y1, y2,"), (4, "home. news. help."), (5, "home. news. help.")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()
+    same(got, [rows[0], (2, "x1, x2, y1, y2,"), (3, ""), rows[3], (5, "")])
+
+
 # all
 
 
