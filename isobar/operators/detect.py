@@ -79,18 +79,20 @@ def detect_nodes(
 
 
 def stitch_nodes(
-    nodes: DataFrame, reach: float = 8.0, gap: int = 3, min_points: int = 10, min_wind: float = 10.0, max_lat: float = 50.0, min_strong: int = 10
-) -> DataFrame:
-    """track, pt and the node's columns.  nodes: node (unique), step, lat, lon, wind.
+    nodes: DataFrame, reach: float = 8.0, gap: int = 3, min_points: int = 10, min_wind: float = 10.0, max_lat: float = 50.0, min_strong: int = 10,
+    keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """track, pt and the node's columns.  nodes: node (unique), keys (only nodes of
+    equal ones are linked), step, lat, lon, wind.
 
     A node is linked to the nearest one in reach at the next step that has one (up to
     ``gap`` steps on); where several choose the same node, the nearest keeps it.
     Chains are named by their first node by doubling jumps, a join a round.
     """
-    a = nodes.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(gap))).alias("d"), "step", F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    b = nodes.select(F.col("node").alias("b"), F.col("step").alias("to"), F.col("lat").alias("lb"), F.col("lon").alias("lo2"))
+    a = nodes.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(gap))).alias("d"), "step", *keys, F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    b = nodes.select(F.col("node").alias("b"), F.col("step").alias("to"), *keys, F.col("lat").alias("lb"), F.col("lon").alias("lo2"))
     dist = F.degrees(great_circle(F.col("la"), F.col("lo"), F.col("lb"), F.col("lo2"), 1.0))
-    pairs = a.withColumn("to", F.col("step") + F.col("d")).join(b, "to").withColumn("dist", dist).where(F.col("dist") <= reach)
+    pairs = a.withColumn("to", F.col("step") + F.col("d")).join(b, ["to", *keys]).withColumn("dist", dist).where(F.col("dist") <= reach)
     chosen = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "dist", "b"))).where("r = 1")
     kept = chosen.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "dist", "a"))).where("r = 1")
     jump = nodes.select(F.col("node").alias("b")).join(kept.select("b", "a"), "b", "left").select(F.col("b").alias("node"), F.coalesce("a", "b").alias("head"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -386,9 +386,11 @@ def src67(spark, d):
     """Detection on a made field: suppliers' storms that drift with the hours."""
     from ..operators import detect
 
-    where = B.table(spark, d, "supplier").where("s_suppkey <= 2").select("s_suppkey")
+    where = B.table(spark, d, "supplier").select("s_suppkey")
     cells = where.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("lat", F.explode(F.sequence(F.lit(-5), F.lit(30)).cast("array<double>"))).withColumn("lon", F.explode(F.sequence(F.lit(90), F.lit(125)).cast("array<double>")))
-    r2 = F.pow(F.col("lat") - 8.1 - F.col("step") * 0.5 - F.col("s_suppkey"), 2) + F.pow(F.col("lon") - 100.1 - F.col("step"), 2)
+    r2 = F.pow(F.col("lat") - 8.1 - F.col("step") * 0.5 - F.col("s_suppkey") % 11, 2) + F.pow(F.col("lon") - 100.1 - F.col("step"), 2)
     fields = cells.select("s_suppkey", "step", "lat", "lon", (101000 - 3000 * F.exp(-r2 / 4)).alias("psl"), (4000 + 30 * F.exp(-r2 / 9)).alias("thickness"), (5 + 30 * F.exp(-r2 / 16)).alias("wind"))
-    nodes = detect.detect_nodes(fields.where("s_suppkey = 1"), ["step"]).withColumn("node", F.col("step").cast("long"))
-    return detect.stitch_nodes(nodes).select("track", "pt", "step", "lat", "lon", "psl", "wind")
+    nodes = detect.detect_nodes(fields, ["s_suppkey", "step"])
+    place = F.row_number().over(Window.partitionBy("s_suppkey", "step").orderBy("lat", "lon"))  # 36 x 36 at most
+    nodes = nodes.withColumn("node", (F.col("s_suppkey").cast("long") * 12 + F.col("step")) * 2000 + place)
+    return detect.stitch_nodes(nodes, keys=("s_suppkey",)).select("s_suppkey", "track", "pt", "step", "lat", "lon", "psl", "wind")

@@ -35,3 +35,10 @@ def test_entry_works_without_the_corpus_part():
         shutil.copytree(root / "isobar", f"{folder}/isobar", ignore=shutil.ignore_patterns("llm", "__pycache__"))
         code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
         subprocess.run([sys.executable, "-c", code], cwd=folder, env={"PATH": "/usr/bin:/bin", "HOME": folder}, check=True)
+
+
+def test_every_supplier_has_its_storm(spark):
+    got = QUERIES["src6_7_detect_and_stitch"](spark, FOLDER).toPandas()
+    keys = {r["s_suppkey"] for r in spark.read.parquet(f"{FOLDER}/supplier.parquet").select("s_suppkey").collect()}
+    assert len(keys) > 1 and set(got["s_suppkey"]) == keys
+    assert (got.groupby("s_suppkey").size() == 12).all() and (got.groupby("track").size() == 12).all()
