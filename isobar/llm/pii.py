@@ -21,16 +21,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import LOWER, UPPER, whole
 
 Span = tuple[int, int]
 
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
 
@@ -149,15 +152,7 @@ def secret(text: str, at: int, done: int) -> Parsed:
 PARSERS: dict[str, Callable[[str, int, int], Parsed]] = {"email": email, "ip": ip, "card": card, "phone": phone, "url": url, "account": account, "secret": secret}
 
 
-@lru_cache(1)
-def anchors() -> ahocorasick.Automaton:
-    """Anchor to (its length, its kinds)."""
-    made: dict[str, str] = {"@": "email", "+": "phone", "://": "url", "AKIA": "account"}
-    for a in "0123456789":
-        for b in "0123456789":
-            made |= {f"{a}.{b}": "ip", f"{a}{b}": "card", f"{a} {b}": "card", f"{a}-{b}": "card"}
-    for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
-        made |= {form: kind for cue in cues for form in (cue, cue.capitalize(), cue.upper())}
+def _automaton(made: dict[str, str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for anchor, kind in made.items():
         automaton.add_word(anchor, (len(anchor), kind))
@@ -165,11 +160,29 @@ def anchors() -> ahocorasick.Automaton:
     return automaton
 
 
+@lru_cache(1)
+def anchors() -> ahocorasick.Automaton:
+    """Anchor to (its length, its kind)."""
+    made: dict[str, str] = {"@": "email", "+": "phone", "://": "url"}
+    for a in "0123456789":
+        for b in "0123456789":
+            made |= {f"{a}.{b}": "ip", f"{a}{b}": "card", f"{a} {b}": "card", f"{a}-{b}": "card"}
+    return _automaton(made)
+
+
+@lru_cache(1)
+def cues() -> ahocorasick.Automaton:
+    """Anchors of accounts and secrets, to be met in text whose A to Z are in lower
+    case; the parsers look at the text itself."""
+    return _automaton(dict.fromkeys((*ACCOUNT_CUES, "akia"), "account") | dict.fromkeys(SECRET_CUES, "secret"))
+
+
 def find(text: str) -> dict[str, list[Span]]:
     """The spans of each kind, in order."""
     spans: dict[str, list[Span]] = {kind: [] for kind in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (length, kind) in anchors().iter(text):
+    lowered = text.lower() if text.isascii() else text.encode().translate(_LOWER).decode()  # of the same length
+    for last, (length, kind) in chain(anchors().iter(text), cues().iter(lowered)):  # no kind is in both
         start = last - length + 1
         if start >= done[kind]:
             done[kind], found = PARSERS[kind](text, start, done[kind])

@@ -66,3 +66,14 @@ def test_further_kinds():
         "secret": ["b7db7aa4a5fc"],
     }
     assert iban("DE89 3704 0044 0532 0130 00") and not iban("DE88 3704 0044 0532 0130 00")
+
+
+@pytest.mark.parametrize("lead", ["", "İK é "])
+def test_cues_in_any_case(lead):
+    for cue in ("Customer ID ", "customer Id ", "PassPort "):
+        at = len(lead + cue)
+        assert find(f"{lead}{cue}12345678")["account"] == [(at, at + 8)]
+    for cue in ("API key: ", "Api Key: ", "ApiKey=", "API_Key = "):
+        at = len(lead + cue)
+        assert find(f"{lead}{cue}abcd1234efgh")["secret"] == [(at, at + 12)]
+    assert find(lead + "akia" + "A1" * 8)["account"] == [] and len(find(lead + "AKIA" + "A1" * 8)["account"]) == 1
