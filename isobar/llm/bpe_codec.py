@@ -1,14 +1,16 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
 The documents are only mapped over: each batch's distinct pre-tokens that no
-earlier batch has met go into a trie, and a depth-first walk gives each node the
-last token of its prefix's encoding.  A prefix's encoding is its last token put
-behind the encoding of what stands before that token, so what words share at
-their start is encoded once.  The memory of a worker is bounded: a table makes way
-for a new one at ``CACHE`` entries.
+earlier batch has met, sorted, are the leaves of a trie in depth-first order.  The
+walk keeps the nodes on the path to the present leaf, and each node has the last
+token of its prefix's encoding.  A prefix's encoding is its last token put behind
+the encoding of what stands before that token, so what words share at their start
+is encoded once.  The memory of a worker is bounded, in bytes of its tables.
 
 A last token is right if it stands at the prefix's end, its own parts merge back
-to it, and no merge would reach across the boundary to the token before it.
+to it, and no merge would reach across the boundary to the token before it.  The
+tokens that stand at a prefix's end come from an automaton over all tokens
+(Aho-Corasick), longest first.
 
 Cases: null and empty texts give no ids; repeated rows give equal rows; an empty
 table gives an empty result; columns besides doc_id and text are ignored.
@@ -18,10 +20,12 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,9 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-#: Entries of a generation of words, of prefixes' states and of token pairs.  A full
-#: generation becomes the old one, from which what is met again is taken over.
-CACHE = 150_000
+#: Bytes, about, of a generation of words, of the token pairs and of the automaton's
+#: further steps.  A full generation of words becomes the old one, from which what is
+#: met again is taken over; full pairs are begun anew, full steps take no more.
+WORDS, PAIRS, STEPS = 16 << 20, 12 << 20, 6 << 20
+#: Bytes of an entry of a dictionary of numbers, and what a word's entry has
+#: besides its text and ids.
+ENTRY, WORD_ENTRY = 110, 190
 #: Texts without these characters are split by PLAIN: they are in normal form C,
 #: lower() goes character by character, and letters and digits can be listed.
 OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u0180-\U0010ffff]")
@@ -47,133 +55,170 @@ NEVER = 1 << 60
 
 
 class TrieBpe:
-    """Encodes words whose last symbol bears the vocabulary's word end."""
+    """Encodes words whose last symbol bears the vocabulary's word end.
+
+    Tables are keyed by numbers (two tokens, or a state and a byte), and properties
+    of tokens and states stand in arrays, so that a worker's copy stays small.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = model["vocab"]
-        self.names = {i: name for name, i in self.ids.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        end = model["end_of_word_suffix"] or ""
+        ids: dict[str, int] = model["vocab"]
+        none = [0] * (max(ids.values(), default=-1) + 1)
+        self.rank: dict[int, int] = {}
+        # The rank of the merge that makes a token (-1: none) and the parts it joins.
+        self.made, self.left, self.right = array("i", [-1] * len(none)), array("i", none), array("i", none)
         for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            a, b = self.ids[left], self.ids[right]
-            self.rank[a, b] = rank
-            self.parts.setdefault(self.ids[left + right], (a, b, rank))
-        whole_ = {i for i in self.ids.values() if self._merges_back(i)}
-        self.inner = {s: i for s, i in self.ids.items() if i in whole_ and not s.endswith(self.end)}
-        self.final = {s[: -len(self.end)]: i for s, i in self.ids.items() if i in whole_ and s.endswith(self.end)} if self.end else self.inner
-        self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: dict[str, int] = {}  # of the tries so far: prefix to last token
-        self.old_states: dict[str, int] = {}
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The parts at one edge of a token, smallest first, each with the rank
-        of the merge that takes it up."""
-        up = [(token, NEVER)]
-        while token in self.parts:
-            *two, rank = self.parts[token]
-            token = two[side]
-            up.append((token, rank))
-        return up[::-1]
-
-    def _crossed(self, left: list, right: list) -> bool:
-        """Would a merge reach across the boundary between two tokens, before
-        those inside either?  Equal ranks go to the one further left."""
-        i = j = 0
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            a, b, token = ids[x], ids[y], ids[x + y]
+            self.rank[a << 32 | b] = rank
+            if self.made[token] < 0:
+                self.made[token], self.left[token], self.right[token] = rank, a, b
+        self.size = array("i", none)
+        inner, final = {}, {}
+        for name, token in ids.items():
+            spelt = name.removesuffix(end)
+            self.size[token] = len(spelt)
+            if (self.made[token] >= 0 or len(spelt) == 1) and self._merges_back(token):
+                (final if spelt != name else inner)[bytes(map(BACK.__getitem__, spelt))] = token
+        self._automaton(inner, final if end else inner)
+        self.pairs: dict[int, bool] = {}
+
+    def _automaton(self, inner: dict[bytes, int], final: dict[bytes, int]) -> None:
+        """States for the tokens' prefixes; a state's fallback is its longest proper
+        suffix that is one."""
+        step, depth = {}, [0]
+        for spelt in chain(inner, final):
+            state = 0
+            for b in spelt:
+                below = step.setdefault(state << 8 | b, len(depth))
+                if below == len(depth):
+                    depth.append(depth[state] + 1)
+                state = below
+        fallback = array("i", [0] * len(depth))
+        for _, key, below in sorted((depth[below], key, below) for key, below in step.items()):
+            back, b = fallback[key >> 8], key & 255
+            while back and back << 8 | b not in step:
+                back = fallback[back]
+            fallback[below] = step.get(back << 8 | b, 0) if key >> 8 else 0
+        self.step, self.fallback, self.most_steps = step, fallback, len(step) + STEPS // ENTRY
+        self.ends = []
+        for tokens in (inner, final):
+            at = array("i", [-1] * len(depth))
+            for spelt, token in tokens.items():
+                state = 0
+                for b in spelt:
+                    state = step[state << 8 | b]
+                at[state] = token
+            self.ends.append(at)
+        # Tokens that end a prefix in a state, longest first; filled when first asked for.
+        self.inner: list[tuple[int, ...] | None] = [None] * len(depth)
+        self.final: list[tuple[int, ...] | None] = [None] * len(depth)
+
+    def _stepped(self, state: int, b: int) -> int:
+        """A step that is not in the table."""
+        key = state << 8 | b
         while True:
-            (a, a_until), (b, b_until) = left[i], right[j]
-            rank = self.rank.get((a, b), NEVER)
-            if rank < NEVER and rank < a_until and rank <= b_until:
-                return True
-            if a_until == b_until == NEVER:
-                return False
-            if a_until <= b_until:
-                i += 1
+            below = self.step.get(state << 8 | b)
+            if below is not None or not state:
+                break
+            state = self.fallback[state]
+        below = below or 0
+        if len(self.step) < self.most_steps:
+            self.step[key] = below
+        return below
+
+    def _listed(self, which: int, state: int) -> tuple[int, ...]:
+        found, at = [], state
+        while at:
+            if self.ends[which][at] >= 0:
+                found.append(self.ends[which][at])
+            at = self.fallback[at]
+        (self.final if which else self.inner)[state] = made = tuple(found)
+        return made
+
+    def _crossed(self, a: int, b: int, until: int = NEVER) -> bool:
+        """Would a merge reach across the boundary between two tokens, before rank
+        ``until``?  The merges at the boundary are undone, latest first; equal ranks go
+        to the one further left."""
+        while self.rank.get(a << 32 | b, NEVER) >= until:
+            if self.made[a] > self.made[b]:
+                a, until = self.right[a], self.made[a]
+            elif self.made[b] >= 0:
+                b, until = self.left[b], self.made[b] + 1
             else:
-                j += 1
+                return False
+        return True
 
     def _merges_back(self, token: int) -> bool:
-        if token not in self.parts:
+        if self.made[token] < 0:
             return True
-        a, b, rank = self.parts[token]
-        # Up to its own merge nothing may cross; the merge itself is the one that does at the top.
-        left = self._spine(a, 1)[:-1] + [(a, rank)]
-        right = self._spine(b, 0)[:-1] + [(b, rank)]
-        i = j = 0
-        while (i, j) != (len(left) - 1, len(right) - 1):
-            (x, x_until), (y, y_until) = left[i], right[j]
-            r = self.rank.get((x, y), NEVER)
-            if r < NEVER and r < x_until and r <= y_until:
-                return False
-            if x_until <= y_until and i < len(left) - 1 or j == len(right) - 1:
-                i += 1
-            else:
-                j += 1
-        return self._merges_back(a) and self._merges_back(b)
-
-    def fits(self, before: int, token: int) -> bool:
-        pair = before, token
-        known = self.pairs.get(pair)
-        if known is None:
-            if len(self.pairs) > 2 * CACHE:
-                self.pairs.clear()
-            known = self.pairs[pair] = not self._crossed(self._spine(before, 1), self._spine(token, 0))
-        return known
+        a, b = self.left[token], self.right[token]
+        return not self._crossed(a, b, self.made[token]) and self._merges_back(a) and self._merges_back(b)
 
-    def last_token(self, word: str, n: int, states: list[int], names: dict[str, int]) -> int:
-        """The last token of word[:n]; states[k] is that of word[:k]."""
-        for start in range(max(0, n - self.longest), n):
-            token = names.get(word[start:n])
-            if token is not None and (not start or self.fits(states[start], token)):
-                return token
-        raise ValueError(f"no token ends {word[:n]!r}")
+    def _fits(self, pair: int) -> bool:
+        if len(self.pairs) > PAIRS // ENTRY:
+            self.pairs.clear()
+        known = self.pairs[pair] = not self._crossed(pair >> 32, pair & 0xFFFFFFFF)
+        return known
 
     def encode(self, distinct: list[str]) -> dict[str, list[int]]:
         """The ids of each distinct word."""
-        root: dict = {}
+        spelt = sorted(w.encode() for w in distinct)
+        return {w.decode(): ids for w, ids in zip(spelt, self.walk(spelt), strict=True)}
+
+    def walk(self, distinct: list[bytes]) -> list[list[int]]:
+        """The ids of each distinct word; the words (UTF-8, none empty) are sorted."""
+        step, inner, final, pairs, size = self.step, self.inner, self.final, self.pairs, self.size
+        states, last = [0], [-1]  # of the nodes on the path: state of the automaton, last token
+        out, before = [], b""
         for word in distinct:
-            node = root
-            for symbol in word[:-1]:
-                node = node.setdefault(symbol, {})
-            node.setdefault("", []).append(word)  # words that end one symbol below
-        out: dict[str, list[int]] = {}
-        if len(self.states) > CACHE:
-            self.old_states, self.states = self.states, {}
-        states, met, old = [-1], self.states, self.old_states
-        path: list[Iterator] = [iter(root.items())]
-        prefix = ""
-        while path:
-            symbol, below = next(path[-1], (None, None))
-            if symbol is None:
-                path.pop()
-                if path:
-                    states.pop()
-                    prefix = prefix[:-1]
-            elif symbol == "":
-                for word in below:
-                    ids, n = [self.last_token(word, len(word), states, self.final)], len(word)
-                    n -= self._length(ids[0], True)
-                    while n:
-                        ids.append(states[n])
-                        n -= self._length(states[n], False)
-                    out[word] = ids[::-1]
+            n = len(word)
+            shared, most = 0, min(n, len(before)) - 1
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            before = word
+            del states[shared + 1 :], last[shared + 1 :]
+            state = states[shared]
+            for at in range(shared + 1, n):
+                b = word[at - 1]
+                below = step.get(state << 8 | b)
+                state = self._stepped(state, b) if below is None else below
+                for token in inner[state] or self._listed(0, state):
+                    start = at - size[token]
+                    if not start:
+                        break
+                    pair = last[start] << 32 | token
+                    fits = pairs.get(pair)
+                    if self._fits(pair) if fits is None else fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:at]!r}")
+                states.append(state)
+                last.append(token)
+            b = word[-1]
+            below = step.get(state << 8 | b)
+            state = self._stepped(state, b) if below is None else below
+            for token in final[state] or self._listed(1, state):
+                start = n - size[token]
+                if not start:
+                    break
+                pair = last[start] << 32 | token
+                fits = pairs.get(pair)
+                if self._fits(pair) if fits is None else fits:
+                    break
             else:
-                prefix += symbol
-                token = met.get(prefix)
-                if token is None:
-                    token = old.get(prefix)
-                    token = met[prefix] = self.last_token(prefix, len(prefix), states, self.inner) if token is None else token
-                states.append(token)
-                path.append(iter(below.items()))
+                raise ValueError(f"no token ends {word!r}")
+            ids = [token]
+            while start:
+                ids.append(last[start])
+                start -= size[ids[-1]]
+            ids.reverse()
+            out.append(ids)
         return out
 
-    def _length(self, token: int, final: bool) -> int:
-        return len(self.names[token]) - (len(self.end) if final else 0)
-
 
 class Codec:
     """From texts to ids and decoded text, with a worker's tables."""
@@ -181,15 +226,22 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.bpe = TrieBpe(path)
-        rules = Tokenizer.from_file(path)
-        self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         with open(path, encoding="utf-8") as f:
-            self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+            read = json.load(f)
+        self.bpe = TrieBpe(path)
+        names = {i: name for name, i in read["model"]["vocab"].items()} | {x["id"]: x["content"] for x in read["added_tokens"]}
+        self.names = pa.array([names.get(i, "") for i in range(max(names, default=-1) + 1)], pa.string())
+        self.decimals = pa.array(map(str, range(len(self.names))), pa.string())
+        self.added = {x["content"]: x["id"] for x in read["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.names = {str(i): name for i, name in (self.bpe.names | {i: x for x, i in self.added.items()}).items()}
-        self.known = {x: str(i) for x, i in self.added.items()}  # ids of each word, joined by spaces
-        self.old: dict[str, str] = {}
+        # The library splits texts that PLAIN can't; it gets no vocabulary.
+        rules = Tokenizer.from_str(json.dumps(read | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.normal, self.split = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        self.known, self.old, self.bytes = self._first(), {}, 0
+
+    def _first(self) -> dict[str, bytes]:
+        """The ids (four bytes each) of the words known from the start."""
+        return {x: array("i", [i]).tobytes() for x, i in self.added.items()}
 
     def pieces(self, text: str) -> list[str]:
         """The words that merges stay within, normalized."""
@@ -203,26 +255,33 @@ class Codec:
                 out += [bytes(map(BACK.__getitem__, x)).decode() for x, _ in self.split(self.normal(part))]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Enter the words that are not known yet, by one trie."""
-        mapped = {"".join(map(BYTES.__getitem__, w.encode())): w for w in words}
-        for form, ids in self.bpe.encode(list(mapped)).items():
-            self.known[mapped[form]] = " ".join(map(str, ids))
+    def learn(self, words: list[str]) -> None:
+        """Enter words that are not known yet, by one trie."""
+        spelt = sorted(w.encode() for w in words)
+        for word, ids in zip(spelt, self.bpe.walk(spelt), strict=True):
+            self.known[word.decode()] = array("i", ids).tobytes()
+            self.bytes += WORD_ENTRY + len(word) + 4 * len(ids)
 
     def texts(self, texts: list[str]) -> list[pa.Array]:
         """Ids (decimal, joined by spaces) and decoded text of each text."""
         split = [self.pieces(text) for text in texts]
+        ends = pa.array([0, *accumulate(map(len, split))], pa.int32())
         coded = pa.array(chain.from_iterable(split), pa.string()).dictionary_encode()
-        met = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.old, self.known = self.known, {x: str(i) for x, i in self.added.items()}
+        del split
+        met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.bytes > WORDS:
+            self.old, self.known, self.bytes = self.known, self._first(), 0
         known, old = self.known, self.old
-        known.update([(w, old[w]) for w in met if w not in known and w in old])
-        self.learn({w for w in met if w not in known})
-        ends = pa.array([0, *accumulate(map(len, split))], pa.int32())
+        new = [w for w in met if w not in known]
+        for w in old.keys() & new:
+            known[w] = old[w]
+            self.bytes += WORD_ENTRY + len(w) + len(old[w])
+        self.learn([w for w in new if w not in known])
         ids = [known[w] for w in met]
-        names = [" ".join(map(self.names.__getitem__, x.split(" "))) for x in ids]
-        return [pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.string()).take(coded.indices)), " ") for x in (ids, names)]
+        flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+        starts = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32) // 4)
+        joined = (pc.binary_join(pa.ListArray.from_arrays(starts, x.take(flat)), " ") for x in (self.decimals, self.names))
+        return [pc.binary_join(pa.ListArray.from_arrays(ends, x.take(coded.indices)), " ") for x in joined]
 
 
 @lru_cache(2)
