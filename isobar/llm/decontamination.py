@@ -3,15 +3,20 @@
 An item's windows (13 words, or all of a shorter item) must lie in a document
 whole, so whichever of a window's shingles (five words, or all of a shorter
 window) is chosen, a document that holds the window holds it: at containment one
-the necessary prefix is a single token.  Shingles are ordered by rarity in the
-documents and the benchmark, and each window's rarest is its prefix.
+the necessary prefix is a single token.  A first pass counts the benchmark's
+shingles in the documents, in sums that are pre-aggregated; ordered by these
+counts, each window's rarest shingle is its prefix, and a window with a shingle
+that no document holds needs none.
 
-The documents' shingles meet the benchmark's in a join whose small side is
-measured before it is broadcast; what stays is a few rows, whose counts give the
-rarity.  The rows at a window's prefix are its candidates; those that would begin
-before the first word or end after the last are dropped (positional and length
-bounds), and the hash of each candidate's own words is compared with the
-window's (128 bits: exact in effect).
+A second pass joins the documents' shingles, as hashes with their places, to the
+prefixes alone.  A prefix says at which distances before it windows of which
+lengths begin, so each hit gives a few starts; those that lie before the first
+word or whose window would end after the last are dropped (positional and length
+bounds).  The documents left, and only these, are split once more, and the hash of
+each start's own words meets the windows' (128 bits: exact in effect).
+
+The small side of a join is measured before it is broadcast; beyond that the same
+joins shuffle hashes and places, never words.
 
 Cases: null and empty texts have no words and no hits; null or empty items have no
 window; equal items each count; equal windows of one or several items are one
@@ -22,7 +27,9 @@ same counts; empty tables give no rows, or documents without hits; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, LOWER, UPPER, Written, if_small, whole
@@ -33,36 +40,21 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lower_words(text: Column) -> Column:
-    """Words with A to Z in lower case.  lower() is exact and fast for words of
-    ASCII characters; others are translated letter by letter."""
-    split = F.array_remove(F.split(text, BETWEEN, -1), "")
-    one = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-    return F.transform(split, one)
+    """Words with A to Z in lower case.  lower() is exact and fast for ASCII texts;
+    others are translated letter by letter."""
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
 def _hash(words: Column, at: Column, n: int) -> Column:
     """Of the n words from position at (0-based); n goes in, so lengths differ."""
-    return F.xxhash64(F.lit(n), *[F.try_element_at(words, at + (k + 1)) for k in range(n)])
+    return F.xxhash64(F.lit(n), *[F.get(words, at + k) for k in range(n)])
 
 
 def _starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
 
 
-def _runs(words: Column, n: int) -> Column:
-    """(p, h) of every run of n words; null if there are fewer."""
-    return F.transform(_starts(words, n), lambda p: F.struct(p.alias("p"), _hash(words, p, n).alias("h")))
-
-
-def _none() -> Column:
-    return F.array().cast("array<struct<p:int,h:bigint>>")
-
-
-def shingles(words: Column, lengths: list[int]) -> Column:
-    """(p, h) of every run of the given lengths."""
-    return F.concat(_none(), *[F.coalesce(_runs(words, n), _none()) for n in lengths])
-
-
 def _same(words: Column, at: Column, n: Column) -> Column:
     """128 bits of n words from position at."""
     return F.unhex(F.md5(F.array_join(F.slice(words, at + 1, n), " ")))
@@ -76,6 +68,16 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return placed.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("n"))))
 
 
+def _shingles(split: DataFrame, lengths: list[int]) -> DataFrame:
+    """Further columns, n_words, p and h of every run of the given lengths of words."""
+    rest = [c for c in split.columns if c != "words"]
+    one = [
+        split.select(*rest, "words", F.size("words").alias("n_words"), F.explode(_starts(F.col("words"), n)).alias("p")).select(*rest, "n_words", "p", _hash(F.col("words"), F.col("p"), n).alias("h"))
+        for n in lengths
+    ]
+    return reduce(DataFrame.union, one)
+
+
 def _key() -> list[Column]:
     """A document row: its id and its text's hash, as ids may repeat."""
     return [F.col("doc_id"), F.xxhash64("text").alias("_text")]
@@ -89,31 +91,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
     """decontaminate(), with the rest of each document's key."""
-    lengths = [r["k"] for r in windows(items, window).select("k").distinct().collect()]  # five values at most
-    # Each window once: its identity, length, and the shingles of its words with their places.
+    # Each window once: its identity and length, and the hashes of its shingles.
     own = windows(items, window).withColumn("same", _same(F.col("words"), F.col("start"), F.col("n")))
     words_ = F.slice("words", F.col("start") + 1, F.col("n"))
-    each = Written(own.groupBy("same", "n", "k").agg(F.first(words_).alias("w"), F.collect_set(F.struct("item_id")).alias("items")), "windows").df
-    own_shingles = F.coalesce(_none() if not lengths else F.lit(None), *[F.when(F.col("k") == n, _runs(F.col("w"), n)) for n in lengths])
-    inside = each.select("same", "n", "k", F.explode(own_shingles).alias("s")).select("same", "n", F.col("s.p").alias("at"), F.col("s.h").alias("h"))
-    tokens = inside.select("h").distinct()
+    each = Written(own.groupBy("same", "n", "k").agg(F.first(words_).alias("words"), F.collect_set(F.struct("item_id")).alias("items")), "windows").df
+    lengths = [r["k"] for r in each.select("k").distinct().collect()] or [SHINGLE]  # five values at most
+    inside = reduce(DataFrame.union, [_shingles(each.where(F.col("k") == n).select("same", "n", "words"), [n]) for n in lengths])
+    inside = inside.select("same", "n", F.col("p").alias("at"), "h")
 
     split = docs.select("doc_id", whole().alias("text")).select(*_key(), lower_words(F.col("text")).alias("words"))
-    shingled = split.select("doc_id", "_text", "words", shingles(F.col("words"), lengths).alias("s"))
-    dealt = shingled.select("doc_id", "_text", "words", F.explode_outer("s").alias("s")).select("doc_id", "_text", "words", F.col("s.p").alias("p"), F.col("s.h").alias("h"))
-    around = F.slice("words", F.greatest(F.col("p") - (window - 1), F.lit(0)) + 1, F.lit(2 * window))
+    tokens = inside.select("h").distinct()
     few = tokens.count() <= BROADCAST_ROWS
-    met = dealt.join(F.broadcast(tokens) if few else tokens, "h", "left_semi")
-    met = Written(met.select("doc_id", "_text", "h", "p", F.size("words").alias("n_words"), around.alias("near")), "met").df
-
-    rarity = met.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    seldom = Window.partitionBy("same").orderBy("df", "h", "at")  # a window's shingles: nine at most
-    prefix = inside.join(rarity, "h").withColumn("r", F.row_number().over(seldom)).where("r = 1").select("same", "n", "at", "h")
+    held = _shingles(split.select("words"), lengths).select("h")
+    rarity = Written(held.join(F.broadcast(tokens) if few else tokens, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df")), "rarity").df
+
+    # A window's shingles, nine at most: one that no document holds rules the window out.
+    ordered = F.array_sort(F.collect_list(F.struct("df", "h", "at")))[0]
+    rarest = inside.join(rarity, "h", "left").groupBy("same", "n").agg(ordered.alias("x"), F.count_if(F.col("df").isNull()).alias("absent"))
+    prefix = Written(rarest.where("absent = 0").select("x.h", "x.at", "n").distinct(), "prefixes").df
+    met = _shingles(split, lengths).join(if_small(prefix), "h")
     start = F.col("p") - F.col("at")
-    candidate = met.join(F.broadcast(prefix) if few else prefix, "h").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
-    base = F.greatest(F.col("p") - (window - 1), F.lit(0))
-    exact = _same(F.col("near"), start - base, F.col("n")) == F.col("same")
-    hits = Written(candidate.where(exact).select("doc_id", "_text", "same", start.alias("start"), "n").distinct(), "hits").df
+    starts = met.where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), start.alias("start"), "n")
+    starts = Written(starts.groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", "n")).alias("starts")), "starts").df
+
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    some = docs.select("doc_id", whole().alias("text")).select(*_key(), "text").join(if_small(starts), same_row)
+    some = some.select("doc_id", "_text", lower_words(F.col("text")).alias("words"), F.explode("starts").alias("x"))
+    placed = some.select("doc_id", "_text", _same(F.col("words"), F.col("x.start"), F.col("x.n")).alias("same"), "x.start", "x.n")
+    known = each.select("same", "n")
+    hits = Written(placed.join(F.broadcast(known) if few else known, ["same", "n"], "left_semi").distinct(), "hits").df
 
     spans = hits.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
     # Words covered: each span counts from where those before it ended.
@@ -125,7 +131,6 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataF
     named = hits.select("doc_id", "_text", "same").distinct().join(F.broadcast(of) if few else of, "same")
     names = F.sort_array(F.collect_set(F.struct(F.col("item").cast("string").alias("item"))))["item"]  # sets drop bare nulls
     named = named.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(names.alias("items"))
-    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
     found = spans.select("doc_id", "_text", covered.cast("long").alias("hit")).join(named, same_row, "left").drop("_id", "_hash")
 
     count = F.size(F.array_remove(F.split("text", BETWEEN, -1), "")).cast("long")

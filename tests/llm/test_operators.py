@@ -280,6 +280,29 @@ def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch, limit):
     same(decontamination.keep_clean(docs, bench).collect(), [(None, clean), (2, clean), (3, None), (None, None)])
 
 
+def test_decontamination_moves_no_words_of_long_texts(spark, monkeypatch):
+    """Beyond the broadcast size shuffles grow with the text, not with its square."""
+    import random
+
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr("isobar.llm.common.BROADCAST_ROWS", 1)
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    items = spark.createDataFrame([(k, some(60)) for k in range(200)], "item_id long, text string")
+    first = items.first()["text"]
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+
+    def written(words):
+        docs = spark.createDataFrame([(k, f"{some(words)} {first}") for k in range(4)], "doc_id long, text string").repartition(4)
+        before = tracker.executorSummary("driver").totalShuffleWrite()
+        got = decontamination.decontaminate(docs, items).select("doc_id", "n_hit").collect()
+        assert all(r["n_hit"] >= 60 for r in got)
+        return tracker.executorSummary("driver").totalShuffleWrite() - before
+
+    small, large = written(3000), written(12_000)
+    assert large < 6 * small
+
+
 # 7
 
 
