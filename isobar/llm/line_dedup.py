@@ -1,18 +1,19 @@
 """Line dedup by overlapping three-line windows.
 
-A line ends at a line feed, full stop, comma or question mark: passages are moved
-between documents inside longer lines, where line feeds alone would not show their
-edges.  Lines are hashed, three consecutive ones are a window, and windows found
-more than once anywhere are repeated.  The first occurrence, by document id and
-position, stays.  The positions that later occurrences cover are merged into runs,
-and runs of ``RUN`` characters on go, but for lines that some window's first
-occurrence covers; shorter runs, such as single common sentences, are left alone.
-This is the rule of the query's SQL.  With ``every``, all positions that later
-occurrences cover go: each line of them still stands where it came first.
-
-Windows are told apart by 64 bits.  Two that only agree in these make a run of
-three lines, too short to go but with ``every``.  Counts and minima are pre-aggregated; a hot window's
-occurrences meet one row in a join that Spark splits where it is skewed.
+Lines are hashed, three consecutive ones are a window, and windows found more than
+once anywhere are repeated.  The first occurrence, by document id and position,
+stays; the positions that later occurrences cover are merged, and all of them go,
+however short.  Each line that goes still stands where its window came first.
+
+What ends a line is a parameter.  ``CLAUSES``, the default, are line feeds and
+punctuation that ends a sentence or clause, as repeated passages stand inside longer
+lines, at differing places, where line feeds alone don't show their edges;
+``FEEDS`` are line feeds alone.
+
+Windows and texts are told apart by 64 bits.  Counts and minima are pre-aggregated;
+a hot window's occurrences meet one row in a join that Spark splits where it is
+skewed.  The plan is the same at every size: the positions of a document meet its
+row in a shuffled join, and nothing is broadcast.
 
 Cases: null texts stay null and empty ones empty; fewer than three lines have no
 window; rows of equal id and text count as one document; null ids come first; an
@@ -25,99 +26,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, if_small
+from .common import Written
 
-LINES, RUN = 3, 150
-#: A line with its end; every character of a text is in one.
-LINE = r"[^.,?\n]+[.,?\n]*|[.,?\n]+"
-#: Positions (four bytes) that may be broadcast; beyond, the texts are moved.
-FEW_POSITIONS = 10_000_000
+LINES = 3
+#: What ends a line.
+FEEDS, CLAUSES = "\n", ".,;:!?\n、。！，：；？…"
 BLANK = " \t\n\r\x0b\x0c"
 
 
-def lines(text: Column) -> Column:
-    """The lines; joined, they are the text."""
-    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+def lines(text: Column, ends: str = CLAUSES) -> Column:
+    """The lines, each with what ends it; joined, they are the text."""
+    return F.regexp_extract_all(text, F.lit(f"[^{ends}]+[{ends}]*|[{ends}]+"), F.lit(0))
 
 
-def _crc(text: Column) -> Column:
-    """Tells texts of one id apart."""
-    return F.hash(text)
+def _key(text: Column) -> Column:
+    """Tells texts of one id apart; null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc, crc, p, a: each window's document, first line and hash."""
-    hashed = F.transform(lines(F.col("text")), lambda x: F.xxhash64(F.btrim(x, F.lit(BLANK))))
-    split = docs.select(F.col("doc_id").alias("doc"), _crc(F.col("text")).alias("crc"), hashed.alias("l"))
-    window = lambda i: F.xxhash64(*[F.try_element_at("l", i + k) for k in range(LINES)])
-    starts = F.when(F.size("l") >= LINES, F.sequence(F.lit(1), F.size("l") - (LINES - 1)))
-    every = split.select("doc", "crc", F.transform(starts, window).alias("w"))
-    return every.select("doc", "crc", F.posexplode_outer("w").alias("p", "a")).where("a IS NOT NULL")
+def occurrences(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
+    """doc, key, p, a: each window's document, first line and hash."""
+    hashed = F.transform(lines(F.col("text"), ends), lambda x: F.xxhash64(F.btrim(x, F.lit(BLANK))))
+    split = docs.select(F.col("doc_id").alias("doc"), _key(F.col("text")).alias("key"), hashed.alias("l"))
+    starts = F.when(F.size("l") >= LINES, F.sequence(F.lit(0), F.size("l") - LINES))
+    placed = split.select("doc", "key", "l", F.explode(starts).alias("p"))
+    return placed.select("doc", "key", "p", F.xxhash64(*[F.get("l", F.col("p") + k) for k in range(LINES)]).alias("a"))
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """doc, crc, and the positions that later and first occurrences of repeated
-    windows cover, of documents with any later one."""
-    every = Written(occurrences(docs), "windows")
+def marks(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
+    """doc, key, cut: the positions that later occurrences of repeated windows cover."""
+    every = Written(occurrences(docs, ends), "windows")
     twice = Written(every.df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
     met = Written(every.df.join(twice.df, "a", "left_semi"), "met")
     every.drop()
     twice.drop()
-    place = F.struct("doc", "crc", "p")
+    place = F.struct("doc", "key", "p")
     # Written, so that both sides of the join are exchanges and Spark can split a hot window's rows.
     first = Written(met.df.groupBy("a").agg(F.min(place).alias("first")), "first")
-    told = met.df.join(first.df, "a").select("doc", "crc", "p", (place != F.col("first")).alias("later"))
-    by_doc = told.groupBy("doc", "crc").agg(F.collect_set(F.struct("p", "later")).alias("w"))
-    covered = lambda later: F.sort_array(F.array_distinct(
-        F.flatten(F.transform(F.filter("w", lambda x: x["later"] == later), lambda x: F.sequence(x["p"], x["p"] + (LINES - 1))))
-    ))
-    out = Written(by_doc.select("doc", "crc", covered(True).alias("later"), covered(False).alias("first")).where(F.size("later") > 0), "marks").df
+    later = met.df.join(first.df, "a").where(~place.eqNullSafe(F.col("first"))).select("doc", "key", F.explode(F.sequence("p", F.col("p") + (LINES - 1))).alias("p"))
+    out = Written(later.groupBy("doc", "key").agg(F.array_sort(F.collect_set("p")).alias("cut")), "marks").df
     met.drop()
     first.drop()
     return out
 
 
-def _with_cuts(docs: DataFrame, every: bool = False) -> DataFrame:
-    """docs with the columns __lines and __cut (null: nothing repeats)."""
-    mark = marks(docs).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("later").alias("__later"), F.col("first").alias("__first"))
-    same = docs["doc_id"].eqNullSafe(mark["__doc"]) & (_crc(docs["text"]) == mark["__crc"])
-    positions = mark.agg(F.sum(F.size("__later") + F.size("__first"))).first()[0] or 0
-    found = docs.join(if_small(mark, positions, FEW_POSITIONS), same, "left")
-    found = found.withColumn("__lines", F.when(F.col("__later").isNotNull(), lines(F.col("text"))))
-    if every:
-        return found.withColumn("__cut", F.col("__later")).drop("__doc", "__crc", "__later", "__first")
-    # Merged runs: they start where the position before is not covered, and end likewise.
-    beside = lambda p, at: F.coalesce(F.try_element_at("__later", at) == p, F.lit(False))
-    starts = F.filter("__later", lambda p, i: ~((i > 0) & beside(p - 1, F.greatest(i, F.lit(1)))))
-    ends = F.filter("__later", lambda p, i: ~beside(p + 1, i + 2))
-    runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    long = F.filter(runs, lambda r: F.length(F.array_join(F.slice("__lines", r["s"] + 1, r["e"] - r["s"] + 1), "")) >= RUN)
-    cut = F.array_except(F.flatten(F.transform(long, lambda r: F.sequence(r["s"], r["e"]))), F.col("__first"))
-    return found.withColumn("__cut", cut).drop("__doc", "__crc", "__later", "__first")
-
-
-def _kept() -> Column:
-    """The text without the cut lines."""
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    rest = F.array_join(F.transform(F.array_except(every, F.col("__cut")), lambda i: F.try_element_at("__lines", i + 1)), "")
-    return F.when(F.size("__cut") > 0, rest).otherwise(F.col("text"))
-
-
-def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
-    """The documents without the lines that repeat earlier ones (``every``: short runs
-    and those beside first occurrences too); every row stays."""
-    found = _with_cuts(docs, every).withColumn("__text", _kept())
-    new = {"text": F.col("__text")}
+def _with_cuts(docs: DataFrame, ends: str) -> DataFrame:
+    """row (a document as it is), cut (null: nothing repeats), text without the cut."""
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _key(F.col("text")).alias("hash"))
+    found = found.join(marks(docs, ends), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("key")), "left")
+    own = F.when(F.col("cut").isNotNull(), lines(F.col("row.text"), ends))
+    found = found.withColumn("own", own)
+    left = F.array_except(F.sequence(F.lit(0), F.size("own") - 1), F.col("cut"))
+    rest = F.array_join(F.transform(left, lambda i: F.get("own", i)), "")
+    return found.select("row", "cut", F.when(F.col("cut").isNotNull(), rest).otherwise(F.col("row.text")).alias("text"))
+
+
+def dedup_lines(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
+    """The documents without the lines that repeat earlier ones; every row stays."""
+    found = _with_cuts(docs, ends)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("__cut") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, lines and characters that went, and the digest of the text left."""
-    found = _with_cuts(docs.select("doc_id", "text")).withColumn("__text", _kept())
+def dedup_report(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
+    """doc_id, lines and characters that went, and the text left."""
+    found = _with_cuts(docs.select("doc_id", "text"), ends)
+    length = lambda text: F.length(F.coalesce(text, F.lit("")))
     return found.select(
-        "doc_id", F.when(F.size("__cut") > 0, F.size("__cut")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        (F.length(F.coalesce("text", F.lit(""))) - F.length(F.coalesce("__text", F.lit("")))).cast("long").alias("n_chars_removed"),
-        F.sha2(F.coalesce("__text", F.lit("")), 256).alias("text_sha256"),
+        "row.doc_id", F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
+        (length("row.text") - length("text")).cast("long").alias("n_chars_removed"), "text",
     )

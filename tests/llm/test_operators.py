@@ -371,42 +371,43 @@ def test_shards_are_equal_though_a_third_are_copies(spark):
 # 10
 
 
-UNIT = re.compile(r"[^.,?\n]+[.,?\n]*|[.,?\n]+")
+UNITS = {ends: re.compile(f"[^{ends}]+[{ends}]*|[{ends}]+") for ends in (line_dedup.CLAUSES, line_dedup.FEEDS)}
+UNIT = UNITS[line_dedup.CLAUSES]
 
 
-def deduplicated(rows):
+def deduplicated(rows, unit=UNIT):
     distinct = sorted({(i is not None, i, t or "") for i, t in rows}, key=lambda x: (x[0], x[1] or 0, x[2]))
     occ = defaultdict(list)
     for _, i, t in distinct:
-        u = UNIT.findall(t)
+        u = unit.findall(t)
         for k in range(len(u) - 2):
             occ[tuple(x.strip(" \t\n\r\x0b\x0c") for x in u[k : k + 3])].append((i, t, k))
-    later, first = defaultdict(set), defaultdict(set)
+    cut = defaultdict(set)
     for v in occ.values():
-        for n, (i, t, k) in enumerate(v):
-            if len(v) > 1:
-                (later if n else first)[i, t] |= {k, k + 1, k + 2}
+        for i, t, k in v[1:]:
+            cut[i, t] |= {k, k + 1, k + 2}
     for i, t in rows:
-        u, cover, run, cut = UNIT.findall(t or ""), later[i, t or ""], [], set()
-        for k in range(len(u) + 1):
-            if k in cover:
-                run.append(k)
-            else:
-                cut |= set(run) if sum(len(u[x]) for x in run) >= 150 else set()
-                run = []
-        cut -= first[i, t or ""]
-        yield i, t if t is None else "".join(x for k, x in enumerate(u) if k not in cut)
-
-
-def test_line_dedup(docs, texts):
+        yield i, t if t is None else "".join(x for k, x in enumerate(unit.findall(t)) if k not in cut[i, t])
+
+
+@pytest.mark.parametrize("ends", UNITS)
+def test_line_dedup(docs, texts, ends):
     plain = [x for x in texts if x[0] != 8]  # texts of one id are ordered by their hashes
-    got = line_dedup.dedup_lines(docs.where("doc_id IS NULL OR doc_id <> 8"))
+    got = line_dedup.dedup_lines(docs.where("doc_id IS NULL OR doc_id <> 8"), ends)
     assert got.columns == docs.columns
     rows = got.select("doc_id", "text", "n_chars").collect()
-    same([r[:2] for r in rows], list(deduplicated(plain)))
+    same([r[:2] for r in rows], list(deduplicated(plain, UNITS[ends])))
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a. b. c. d.", 1, 2, 3, 4, 5), (2, "a. b. c. e.", 6, 7, 8, 9, 10), (None, None, 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut int, __text int, row int, `a.b` int, key int")
+    got = line_dedup.dedup_lines(docs)
+    assert got.dtypes == docs.dtypes
+    same(got.collect(), [rows[0], (2, " e.", *rows[1][2:]), rows[2]])
+
+
 def test_a_window_stays_once(docs):
     """Whatever repeats is still there in one place."""
     rows = [r["text"] or "" for r in line_dedup.dedup_lines(docs).select("text").collect()]
@@ -420,7 +421,7 @@ def test_every_later_window_goes(spark):
     """Short ones, and those beside a first occurrence."""
     p = "p one, p two, p three,"
     rows = [(1, f"a1, {p} a2,"), (2, f"x1, x2, {p} y1, y2,"), (3, f"x1, x2, {p} y1, y2,"), (4, "home. news. help."), (5, "home. news. help.")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     same(got, [rows[0], (2, "x1, x2, y1, y2,"), (3, ""), rows[3], (5, "")])
 
 
