@@ -3,17 +3,19 @@
 Documents are points of a few metadata dimensions, weighted by their bytes.  From
 the whole table on, each node is split at the weighted median of its widest
 dimension until its bytes reach the target; leaves are shards of nearly equal
-size.  A level's nodes are split together: sums by bucket, pre-aggregated, bracket
+size.  A node of an odd number of shards is split at the quantile that gives each
+side its shards' bytes.  A level's nodes are split together: sums by bucket, pre-aggregated, bracket
 each median ever more closely (a fixed number of buckets a node comes to the
 driver, whatever the input).
 
-Points with equal coordinates are told apart by the hash of their text, and
-those of equal texts by their ids: equal texts stay in one shard unless a median
-falls among them, as it must where one text has more bytes than a shard.
+Points with equal coordinates are told apart by the hash of their text, those of
+equal texts by their ids, and those of equal ids by a number of their row, which is
+drawn once and written: equal texts stay in one shard unless a median falls among
+them, as it must where one text's rows have more bytes than a shard.
 
 Cases: null texts have no bytes (size one) and the checksum of nothing; null
-metadata counts as zero or empty; rows of equal ids and texts are placed alike or
-next to each other; an empty table gives an empty result; columns other than
+metadata counts as zero or empty; rows of equal ids and texts, or of null ids, are
+split like others; of fewer rows than shards some shards are empty; an empty table gives an empty result; columns other than
 doc_id, text and lang are ignored.
 """
 
@@ -50,7 +52,8 @@ def points(docs: DataFrame) -> DataFrame:
     unit = [F.log1p(size) / 24, (size / F.greatest(F.length(text), F.lit(1)) - 1) / 3, F.pmod(F.hash(F.coalesce("lang", F.lit(""))), F.lit(1 << 20)) / F.lit(1 << 20)]
     low = F.xxhash64(text).bitwiseAND(F.lit((1 << 40) - 1))
     key = lambda u: F.shiftleft(F.least(F.greatest(F.floor(u * ((1 << 22) - 1)), F.lit(0)), F.lit((1 << 22) - 1)).cast("long"), 40).bitwiseOR(low)
-    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).bitwiseAND(F.lit(TOP))
+    own = F.shiftleft(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 40) - 1)), 22)
+    own = own.bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 22) - 1)))
     return docs.select(
         "doc_id", (size + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         *[key(u).alias(f"k_{d}") for d, u in zip(DIMENSIONS, unit, strict=True)], own.alias("k_id"),
@@ -81,9 +84,9 @@ def _nest(points_: DataFrame, cuts: list[Cut]) -> DataFrame:
     return out
 
 
-def _bracket(nested: DataFrame, key: dict[int, str], low: dict[int, int], high: dict[int, int], below: dict[int, int], half: dict[int, int], total: dict[int, int], where: Column | None) -> None:
+def _bracket(nested: DataFrame, key: dict[int, str], low: dict[int, int], high: dict[int, int], below: dict[int, int], goal: dict[int, int], total: dict[int, int], where: Column | None) -> None:
     """Narrow low..high (keys, inclusive) of each node until the bytes up to high
-    are half the node's, within the tolerance, or one key is left.  below: bytes
+    are the node's goal, within the tolerance, or one key is left.  below: bytes
     before low."""
     active = set(key)
     for _ in range(ROUNDS):
@@ -104,10 +107,10 @@ def _bracket(nested: DataFrame, key: dict[int, str], low: dict[int, int], high:
         for n in list(active):
             run, start, width = below[n], low[n], step[n]
             for b, size in sorted(found[n]):
-                if run + size >= half[n]:
+                if run + size >= goal[n]:
                     low[n], high[n], below[n] = start + b * width, min(start + (b + 1) * width - 1, high[n]), run
                     if size <= TOLERANCE * total[n]:  # near enough: cut at the nearer end
-                        if half[n] - run < run + size - half[n]:
+                        if goal[n] - run < run + size - goal[n]:
                             high[n] = low[n] - 1
                         low[n] = high[n]
                         active.discard(n)
@@ -118,37 +121,35 @@ def _bracket(nested: DataFrame, key: dict[int, str], low: dict[int, int], high:
                 active.discard(n)
 
 
-def tree(points_: DataFrame, target: int, shards: int) -> list[Cut]:
-    """Cuts until every leaf has at most ``target`` bytes, about, or there are
-    ``shards`` leaves."""
+def tree(points_: DataFrame, shards: int) -> list[Cut]:
+    """Cuts until every leaf is one shard's share of the bytes, about."""
     cuts: list[Cut] = []
-    leaves = {1}
-    while len(leaves) < shards:
+    share = {1: shards}  # the leaves, and how many shards each is still to give
+    while any(k > 1 for k in share.values()):
         nested = _nest(points_, cuts)
         spread = [F.stddev_pop(F.shiftright(f"k_{d}", 40) / F.lit(1 << 22)).alias(d) for d in DIMENSIONS]
-        rows = nested.where(F.col("node").isin(leaves)).groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect()  # a row a node
-        large = sorted((r for r in rows if r["bytes"] > 1.02 * target), key=lambda r: -r["bytes"])[: shards - len(leaves)]
-        if not large:
-            break
+        large = nested.where(F.col("node").isin([n for n, k in share.items() if k > 1])).groupBy("node").agg(F.sum("size").alias("total"), *spread).collect()  # a row a node
+        share |= dict.fromkeys(share.keys() - {r["node"] for r in large}, 1)  # no rows, or done
         # The widest dimension; the first of equals.
         widest = {r["node"]: max(DIMENSIONS, key=lambda d: r[d] or 0.0) for r in large}
-        total = {r["node"]: r["bytes"] for r in large}
-        half = {n: (b + 1) // 2 for n, b in total.items()}
+        total = {r["node"]: r["total"] for r in large}
+        goal = {n: round(b * (share[n] // 2) / share[n]) for n, b in total.items()}
         key = {n: f"k_{d}" for n, d in widest.items()}
-        low, high, below = dict.fromkeys(total, 0), dict.fromkeys(total, (1 << 62) - 1), dict.fromkeys(total, 0)
-        _bracket(nested, key, low, high, below, half, total, None)
+        low, high, below = dict.fromkeys(total, 0), dict.fromkeys(total, TOP), dict.fromkeys(total, 0)
+        _bracket(nested, key, low, high, below, goal, total, None)
         # Where one key is left that holds more than its share, its rows are cut by id.
         at = {n: high[n] for n in total}
         tied = F.lit(False)
         for n in total:
             tied = tied | ((F.col("node") == n) & (F.col(key[n]) == at[n]))
         heavy = {r["node"]: r["bytes"] for r in nested.where(tied).groupBy("node").agg(F.sum("size").alias("bytes")).collect()}
-        heavy = {n: b for n, b in heavy.items() if b > TOLERANCE * total[n] and below[n] < half[n]}
+        heavy = {n: b for n, b in heavy.items() if b > TOLERANCE * total[n] and below[n] < goal[n]}
         id_low, id_high = dict.fromkeys(heavy, 0), dict.fromkeys(heavy, TOP)
-        _bracket(nested, dict.fromkeys(heavy, "k_id"), id_low, id_high, {n: below[n] for n in heavy}, half, total, tied)
+        _bracket(nested, dict.fromkeys(heavy, "k_id"), id_low, id_high, {n: below[n] for n in heavy}, goal, total, tied)
         for n in total:
             cuts.append(Cut(n, widest[n], at[n], id_high.get(n, TOP)))
-            leaves = leaves - {n} | {2 * n, 2 * n + 1}
+            k = share.pop(n)
+            share |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
     return cuts
 
 
@@ -180,7 +181,7 @@ def shard_table(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document,
     in shards of nearly equal bytes."""
     held = Written(points(docs), "points").df
-    all_ = held.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
-    cuts = tree(held, -(-(all_["bytes"] or 0) // shards), shards) if all_["n"] else []
-    placed = with_slots(assign(held, cuts), all_["n"])
+    rows = held.count()
+    cuts = tree(held, shards) if rows else []
+    placed = with_slots(assign(held, cuts), rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

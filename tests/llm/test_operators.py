@@ -368,6 +368,35 @@ def test_shards_are_equal_though_a_third_are_copies(spark):
     assert sharding.shard_table(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string")).count() == 1
 
 
+def test_shards_are_equal_though_copies_have_no_ids(spark):
+    """Rows of equal text and no id, or one id, that hold half of the bytes."""
+    rows = [(None if k % 3 else 7, "copy of one text " * 9, None) for k in range(400)] + [(k, f"{k} " + "w" * (k * 37 % 150), "en") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for shards in (8, 6, 5):
+        got = sharding.shard_table(docs, shards).toPandas()
+        by = got.groupby("shard")["size"].sum()
+        assert len(by) == shards and by.max() - by.min() < 0.02 * by.mean() + 2 * got["size"].max()
+        for _, slots in got.groupby("shard")["slot"]:
+            assert sorted(slots) == list(range(len(slots)))
+
+
+def test_first_cut_is_the_plain_weighted_median(spark):
+    """The first node against a median of all rows sorted along the widest dimension."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, "x" * int(rng.expovariate(0.01)) + str(k), rng.choice(["en", "de"])) for k in range(3000)]
+    points = sharding.points(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    cut = sharding.tree(spark.createDataFrame(points), 2)[0]
+    spread = {d: (points[f"k_{d}"].to_numpy() >> 40).std() for d in sharding.DIMENSIONS}
+    assert cut.dimension == max(spread, key=spread.get)
+    ordered = points.sort_values([f"k_{cut.dimension}", "k_id"])
+    median = ordered[f"k_{cut.dimension}"][(ordered["size"].cumsum() >= ordered["size"].sum() / 2).to_numpy()].iloc[0]
+    left = points[points[f"k_{cut.dimension}"] <= cut.at]["size"].sum()
+    plain = points[points[f"k_{cut.dimension}"] <= median]["size"].sum()
+    assert abs(left - plain) <= 2 * sharding.TOLERANCE * points["size"].sum() + points["size"].max()
+
+
 # 10
 
 
