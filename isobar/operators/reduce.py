@@ -72,14 +72,25 @@ def crms(cube: DataFrame, keys: list[str]) -> DataFrame:
     return climate(cube, keys).select(*keys, F.col("o_crms").alias("value"))
 
 
+def paired_moments(sim: DataFrame, obs: DataFrame, keys: list[Column | str], more: list[str] | None = None) -> DataFrame:
+    """Of each member, cell and further key: t rows, n values and their mean; nd
+    differences from the observation at the same step, their mean and squared
+    deviations.  ``more`` names columns that both sides have besides.  The one join of
+    the whole cube; sums are pre-aggregated after it."""
+    more = more or []
+    both = sim.join(obs.select(*more, "k", *CELL, F.col("value").alias("_o")), [*more, "k", *CELL], "left").withColumn("_d", F.col("value") - F.col("_o"))
+    return both.groupBy(*more, "realization", *CELL, *keys).agg(
+        F.count(F.lit(1)).alias("t"), F.count("value").alias("n"), F.avg("value").alias("mean"),
+        F.count("_d").alias("nd"), F.avg("_d").alias("md"), (F.var_pop("_d") * F.count("_d")).alias("m2"),
+    )
+
+
 def crmse(sim: DataFrame, obs: DataFrame) -> DataFrame:
     """Root of the squared differences of anomalies over length less one, by member
     and cell; each side is centred on its own times before times are matched."""
-    own = Window.partitionBy("realization", *CELL)
-    s = sim.withColumn("a", F.col("value") - F.avg("value").over(own)).withColumn("t", F.count(F.lit(1)).over(own))
-    o = obs.withColumn("b", F.col("value") - F.avg("value").over(Window.partitionBy(*CELL))).select("k", *CELL, "b")
-    d = F.col("a") - F.col("b")
-    return s.join(o, ["k", *CELL]).groupBy("realization", *CELL).agg(F.sqrt(F.sum(d * d) / F.nullif(F.max("t") - 1, F.lit(0))).alias("value"))
+    own = paired_moments(sim, obs, []).join(obs.groupBy(*CELL).agg(F.avg("value").alias("o_mean")), CELL)
+    off = F.col("md") - (F.col("mean") - F.col("o_mean"))
+    return own.where("nd > 0").select("realization", *CELL, F.sqrt((F.col("m2") + F.col("nd") * off * off) / F.nullif(F.col("t") - 1, F.lit(0))).alias("value"))
 
 
 def rk_score(sim: DataFrame, obs: DataFrame) -> DataFrame:
@@ -150,24 +161,31 @@ def weighted_rmse(pairs: DataFrame, keys: list[str], skip_zero: bool = False) ->
     return pairs.groupBy(*keys).agg(F.sqrt(F.sum(w * F.pow(F.col("x") - F.col("y"), 2)) / F.sum(w)).alias("value"))
 
 
-def fan_out(cube: DataFrame, month: Column) -> DataFrame:
+def fan_out(table: DataFrame, month: Column) -> DataFrame:
     """A row for each season and region a row counts in."""
-    return cube.withColumn("season", F.explode(seasons(month))).withColumn("region", F.explode(regions()))
+    return table.withColumn("season", F.explode(seasons(month))).withColumn("region", F.explode(regions()))
 
 
-def season_region_scores(sim: DataFrame, obs: DataFrame, month: Column) -> DataFrame:
-    """season, region, realization, metric, score: RK08 and Bias on time means, RMSE
-    on times, and their mean as Combined.  One scan serves all sections."""
-    part = ["season", "region"]
+def season_region_scores(sim: DataFrame, obs: DataFrame, month: Column, more: list[str] | None = None) -> DataFrame:
+    """(``more`` columns of both sides,) season, region, realization, metric, score: RK08 and Bias on time means, RMSE
+    on times, and their mean as Combined.  The cube is summed once by calendar month;
+    a season is a sum of its months, twelve rows at most."""
+    part = [*(more or []), "season", "region"]
     cell = [*part, *CELL]
-    s, o = fan_out(sim, month), fan_out(obs, month)
-    clim = climate(o, cell)
-    own = Window.partitionBy("realization", *cell)
-    left = s.withColumn("a", F.col("value") - F.avg("value").over(own)).withColumn("t", F.count(F.lit(1)).over(own))
-    right = o.withColumn("b", F.col("value") - F.avg("value").over(Window.partitionBy(*cell))).select("k", *cell, "b")
-    d = F.col("a") - F.col("b")
-    errors = left.join(right, ["k", *cell]).groupBy("realization", *cell).agg(F.sqrt(F.sum(d * d) / F.nullif(F.max("t") - 1, F.lit(0))).alias("crmse"))
-    means = s.groupBy("realization", *cell).agg(F.avg("value").alias("m")).join(clim, cell).join(errors, ["realization", *cell], "left")
+    s = fan_out(paired_moments(sim, obs, [month.alias("_month")], more), F.col("_month"))
+    s = s.groupBy("realization", *cell).agg(
+        F.sum("t").alias("t"), (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"), F.collect_list(F.when(F.col("nd") > 0, F.struct("nd", "md", "m2"))).alias("months")
+    )
+    o = obs.groupBy(*(more or []), *CELL, month.alias("_month")).agg(F.count(F.lit(1)).alias("t"), F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2"))
+    o = fan_out(o, F.col("_month")).groupBy(*cell).agg(
+        F.sum("t").alias("o_t"), F.sum("n").alias("o_n"), (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("o_mean"), F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "m2"))).alias("o_months")
+    )
+    around = lambda months, n, mean, centre: F.aggregate(months, F.lit(0.0), lambda a, x: a + x["m2"] + x[n] * (x[mean] - centre) * (x[mean] - centre))
+    o = o.withColumn("_sq", F.when(F.col("o_n") > 0, around("o_months", "n", "mean", F.col("o_mean"))))
+    o = o.withColumns({"o_std": F.sqrt(F.col("_sq") / F.nullif(F.col("o_n"), F.lit(0))), "o_crms": F.sqrt(F.col("_sq") / F.nullif(F.col("o_t") - 1, F.lit(0)))})
+    means = s.join(o, cell)
+    error = around("months", "nd", "md", F.col("m") - F.col("o_mean"))
+    means = means.withColumn("crmse", F.when(F.size("months") > 0, F.sqrt(error / F.nullif(F.col("t") - 1, F.lit(0)))))
     z = ratio(F.col("m") - F.col("o_mean"), "o_std")
     scored = means.withColumns({"rk": F.exp(-z * z), "bi": F.exp(-ratio(F.abs(F.col("m") - F.col("o_mean")), "o_crms")), "rm": F.exp(-ratio("crmse", "o_crms"))})
     wide = scored.groupBy("realization", *part).agg(
@@ -180,5 +198,5 @@ def season_region_scores(sim: DataFrame, obs: DataFrame, month: Column) -> DataF
 def against_reference(rows: DataFrame, keys: list[str], dataset: str, reference: str, values: list[str]) -> DataFrame:
     """Every dataset's values minus the reference's; the reference's own stay."""
     ref = rows.where(F.col(dataset) == reference).select(*keys, *[F.col(v).alias(f"_{v}") for v in values])
-    joined = rows.join(ref, keys, "left") if keys else rows.withColumn("_1", F.lit(1)).join(ref.withColumn("_1", F.lit(1)), "_1", "left")
+    joined = rows.join(ref, keys, "left") if keys else rows.join(F.broadcast(ref), how="left")  # the reference is one row
     return joined.select(dataset, *keys, *[F.when(F.col(dataset) == reference, F.col(v)).otherwise(F.col(v) - F.col(f"_{v}")).alias(v) for v in values])

@@ -26,7 +26,7 @@ def component():
 
 def taper(n: int = 96, share: float = 0.1) -> np.ndarray:
     """Split cosine bell: Hann weights of a tenth of the points at the ends."""
-    m = int(n * share) + (1 if n * share % 1 else 0)
+    m = round(n * share)
     bell = np.hanning(m)
     out = np.ones(n)
     head = m // 2 + 1

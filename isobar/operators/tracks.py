@@ -84,35 +84,58 @@ def six_hourly(points: DataFrame, time: str = "ts") -> DataFrame:
     return points.withColumns({c: F.when(on, F.col(c)) for c in ("lat", "lon", "wind", "pres")})
 
 
-def monthly(storms: DataFrame, years: float) -> DataFrame:
-    """dataset, month 1 to 12: count, tcd, ace a year, and mean lmi; none: zero."""
+def _years(years: float | dict[str, float]) -> Column:
+    """Model years, of all datasets or of each (a setting of a few entries)."""
+    if isinstance(years, dict):
+        return F.element_at(F.create_map(*[F.lit(x) for pair in years.items() for x in pair]), F.col("dataset"))
+    return F.lit(years)
+
+
+def _totals(storms: DataFrame) -> list[str]:
+    """What is summed over storms; pace where it has been worked out."""
+    return [c for c in ("tcd", "ace", "pace") if c in storms.columns]
+
+
+def monthly(storms: DataFrame, years: float | dict[str, float]) -> DataFrame:
+    """dataset, month 1 to 12: count, tcd, ace (and pace) a year, and mean lmi; none: zero."""
     every = storms.select("dataset").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    sums = storms.groupBy("dataset", "month").agg(
-        (F.count(F.lit(1)) / years).alias("count"), (F.sum("tcd") / years).alias("tcd"), (F.sum("ace") / years).alias("ace"), F.avg("lmi").alias("lmi")
-    )
-    return every.join(sums, ["dataset", "month"], "left").fillna(0.0, ["count", "tcd", "ace"])
+    of = _totals(storms)
+    sums = storms.groupBy("dataset", "month").agg((F.count(F.lit(1)) / _years(years)).alias("count"), *[(F.sum(c) / _years(years)).alias(c) for c in of], F.avg("lmi").alias("lmi"))
+    return every.join(sums, ["dataset", "month"], "left").fillna(0.0, ["count", *of])
 
 
-def yearly(storms: DataFrame, members: int = 1) -> DataFrame:
-    """dataset, year: count, tcd, ace a member, mean lmi, for the years seen between
-    the dataset's first and last."""
+def yearly(storms: DataFrame, members: float | dict[str, float] = 1) -> DataFrame:
+    """dataset, year: count, tcd, ace (and pace) a member, mean lmi, for the years seen
+    between the dataset's first and last."""
     ends = storms.groupBy("dataset").agg(F.min("year").alias("a"), F.max("year").alias("b"))
     every = ends.select("dataset", F.explode(F.sequence("a", "b")).alias("year"))
     sums = storms.groupBy("dataset", "year").agg(
-        (F.count(F.lit(1)) / members).alias("count"), (F.sum("tcd") / members).alias("tcd"), (F.sum("ace") / members).alias("ace"), F.avg("lmi").alias("lmi"),
+        (F.count(F.lit(1)) / _years(members)).alias("count"), *[(F.sum(c) / _years(members)).alias(c) for c in _totals(storms)], F.avg("lmi").alias("lmi"),
         F.avg(F.abs("gen_lat")).alias("latgen"),
     )
     return every.join(sums, ["dataset", "year"], "left")
 
 
-def climatology(storms: DataFrame, years: float) -> DataFrame:
+def climatology(storms: DataFrame, years: float | dict[str, float]) -> DataFrame:
     """Totals a year and means over storms, by dataset."""
+    of = _totals(storms)
     return storms.groupBy("dataset").agg(
-        (F.count(F.lit(1)) / years).alias("uclim_count"), (F.sum("tcd") / years).alias("uclim_tcd"), (F.sum("ace") / years).alias("uclim_ace"),
-        F.avg("tcd").alias("storm_tcd"), F.avg("ace").alias("storm_ace"), F.avg("lmi").alias("storm_lmi"), F.avg(F.abs("gen_lat")).alias("storm_latgen"),
+        (F.count(F.lit(1)) / _years(years)).alias("uclim_count"), *[(F.sum(c) / _years(years)).alias(f"uclim_{c}") for c in of],
+        *[F.avg(c).alias(f"storm_{c}") for c in of], F.avg("lmi").alias("storm_lmi"), F.avg(F.abs("gen_lat")).alias("storm_latgen"),
     )
 
 
+def yearly_means(storms: DataFrame) -> DataFrame:
+    """dataset, uclim_lmi: the mean of the years' mean latitudes of greatest intensity."""
+    return yearly(storms).groupBy("dataset").agg(F.avg("lmi").alias("uclim_lmi"))
+
+
+def model_years(settings: DataFrame, years: int | None = None) -> dict[str, float]:
+    """Members times years (asked for, or the dataset's own) of each dataset.  settings
+    has a row a dataset: name, members, years."""
+    return {r["name"]: float(r["members"] * (years or r["years"])) for r in settings.select("name", "members", "years").collect()}
+
+
 def cell(step: float) -> list[Column]:
     """Grid indices of a point; longitudes past the last column are in the first."""
     i = ((F.col("lat") + 90) / step).cast("int")
@@ -132,7 +155,7 @@ def full_grid(maps: DataFrame, step: float, value: str) -> DataFrame:
     """Every cell of the grid, zero where nothing is."""
     spark = maps.sparkSession
     grid = spark.range(int(180 / step) + 1).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(int(360 / step) - 1))).alias("j"))
-    every = maps.select("dataset").distinct().withColumn("_1", F.lit(1)).join(grid.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    every = maps.select("dataset").distinct().crossJoin(F.broadcast(grid))  # a grid of known size for each of a few datasets
     return every.join(maps.select("dataset", "i", "j", value), ["dataset", "i", "j"], "left").fillna(0, [value])
 
 
@@ -154,17 +177,17 @@ def genesis_over(points: DataFrame, cutoff: float) -> DataFrame:
     return points.where(F.col("wind") > cutoff).groupBy(*STORM).agg(F.min_by(F.struct("lat", "lon"), "pt").alias("g")).select(*STORM, "g.lat", "g.lon")
 
 
-def spatial_bundle(points: DataFrame, storms: DataFrame, pace: list[float], step: float, years: float) -> DataFrame:
+def spatial_bundle(points: DataFrame, storms: DataFrame, pace: list[float], step: float, years: float | dict[str, float]) -> DataFrame:
     """dataset, i, j: count, gen, tcd, ace, pace a year, minpres, maxwind."""
     x = F.lit(1010.0) - F.col("pres")
     wind = pace[0] * x * x + pace[1] * x + pace[2]
     on = points.select("dataset", *cell(step), "wind", "pres", wind.alias("pw"))
     maps = on.groupBy("dataset", "i", "j").agg(
-        (F.count(F.lit(1)) / years).alias("count"), (F.count("wind") * 0.25 / years).alias("tcd"), (F.sum(1e-4 * F.pow(KNOTS * F.col("wind"), 2)) / years).alias("ace"),
-        (F.sum(1e-4 * F.pow(KNOTS * F.col("pw"), 2)) / years).alias("pace"), F.min("pres").alias("minpres"), F.max("wind").alias("maxwind"),
+        (F.count(F.lit(1)) / _years(years)).alias("count"), (F.count("wind") * 0.25 / _years(years)).alias("tcd"), (F.sum(1e-4 * F.pow(KNOTS * F.col("wind"), 2)) / _years(years)).alias("ace"),
+        (F.sum(1e-4 * F.pow(KNOTS * F.col("pw"), 2)) / _years(years)).alias("pace"), F.min("pres").alias("minpres"), F.max("wind").alias("maxwind"),
     )
     gen = storms.select("dataset", F.col("gen_lat").alias("lat"), F.col("gen_lon").alias("lon")).select("dataset", *cell(step))
-    return maps.join(gen.groupBy("dataset", "i", "j").agg((F.count(F.lit(1)) / years).alias("gen")), ["dataset", "i", "j"], "left").fillna(0.0, ["gen"])
+    return maps.join(gen.groupBy("dataset", "i", "j").agg((F.count(F.lit(1)) / _years(years)).alias("gen")), ["dataset", "i", "j"], "left").fillna(0.0, ["gen"])
 
 
 def stitch(points: DataFrame, gap_seconds: int, key: str = "user_id", time: str = "ts", tie: str = "event_id") -> DataFrame:

@@ -41,13 +41,13 @@ def lanczos(size: int, low: float, high: float) -> list[float]:
 
 
 def convolve(series: DataFrame, keys: list[str], weights: list[float]) -> DataFrame:
-    """Centred convolution; outside the series values are zero.  Each row goes
-    to the steps that it bears on, and contributions are summed by step."""
+    """Centred convolution; outside the series values are zero.  One sort by step:
+    each step's neighbours are in its window's frame."""
     half = len(weights) // 2
     h = F.array(*[F.lit(x) for x in weights])
-    spread = series.select(*keys, F.col("k").alias("_k"), "value", F.posexplode(h).alias("_o", "_h"))
-    sums = spread.select(*keys, (F.col("_k") + F.col("_o") - half).alias("k"), (F.col("_h") * F.col("value")).alias("_v"))
-    return sums.groupBy(*keys, "k").agg(F.sum("_v").alias("filtered")).join(series, [*keys, "k"]).select(*keys, "k", "filtered")
+    near = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("k", "value"))).over(ordered(keys).rangeBetween(-half, half))
+    taps = F.aggregate("_near", F.lit(0.0), lambda a, x: a + x["value"] * F.get(h, F.col("k") - x["k"] + half))
+    return series.withColumn("_near", near).select(*keys, "k", F.when(F.size("_near") > 0, taps).alias("filtered"))
 
 
 def segments(series: DataFrame, size: int = 96, overlap: int = 60) -> DataFrame:
@@ -62,12 +62,21 @@ def segments(series: DataFrame, size: int = 96, overlap: int = 60) -> DataFrame:
     return rows.where(F.col("segment") * step + size - 1 <= F.lit(end))
 
 
+#: Steps of a stretch of a long series that one task takes.
+STRETCH = 4096
+
+
 def lead_lag(series: DataFrame, a: str, b: str, most: int = 30) -> DataFrame:
-    """lag, r: correlation of a at k with b at k + lag (lag below zero: b leads)."""
-    one = series.where(F.col("variable") == a).select("k", F.col("value").alias("x"))
-    two = series.where(F.col("variable") == b).select(F.col("k").alias("k2"), F.col("value").alias("y"))
-    pairs = one.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("k2", F.col("k") + F.col("lag")).join(two, "k2")
-    return pairs.groupBy("lag").agg(F.corr("x", "y").alias("r"))
+    """lag, r: correlation of a at k with b at k + lag (lag below zero: b leads).  The
+    series is cut into stretches that overlap by the lags; products are summed where
+    they arise."""
+    of = lambda name: F.max(F.when(F.col("variable") == name, F.col("value")))
+    both = series.where(F.col("variable").isin(a, b)).groupBy("k").agg(of(a).alias("x"), of(b).alias("y"))
+    stretch = lambda k: F.floor(k / F.lit(STRETCH))
+    cut = both.withColumn("s", F.explode(F.sequence(stretch(F.col("k") - most), stretch(F.col("k") + most))))
+    near = F.collect_list(F.when(F.col("y").isNotNull(), F.struct(F.col("k").alias("at"), "y"))).over(Window.partitionBy("s").orderBy("k").rangeBetween(-most, most))
+    pairs = cut.withColumn("near", near).where((F.col("s") == stretch(F.col("k"))) & F.col("x").isNotNull()).select("k", "x", F.explode("near").alias("n"))
+    return pairs.groupBy((F.col("n.at") - F.col("k")).cast("int").alias("lag")).agg(F.corr("x", "n.y").alias("r"))
 
 
 def lead_lag_summary(r: DataFrame) -> DataFrame:
@@ -117,7 +126,7 @@ def harmonics(series: DataFrame, keys: list[str], cycle: int, count: int = 3) ->
         sums += [(F.sum(F.col("c") * F.cos(angle(h))) * 2 / F.lit(cycle)).alias(f"a{h}"), (F.sum(F.col("c") * F.sin(angle(h))) * 2 / F.lit(cycle)).alias(f"b{h}")]
     fit = c.groupBy(*keys).agg(*sums) if keys else c.agg(*sums)
     placed = series.withColumn("d", F.pmod("k", F.lit(cycle)))
-    joined = placed.join(F.broadcast(fit), keys) if keys else placed.withColumn("_1", F.lit(1)).join(F.broadcast(fit.withColumn("_1", F.lit(1))), "_1").drop("_1")
+    joined = placed.join(fit, keys) if keys else placed.crossJoin(F.broadcast(fit))  # one row
     smooth = F.col("mean")
     for h in range(1, count + 1):
         smooth = smooth + F.col(f"a{h}") * F.cos(angle(h)) + F.col(f"b{h}") * F.sin(angle(h))
@@ -191,11 +200,16 @@ def dispersion(spark: SparkSession, waves: int = 50, depths: tuple[float, ...] =
     c = F.sqrt(g * F.col("depth"))
     beta = 2 * omega / radius
     kk = F.col("wavenumber") / radius
-    kelvin = F.when(kk >= 0, kk * c)
+    kelvin = kk * c
     rossby = F.when(kk < 0, -beta * kk / (kk * kk + 3 * beta / c))
-    ig = lambda n: F.sqrt((2 * n + 1) * beta * c + F.pow(kk * c, 2))
+
+    def ig(n: int) -> Column:
+        """The root of its own equation, from five passes after a first guess."""
+        fixed = (2 * n + 1) * beta * c + F.pow(kk * c, 2)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.sqrt(fixed), lambda w, _: F.sqrt(fixed + g * F.col("depth") * beta * kk / w))
+
     root = F.sqrt(F.pow(kk * c, 2) / 4 + beta * c)
-    mixed = F.when(kk < 0, kk * c / 2 + root)
+    mixed = F.when(kk <= 0, kk * c / 2 + root)
     east0 = F.when(kk >= 0, kk * c / 2 + root)
     day = 86400 / (2 * math.pi)
     named = {"kelvin": kelvin, "er": rossby, "ig1": ig(1), "ig2": ig(2), "mrg": mixed, "eig": east0}
@@ -203,6 +217,23 @@ def dispersion(spark: SparkSession, waves: int = 50, depths: tuple[float, ...] =
     return wide.unpivot(["wavenumber", "depth"], list(named), "wave", "frequency").where(F.col("frequency").isNotNull())
 
 
+#: Months of the seasons whose blocks are analysed; the first of a winter is in the year before.
+SEASONS = {"winter": (12, 1, 2, 3, 4), "summer": (6, 7, 8, 9, 10)}
+
+
+def season_blocks(axis: DataFrame, season: str, start: int, end: int, least: int = 90) -> DataFrame:
+    """The rows of a time axis (with time) in the blocks that begin from ``start`` on,
+    before ``end``, and have ``least`` rows; and the block's year."""
+    months = SEASONS[season]
+    block = F.year("time") - F.when(F.month("time") < months[0], 1).otherwise(0)
+    rows = axis.where(F.month("time").isin(*months)).withColumn("block", block).where((F.col("block") >= start) & (F.col("block") < end))
+    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("block"))).where(F.col("_n") >= least).drop("_n")
+
+
+def without_leap_days(rows: DataFrame, time: str = "time") -> DataFrame:
+    return rows.where(~((F.month(time) == 2) & (F.dayofmonth(time) == 29)))
+
+
 def climatology_anomaly(series: DataFrame, keys: list[str], group: Column) -> DataFrame:
     """Value less the mean of its key's calendar group."""
     w = Window.partitionBy(*keys, group)

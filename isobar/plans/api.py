@@ -10,60 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import weight, weighted_mean
-from ..operators import eof, reduce, regrid, spectrum, stats, tracks, validate
-from ..operators import windows as W
-from ..sources.files import parse_value, write_result
-from . import plots
-
-
-@dataclass
-class Configured:
-    """Settings from text values: numbers, fractions, tuples and booleans."""
-
-    @classmethod
-    def from_text(cls, values: dict[str, str]):
-        return cls(**{k: parse_value(v) for k, v in values.items()})
-
-
-@dataclass
-class ISOConfig(Configured):
-    lat: tuple[float, float] = (-30, 30)
-    window: int = 141
-    low: float = 1 / 90
-    high: float = 1 / 25
-    lag: int = 5
-    copies: int = 3
-    modes: int = 2
-    min_block: int = 90
-
-
-@dataclass
-class MJOConfig(Configured):
-    lat: tuple[float, float] = (-15, 15)
-    rolling: int = 120
-    harmonics: int = 3
-    modes: int = 2
-    segment: int = 96
-    overlap: int = 60
-    frequency: tuple[float, float] = (1 / 80, 1 / 30)
-    wavenumber: tuple[float, float] = (0, 4)
-    max_lag: int = 30
-
-
-@dataclass
-class TCConfig(Configured):
-    psl_delta: float = 200.0
-    psl_dist: float = 5.5
-    z_delta: float = -6.0
-    z_dist: float = 6.5
-    z_offset: float = 1.0
-    merge_dist: float = 6.0
-    reach: float = 8.0
-    min_length: int = 10
-    max_gap: int = 3
-    min_wind: float = 10.0
-    max_lat: float = 50.0
-    bin: float = 2.5
+from ..operators import reduce, regrid, stats, validate
+from ..sources.files import write_result
+from . import evaluations, plots
+from .config import ISOConfig, MJOConfig, TCConfig
 
 
 class SimulationData:
@@ -166,12 +116,9 @@ class ReplicabilityTest(_Registry):
         month = F.col("k") % 12 + 1
         samples = None
         for d, side in ((a, "ref"), (b, "test")):
-            variables = [r[0] for r in d.cube.select("variable").distinct().limit(1000).collect()]
-            for v in variables:  # the catalogue has two dozen
-                sim, obs = d.cube.where(F.col("variable") == v), self.obs.where(F.col("variable") == v)
-                s = reduce.season_region_scores(sim.select("realization", "k", "lat", "lon", "value"), obs.select("k", "lat", "lon", "value"), month)
-                s = s.select(F.lit(v).alias("variable"), "season", "region", "metric", F.lit(side).alias("side"), F.col("score").alias("value"))
-                samples = s if samples is None else samples.unionByName(s)
+            scores = reduce.season_region_scores(d.cube.select("variable", "realization", "k", "lat", "lon", "value"), self.obs.select("variable", "k", "lat", "lon", "value"), month, ["variable"])
+            scores = scores.select("variable", "season", "region", "metric", F.lit(side).alias("side"), F.col("score").alias("value"))
+            samples = scores if samples is None else samples.unionByName(scores)
         keys = ["variable", "season", "region", "metric"]
         self.results[" - ".join(names)] = stats.cohen_bootstrap(samples, keys, resamples), stats.rejections(stats.all_tests(samples, keys), keys[:3], self.alpha)
 
@@ -231,64 +178,18 @@ class ScientificEvaluation(_Registry):
             out = row if out is None else out.unionByName(row)
         return Evaluation({"scores": out})
 
-    def compute_iso_scores(self, name: str, config: ISOConfig | None = None) -> Evaluation:
-        """Band-passed field, extended EOFs, components, labels and monthly shares."""
-        c = config or ISOConfig()
-        cube = self._named([name])[0].cube.where(F.col("lat").between(*c.lat))
-        band = spectrum.bandpass(cube.select("lat", "lon", "k", "value"), ["lat", "lon"], W.lanczos(c.window, c.low, c.high))
-        long = band.select(F.col("k").alias("sample"), F.concat_ws("/", "lat", "lon").alias("feature"), "value")
-        tables = {}
-        amps = None
-        for season, months in (("winter", (12, 1, 2, 3, 4)), ("summer", (6, 7, 8, 9, 10))):
-            times = cube.where(F.month("time").isin(*months)).select(F.col("k").alias("sample")).distinct()
-            modes, loads = eof.fit(eof.delayed(long.join(times, "sample", "left_semi"), c.lag, c.copies), c.modes)
-            pcs = eof.standard(eof.project(eof.delayed(long, c.lag, c.copies), loads), modes)
-            n = "1" if season == "winter" else "2"
-            amp = eof.amplitude(pcs).withColumnRenamed("amplitude", f"raw{n}").join(eof.amplitude(pcs, "std").withColumnRenamed("amplitude", f"std{n}"), "sample")
-            amps = amp if amps is None else amps.join(amp, "sample")
-            tables |= {f"eeof_{season}": eof.scaled(loads, modes), f"modes_{season}": modes, f"pcs_{season}": pcs}
-        labelled = W.labels(amps).join(cube.select(F.col("k").alias("sample"), "time").distinct(), "sample")
-        return Evaluation(tables | {"labels": labelled, "freq": W.monthly_share(labelled, F.month("time"))})
+    def compute_iso_scores(self, name: str, config: ISOConfig | None = None, obs: DataFrame | None = None, years: tuple[int, int] | None = None, correct: bool = False) -> Evaluation:
+        """Extended modes of the intraseasonal oscillation, components, labels, monthly
+        shares and, with observations, their skill."""
+        return Evaluation(evaluations.iso(self._named([name])[0].cube, obs, config, years, correct))
 
     def compute_mjo_scores(self, name: str, obs: DataFrame, config: MJOConfig | None = None, cycle: int = 365) -> Evaluation:
-        """Combined EOFs of observation and simulation, components, lead-lag curves,
-        phases and spectra."""
-        c = config or MJOConfig()
-        sim = self._named([name])[0].cube
-        tables: dict[str, DataFrame] = {}
-        reference = None
-        for label, cube in (("obs", obs), ("sim", sim)):
-            field_ = cube.where(F.col("lat").between(*c.lat)).select("variable", "k", "lat", "lon", "value")
-            ready = spectrum.prefilter(field_, cycle, c.rolling)
-            long = ready.select(F.col("k").alias("sample"), F.concat_ws("/", "variable", "lon").alias("feature"), "value")
-            modes, loads = eof.fit(long, c.modes)
-            if reference is not None:
-                loads = eof.match_modes(loads, reference)
-                tables["ceof_corr"] = eof.loading_correlation(loads, reference).where("mode_a = mode_b")
-            reference = loads if reference is None else reference
-            pcs = eof.standard(eof.project(long, loads), modes)
-            series = pcs.select(F.concat(F.lit("pc"), F.col("mode") + 1).alias("variable"), F.col("sample").alias("k"), F.col("std").alias("value"))
-            pair = pcs.groupBy("sample").agg(F.max(F.when(F.col("mode") == 0, F.col("std"))).alias("pc1"), F.max(F.when(F.col("mode") == 1, F.col("std"))).alias("pc2"))
-            curve = W.lead_lag(series, "pc1", "pc2", c.max_lag)
-            power = spectrum.segment_power(spectrum.symmetric(field_, ["variable", "k"]), ["variable"], c.segment, c.overlap)
-            tables |= {
-                f"ceof_{label}": loads, f"modes_{label}": modes, f"pcs_{label}": pcs, f"lead_lag_{label}": curve, f"scores_{label}": W.lead_lag_summary(curve),
-                f"activity_per_phase_{label}": W.activity(pair.withColumnRenamed("sample", "k")), f"power_{label}": spectrum.normalised(power, ["variable"]),
-                f"ew_ratio_{label}": spectrum.east_west(power, ["variable"], c.frequency, c.wavenumber),
-            }
-        return Evaluation(tables)
+        """Combined modes, components, lead-lag curves, activity and spectra, with
+        scores and biases."""
+        return Evaluation(evaluations.mjo(self._named([name])[0].cube, obs, config, cycle))
 
     @staticmethod
-    def compute_tc_scores(points: DataFrame, control: str, years: float, config: TCConfig | None = None) -> Evaluation:
-        """Monthly, yearly, climatological and spatial metrics of tracks, and biases
-        against the control."""
-        c = config or TCConfig()
-        kept = tracks.by_wind(points, c.min_wind)
-        storms = tracks.storm_stats(kept)
-        clim = tracks.climatology(storms, years)
-        values = [x for x in clim.columns if x != "dataset"]
-        maps = tracks.spatial_bundle(kept, storms, tracks.quadratic(kept, control), c.bin, years)
-        return Evaluation({
-            "storms": storms, "monthly": tracks.monthly(storms, years), "yearly": tracks.yearly(storms), "climatology": clim,
-            "bias": reduce.against_reference(clim, [], "dataset", control, values), "maps": maps,
-        })
+    def compute_tc_scores(points: DataFrame, control: str, years: float | dict[str, float], config: TCConfig | None = None) -> Evaluation:
+        """Monthly, yearly, climatological and spatial metrics of tracks, biases and
+        correlations against the control."""
+        return Evaluation(evaluations.tc(points, control, years, config))

@@ -77,6 +77,36 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
+    """lineitem of a return flag as a dense field of days: k counts days from 1995 on,
+    value is the day's mean less the cell's, or nothing."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    k = F.expr("datediff(l_shipdate, date'1995-01-01')")
+    cells = li.select(k.alias("k"), ((F.col("l_suppkey") % 4) * 10 - 15).cast("double").alias("lat"), ((F.col("l_partkey") % 4) * 90).cast("double").alias("lon"), (F.col("l_extendedprice") / 7.0).alias("v"))
+    cells = cells.groupBy("k", "lat", "lon").agg(F.avg("v").alias("v"))
+    cells = cells.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("lat", "lon")))
+    every = spark.range(2500).select(F.col("id").cast("int").alias("k"), F.explode(F.array(*[F.lit(x) for x in (-15.0, -5.0, 5.0, 15.0)])).alias("lat")).withColumn("lon", F.explode(F.array(*[F.lit(x) for x in (0.0, 90.0, 180.0, 270.0)])))
+    time = F.expr("cast(timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(k) as timestamp_ntz)")
+    return every.join(cells, ["k", "lat", "lon"], "left").select("k", time.alias("time"), "lat", "lon", F.coalesce("v", F.lit(0.0)).alias("value"))
+
+
+def hourly_field(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+    """events of odd or even users as a dense field of hours on a ring of eight
+    longitudes and two latitudes; variables are event types, nothing is zero."""
+    e = table(spark, sf_dir, "events").where(F.col("user_id") % 2 == odd)
+    k = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("int")
+    lat = F.when(F.col("event_id") % 2 == 0, -5.0).otherwise(5.0)
+    cells = e.groupBy(F.col("event_type").alias("variable"), k.alias("k"), lat.alias("lat"), ((F.col("user_id") % 16 / 2).cast("int") * 45).cast("double").alias("lon")).agg(F.avg(F.col("value") / 7.0).alias("value"))
+    steps = spark.range(720).select(F.col("id").cast("int").alias("k"), F.explode(F.array(F.lit(-5.0), F.lit(5.0))).alias("lat")).withColumn("lon", F.explode(F.sequence(F.lit(0), F.lit(315), F.lit(45)).cast("array<double>")))
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("click", "purchase", "view")]))
+    return steps.withColumn("variable", kinds).join(cells, ["variable", "k", "lat", "lon"], "left").fillna(0.0, ["value"])
+
+
+def seasonal_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track_points() with months made of days, so that there is a seasonal cycle."""
+    return track_points(spark, sf_dir).withColumn("month", (F.dayofmonth("ts") % 12 + 1).cast("int"))
+
+
 CUBE = """cube AS (SELECT l_returnflag AS variable, l_linenumber AS realization, l_shipdate AS time, CAST((l_suppkey % 18) * 10 - 85 AS DOUBLE) AS lat,
  CAST((l_partkey % 36) * 10 AS DOUBLE) AS lon, l_extendedprice / 7.0 AS value, l_quantity AS quantity FROM lineitem)"""
 COARSE = """coarse AS (SELECT l_returnflag AS variable, l_linenumber AS realization, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS k,

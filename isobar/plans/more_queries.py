@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import eof, regrid, spectrum, validate
 from ..operators import windows as W
+from ..session import shared_folder
 from ..sources import files
 from ..streaming import events
 from . import bindings as B
@@ -19,9 +19,8 @@ from .queries import ORACLE_SQL, PCS, PHASE, QUERIES, _kernel_sql, _members, _pc
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the cluster's shared folder, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="isobar-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the cluster's shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 TARGET_SQL = "tgt AS (SELECT CAST(la AS DOUBLE) AS lat, CAST(lo AS DOUBLE) AS lon FROM (SELECT unnest(range(-60, 61, 20)) AS la), (SELECT unnest(range(0, 271, 45)) AS lo))"
@@ -85,10 +84,10 @@ def _embedded(spark, d, features: int):
     return long.where(F.col("feature") < features).withColumn("value", F.col("value").cast("double"))
 
 
-@query("eof4_gram", "WITH v AS (SELECT vec_id, unnest(range(0, 8)) AS f, embedding FROM embeddings), x AS (SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(embedding[f + 1] AS DOUBLE) AS v FROM v) SELECT a.f AS i, b.f AS j, round(sum(a.v * b.v), 6) AS value FROM x a JOIN x b USING (vec_id) GROUP BY ALL")
+@query("eof4_gram", "WITH v AS (SELECT vec_id, unnest(range(0, 64)) AS f, embedding FROM embeddings), x AS (SELECT vec_id, CAST(f AS INTEGER) AS f, CAST(embedding[f + 1] AS DOUBLE) AS v FROM v) SELECT a.f AS i, b.f AS j, round(sum(a.v * b.v), 6) AS value FROM x a JOIN x b USING (vec_id) GROUP BY ALL")
 def eof4_gram(spark, d):
-    long = _embedded(spark, d, 8)
-    return eof.gram(eof.vectors(long, eof.feature_table(long)), 8)
+    long = _embedded(spark, d, 64)
+    return eof.gram(eof.vectors(long, eof.feature_table(long)), 64)
 
 
 @query("eof4_fit", digits=5)
@@ -104,8 +103,8 @@ def eof5(spark, d):
 
 @query("eof3_delayed_fit", digits=5)
 def eof3(spark, d):
-    h = B.hourly(spark, d).select(F.col("k").alias("sample"), F.col("variable").alias("feature"), "value")
-    return eof.fit(eof.delayed(h), 2)[0]
+    f = B.daily(spark, d, "A").select(F.col("k").alias("sample"), F.concat_ws("/", "lat", "lon").alias("feature"), (F.col("value") * F.sqrt(E.weight())).alias("value"))
+    return eof.fit(eof.delayed(f), 2)[0]
 
 
 @query("eof9_10_matched_modes", digits=4)
@@ -169,9 +168,13 @@ def agg27(spark, d):
     return p.withColumn("_1", F.lit(1)).join(ref, "_1").select("variable", E.ratio("power", "o").alias("ratio"))
 
 
-@query("spe8_dispersion", f"""WITH k AS (SELECT 20.0::DOUBLE - CAST(i AS DOUBLE) * 40 / 49 AS wavenumber FROM (SELECT unnest(range(0, 50)) AS i)), r AS (SELECT wavenumber, depth, sqrt(9.80665::DOUBLE * depth) AS c, wavenumber / 6.37122e6 AS kk, 2 * 7.292e-5 / 6.37122e6 AS b FROM k, (SELECT CAST(unnest([50, 25, 12]) AS DOUBLE) AS depth)),
-    f AS (SELECT wavenumber, depth, 'kelvin' AS wave, CASE WHEN kk >= 0 THEN kk * c END AS f FROM r UNION ALL SELECT wavenumber, depth, 'er', CASE WHEN kk < 0 THEN -b * kk / (kk * kk + 3 * b / c) END FROM r UNION ALL SELECT wavenumber, depth, 'ig1', sqrt(3 * b * c + pow(kk * c, 2)) FROM r
-     UNION ALL SELECT wavenumber, depth, 'ig2', sqrt(5 * b * c + pow(kk * c, 2)) FROM r UNION ALL SELECT wavenumber, depth, 'mrg', CASE WHEN kk < 0 THEN kk * c / 2 + sqrt(pow(kk * c, 2) / 4 + b * c) END FROM r UNION ALL SELECT wavenumber, depth, 'eig', CASE WHEN kk >= 0 THEN kk * c / 2 + sqrt(pow(kk * c, 2) / 4 + b * c) END FROM r)
+@query("spe8_dispersion", f"""WITH RECURSIVE k AS (SELECT 20.0::DOUBLE - CAST(i AS DOUBLE) * 40 / 49 AS wavenumber FROM (SELECT unnest(range(0, 50)) AS i)),
+    r AS (SELECT wavenumber, depth, sqrt(9.80665::DOUBLE * depth) AS c, wavenumber / 6.37122e6 AS kk, 2 * 7.292e-5 / 6.37122e6 AS b FROM k, (SELECT CAST(unnest([50, 25, 12]) AS DOUBLE) AS depth)),
+    ig(n, wavenumber, depth, c, kk, b, pass, f) AS (SELECT n, wavenumber, depth, c, kk, b, 0, sqrt((2 * n + 1) * b * c + pow(kk * c, 2)) FROM r, (SELECT unnest([1, 2]) AS n)
+        UNION ALL SELECT n, wavenumber, depth, c, kk, b, pass + 1, sqrt((2 * n + 1) * b * c + pow(kk * c, 2) + 9.80665 * depth * b * kk / f) FROM ig WHERE pass < 5),
+    f AS (SELECT wavenumber, depth, 'kelvin' AS wave, kk * c AS f FROM r UNION ALL SELECT wavenumber, depth, 'er', CASE WHEN kk < 0 THEN -b * kk / (kk * kk + 3 * b / c) END FROM r
+     UNION ALL SELECT wavenumber, depth, 'ig' || n, f FROM ig WHERE pass = 5
+     UNION ALL SELECT wavenumber, depth, 'mrg', CASE WHEN kk <= 0 THEN kk * c * (0.5 - 0.5 * sqrt(1 + 4 * b / (kk * kk * c))) END FROM r UNION ALL SELECT wavenumber, depth, 'eig', CASE WHEN kk > 0 THEN kk * c * (0.5 + 0.5 * sqrt(1 + 4 * b / (kk * kk * c))) END FROM r)
     SELECT round(wavenumber, 6) AS wavenumber, depth, wave, round(f * 86400 / (2 * pi()), 6) AS frequency FROM f WHERE f IS NOT NULL""")
 def spe8(spark, d):
     return W.dispersion(spark)
@@ -394,3 +397,99 @@ def src67(spark, d):
     place = F.row_number().over(Window.partitionBy("s_suppkey", "step").orderBy("lat", "lon"))  # 36 x 36 at most
     nodes = nodes.withColumn("node", (F.col("s_suppkey").cast("long") * 12 + F.col("step")) * 2000 + place)
     return detect.stitch_nodes(nodes, keys=("s_suppkey",)).select("s_suppkey", "track", "pt", "step", "lat", "lon", "psl", "wind")
+
+
+# --- evaluations ------------------------------------------------------------------------
+
+
+def _iso(spark, d):
+    from . import evaluations
+
+    return evaluations.iso(B.daily(spark, d, "A"), B.daily(spark, d, "R"), years=(1995, 2001), correct=True)
+
+
+@query("ev_iso_components", digits=4)
+def ev_iso_components(spark, d):
+    return _iso(spark, d)["pcs_sim"].select("season", "sample", "mode", F.abs("std").alias("std"))
+
+
+@query("ev_iso_skill", digits=4)
+def ev_iso_skill(spark, d):
+    return _iso(spark, d)["skill"]
+
+
+@query("ev_iso_monthly_share", digits=6)
+def ev_iso_freq(spark, d):
+    t = _iso(spark, d)
+    return t["freq_sim"].withColumn("dataset", F.lit("sim")).union(t["freq_obs"].withColumn("dataset", F.lit("obs")))
+
+
+def _mjo(spark, d):
+    from . import evaluations
+    from .config import MJOConfig
+
+    return evaluations.mjo(B.hourly_field(spark, d, 1), B.hourly_field(spark, d, 0), MJOConfig(wavenumber=(0, 3), frequency=(1 / 48, 1 / 4)), 24)
+
+
+@query("ev_mjo_ceof_scores", digits=4)
+def ev_mjo_ceof(spark, d):
+    return _mjo(spark, d)["ceof_scores"]
+
+
+@query("ev_mjo_lead_lag", digits=4)
+def ev_mjo_lead_lag(spark, d):
+    return _mjo(spark, d)["lead_lag"]
+
+
+@query("ev_mjo_activity", digits=4)
+def ev_mjo_activity(spark, d):
+    return _mjo(spark, d)["activity"]
+
+
+@query("ev_mjo_power_scores", digits=4)
+def ev_mjo_power(spark, d):
+    return _mjo(spark, d)["power_scores"]
+
+
+def _tc(spark, d):
+    from . import evaluations
+    from .config import TCConfig
+
+    return evaluations.tc(B.seasonal_tracks(spark, d), "control", {"control": 2.0, "model": 4.0}, TCConfig(bin=30.0))
+
+
+STORMS_SQL = """s AS (SELECT dataset, storm, day(arg_min(ts, pt)) % 12 + 1 AS month, arg_min(year, pt) AS year, arg_min(lat, pt) AS gen_lat, count(*) * 0.25 AS tcd, sum(1e-4 * pow(1.94384449 * wind, 2)) AS ace,
+    arg_min(abs(lat), (-wind, pt)) AS lmi, max(wind) AS w FROM points GROUP BY ALL HAVING max(wind) >= 10), n AS (SELECT * FROM (VALUES ('control', 2.0::DOUBLE), ('model', 4.0::DOUBLE)) v(dataset, years))"""
+
+
+@query("ev_tc_monthly", f"""WITH {B.TRACKS}, {STORMS_SQL}, e AS (SELECT dataset, years, CAST(unnest(range(1, 13)) AS INTEGER) AS month FROM n)
+    SELECT e.dataset, e.month, round(count(s.storm) / any_value(years), 5) AS count, round(coalesce(sum(tcd), 0) / any_value(years), 5) AS tcd, round(coalesce(sum(ace), 0) / any_value(years), 5) AS ace, round(avg(lmi), 5) AS lmi
+    FROM e LEFT JOIN s ON s.dataset = e.dataset AND s.month = e.month GROUP BY ALL""", 5)
+def ev_tc_monthly(spark, d):
+    return _tc(spark, d)["monthly"].drop("pace")
+
+
+@query("ev_tc_clim_bias", f"""WITH {B.TRACKS}, {STORMS_SQL}, y AS (SELECT dataset, year, avg(lmi) AS lmi FROM s GROUP BY ALL), l AS (SELECT dataset, avg(lmi) AS uclim_lmi FROM y GROUP BY ALL),
+    c AS (SELECT dataset, count(*) / any_value(years) AS uclim_count, sum(tcd) / any_value(years) AS uclim_tcd, sum(ace) / any_value(years) AS uclim_ace FROM s JOIN n USING (dataset) GROUP BY ALL),
+    b AS (SELECT * FROM c JOIN l USING (dataset)), o AS (SELECT * FROM b WHERE dataset = 'control')
+    SELECT b.dataset, round(b.uclim_count - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.uclim_count END, 5) AS uclim_count, round(b.uclim_tcd - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.uclim_tcd END, 5) AS uclim_tcd,
+     round(b.uclim_ace - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.uclim_ace END, 5) AS uclim_ace, round(b.uclim_lmi - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.uclim_lmi END, 5) AS uclim_lmi FROM b, o""", 5)
+def ev_tc_clim_bias(spark, d):
+    return _tc(spark, d)["clim_bias"].drop("uclim_pace")
+
+
+@query("ev_tc_storm_bias", f"""WITH {B.TRACKS}, {STORMS_SQL}, b AS (SELECT dataset, avg(tcd) AS storm_tcd, avg(ace) AS storm_ace, avg(lmi) AS storm_lmi, avg(abs(gen_lat)) AS storm_latgen FROM s GROUP BY ALL), o AS (SELECT * FROM b WHERE dataset = 'control')
+    SELECT b.dataset, round(b.storm_tcd - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.storm_tcd END, 5) AS storm_tcd, round(b.storm_ace - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.storm_ace END, 5) AS storm_ace,
+     round(b.storm_lmi - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.storm_lmi END, 5) AS storm_lmi, round(b.storm_latgen - CASE WHEN b.dataset = 'control' THEN 0 ELSE o.storm_latgen END, 5) AS storm_latgen FROM b, o""", 5)
+def ev_tc_storm_bias(spark, d):
+    return _tc(spark, d)["storm_bias"].drop("storm_pace")
+
+
+@query("ev_tc_temporal_correlation", digits=5)
+def ev_tc_temporal(spark, d):
+    return _tc(spark, d)["temporal_correlation"]
+
+
+@query("ev_tc_spatial_correlation", digits=5)
+def ev_tc_spatial(spark, d):
+    return _tc(spark, d)["spatial_correlation"]

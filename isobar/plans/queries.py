@@ -226,16 +226,14 @@ def fil456(spark, d):
     SELECT 'winter' AS season, CAST(w AS INTEGER) AS block, CAST(count(DISTINCT time) AS BIGINT) AS days FROM b WHERE w >= 1995 AND w < 2001 GROUP BY w HAVING count(DISTINCT time) >= 90
     UNION ALL SELECT 'summer', CAST(s AS INTEGER), CAST(count(DISTINCT time) AS BIGINT) FROM b WHERE s >= 1995 AND s < 2001 GROUP BY s HAVING count(DISTINCT time) >= 90""")
 def fil7(spark, d):
-    c, m, y = B.cube(spark, d), F.month("time"), F.year("time")
-    winter = c.select(F.lit("winter").alias("season"), F.when(m == 12, y).when(m <= 4, y - 1).alias("block"), "time")
-    summer = c.select(F.lit("summer").alias("season"), F.when(m.between(6, 10), y).alias("block"), "time")
-    days = winter.union(summer).where((F.col("block") >= 1995) & (F.col("block") < 2001)).groupBy("season", "block").agg(F.count_distinct("time").alias("days"))
-    return days.where("days >= 90")
+    axis = B.cube(spark, d).select("time").distinct()
+    days = [W.season_blocks(axis, s, 1995, 2001).groupBy(F.lit(s).alias("season"), "block").agg(F.count(F.lit(1)).alias("days")) for s in W.SEASONS]
+    return days[0].union(days[1])
 
 
 @query("fil8_drop_leap", f"WITH {B.CUBE} SELECT CAST(year(time) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS n FROM cube WHERE NOT (month(time) = 2 AND day(time) = 29) GROUP BY ALL")
 def fil8(spark, d):
-    return B.cube(spark, d).where(~((F.month("time") == 2) & (F.dayofmonth("time") == 29))).groupBy(F.year("time").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return W.without_leap_days(B.cube(spark, d)).groupBy(F.year("time").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fil13_14_basin", f"""WITH {B.TRACKS}, g AS (SELECT dataset, storm, arg_min(lat, pt) AS lat, arg_min(lon, pt) AS x FROM points GROUP BY ALL),
