@@ -35,8 +35,12 @@ BLANK = " \t\n\r\x0b\x0c"
 
 
 def lines(text: Column, ends: str = CLAUSES) -> Column:
-    """The lines, each with what ends it; joined, they are the text."""
-    return F.regexp_extract_all(text, F.lit(f"[^{ends}]+[{ends}]*|[{ends}]+"), F.lit(0))
+    """The lines, each with what ends it; joined, they are the text.  Where a text has
+    no character beyond Latin letters, the ends beyond them are left out of its pattern,
+    which is far faster and finds the same."""
+    found = lambda e: F.regexp_extract_all(text, F.lit(f"[^{e}]+[{e}]*|[{e}]+"), F.lit(0))
+    latin = "".join(c for c in ends if c < "\u0100")
+    return found(ends) if latin == ends else F.when(text.rlike("[^\\x00-\xff]"), found(ends)).otherwise(found(latin))
 
 
 def _key(text: Column) -> Column:
