@@ -147,5 +147,5 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
     judged = _judged(docs, items, WINDOW, 20)
     bad = Written(judged.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("_text").alias("__hash")).distinct(), "contaminated").df
-    same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(whole()) == F.col("__hash"))
-    return docs.join(if_small(bad), same_row, "left_anti")
+    gone = if_small(bad)  # by reference: the documents may have columns of these names
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__hash"]), "left_anti")

@@ -183,4 +183,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", d
 def keep_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, limit: float = 0.3) -> DataFrame:
     """The documents that are not rejected, with their columns."""
     model = fit(docs, labels, label, divisor)
-    return docs.withColumn("_score", score(model)).where(F.col("_score") >= limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(model).alias("score"))
+    return held.where(F.col("score") >= limit).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -245,10 +245,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = Written(own.join(named, "fp").select(*key, stays.alias("stays")), "components").df
     gone = Written(found.where("NOT stays").select("__id", "__hash").distinct(), "gone").df
     shared = Written(found.where("stays").groupBy("__id", "__hash").count().where("count > 1").select("__id", "__hash"), "shared").df
-    by_key = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__hash"))
-    left = docs.join(if_small(gone), by_key, "left_anti")
-    if not shared.limit(1).count():
-        return left
-    some = if_small(shared)
-    several = left.join(some, by_key, "left_semi").withColumn("__hash", _text_hash())
-    return left.join(some, by_key, "left_anti").unionByName(several.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
+    of = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.select(F.struct(*of).alias("row"), F.col("doc_id").alias("id"), _text_hash().alias("hash"))
+    by_key = F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))
+    left = held.join(if_small(gone), by_key, "left_anti")
+    if shared.limit(1).count():
+        some = if_small(shared)
+        several = left.join(some, by_key, "left_semi")
+        left = left.join(some, by_key, "left_anti").unionByName(several.dropDuplicates(["id", "hash"]))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

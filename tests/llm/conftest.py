@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..conftest import oracle  # noqa: F401  (for the modules here)
 
 #: Columns whose names operators also use inside.
-CLASHING = ("words", "w", "h", "fp", "key", "size", "bucket", "shard", "slot", "host", "label", "score", "row", "n", "p", "a", "b", "cut", "crc", "node", "_text", "rank", "c")
+CLASHING = ("words", "w", "h", "fp", "key", "size", "bucket", "shard", "slot", "host", "label", "score", "row", "n", "p", "a", "b", "cut", "crc", "node", "_text", "rank", "c", "_score", "__id", "__hash", "__text", "__lines", "__cut", "id")
 
 
 def sentence(rng, n):

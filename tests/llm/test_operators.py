@@ -202,10 +202,14 @@ def test_components(spark):
 
 
 def test_one_of_each_stays(docs, texts):
+    """One row of each component of fingerprints; two unlinked texts of one id both stay."""
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    comps = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == sorted(c for c in comps if c is not None)
+    fps = {fingerprint(t) for _, t in texts}
+    comp = classes(sorted(fps), [(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3])
+    stay = [comp[fingerprint(r["text"])] for r in kept.select("text").collect()]
+    assert sorted(stay) == sorted(set(comp.values()))
+    assert set(kept.select("cut", "__id", "_score").distinct().collect()) == {("clash",) * 3}
 
 
 def test_no_unique_document_is_lost(spark):
