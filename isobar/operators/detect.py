@@ -6,8 +6,6 @@ nodes of following times are linked to the nearest one in reach.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,21 +21,24 @@ def _degrees(lat1, lon1, lat2, lon2):
 
 def closed(field: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int, delta: float, distance: float) -> bool:
     """Does the field rise by delta (fall, if negative) from (i, j) on every way out
-    to the distance?"""
+    to the distance?  The cells that are reached below that level grow by whole rows of
+    neighbours, until they end or lie beyond the distance."""
     sign = 1.0 if delta > 0 else -1.0
-    limit, seen, todo = sign * field[i, j] + abs(delta), {(i, j)}, deque([(i, j)])
-    while todo:
-        a, b = todo.popleft()
-        if _degrees(lat[i], lon[j], lat[a], lon[b]) > distance:
+    below = sign * field < sign * field[i, j] + abs(delta)
+    far = _degrees(lat[i], lon[j], lat[:, None], lon[None, :]) > distance
+    reached = np.zeros(field.shape, bool)
+    reached[i, j] = True
+    while True:
+        grown = reached | np.roll(reached, 1, 1) | np.roll(reached, -1, 1)
+        grown[1:] |= reached[:-1]
+        grown[:-1] |= reached[1:]
+        grown &= below
+        grown[i, j] = True
+        if (grown & far).any():
             return False
-        for x, y in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-            y %= len(lon)
-            if not 0 <= x < len(lat):
-                continue
-            if (x, y) not in seen and sign * field[x, y] < limit:
-                seen.add((x, y))
-                todo.append((x, y))
-    return True
+        if (grown == reached).all():
+            return True
+        reached = grown
 
 
 def detect_nodes(

@@ -39,7 +39,7 @@ def welch(samples: DataFrame, keys: list[str], equal: bool = False) -> DataFrame
 def with_t_p(t: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else special.t_two_sided(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
+        return pd.Series(special.t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
     return t.withColumn("p", p("t", "df"))
 
@@ -88,19 +88,30 @@ def cohen_bootstrap(samples: DataFrame, keys: list[str], resamples: int = 5000,
         d = None
         if len(a) and len(b) and (a.std() or b.std()):
             rng = _seeded(key, seed)
-            x, y = rng.choice(a, (resamples, len(a))), rng.choice(b, (resamples, len(b)))
-            spread = np.sqrt((x.var(1) + y.var(1)) / 2)
-            ok = spread > 1e-12 * max(np.abs(a).max(), np.abs(b).max())  # resamples of one value have no spread
-            d = float(((x.mean(1) - y.mean(1))[ok] / spread[ok]).mean()) if ok.any() else None
+            found = effect_sizes(rng.choice(a, (resamples, len(a))), rng.choice(b, (resamples, len(b))))
+            d = None if np.isnan(found).all() else float(np.nanmean(found))
         return pd.DataFrame([[*key, d]])
 
     kinds = dict(samples.dtypes)
     return samples.groupBy(*keys).applyInPandas(one, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "d double"]))
 
 
-def bootstrap_test(samples: DataFrame, keys: list[str], statistic: Callable[[np.ndarray, np.ndarray], float] | None = None, resamples: int = 9999, seed: int = 1) -> DataFrame:
-    """d and sigma of a statistic's (difference of means) resamples, and the two-sided
-    normal p of d / sigma; one where d is zero."""
+def effect_sizes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """d of each pair of rows; missing where neither has a spread."""
+    spread = np.sqrt((x.var(1) + y.var(1)) / 2)
+    ok = spread > 1e-12 * max(np.abs(x).max(), np.abs(y).max())
+    return np.where(ok, x.mean(1) - y.mean(1), np.nan) / np.where(ok, spread, 1.0)
+
+
+def mean_differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x.mean(1) - y.mean(1)
+
+
+def bootstrap_test(
+    samples: DataFrame, keys: list[str], statistic: Callable[[np.ndarray, np.ndarray], np.ndarray] = effect_sizes, resamples: int = 9999, seed: int = 1,
+) -> DataFrame:
+    """Mean d and population spread sigma of a statistic's resamples (a row each), and
+    the two-sided normal p of d / sigma; one where d is zero or there is none."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _sides(pdf)
@@ -108,9 +119,12 @@ def bootstrap_test(samples: DataFrame, keys: list[str], statistic: Callable[[np.
             return pd.DataFrame([[*key, None, None, None]])
         rng = _seeded(key, seed)
         x, y = rng.choice(a, (resamples, len(a))), rng.choice(b, (resamples, len(b)))
-        s = x.mean(1) - y.mean(1) if statistic is None else np.array([statistic(p, q) for p, q in zip(x, y, strict=True)])
-        d, sigma = float(s.mean()), float(s.std(ddof=1))
-        p = 1.0 if d == 0 else 0.0 if sigma == 0 else special.normal_two_sided(d / sigma)
+        s = statistic(x, y)
+        s = s[~np.isnan(s)]
+        if not len(s):
+            return pd.DataFrame([[*key, None, None, 1.0]])
+        d, sigma = float(s.mean()), float(s.std())
+        p = 1.0 if d == 0 else 0.0 if sigma == 0 else float(special.normal_two_sided(d / sigma))
         return pd.DataFrame([[*key, d, sigma, p]])
 
     kinds = dict(samples.dtypes)
@@ -137,11 +151,11 @@ def all_tests(samples: DataFrame, keys: list[str]) -> DataFrame:
 
     @F.pandas_udf("double")
     def ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([special.ks_two_sided(*x) for x in zip(d, n, m, strict=True)], dtype="float64")
+        return pd.Series(special.ks_two_sided(*(x.to_numpy(float) for x in (d, n, m))))
 
     @F.pandas_udf("double")
     def u_p(u: pd.Series, n: pd.Series, m: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([special.mann_whitney_two_sided(*x) for x in zip(u, n, m, t, strict=True)], dtype="float64")
+        return pd.Series(special.mann_whitney_two_sided(*(x.to_numpy(float) for x in (u, n, m, t))))
 
     named = lambda df, test, p: df.select(*keys, F.lit(test).alias("test"), p.alias("p"))
     out = named(with_t_p(welch(samples, keys)), "T-test", F.col("p"))

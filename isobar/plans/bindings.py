@@ -37,6 +37,16 @@ def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("variable", "realization", "k", "lat", "lon").agg(F.avg("value").alias("value"))
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem on the coarse grid by day, with the gaps that it has."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_returnflag").alias("variable"), F.col("l_linenumber").alias("realization"), F.expr("datediff(l_shipdate, date'1995-01-01')").alias("k"),
+        ((F.col("l_suppkey") % 6) * 30 - 75).cast("double").alias("lat"), ((F.col("l_partkey") % 4) * 90).cast("double").alias("lon"),
+        (F.col("l_extendedprice") / 7.0).alias("value"),
+    )
+
+
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coarse grid's R, all members as one observation."""
     return coarse(spark, sf_dir).where("variable = 'R'").groupBy("k", "lat", "lon").agg(F.avg("value").alias("value"))
@@ -109,6 +119,7 @@ def seasonal_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CUBE = """cube AS (SELECT l_returnflag AS variable, l_linenumber AS realization, l_shipdate AS time, CAST((l_suppkey % 18) * 10 - 85 AS DOUBLE) AS lat,
  CAST((l_partkey % 36) * 10 AS DOUBLE) AS lon, l_extendedprice / 7.0 AS value, l_quantity AS quantity FROM lineitem)"""
+DAYS = """days AS (SELECT l_returnflag AS variable, l_linenumber AS realization, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS k, CAST((l_suppkey % 6) * 30 - 75 AS DOUBLE) AS lat, CAST((l_partkey % 4) * 90 AS DOUBLE) AS lon, l_extendedprice / 7.0 AS value FROM lineitem)"""
 COARSE = """coarse AS (SELECT l_returnflag AS variable, l_linenumber AS realization, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS k,
  CAST((l_suppkey % 6) * 30 - 75 AS DOUBLE) AS lat, CAST((l_partkey % 4) * 90 AS DOUBLE) AS lon, avg(l_extendedprice / 7.0) AS value FROM lineitem GROUP BY ALL),
 sim AS (SELECT realization, k, lat, lon, value FROM coarse WHERE variable = 'A'),

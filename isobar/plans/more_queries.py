@@ -60,15 +60,17 @@ def val457(spark, d):
     return validate.report([validate.catalogued(found, catalog), validate.complete(cube, catalog), validate.plausible(cube, catalog)])
 
 
-@query("val6_gaps", f"WITH {B.HOURLY}, s AS (SELECT k FROM hours WHERE k % 13 <> 5) SELECT 'temporal' AS \"check\", CAST(k AS VARCHAR) AS subject, 'error' AS severity, 'missing step' AS detail FROM (SELECT unnest(range((SELECT min(k) FROM s), (SELECT max(k) FROM s) + 1)) AS k) WHERE k NOT IN (SELECT k FROM s)")
+@query("val6_gaps", "WITH s AS (SELECT DISTINCT CAST(date_diff('minute', TIMESTAMP '2024-01-01', ts) // 15 AS INTEGER) AS k FROM events) SELECT 'temporal' AS \"check\", CAST(k AS VARCHAR) AS subject, 'error' AS severity, 'missing step' AS detail FROM (SELECT unnest(range((SELECT min(k) FROM s), (SELECT max(k) FROM s) + 1)) AS k) WHERE k NOT IN (SELECT k FROM s)")
 def val6(spark, d):
-    return validate.gaps(B.all_hours(spark, d).where("k % 13 <> 5"))
+    """Quarters of an hour without an event."""
+    k = F.floor(F.expr("timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', ts)") / 15).cast("int")
+    return validate.gaps(B.table(spark, d, "events").select(k.alias("k")).distinct())
 
 
-@query("val11_12_compatible", f"WITH {B.CUBE}, a AS (SELECT DISTINCT lat, lon FROM cube WHERE variable = 'A' AND realization = 7), r AS (SELECT DISTINCT lat, lon FROM cube WHERE variable = 'R' AND realization = 7) SELECT 'compatible' AS \"check\", concat(lat, ',', lon) AS subject, 'error' AS severity, 'first only' AS detail FROM (SELECT * FROM a EXCEPT SELECT * FROM r) UNION ALL SELECT 'compatible', concat(lat, ',', lon), 'error', 'second only' FROM (SELECT * FROM r EXCEPT SELECT * FROM a)")
+@query("val11_12_compatible", f"WITH {B.CUBE}, a AS (SELECT DISTINCT realization, lat, lon FROM cube WHERE variable = 'A'), r AS (SELECT DISTINCT realization, lat, lon FROM cube WHERE variable = 'R') SELECT 'compatible' AS \"check\", concat(realization, ',', lat, ',', lon) AS subject, 'error' AS severity, 'first only' AS detail FROM (SELECT * FROM a EXCEPT SELECT * FROM r) UNION ALL SELECT 'compatible', concat(realization, ',', lat, ',', lon), 'error', 'second only' FROM (SELECT * FROM r EXCEPT SELECT * FROM a)")
 def val11(spark, d):
-    c = B.cube(spark, d).where("realization = 7")
-    return validate.same_grid(c.where("variable = 'A'"), c.where("variable = 'R'"), ["lat", "lon"])
+    c = B.cube(spark, d)
+    return validate.same_grid(c.where("variable = 'A'"), c.where("variable = 'R'"), ["realization", "lat", "lon"])
 
 
 @query("val13_year_range", "SELECT CAST(min(year(l_shipdate)) AS INTEGER) AS start, CAST(max(year(l_shipdate)) AS INTEGER) AS finish FROM lineitem")

@@ -32,10 +32,11 @@ def levels(maps: DataFrame, count: int = 13) -> list[float]:
 
 
 def matrix(effects: DataFrame, rejected: DataFrame) -> DataFrame:
-    """season, region, metric, size of the effect, its class and the verdict: any
-    test rejects."""
-    verdict = rejected.groupBy("season", "region").agg(F.bool_or("rejected").alias("verdict"))
-    return effects.join(verdict, ["season", "region"]).select("season", "region", "metric", F.abs("d").alias("effect"), effect_class("d").alias("class"), "verdict")
+    """(variable,) season, region, metric, size of the effect, its class and the
+    verdict: any test rejects."""
+    keys = [c for c in ("variable", "season", "region") if c in rejected.columns]
+    verdict = rejected.groupBy(*keys).agg(F.bool_or("rejected").alias("verdict"))
+    return effects.join(verdict, keys).select(*keys, "metric", F.abs("d").alias("effect"), effect_class("d").alias("class"), "verdict")
 
 
 def score_table(rows: DataFrame, reference: str) -> DataFrame:

@@ -68,10 +68,10 @@ def agg2(spark, d):
     return R.resample(daily, ["variable", "realization"], {"year": F.year("time"), "month": F.month("time")})
 
 
-@query("agg2_empty_bins", f"""WITH {B.COARSE}, s AS (SELECT lat, lon, k, value FROM obs WHERE k % 3 = 0), r AS (SELECT lat, lon, unnest(range(min(k), max(k) + 1)) AS k FROM s GROUP BY lat, lon)
+@query("agg2_empty_bins", f"""WITH {B.DAYS}, s AS (SELECT lat, lon, k, avg(value) AS value FROM days WHERE variable = 'R' GROUP BY ALL), r AS (SELECT lat, lon, unnest(range(min(k), max(k) + 1)) AS k FROM s GROUP BY lat, lon)
     SELECT lat, lon, CAST(k AS INTEGER) AS k, round(value, 6) AS value FROM r LEFT JOIN s USING (lat, lon, k)""", 6)
 def agg2_bins(spark, d):
-    return R.fill_bins(B.observed(spark, d).where("k % 3 = 0"), ["lat", "lon"])
+    return R.fill_bins(B.days(spark, d).where("variable = 'R'").groupBy("lat", "lon", "k").agg(F.avg("value").alias("value")), ["lat", "lon"])
 
 
 @query("agg3_monthly_sum", f"WITH {B.CUBE} SELECT variable, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month, round(coalesce(sum(value), 0), 2) AS value FROM cube GROUP BY ALL", 2)
@@ -289,25 +289,26 @@ def fun15(spark, d):
     return S.cohen(_samples(spark, d), R.CELL).groupBy(E.effect_class("d").alias("class")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("set1_4_sets", f"""WITH {B.CUBE} SELECT lat, lon, CAST('only A' AS VARCHAR) AS which FROM (SELECT lat, lon FROM cube WHERE variable = 'A' AND realization = 7 EXCEPT SELECT lat, lon FROM cube WHERE variable = 'R' AND realization = 7)
-    UNION ALL SELECT lat, lon, 'both' FROM (SELECT lat, lon FROM cube WHERE variable = 'A' AND realization = 7 INTERSECT SELECT lat, lon FROM cube WHERE variable = 'R' AND realization = 7)""")
+@query("set1_4_sets", f"""WITH {B.CUBE} SELECT realization, lat, lon, CAST('only A' AS VARCHAR) AS which FROM (SELECT realization, lat, lon FROM cube WHERE variable = 'A' EXCEPT SELECT realization, lat, lon FROM cube WHERE variable = 'R')
+    UNION ALL SELECT realization, lat, lon, 'both' FROM (SELECT realization, lat, lon FROM cube WHERE variable = 'A' INTERSECT SELECT realization, lat, lon FROM cube WHERE variable = 'R')""")
 def set14(spark, d):
-    c = B.cube(spark, d).where("realization = 7")
-    a, r = c.where("variable = 'A'").select("lat", "lon"), c.where("variable = 'R'").select("lat", "lon")
+    c = B.cube(spark, d)
+    a, r = c.where("variable = 'A'").select("realization", "lat", "lon"), c.where("variable = 'R'").select("realization", "lat", "lon")
     return a.subtract(r).withColumn("which", F.lit("only A")).unionByName(a.intersect(r).withColumn("which", F.lit("both")))
 
 
-@query("joi3_time_match", f"WITH {B.COARSE}, o AS (SELECT * FROM obs WHERE k % 5 <> 0) SELECT CAST(k AS INTEGER) AS k, CAST(count(*) AS BIGINT) AS cells, bool_or(false) AS missing FROM o WHERE k IN (SELECT k FROM sim) GROUP BY k UNION ALL SELECT CAST(k AS INTEGER), 0, true FROM (SELECT DISTINCT k FROM sim) WHERE k NOT IN (SELECT k FROM o)")
+@query("joi3_time_match", f"WITH {B.DAYS}, o AS (SELECT * FROM days WHERE variable = 'R'), s AS (SELECT DISTINCT k FROM days WHERE variable = 'A') SELECT k, CAST(count(*) AS BIGINT) AS cells, bool_or(false) AS missing FROM o WHERE k IN (SELECT k FROM s) GROUP BY k UNION ALL SELECT k, 0, true FROM s WHERE k NOT IN (SELECT k FROM o)")
 def joi3(spark, d):
-    sim, obs = B.simulated(spark, d).select("k").distinct(), B.observed(spark, d).where("k % 5 <> 0")
+    days = B.days(spark, d)
+    sim, obs = days.where("variable = 'A'").select("k").distinct(), days.where("variable = 'R'")
     there = obs.join(sim, "k", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("cells")).withColumn("missing", F.lit(False))
     return there.unionByName(sim.join(obs, "k", "left_anti").select("k", F.lit(0).cast("long").alias("cells"), F.lit(True).alias("missing")))
 
 
-@query("joi4_outer_merge", f"WITH {B.COARSE}, a AS (SELECT k, lat, lon, avg(value) AS va FROM sim WHERE k % 2 = 0 GROUP BY ALL), b AS (SELECT k, lat, lon, value AS vb FROM obs WHERE k % 3 = 0) SELECT CAST(k AS INTEGER) AS k, lat, lon, round(va, 6) AS va, round(vb, 6) AS vb FROM a FULL JOIN b USING (k, lat, lon)")
+@query("joi4_outer_merge", f"WITH {B.DAYS}, a AS (SELECT k, lat, lon, avg(value) AS va FROM days WHERE variable = 'A' GROUP BY ALL), b AS (SELECT k, lat, lon, avg(value) AS vb FROM days WHERE variable = 'R' GROUP BY ALL) SELECT k, lat, lon, round(va, 6) AS va, round(vb, 6) AS vb FROM a FULL JOIN b USING (k, lat, lon)", 6)
 def joi4(spark, d):
-    a = B.simulated(spark, d).where("k % 2 = 0").groupBy("k", "lat", "lon").agg(F.avg("value").alias("va"))
-    return a.join(B.observed(spark, d).where("k % 3 = 0").withColumnRenamed("value", "vb"), ["k", "lat", "lon"], "full")
+    of = lambda flag, name: B.days(spark, d).where(F.col("variable") == flag).groupBy("k", "lat", "lon").agg(F.avg("value").alias(name))
+    return of("A", "va").join(of("R", "vb"), ["k", "lat", "lon"], "full")
 
 
 @query("joi12_against_reference", f"""WITH {B.TRACKS}, s AS (SELECT dataset, CAST(count(DISTINCT storm) AS DOUBLE) AS storms, avg(wind) AS wind FROM points GROUP BY dataset)
@@ -509,9 +510,13 @@ def sta14(spark, d):
 
 
 def _score_samples(spark, d):
-    """Scores of two ensembles (odd and even members' A) as samples."""
-    s = R.season_region_scores(B.simulated(spark, d), B.observed(spark, d), month())
-    return s.select("season", "region", "metric", F.when(F.col("realization") <= 4, "test").otherwise("ref").alias("side"), F.col("score").alias("value"))
+    """Scores of two ensembles, A and N, as samples."""
+    parts = []
+    for flag, side in (("A", "test"), ("N", "ref")):
+        sim = B.coarse(spark, d).where(F.col("variable") == flag).drop("variable")
+        s = R.season_region_scores(sim, B.observed(spark, d), month())
+        parts.append(s.select("season", "region", "metric", F.lit(side).alias("side"), F.col("score").alias("value")))
+    return parts[0].unionByName(parts[1])
 
 
 SECTION = ["season", "region", "metric"]
