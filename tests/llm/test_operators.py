@@ -117,6 +117,38 @@ def test_classifier_on_held_out_rows(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got["doc_id"], got["held_out"], strict=True))
 
 
+def test_classifier_equals_a_plain_fit(spark):
+    """Normal equations of all rows at once, cross-fitted scores, and the isotonic fit by
+    its max-min formula."""
+    from ..conftest import DATA
+
+    d = f"{DATA}/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    q = quality_classifier
+    part = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(q.PARTS)).alias("p")).collect()}
+    given = {r["doc_id"]: r["quality"] for r in labels.where("quality IS NOT NULL").collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    own = [i for i in text if i in given and zlib.crc32(str(i).encode()) % 5]
+    x, y, parts = np.array([q.statistics(text[i]) for i in own]), np.array([given[i] for i in own], float), np.array([part[i] for i in own])
+    mean, spread = x.mean(0), x.std(0) + 1e-6
+    rng = np.random.default_rng(7)
+    w, b = rng.normal(size=(q.STATISTICS, q.COSINES)) * q.SCALE, rng.uniform(0, 2 * np.pi, q.COSINES)
+    made = lambda x: np.hstack([np.sqrt(2 / q.COSINES) * np.cos(np.clip((x - mean) / spread, -5, 5) @ w + b), np.ones((len(x), 1))])
+    ridge = lambda p, y: np.linalg.solve(p.T @ p + q.RIDGE * np.eye(p.shape[1]), p.T @ y)
+    p = made(x)
+    raw = np.zeros(len(own))
+    for k in range(q.PARTS):
+        raw[parts == k] = p[parts == k] @ ridge(p[parts != k], y[parts != k])
+    at = np.clip(((raw - q.LOW) / (q.HIGH - q.LOW) * q.BINS).astype(int), 0, q.BINS - 1)
+    bins = np.unique(at)
+    n, total = np.array([(at == v).sum() for v in bins]), np.array([y[at == v].sum() for v in bins])
+    share = [max(min(total[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    whole = made(np.array([q.statistics(text[i]) for i in text])) @ ridge(p, y)
+    want = 0.999 * np.interp(whole, (bins + 0.5) / q.BINS * (q.HIGH - q.LOW) + q.LOW, share) + 0.001 / (1 + np.exp(-np.clip(whole, -9, 9)))
+    got = {r["doc_id"]: r["score"] for r in q.quality_scores(docs, labels).collect()}
+    assert np.allclose([got[i] for i in text], want, atol=1e-6)
+
+
 def test_classifier_on_awkward_rows(spark, docs, texts):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(3, 1, 0), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality_classifier.quality_scores(docs, labels).toPandas()

@@ -77,3 +77,19 @@ def test_cues_in_any_case(lead):
         at = len(lead + cue)
         assert find(f"{lead}{cue}abcd1234efgh")["secret"] == [(at, at + 12)]
     assert find(lead + "akia" + "A1" * 8)["account"] == [] and len(find(lead + "AKIA" + "A1" * 8)["account"]) == 1
+
+
+def test_columns_of_the_query(spark):
+    """Counts and digest of the base spans, and that base ones are among all."""
+    from hashlib import sha256
+
+    from isobar.llm.pii import personal_data, summary
+
+    texts = [*CHOSEN, None, "mail a@b.c, ip 10.0.0.1, call +49 30 1234567, card 4111 1111 1111 1111, api key: abc123def456ghi789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in summary(personal_data(docs)).collect():
+        found = base(texts[row["doc_id"]] or "")
+        assert [row[f"n_{k}"] for k in PATTERNS] == [len(found[k]) for k in PATTERNS]
+        listed = [f"{k}:{a}:{b}" for k in PATTERNS for a, b in found[k]]
+        assert row["base_sha256"] == sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(row["spans"].split(","))
