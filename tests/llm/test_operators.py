@@ -368,12 +368,85 @@ def test_model_sums_to_one_and_beats_the_base(spark):
 
 
 def test_seating():
-    rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 5, 40, 1000, 100_000])
-    t = lm_scoring.seat(c, np.full(7, 0.5), 0.7, rng)
+    t = lm_scoring.seat(c, np.full(7, 0.5), 0.7, np.arange(7), 0)
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
-    assert lm_scoring.seat(np.full(500, 30), np.full(500, 1e9), 0.7, rng).mean() == pytest.approx(30, abs=0.1)
-    assert lm_scoring.seat(np.full(500, 30), np.full(500, 1e-9), 0.7, rng).mean() == 1
+    assert lm_scoring.seat(np.full(500, 30), np.full(500, 1e9), 0.7, np.arange(500), 0).mean() == pytest.approx(30, abs=0.1)
+    assert lm_scoring.seat(np.full(500, 30), np.full(500, 1e-9), 0.7, np.arange(500), 0).mean() == 1
+
+
+def test_chance():
+    u = lm_scoring.chance(np.arange(200_000), 3, 1)
+    assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002 and abs(np.corrcoef(u, lm_scoring.chance(np.arange(200_000), 3, 2))[0, 1]) < 0.01
+    for n, p in ((64, 0.01), (64, 0.5), (1024, 0.9), (100_000, 0.0001), (5000, 0.2)):
+        x = lm_scoring.binomial(np.full(len(u), n), np.full(len(u), p), u, lm_scoring.chance(np.arange(200_000), 9))
+        assert x.mean() == pytest.approx(n * p, rel=0.02) and x.var() == pytest.approx(n * p * (1 - p), rel=0.03) and x.min() >= 0 and x.max() <= n
+
+
+def plain_scores(rows, held):
+    """The seated model one customer at a time: log10 probability of each text."""
+    hashed = lambda x: xxhash.xxh64_intdigest(b" " if x is None else x.encode(), 42) >> 6
+    klass = lambda x: 0 if x is None else int(lm_scoring.CLASS[x.encode()[-1]])
+    split = [(i, [low(x) for x in words(t)] + [None]) for i, t in rows]
+    pairs = lambda w: [(hashed(x), klass(w[k - 1]) if k else 0) for k, x in enumerate(w)]
+    n = Counter(p for i, w in split if not held[i] for p in pairs(w))
+    c = Counter()
+    for (w, _), m in n.items():
+        c[w] += m
+    assert max(n.values()) <= lm_scoring.SINGLY and max(c.values()) <= 10 * lm_scoring.SINGLY
+    contexts = range(lm_scoring.CONTEXTS)
+    customers = {k: sum(m for (_, x), m in n.items() if x == k) for k in contexts}
+    rate = lambda v: min(max(v.count(1) / (v.count(1) + 2 * v.count(2)), 0.1), 0.95) if v.count(1) else 0.5
+    d, d0 = rate(list(n.values())), rate(list(c.values()))
+    tables, top, v, s = {k: sum(x == k for _, x in n) for k in contexts}, len(c), len(c), lm_scoring.STRENGTH
+
+    def seated(m, new, discount, key, sweep):
+        t = 1
+        for k in range(1, m):
+            t += lm_scoring.chance(np.array([key], np.uint64), sweep, k)[0] < new / (new + max(k - discount * t, 1e-9))
+        return t
+
+    def chain(tables, top, kept):
+        total = sum(tables.values())
+        fresh = (s + d0 * top) / (s + total) / (v + 1)
+        arrivals, own0 = Counter(w for w, _ in n), dict.fromkeys(c, 1)
+        for sweep in range(lm_scoring.BURN + kept):
+            root = {w: max(arrivals[w] - d0 * own0[w], 0) / (s + total) + fresh for w in c}
+            own = {(w, k): seated(m, (s + d * tables[k]) * root[w], d, w << 6 | k, sweep) for (w, k), m in n.items()}
+            arrivals = Counter()
+            for (w, _), t in own.items():
+                arrivals[w] += t
+            own0 = {w: seated(arrivals[w], (s + d0 * top) / (v + 1), d0, w << 6 | 63, sweep) for w in c}
+            if sweep >= lm_scoring.BURN:
+                yield own, own0, arrivals
+
+    for _ in range(lm_scoring.SETTLE):
+        ((own, own0, _),) = chain(tables, top, 1)
+        tables, top = {k: sum(t for (_, x), t in own.items() if x == k) for k in contexts}, sum(own0.values())
+    samples = list(chain(tables, top, lm_scoring.KEPT))
+
+    def probability(w, k):
+        p = 0
+        for own, own0, arrivals in samples:
+            in_k = {x: sum(t for (_, y), t in own.items() if y == x) for x in (k,)}[k]
+            total = sum(own.values())
+            root = (arrivals[w] - d0 * own0[w]) / (s + total) if w in c else 0
+            root += (s + d0 * sum(own0.values())) / (s + total) / (v + 1)
+            p += (max(n.get((w, k), 0) - d * own.get((w, k), 0), 0) + (s + d * in_k) * root) / (s + customers[k])
+        return p / len(samples)
+
+    return {i: sum(math.log10(probability(*x)) for x in pairs(w)) for i, w in split}
+
+
+@pytest.mark.parametrize("frequent", [0, 100_000])
+def test_scores_equal_a_plain_seated_model(spark, frequent):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"{'abcdefgh'[int(x)]}{'xyz'[int(y)]}" for x, y in zip(rng.integers(0, 8, 8), rng.integers(0, 3, 8), strict=True))) for k in range(40)]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    want = plain_scores(rows, held)
+    for parts in (1, 3):
+        got = lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), frequent=frequent).collect()
+        assert {r["doc_id"]: round(r["score"], 4) for r in got} == {i: round(x, 4) for i, x in want.items()}
 
 
 # 8
