@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import great_circle
+from ..session import checkpointed
 
 
 def _degrees(lat1, lon1, lat2, lon2):
@@ -122,3 +123,29 @@ def nearest_index(points: DataFrame, axis: DataFrame, name: str) -> DataFrame:
     exact = (F.col(name) - ends["v0"]) / step
     index = F.greatest(F.lit(ends["i0"]), F.least(F.ceil(exact - 0.5) + ends["i0"], F.lit(ends["n"]))).cast("int")
     return points.withColumn(f"{name}_index", index)
+
+
+#: Degrees of latitude that a first search around a point reaches; further ones double it.
+REACH = 4.0
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """Points (id, lat, lon) with the cell (cell, distance in degrees of arc) of a grid of
+    any shape (cell, lat, lon) that is nearest on the sphere; ties go to the smaller cell.
+
+    Points and cells meet in bands of latitude; points whose nearest cell might lie
+    beyond their bands look again in bands of twice the height, until none is left."""
+    found, open_ = None, points.select("id", F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    reach = REACH
+    while True:
+        band = lambda x, r=reach: F.floor(x / F.lit(r))
+        near = open_.withColumn("band", F.explode(F.sequence(band(F.col("la")) - 1, band(F.col("la")) + 1)))
+        met = near.join(grid.withColumn("band", band(F.col("lat"))), "band")
+        met = met.withColumn("distance", F.degrees(great_circle(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"), 1.0)))
+        best = met.groupBy("id", "la", "lo").agg(F.min(F.struct("distance", "cell")).alias("b")).select("id", "la", "lo", "b.cell", "b.distance")
+        sure = checkpointed(best.where(F.col("distance") <= reach) if reach < 180 else best).select("id", "cell", "distance")
+        found = sure if found is None else found.unionByName(sure)
+        open_ = checkpointed(open_.join(sure.select("id"), "id", "left_anti"))
+        if reach >= 180 or not open_.limit(1).count():
+            return found
+        reach *= 2

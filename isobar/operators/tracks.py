@@ -10,14 +10,15 @@ from ..functions.expr import KNOTS, basin
 STORM = ["dataset", "storm"]
 
 
-def storm_stats(points: DataFrame, hours: float = 6.0, wind_limit: float = 0.0) -> DataFrame:
-    """A row a storm: genesis, days, cyclone energy, most intense latitude, extremes.
-    Ties in intensity go to the earlier point."""
+def storm_stats(points: DataFrame, hours: float = 6.0, wind_limit: float = 0.0, by: str = "wind") -> DataFrame:
+    """A row a storm: genesis, days, cyclone energy, most intense latitude (by greatest
+    wind or least pres), extremes.  Ties in intensity go to the earlier point."""
+    intensity = {"wind": -F.col("wind"), "pres": F.col("pres")}[by]
     energy = F.when(F.col("wind") >= wind_limit, 1e-4 * F.pow(KNOTS * F.col("wind"), 2))
     first = F.min_by(F.struct("lat", "lon", "month", "year"), F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("pt")))
     return points.groupBy(*STORM).agg(
         first.alias("g"), F.nullif(F.count("wind") * (hours / 24), F.lit(0.0)).alias("tcd"), F.coalesce(F.sum(energy), F.lit(0.0)).alias("ace"),
-        F.min_by(F.abs("lat"), F.struct(-F.col("wind"), "pt")).alias("lmi"), F.min("pres").alias("minpres"), F.max("wind").alias("maxwind"), F.count(F.lit(1)).alias("points"),
+        F.min_by(F.abs("lat"), F.when(intensity.isNotNull(), F.struct(intensity, "pt"))).alias("lmi"), F.min("pres").alias("minpres"), F.max("wind").alias("maxwind"), F.count(F.lit(1)).alias("points"),
     ).select(*STORM, F.col("g.lat").alias("gen_lat"), F.col("g.lon").alias("gen_lon"), F.col("g.month").alias("month"), F.col("g.year").alias("year"), "tcd", "ace", "lmi", "minpres", "maxwind", "points")
 
 

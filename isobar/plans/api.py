@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import weight, weighted_mean
 from ..operators import reduce, regrid, stats, validate
-from ..sources.files import write_result
+from ..operators.windows import dispersion
+from ..sources.files import result_name, write_result
 from . import evaluations, plots
 from .config import ISOConfig, MJOConfig, TCConfig
 
@@ -140,8 +141,8 @@ class ReplicabilityTest(_Registry):
 
     def save_data(self, names: list[str], output: str) -> None:
         sizes, rejected = self._result(names)
-        write_result(sizes, f"{output}/effect_sizes")
-        write_result(rejected, f"{output}/test_results")
+        write_result(sizes, f"{output}/{result_name('effect_sizes', names)}")
+        write_result(rejected, f"{output}/{result_name('test_results', names)}")
 
     def report(self, *_: object) -> None:
         raise NotImplementedError("reports aren't made")
@@ -159,13 +160,132 @@ class Evaluation:
         except KeyError:
             raise AttributeError(name) from None
 
-    def save_data(self, output: str) -> None:
+    def save_data(self, output: str, names: list[str] | None = None, years: tuple[int, int] | None = None) -> None:
+        """Every table under its name, the datasets' and the years'."""
         for name, table in self.tables.items():
-            write_result(table, f"{output}/{name}")
+            write_result(table, f"{output}/{result_name(name, names, years)}")
+
+
+def _table(rows: DataFrame, columns: list[str], reference: str, by: list[str] | None = None) -> DataFrame:
+    """row (dataset), column and value with the column's limits; ``by`` columns go into
+    the column's name."""
+    long = rows.unpivot(["dataset", *(by or [])], columns, "metric", "value")
+    name = F.concat_ws(" ", "metric", *[F.col(c).cast("string") for c in by or []])
+    return plots.score_table(long.select(F.col("dataset").alias("row"), name.alias("column"), "value"), reference)
+
+
+class GeneralEvaluation(Evaluation):
+    def scores_table(self, variables: list[str] | None = None) -> DataFrame:
+        """Relative bias, relative error and correlation beside a reference row of ones."""
+        found = self.tables["scores"] if variables is None else self.tables["scores"].where(F.col("variable").isin(variables))
+        means = found.groupBy("variable").agg(*[F.avg(c).alias(c) for c in ("bias", "rmse", "r")])
+        ones = means.select("variable", *[F.lit(1.0).alias(c) for c in ("bias", "rmse", "r")]).withColumn("dataset", F.lit("reference"))
+        return _table(means.withColumn("dataset", F.lit("simulation")).unionByName(ones), ["bias", "rmse", "r"], "reference", ["variable"])
+
+
+class ISOEvaluation(Evaluation):
+    def eeof_plots(self, season: str) -> DataFrame:
+        """mode, copy (delay), lat, lon and scaled loading of a season's modes."""
+        part = F.split("feature", "[/@]")
+        return self.tables[f"eeof_{season}"].select("mode", part[2].cast("int").alias("copy"), part[0].cast("double").alias("lat"), part[1].cast("double").alias("lon"), F.col("loading").alias("value"))
+
+    def pc_plots(self, years: tuple[int, int], of: str = "sim") -> DataFrame:
+        """season, time, mode and standard component in the years."""
+        times = self.tables[f"labels_{of}"].select("sample", "time").where(F.year("time").between(*years))
+        return self.tables[f"pcs_{of}"].join(times, "sample").select("season", "time", "mode", F.col("std").alias("value"))
+
+    def freq_plot(self) -> DataFrame:
+        """dataset, month, metric (f1 winter family, f2 summer family) and share of days."""
+        of = [t.withColumn("dataset", F.lit(k[5:])) for k, t in self.tables.items() if k.startswith("freq_")]
+        return plots.lines(of[0] if len(of) == 1 else of[0].unionByName(of[1]), "month", ["f1", "f2"])
+
+
+class MJOEvaluation(Evaluation):
+    def ceof_plots(self) -> DataFrame:
+        """dataset (obs, sim_on_sim), mode, variable, lon and loading."""
+        part = F.split("feature", "/")
+        return self.tables["ceof"].where("dataset <> 'sim_on_obs'").select("dataset", "mode", part[0].alias("variable"), part[1].cast("double").alias("lon"), F.col("loading").alias("value"))
+
+    def lead_lag_corr_plot(self) -> DataFrame:
+        return self.tables["lead_lag"].select("dataset", "lag", "r")
+
+    def ceof_corr_table(self) -> DataFrame:
+        return _table(self.tables["ceof_scores"], ["ceof_corr"], "obs", ["mode"])
+
+    def ceof_bias_table(self) -> DataFrame:
+        """Biases of explained variance by mode, of the greatest correlation and the period."""
+        modes = _table(self.tables["ceof_scores"], ["explained_var_bias"], "obs", ["mode"])
+        return modes.unionByName(_table(self.tables["scores"].withColumn("period_bias", F.col("period_bias").cast("double")), ["max_corr_bias", "period_bias"], "obs"))
+
+    def _activity(self, value: str) -> DataFrame:
+        return self.tables["activity"].select("dataset", "phase", F.lit(value).alias("metric"), F.col(value).cast("double").alias("value"))
+
+    def mean_active_amplitude_plot(self) -> DataFrame:
+        return self._activity("active_amplitude")
+
+    def active_days_plot(self) -> DataFrame:
+        return self._activity("active_days")
+
+    def activity_per_phase_plots(self) -> DataFrame:
+        return self._activity("active_amplitude").unionByName(self._activity("active_days"))
+
+    def mean_amplitude_bias_table(self) -> DataFrame:
+        return _table(self.tables["activity"], ["active_amplitude_bias"], "obs", ["phase"])
+
+    def active_days_bias_table(self) -> DataFrame:
+        return _table(self.tables["activity"], ["active_days_bias"], "obs", ["phase"])
+
+    def activity_per_phase_bias_tables(self) -> DataFrame:
+        return self.mean_amplitude_bias_table().unionByName(self.active_days_bias_table().withColumns({c: F.col(c).cast("double") for c in ("value", "lo", "hi")}))
+
+    def power_spectrum_plots(self, variable: str, component: str = "symmetric") -> DataFrame:
+        """dataset, kind, wavenumber, frequency, value of a normalised spectrum, with the
+        waves' curves."""
+        own = self.tables["power"].where((F.col("variable") == variable) & (F.col("component") == component))
+        curves = dispersion(own.sparkSession)
+        parts = [plots.spectrum(own.where(F.col("dataset") == d), curves).withColumn("dataset", F.lit(d)) for d in ("obs", "sim")]
+        return parts[0].unionByName(parts[1])
+
+    def power_bias_table(self) -> DataFrame:
+        return _table(self.tables["power_scores"], ["ew_ratio_bias", "eo_ratio_bias", "period_bias"], "obs", ["variable"])
+
+
+class TCEvaluation(Evaluation):
+    def __init__(self, tables: dict[str, DataFrame], control: str):
+        super().__init__(tables)
+        self.control = control
+
+    def _of(self, name: str) -> DataFrame:
+        return _table(self.tables[name], [c for c in self.tables[name].columns if c != "dataset"], self.control)
+
+    def clim_bias_table(self) -> DataFrame:
+        return self._of("clim_bias")
+
+    def storm_bias_table(self) -> DataFrame:
+        return self._of("storm_bias")
+
+    def temp_corr_table(self) -> DataFrame:
+        return plots.score_table(self.tables["temporal_correlation"].select(F.col("dataset").alias("row"), F.col("metric").alias("column"), F.col("spearman").alias("value")), self.control)
+
+    def spatial_corr_table(self) -> DataFrame:
+        return plots.score_table(self.tables["spatial_correlation"].select(F.col("dataset").alias("row"), F.col("metric").alias("column"), "value"), self.control)
+
+    def linear_plots(self) -> DataFrame:
+        """dataset, cycle (month or year), at, metric, value."""
+        value = [c for c in ("count", "tcd", "ace", "pace", "lmi") if c in self.tables["monthly"].columns]
+        parts = [plots.lines(self.tables[t], x, value).withColumnRenamed(x, "at").withColumn("cycle", F.lit(x)) for t, x in (("monthly", "month"), ("yearly", "year"))]
+        return parts[0].unionByName(parts[1])
+
+    def spatial_plots(self) -> DataFrame:
+        """kind (density, bias), dataset, i, j, metric, value; empty cells of densities are
+        left out, biases are against the control."""
+        density = self.tables["maps"].unpivot(["dataset", "i", "j"], list(evaluations.MAPS), "metric", "value").where("value <> 0").withColumn("kind", F.lit("density"))
+        bias = self.tables["map_bias"].where(F.col("dataset") != self.control).unpivot(["dataset", "i", "j"], list(evaluations.MAPS), "metric", "value").withColumn("kind", F.lit("bias"))
+        return density.unionByName(bias)
 
 
 class ScientificEvaluation(_Registry):
-    def compute_general_scores(self, name: str, obs: DataFrame, variables: list[str]) -> Evaluation:
+    def compute_general_scores(self, name: str, obs: DataFrame, variables: list[str]) -> GeneralEvaluation:
         """Relative bias, relative error and pattern correlation, by variable."""
         cube, out = self._named([name])[0].cube, None
         for v in variables:
@@ -176,20 +296,20 @@ class ScientificEvaluation(_Registry):
             row = mean(reduce.absolute_bias(sim, o), "bias").join(mean(reduce.absolute_rmse(sim, o), "rmse"), "variable")
             row = row.join(mean(reduce.pattern_correlation(pairs, ["realization"]), "r"), "variable")
             out = row if out is None else out.unionByName(row)
-        return Evaluation({"scores": out})
+        return GeneralEvaluation({"scores": out})
 
-    def compute_iso_scores(self, name: str, config: ISOConfig | None = None, obs: DataFrame | None = None, years: tuple[int, int] | None = None, correct: bool = False) -> Evaluation:
+    def compute_iso_scores(self, name: str, config: ISOConfig | None = None, obs: DataFrame | None = None, years: tuple[int, int] | None = None, correct: bool = False) -> ISOEvaluation:
         """Extended modes of the intraseasonal oscillation, components, labels, monthly
         shares and, with observations, their skill."""
-        return Evaluation(evaluations.iso(self._named([name])[0].cube, obs, config, years, correct))
+        return ISOEvaluation(evaluations.iso(self._named([name])[0].cube, obs, config, years, correct))
 
-    def compute_mjo_scores(self, name: str, obs: DataFrame, config: MJOConfig | None = None, cycle: int = 365) -> Evaluation:
+    def compute_mjo_scores(self, name: str, obs: DataFrame, config: MJOConfig | None = None, cycle: int = 365) -> MJOEvaluation:
         """Combined modes, components, lead-lag curves, activity and spectra, with
         scores and biases."""
-        return Evaluation(evaluations.mjo(self._named([name])[0].cube, obs, config, cycle))
+        return MJOEvaluation(evaluations.mjo(self._named([name])[0].cube, obs, config, cycle))
 
     @staticmethod
-    def compute_tc_scores(points: DataFrame, control: str, years: float | dict[str, float], config: TCConfig | None = None) -> Evaluation:
+    def compute_tc_scores(points: DataFrame, control: str, years: float | dict[str, float], config: TCConfig | None = None) -> TCEvaluation:
         """Monthly, yearly, climatological and spatial metrics of tracks, biases and
         correlations against the control."""
-        return Evaluation(evaluations.tc(points, control, years, config))
+        return TCEvaluation(evaluations.tc(points, control, years, config), control)

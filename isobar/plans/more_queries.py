@@ -318,7 +318,7 @@ def src10(spark, d):
         F.col("user_id").alias("storm"), F.col("event_id").alias("step"), F.year("ts").alias("season"), F.col("ts").alias("time"), F.lit(10.0).alias("lat"),
         (F.col("event_id") % 360 - 180).cast("double").alias("lon"), F.col("value").alias("wind_kt"), (1000 - F.col("value") / 10).alias("pres_hpa"),
     )
-    return files.best_track(raw).select("storm", "step", "lon", "wind", "psl")
+    return files.best_track(raw, "plain").select("storm", "step", "lon", "wind", "psl")
 
 
 @query("val2_monotone", "SELECT 'monotone' AS \"check\", 'lon' AS subject, 'error' AS severity, 'not strictly monotone' AS detail")
@@ -495,3 +495,49 @@ def ev_tc_temporal(spark, d):
 @query("ev_tc_spatial_correlation", digits=5)
 def ev_tc_spatial(spark, d):
     return _tc(spark, d)["spatial_correlation"]
+
+
+@query("src10_best_track_layouts", """WITH e AS (SELECT user_id AS storm, CAST(event_id AS BIGINT) AS step, CAST(value AS DOUBLE) AS v, CAST(event_id % 360 - 180 AS DOUBLE) AS x FROM events)
+    SELECT 'v4' AS layout, storm, step, CASE WHEN x < 0 THEN x + 360 ELSE x END AS lon, round(v / 1.94384449, 5) AS wind, round((1010 - v / 7) * 100, 3) AS psl FROM e
+    UNION ALL SELECT 'v3', storm, step, CASE WHEN x < 0 THEN x + 360 ELSE x END, round(v * 0.1 / 1.94384449, 5), round(1010 - v / 7, 3) FROM e""", 5)
+def src10_layouts(spark, d):
+    e = B.table(spark, d, "events").select(F.col("user_id").alias("storm"), F.col("event_id").cast("long").alias("step"), F.lit(2024).alias("season"), F.col("ts").alias("time"), "value", (F.col("event_id") % 360 - 180).cast("double").alias("x"))
+    v4 = e.select("storm", "step", "season", "time", F.lit(10.0).alias("lat"), F.col("x").alias("lon"), F.col("value").alias("wmo_wind"), (F.lit(1010.0) - F.col("value") / 7).alias("wmo_pres"))
+    v3 = e.select("storm", "step", "season", "time", F.lit(1000.0).alias("lat_wmo"), (F.col("x") * 100).alias("lon_wmo"), F.col("value").alias("wind_wmo"), (F.lit(1010.0) - F.col("value") / 7).alias("pres_wmo"))
+    both = [files.best_track(raw, layout).select(F.lit(layout).alias("layout"), "storm", "step", F.round("lon", 6).alias("lon"), "wind", F.round("psl", 3).alias("psl")) for layout, raw in (("v4", v4), ("v3", v3))]
+    return both[0].unionByName(both[1])
+
+
+CELLS_SQL = """pts AS (SELECT c_custkey AS id, CAST((c_custkey * 37) % 179 - 89 AS DOUBLE) AS la, CAST((c_custkey * 101) % 360 AS DOUBLE) AS lo FROM customer),
+    cells AS (SELECT s_suppkey AS cell, (s_suppkey * 53) % 177 - 88 + 0.25::DOUBLE AS lat, (s_suppkey * 71) % 360 + 0.125::DOUBLE AS lon FROM supplier)"""
+
+
+@query("joi6_nearest_on_sphere", f"""WITH {CELLS_SQL}, d AS (SELECT id, cell, degrees(2 * asin(sqrt(least(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2), 1)))) AS distance FROM pts, cells)
+    SELECT id, arg_min(cell, (distance, cell)) AS cell, round(min(distance), 5) AS distance FROM d GROUP BY id""", 5)
+def joi6_sphere(spark, d):
+    from ..operators import detect
+
+    pts = B.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37) % 179 - 89).cast("double").alias("lat"), ((F.col("c_custkey") * 101) % 360).cast("double").alias("lon"))
+    cells = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), ((F.col("s_suppkey") * 53) % 177 - 88 + F.lit(0.25)).alias("lat"), ((F.col("s_suppkey") * 71) % 360 + F.lit(0.125)).alias("lon"))
+    return detect.nearest_cell(pts, cells)
+
+
+@query("src12_config", "SELECT 'tracks-' || s_suppkey AS file, s_name AS name, s_suppkey % 2 = 0 AS unstructured, CAST(s_nationkey % 5 + 1 AS INTEGER) AS members, CAST(s_suppkey % 40 + 1 AS INTEGER) AS years, s_suppkey / 4.0::DOUBLE AS wind_factor FROM supplier")
+def src12(spark, d):
+    """Settings written and read again."""
+    s = B.table(spark, d, "supplier")
+    settings = s.select(F.concat(F.lit("tracks-"), F.col("s_suppkey").cast("string")).alias("file"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("unstructured"), (F.col("s_nationkey") % 5 + 1).cast("int").alias("members"), (F.col("s_suppkey") % 40 + 1).cast("int").alias("years"), (F.col("s_suppkey") / 4).alias("wind_factor"))
+    path = scratch(spark, "config")
+    files.write_config(settings, path)
+    return files.read_config(spark, path)
+
+
+@query("snk1_3_results", f"WITH {B.COARSE} SELECT CAST(k AS INTEGER) AS k, lat, lon, round(value, 6) AS value FROM obs", 6)
+def snk13(spark, d):
+    """A result written under its datasets and years, as Parquet and as CSV, and read again."""
+    o, base = B.observed(spark, d), scratch(spark, "results")
+    path = f"{base}/{files.result_name('obs', ['first one', 'second'], (1995, 2001))}"
+    files.write_result(o, path)
+    files.write_result(o, f"{path}.csv", kind="csv")
+    a, b = spark.read.parquet(path), spark.read.csv(f"{path}.csv", header=True, schema=o.schema)
+    return a.join(b.withColumnRenamed("value", "again"), ["k", "lat", "lon"]).where(F.abs(F.col("value") - F.col("again")) < 1e-9).drop("again")

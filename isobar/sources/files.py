@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import os
+import re
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,10 +60,20 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def best_track(raw: DataFrame) -> DataFrame:
-    """storm, step, season, time, lat, lon, wind_kt, pres_hpa in SI units and
-    longitudes from 0 to 360."""
-    return raw.select("storm", "step", "season", "time", "lat", lon_wrap("lon").alias("lon"), (F.col("wind_kt") / KNOTS).alias("wind"), (F.col("pres_hpa") * 100).alias("psl"))
+def best_track(raw: DataFrame, layout: str = "v4", agency: str = "wmo") -> DataFrame:
+    """storm, step, season, time, lat, lon, wind (m/s), psl (Pa), with longitudes from 0
+    to 360.  Layouts: plain (wind_kt and pres_hpa); v4 (agency_wind in knots, agency_pres
+    in hPa); v3 (lat_agency and lon_agency in hundredths, wind_agency in tenths of a knot,
+    pres_agency as it is)."""
+    if layout == "v3":
+        lat, lon, wind, psl = F.col(f"lat_{agency}") * 0.01, F.col(f"lon_{agency}") * 0.01, F.col(f"wind_{agency}") * 0.1, F.col(f"pres_{agency}").cast("double")
+    elif layout == "v4":
+        lat, lon, wind, psl = F.col("lat"), F.col("lon"), F.col(f"{agency}_wind"), F.col(f"{agency}_pres") * 100
+    elif layout == "plain":
+        lat, lon, wind, psl = F.col("lat"), F.col("lon"), F.col("wind_kt"), F.col("pres_hpa") * 100
+    else:
+        raise ValueError(f"no layout {layout}")
+    return raw.select("storm", "step", "season", "time", lat.alias("lat"), lon.alias("_lon"), (wind / KNOTS).alias("wind"), psl.alias("psl")).withColumn("lon", lon_wrap("_lon")).drop("_lon")
 
 
 def read_observations(spark: SparkSession, folder: str, variables: list[str], sim_times: DataFrame, realization: int | None = None) -> DataFrame:
@@ -90,9 +101,15 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=False, comment="!", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 
 
+def write_config(settings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The same, as text that read_config() reads."""
+    fields = ["file", "name", "unstructured", "members", "years", "wind_factor"]
+    settings.select(F.concat_ws(", ", *[F.col(c).cast("string") for c in fields]).alias("value")).write.mode(mode).text(path)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue of variables from YAML: variable, check_enabled, long_name,
-    mask, units, min, max."""
+    mask, units, min, max, boundaries (how strictly the limits are meant)."""
     import yaml
 
     if not os.path.exists(path):
@@ -100,8 +117,8 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     with open(path, encoding="utf-8") as f:
         found = yaml.safe_load(f) or {}
     number = lambda x: None if x is None else float(x)
-    rows = [(v, bool(d.get("check_enabled")), d.get("long_name"), d.get("mask"), d.get("units"), number(d.get("min")), number(d.get("max"))) for v, d in found.items()]
-    return spark.createDataFrame(rows, "variable string, check_enabled boolean, long_name string, mask string, units string, min double, max double")
+    rows = [(v, bool(d.get("check_enabled")), d.get("long_name"), d.get("mask"), d.get("units"), number(d.get("min")), number(d.get("max")), d.get("boundaries")) for v, d in found.items()]
+    return spark.createDataFrame(rows, "variable string, check_enabled boolean, long_name string, mask string, units string, min double, max double, boundaries string")
 
 
 def parse_value(text: str) -> object:
@@ -126,6 +143,18 @@ def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None
     writer.csv(path, header=True) if kind == "csv" else writer.parquet(path)
 
 
+def result_name(kind: str, datasets: list[str] | None = None, years: tuple[int, int] | None = None) -> str:
+    """A result's name, with those of its datasets and its years."""
+    parts = [kind, *(["-".join(d.replace(" ", "_") for d in datasets)] if datasets else []), *([f"{years[0]}-{years[1]}"] if years else [])]
+    return "_".join(parts)
+
+
+def named_years(name: str) -> tuple[int, int] | None:
+    """The years that end a result's name."""
+    found = re.search(r"_([0-9]{4})-([0-9]{4})(?:\.[a-z]+)?$", name)
+    return (int(found[1]), int(found[2])) if found else None
+
+
 def result_path(output: str, name: str, single: bool = True) -> str:
     """Where a named result goes: in a folder under its name, or to the file itself
     where the method makes one result only."""
