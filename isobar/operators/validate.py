@@ -91,6 +91,11 @@ def same_grid(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return _rows(only, "compatible", F.concat_ws(",", *columns), "error", F.col("_s"))
 
 
+def year_span(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, finish: the first and last year of each."""
+    return cube.groupBy(*keys).agg(F.min(F.year("time")).alias("start"), F.max(F.year("time")).alias("finish"))
+
+
 def year_range(cube: DataFrame, start: int | None, end: int | None, time: str = "time") -> tuple[int, int]:
     """The years asked for, or the data's; within the data and in order."""
     lo, hi = cube.agg(F.min(F.year(time)), F.max(F.year(time))).first()
@@ -107,7 +112,9 @@ def report(checks: list[DataFrame]) -> DataFrame:
 
 
 def raise_errors(found: DataFrame) -> None:
-    """All errors at once."""
-    bad = found.where("severity = 'error'").limit(100).collect()
+    """All errors at once; of more than a hundred, a hundred and how many more."""
+    errors = found.where("severity = 'error'")
+    bad = errors.limit(101).collect()
     if bad:
-        raise InvalidData("; ".join(f"{r['check']} {r['subject']}: {r['detail']}" for r in bad))
+        more = f"; and {errors.count() - 100} more" if len(bad) > 100 else ""
+        raise InvalidData("; ".join(f"{r['check']} {r['subject']}: {r['detail']}" for r in bad[:100]) + more)

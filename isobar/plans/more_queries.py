@@ -73,10 +73,9 @@ def val11(spark, d):
     return validate.same_grid(c.where("variable = 'A'"), c.where("variable = 'R'"), ["realization", "lat", "lon"])
 
 
-@query("val13_year_range", "SELECT CAST(min(year(l_shipdate)) AS INTEGER) AS start, CAST(max(year(l_shipdate)) AS INTEGER) AS finish FROM lineitem")
+@query("val13_year_range", "SELECT l_returnflag AS variable, CAST(min(year(l_shipdate)) AS INTEGER) AS start, CAST(max(year(l_shipdate)) AS INTEGER) AS finish FROM lineitem GROUP BY l_returnflag")
 def val13(spark, d):
-    lo, hi = validate.year_range(B.cube(spark, d), None, None)
-    return spark.createDataFrame([(lo, hi)], "start int, finish int")
+    return validate.year_span(B.cube(spark, d), ["variable"])
 
 
 def _embedded(spark, d, features: int):
@@ -166,8 +165,8 @@ def agg25(spark, d):
 @query("agg27_eo_ratio", f"WITH {SPECTRUM_SQL}, p AS (SELECT variable, sum(power) AS p FROM spec WHERE {BOX} AND wavenumber BETWEEN 0 AND 4 GROUP BY variable) SELECT p.variable, round(p.p / o.p, 6) AS ratio FROM p, (SELECT p FROM p WHERE variable = 'view') o")
 def agg27(spark, d):
     p = spectrum.band_power(_spectrum(spark, d), ["variable"], frequency=(0.02, 0.2))
-    ref = p.where("variable = 'view'").select(F.col("power").alias("o")).withColumn("_1", F.lit(1))
-    return p.withColumn("_1", F.lit(1)).join(ref, "_1").select("variable", E.ratio("power", "o").alias("ratio"))
+    ref = p.where("variable = 'view'").select(F.col("power").alias("o"))
+    return p.crossJoin(F.broadcast(ref)).select("variable", E.ratio("power", "o").alias("ratio"))  # one row
 
 
 @query("spe8_dispersion", f"""WITH RECURSIVE k AS (SELECT 20.0::DOUBLE - CAST(i AS DOUBLE) * 40 / 49 AS wavenumber FROM (SELECT unnest(range(0, 50)) AS i)),
@@ -257,10 +256,16 @@ def fil1_2(spark, d):
     return B.cube(spark, d).where("variable IN ('A', 'N') AND realization = 3").drop("realization").groupBy("variable", "lat", "lon").agg(F.avg("value").alias("value"))
 
 
-@query("fil19_coarser_grid", f"WITH {B.COARSE} SELECT (SELECT min(d) FROM (SELECT lat - lag(lat) OVER (ORDER BY lat) AS d FROM (SELECT DISTINCT lat FROM obs))) AS lat_step, (SELECT min(d) FROM (SELECT lon - lag(lon) OVER (ORDER BY lon) AS d FROM (SELECT DISTINCT lon FROM obs))) AS lon_step")
+@query("fil19_coarser_grid", f"""WITH {B.CUBE}, {B.COARSE}, f AS (SELECT CAST(month(time) AS INTEGER) AS k, lat, lon, avg(value) AS value FROM (SELECT time, CAST(floor((lat + 90) / 30) * 30 - 75 AS DOUBLE) AS a, CAST(floor(lon / 90) * 90 AS DOUBLE) AS b, value, 0 AS z FROM cube), (SELECT unnest([0, 15]) AS u) g, (SELECT unnest([0, 45]) AS w) h, LATERAL (SELECT a + u AS lat, b + w AS lon) l WHERE a + u <= 75 GROUP BY ALL)
+    SELECT 'fine' AS "from", k, lat, lon, round(value, 6) AS value FROM f WHERE (lat + 75) % 30 = 0 AND lon % 90 = 0
+    UNION ALL SELECT 'coarse', CAST(k AS INTEGER), lat, lon, round(value, 6) FROM obs""", 6)
 def fil19(spark, d):
-    o = B.observed(spark, d)
-    return spark.createDataFrame([(regrid.spacing(o, "lat"), regrid.spacing(o, "lon"))], "lat_step double, lon_step double")
+    """Months on a grid of 15 by 45 degrees meet the coarse grid, and are brought onto it."""
+    c = B.cube(spark, d).select(F.month("time").alias("k"), (F.floor((F.col("lat") + 90) / 30) * 30 - 75).cast("double").alias("a"), (F.floor(F.col("lon") / 90) * 90).cast("double").alias("b"), "value")
+    spread = c.withColumn("u", F.explode(F.array(F.lit(0), F.lit(15)))).withColumn("w", F.explode(F.array(F.lit(0), F.lit(45)))).where("a + u <= 75")
+    fine = spread.groupBy("k", (F.col("a") + F.col("u")).alias("lat"), (F.col("b") + F.col("w")).alias("lon")).agg(F.avg("value").alias("value"))
+    a, b = regrid.to_coarser(fine, B.observed(spark, d), ["k"])
+    return a.select(F.lit("fine").alias("from"), "k", "lat", "lon", "value").unionByName(b.select(F.lit("coarse").alias("from"), "k", "lat", "lon", "value"))
 
 
 @query("joi2_climatology_anomaly", f"WITH {B.COARSE} SELECT CAST(k AS INTEGER) AS k, lat, lon, round(value - avg(value) OVER (PARTITION BY lat, lon, k % 12), 6) AS value FROM obs")
@@ -321,7 +326,9 @@ def src10(spark, d):
     return files.best_track(raw, "plain").select("storm", "step", "lon", "wind", "psl")
 
 
-@query("val2_monotone", "SELECT 'monotone' AS \"check\", 'lon' AS subject, 'error' AS severity, 'not strictly monotone' AS detail")
+@query("val2_monotone", """WITH x AS (SELECT 'lat' AS subject, n_nationkey AS n, CAST(n_nationkey AS DOUBLE) AS v FROM nation UNION ALL SELECT 'lon', n_nationkey, n_nationkey % 3 FROM nation),
+    s AS (SELECT subject, sign(v - lag(v) OVER (PARTITION BY subject ORDER BY n)) AS s FROM x)
+    SELECT 'monotone' AS "check", subject, 'error' AS severity, 'not strictly monotone' AS detail FROM s WHERE s IS NOT NULL GROUP BY subject HAVING NOT (min(s) = max(s) AND min(s) <> 0)""")
 def val2(spark, d):
     e = B.table(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_nationkey") % 3).cast("double").alias("lon"))
     return validate.report([validate.monotone(e, "lat", "n_nationkey"), validate.monotone(e, "lon", "n_nationkey")])
