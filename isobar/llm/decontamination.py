@@ -116,7 +116,9 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataF
 
     same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
     some = docs.select("doc_id", whole().alias("text")).select(*_key(), "text").join(if_small(starts), same_row)
-    some = some.select("doc_id", "_text", lower_words(F.col("text")).alias("words"), F.explode("starts").alias("x"))
+    some = some.select("doc_id", "_text", lower_words(F.col("text")).alias("words"), "starts")
+    # The generator asks for the words, so that a text is split once, not for each start.
+    some = some.select("doc_id", "_text", "words", F.explode(F.when(F.size("words") > 0, F.col("starts"))).alias("x"))
     placed = some.select("doc_id", "_text", _same(F.col("words"), F.col("x.start"), F.col("x.n")).alias("same"), "x.start", "x.n")
     known = each.select("same", "n")
     hits = Written(placed.join(F.broadcast(known) if few else known, ["same", "n"], "left_semi").distinct(), "hits").df
