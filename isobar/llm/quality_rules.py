@@ -82,9 +82,15 @@ def _rules() -> dict[str, Column]:
     }
 
 
+#: Documents that the prior weighs as much as, at most.
+MOST_WEIGHT = 1000.0
+
+
 def host_rates(rules: DataFrame) -> DataFrame:
     """By host: documents, and for each rule its failures' rate shrunk by a beta
-    prior whose two parameters are fitted to the hosts' rates by moments."""
+    prior whose two parameters are fitted to the hosts' rates by moments.  The prior
+    weighs as much as 2 documents at least and ``MOST_WEIGHT`` at most, where hosts
+    differ more than any beta distribution or hardly at all."""
     names = list(_rules())
     hosts = rules.where(F.col("host").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(f"k_{r}") for r, c in _rules().items()]
@@ -98,7 +104,7 @@ def host_rates(rules: DataFrame) -> DataFrame:
     for r in names:  # three rules, one row of moments
         mean = ((moments[f"k_{r}"] or 0) + 1) / ((moments["n"] or 0) + 2)
         variance = max(moments[f"v_{r}"] or 0.0, 1e-9)
-        weight = min(max(mean * (1 - mean) / variance - 1, 2.0), 1000.0)
+        weight = min(max(mean * (1 - mean) / variance - 1, 2.0), MOST_WEIGHT)
         shrunk.append(((F.col(f"k_{r}") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))).alias(f"rate_{r}"))
     return hosts.select("host", F.col("n").alias("host_docs"), *shrunk)
 

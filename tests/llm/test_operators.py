@@ -577,6 +577,32 @@ def test_empty_tables(spark, none):
         assert made.count() == 0
 
 
+def test_a_very_long_text(spark):
+    """1.4 million characters, more than is taken at once, among short ones."""
+    import random
+
+    rng = random.Random(12)
+    long = "\n".join(f"line {k} {rng.randrange(10**6)} of Words{rng.randrange(3000)}, é and a@b{k}.com" for k in range(32_000))
+    assert len(long) > bpe_codec.TAKE
+    rows = [(1, "short one"), (2, long), (3, None), (4, "short two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path
+    tok = library("word_bpe_49k.json")
+    got = {r["doc_id"]: r for r in bpe_codec.encode_decode(docs, path("word_bpe_49k.json")).collect()}
+    ids = tok.encode(long, add_special_tokens=False).ids
+    assert got[2]["ids"] == " ".join(map(str, ids)) and got[2]["decoded"] == tok.decode(ids, skip_special_tokens=False) and got[3]["ids"] == ""
+    n = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path("byte_bpe_50k.json")).collect()}
+    assert n[2] == len(library("byte_bpe_50k.json").encode(long, add_special_tokens=False).ids)
+    fp = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()}
+    assert fp[2] == f"{fingerprint(long):016x}"
+    assert {r["doc_id"]: r["n_tokens"] for r in lm_scoring.lm_scores(docs).collect()} == {i: len(words(t)) + 1 for i, t in rows}
+    same(line_dedup.dedup_lines(docs).collect(), list(deduplicated(rows)))
+    assert {r["doc_id"]: r["n_email"] for r in summary(personal_data(docs)).collect()} == {1: 0, 2: 32_000, 3: 0, 4: 0}
+    item = " ".join(bench_words(long)[-13:])
+    hit = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.decontaminate(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert hit[2] == (len(bench_words(long)), 13) and hit[1] == (2, 0)
+
+
 def test_personal_data_of_awkward_rows(docs, texts):
     got = summary(personal_data(docs.withColumn("text", F.when(F.col("doc_id") == 303, "a@b.c 1.2.3.4").otherwise(F.col("text"))))).collect()
     assert len(got) == len(texts) and {r["spans"] for r in got} == {"", "email:0:5,ip:6:13"}
