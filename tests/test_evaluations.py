@@ -122,7 +122,7 @@ def test_mjo(spark):
         assert days["days"].sum() == len(own)
         level = np.hypot(own[:, 0], own[:, 1])
         assert days["active_days"].sum() == (level > level.mean()).sum()
-    ps = got["power_scores"].set_index(["dataset", "variable"])
+    ps = got["power_scores"].set_index(["dataset", "variable"]).sort_index()
     assert np.allclose(ps.loc["obs"]["eo_ratio"], 1) and np.allclose(ps.loc["sim"]["eo_ratio_bias"], ps.loc["sim"]["eo_ratio"] - 1)
     assert np.allclose(ps.loc["sim"]["ew_ratio_bias"], ps.loc["sim"]["ew_ratio"] - ps.loc["obs"]["ew_ratio"])
 
