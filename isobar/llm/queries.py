@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentencepiece_codec
 from .bpe_codec import digests, encode_decode
+from .collocations import collocations
 from .common import table
 from .decontamination import decontaminate
 from .line_dedup import dedup_report
@@ -16,6 +18,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .sharding import shard_table
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .token_counts import token_counts
 
 
@@ -62,7 +65,19 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op7_lm_scoring, op8_sharding, op9_pii, op10_line_dedup)}
+def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_bpe_codec, op3_token_counts, op4_quality_classifier, op5_simhash, op6_decontamination, op7_lm_scoring, op8_sharding, op9_pii, op10_line_dedup, op11_sentencepiece_codec, op12_collocations, op13_spelling_variants)}
 
 ORACLE_SQL: dict[str, str] = {}
 
