@@ -134,3 +134,44 @@ f AS (SELECT doc_id, t, coalesce(len(cut), 0) AS n,
       FROM d LEFT JOIN cut USING (r))
 SELECT doc_id, CAST(n AS BIGINT) AS n_removed, CAST(length(t) - length(k) AS BIGINT) AS n_chars_removed, sha256(k) AS text_sha256 FROM f
 """
+
+ORACLE_SQL["op12_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT row_number() OVER () AS q, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+w AS (SELECT q, lang, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM q),
+s AS (SELECT lang, w, lead(w, 1) OVER p AS x, lead(w, 2) OVER p AS y, lead(w, 3) OVER p AS z, lead(w, 4) OVER p AS u FROM w WINDOW p AS (PARTITION BY q ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w AS phrase FROM s UNION ALL SELECT lang, 2, w || ' ' || x FROM s WHERE x IS NOT NULL UNION ALL SELECT lang, 3, w || ' ' || x || ' ' || y FROM s WHERE y IS NOT NULL
+      UNION ALL SELECT lang, 4, w || ' ' || x || ' ' || y || ' ' || z FROM s WHERE z IS NOT NULL UNION ALL SELECT lang, 5, w || ' ' || x || ' ' || y || ' ' || z || ' ' || u FROM s WHERE u IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+total AS MATERIALIZED (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT * FROM f WHERE f >= 100),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE m > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, total.n, (1000::HUGEINT * c.a * total.n) // (l.f::HUGEINT * r.f) AS score
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c JOIN total ON total.lang = c.lang
+        JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ') JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k+1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, a AS f, array_to_string(w[i:i+s-1], ' ') AS phrase FROM cand, range(2, 5) t(s), range(1, 5) u(i) WHERE s < m AND i + s - 1 <= m)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM low WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = low.lang AND sub.phrase = low.phrase AND sub.f >= low.a) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda c: list_reduce(range(0, 8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, c)) AS t),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS x FROM o GROUP BY id, run),
+b AS (SELECT run, k, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i:i+1] AS BIGINT)) AS bytes FROM c),
+h AS (SELECT run, k, xor(list_reduce(bytes, lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b, steps),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+del AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pair AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM del a JOIN del b ON a.s = b.s AND a.p = b.p WHERE a.word <> b.word
+         UNION SELECT a.word, a.n, b.word, b.n FROM del a JOIN words b ON a.s = b.word
+         UNION SELECT b.word, b.n, a.word, a.n FROM del a JOIN words b ON a.s = b.word),
+v AS (SELECT word, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM pair GROUP BY word),
+f AS MATERIALIZED (SELECT word, n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v),
+r AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, root FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.word = r.root AND f.form IS NOT NULL))
+SELECT word, n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, word) AS root FROM words LEFT JOIN f USING (word) LEFT JOIN last USING (word)
+"""

@@ -59,7 +59,8 @@ def test_pipeline_equals_plain_stages(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     ours, theirs = QUERIES[name](spark, FOLDER).toPandas(), oracle(ORACLE_SQL[name], FOLDER)
-    assert as_rows(ours) == as_rows(theirs)
+    whole = {c: "Int64" for c, kind in theirs.dtypes.items() if str(kind) == "Int64"}  # pandas makes floats of longs beside nulls
+    assert as_rows(ours.astype(whole)) == as_rows(theirs)
 
 
 def test_every_operator_has_a_query():
