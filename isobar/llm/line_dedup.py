@@ -1,24 +1,26 @@
 """Line dedup by overlapping three-line windows.
 
 Lines are hashed, three consecutive ones are a window, and windows found more than
-once anywhere are repeated.  The first occurrence, by document id and position,
-stays; the positions that later occurrences cover are merged, and all of them go,
-however short.  Each line that goes still stands where its window came first.
-
-What ends a line is a parameter.  ``CLAUSES``, the default, are line feeds and
-punctuation that ends a sentence or clause, as repeated passages stand inside longer
-lines, at differing places, where line feeds alone don't show their edges;
-``FEEDS`` are line feeds alone.
-
-Windows and texts are told apart by 64 bits.  Counts and minima are pre-aggregated;
-a hot window's occurrences meet one row in a join that Spark splits where it is
-skewed.  The plan is the same at every size: the positions of a document meet its
-row in a shuffled join, and nothing is broadcast.
+once anywhere are repeated.  The first occurrence stays; the positions that later
+occurrences cover are merged, and all of them go, however short.  Each line that goes
+still stands where its window came first.
+
+What ends a line is a parameter, a pattern of the places between lines.  ``FEEDS``, the
+default, are those behind line feeds; ``SENTENCES`` also those behind a full stop,
+exclamation or question mark that white space follows, for passages that repeat inside
+longer lines.  Neither cuts a word.
+
+Rows are numbered once, in a written table, so that rows of equal id and text are
+documents of their own.  Occurrences are in the order of ids (null first), of the
+text's hash where ids are equal, and of the rows' numbers where texts are.  Windows are
+told apart by 64 bits.  Counts and minima are pre-aggregated; a hot window's occurrences
+meet one row in a join that Spark splits where it is skewed.  The plan is the same at
+every size: a row's positions meet it in a shuffled join, and nothing is broadcast.
 
 Cases: null texts stay null and empty ones empty; fewer than three lines have no
-window; rows of equal id and text count as one document; null ids come first; an
-empty table gives an empty result; all other columns pass through, whatever their
-names, but n_chars, which is counted anew where the text has changed.
+window; of repeated rows the first one stays, whether ids are null or not; an empty
+table gives an empty result; all other columns pass through, whatever their names, but
+n_chars, which is counted anew where the text has changed.
 """
 
 from __future__ import annotations
@@ -29,46 +31,43 @@ from pyspark.sql import functions as F
 from .common import Written
 
 LINES = 3
-#: What ends a line.
-FEEDS, CLAUSES = "\n", ".,;:!?\n、。！，：；？…"
+#: Where a line ends.
+FEEDS, SENTENCES = r"(?<=\n)(?!\n)", r"(?<=\n)(?!\n)|(?<=[.!?])(?=[\x20\x09-\x0D])"
 BLANK = " \t\n\r\x0b\x0c"
 
 
-def lines(text: Column, ends: str = CLAUSES) -> Column:
-    """The lines, each with what ends it; joined, they are the text.  Where a text has
-    no character beyond Latin letters, the ends beyond them are left out of its pattern,
-    which is far faster and finds the same."""
-    found = lambda e: F.regexp_extract_all(text, F.lit(f"[^{e}]+[{e}]*|[{e}]+"), F.lit(0))
-    latin = "".join(c for c in ends if c < "\u0100")
-    return found(ends) if latin == ends else F.when(text.rlike("[^\\x00-\xff]"), found(ends)).otherwise(found(latin))
+def lines(text: Column, ends: str = FEEDS) -> Column:
+    """The lines, each with what ends it; joined, they are the text."""
+    return F.array_remove(F.split(text, ends, -1), "")
 
 
-def _key(text: Column) -> Column:
-    """Tells texts of one id apart; null as empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def numbered(docs: DataFrame) -> Written:
+    """row (a document as it is), number."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return Written(rows.select("row", F.monotonically_increasing_id().alias("number")), "rows")
 
 
-def occurrences(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
-    """doc, key, p, a: each window's document, first line and hash."""
-    hashed = F.transform(lines(F.col("text"), ends), lambda x: F.xxhash64(F.btrim(x, F.lit(BLANK))))
-    split = docs.select(F.col("doc_id").alias("doc"), _key(F.col("text")).alias("key"), hashed.alias("l"))
-    starts = F.when(F.size("l") >= LINES, F.sequence(F.lit(0), F.size("l") - LINES))
-    placed = split.select("doc", "key", "l", F.explode(starts).alias("p"))
-    return placed.select("doc", "key", "p", F.xxhash64(*[F.get("l", F.col("p") + k) for k in range(LINES)]).alias("a"))
+def occurrences(rows: DataFrame, ends: str = FEEDS) -> DataFrame:
+    """doc, key, number, p, a: each window's document, first line and hash."""
+    hashed = F.transform(lines(F.col("row.text"), ends), lambda x: F.xxhash64(F.btrim(x, F.lit(BLANK))))
+    split = rows.select(F.col("row.doc_id").alias("doc"), F.xxhash64("row.text").alias("key"), "number", hashed.alias("l")).where(F.size("l") >= LINES)
+    placed = split.select("doc", "key", "number", "l", F.explode(F.sequence(F.lit(0), F.size("l") - LINES)).alias("p"))
+    return placed.select("doc", "key", "number", "p", F.xxhash64(*[F.get("l", F.col("p") + k) for k in range(LINES)]).alias("a"))
 
 
-def marks(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
-    """doc, key, cut: the positions that later occurrences of repeated windows cover."""
-    every = Written(occurrences(docs, ends), "windows")
+def marks(rows: DataFrame, ends: str = FEEDS) -> DataFrame:
+    """number, cut: the positions that later occurrences of repeated windows cover."""
+    every = Written(occurrences(rows, ends), "windows")
     twice = Written(every.df.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
     met = Written(every.df.join(twice.df, "a", "left_semi"), "met")
     every.drop()
     twice.drop()
-    place = F.struct("doc", "key", "p")
+    place = F.struct("doc", "key", "number", "p")
     # Written, so that both sides of the join are exchanges and Spark can split a hot window's rows.
     first = Written(met.df.groupBy("a").agg(F.min(place).alias("first")), "first")
-    later = met.df.join(first.df, "a").where(~place.eqNullSafe(F.col("first"))).select("doc", "key", F.explode(F.sequence("p", F.col("p") + (LINES - 1))).alias("p"))
-    out = Written(later.groupBy("doc", "key").agg(F.array_sort(F.collect_set("p")).alias("cut")), "marks").df
+    later = met.df.join(first.df, "a").where((F.col("number") != F.col("first.number")) | (F.col("p") != F.col("first.p")))
+    covered = later.select("number", F.explode(F.sequence("p", F.col("p") + (LINES - 1))).alias("p"))
+    out = Written(covered.groupBy("number").agg(F.array_sort(F.collect_set("p")).alias("cut")), "marks").df
     met.drop()
     first.drop()
     return out
@@ -76,16 +75,15 @@ def marks(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
 
 def _with_cuts(docs: DataFrame, ends: str) -> DataFrame:
     """row (a document as it is), cut (null: nothing repeats), text without the cut."""
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _key(F.col("text")).alias("hash"))
-    found = found.join(marks(docs, ends), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("key")), "left")
-    own = F.when(F.col("cut").isNotNull(), lines(F.col("row.text"), ends))
-    found = found.withColumn("own", own)
+    rows = numbered(docs).df
+    found = rows.join(marks(rows, ends), "number", "left")
+    found = found.withColumn("own", F.when(F.col("cut").isNotNull(), lines(F.col("row.text"), ends)))
     left = F.array_except(F.sequence(F.lit(0), F.size("own") - 1), F.col("cut"))
     rest = F.array_join(F.transform(left, lambda i: F.get("own", i)), "")
     return found.select("row", "cut", F.when(F.col("cut").isNotNull(), rest).otherwise(F.col("row.text")).alias("text"))
 
 
-def dedup_lines(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
+def dedup_lines(docs: DataFrame, ends: str = FEEDS) -> DataFrame:
     """The documents without the lines that repeat earlier ones; every row stays."""
     found = _with_cuts(docs, ends)
     new = {"text": F.col("text")}
@@ -94,7 +92,7 @@ def dedup_lines(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
     return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def dedup_report(docs: DataFrame, ends: str = CLAUSES) -> DataFrame:
+def dedup_report(docs: DataFrame, ends: str = FEEDS) -> DataFrame:
     """doc_id, lines and characters that went, and the text left."""
     found = _with_cuts(docs.select("doc_id", "text"), ends)
     length = lambda text: F.length(F.coalesce(text, F.lit("")))

@@ -124,10 +124,10 @@ FROM low LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 ORACLE_SQL["op10_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
-                  regexp_extract_all(coalesce(text, ''), '[^.,;:!?\n、。！，：；？…]+[.,;:!?\n、。！，：；？…]*|[.,;:!?\n、。！，：；？…]+') AS l FROM documents),
+                  regexp_extract_all(coalesce(text, ''), '[^\n]+\n*|\n+') AS l FROM documents),
 k AS (SELECT r, doc_id, l, list_transform(l, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS k FROM d),
 w AS (SELECT r, doc_id, i, k[i:i+2] AS g FROM (SELECT *, unnest(range(1, len(l) - 1)) AS i FROM k WHERE len(l) >= 3)),
-o AS (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w),
+o AS (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, r, i) AS k FROM w),
 cut AS (SELECT r, list(p) AS cut FROM (SELECT DISTINCT r, unnest(range(i, i + 3)) AS p FROM o WHERE k > 1) GROUP BY r),
 f AS (SELECT doc_id, t, coalesce(len(cut), 0) AS n,
              CASE WHEN cut IS NULL THEN t ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(cut, i)), lambda i: l[i]), '') END AS k
