@@ -13,8 +13,9 @@ def stars(links: DataFrame) -> DataFrame:
     the smallest node of the component.
 
     Rounds of two steps: every node's larger neighbours, then its smaller ones,
-    are linked to the smallest neighbour.  Minima are pre-aggregated; a hub's
-    links meet its one minimum in a join that Spark splits where it is skewed.
+    are linked to the smallest neighbour.  Minima are pre-aggregated and written, so
+    that an exchange stands on both sides of the join in which a hub's links meet its
+    one minimum, and Spark splits it where it is skewed.
     A round is written to the shared folder, and the rounds end when one leaves
     the links as they were.  Self-links are ignored; no link gives no row.
     """
@@ -22,13 +23,14 @@ def stars(links: DataFrame) -> DataFrame:
     before = None
     while before != (before := _mark(now.df)):
         both = now.df.union(now.df.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        own = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(own, "a")
-        turned = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own.toDF("a", "b")).distinct()
+        least = Written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(least.df, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = Written(large, "large")
+        own = Written(large.df.groupBy("a").agg(F.min("b").alias("m")), "own")
+        turned = large.df.join(own.df, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own.df.toDF("a", "b")).distinct()
         after = Written(turned, "links")
-        now.drop()
+        for done in (now, least, large, own):
+            done.drop()
         now = after
     return now.df.toDF("node", "root")
 

@@ -103,7 +103,9 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataF
     tokens = inside.select("h").distinct()
     few = tokens.count() <= BROADCAST_ROWS
     held = _shingles(split.select("words"), lengths).select("h")
-    rarity = Written(held.join(F.broadcast(tokens) if few else tokens, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df")), "rarity").df
+    # Beyond what is broadcast, counts come first, so that a hot shingle is a row a task.
+    counted = lambda df: df.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    rarity = Written(counted(held.join(F.broadcast(tokens), "h", "left_semi")) if few else counted(held).join(tokens, "h", "left_semi"), "rarity").df
 
     # A window's shingles, nine at most: one that no document holds rules the window out.
     ordered = F.array_sort(F.collect_list(F.struct("df", "h", "at")))[0]
@@ -121,7 +123,7 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataF
     some = some.select("doc_id", "_text", "words", F.explode(F.when(F.size("words") > 0, F.col("starts"))).alias("x"))
     placed = some.select("doc_id", "_text", _same(F.col("words"), F.col("x.start"), F.col("x.n")).alias("same"), "x.start", "x.n")
     known = each.select("same", "n")
-    hits = Written(placed.join(F.broadcast(known) if few else known, ["same", "n"], "left_semi").distinct(), "hits").df
+    hits = Written(placed.join(if_small(known), ["same", "n"], "left_semi").distinct(), "hits").df
 
     spans = hits.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
     # Words covered: each span counts from where those before it ended.
@@ -129,8 +131,8 @@ def _judged(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataF
         "spans", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["sum"] + F.greatest(x["end"] - F.greatest(a["end"], x["start"]), F.lit(0))).alias("sum"), F.greatest(a["end"], x["end"]).alias("end")),
     )["sum"]
-    of = each.select("same", F.explode("items.item_id").alias("item"))
-    named = hits.select("doc_id", "_text", "same").distinct().join(F.broadcast(of) if few else of, "same")
+    of = Written(each.select("same", F.explode("items.item_id").alias("item")), "items").df
+    named = hits.select("doc_id", "_text", "same").distinct().join(if_small(of), "same")
     names = F.sort_array(F.collect_set(F.struct(F.col("item").cast("string").alias("item"))))["item"]  # sets drop bare nulls
     named = named.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(names.alias("items"))
     found = spans.select("doc_id", "_text", covered.cast("long").alias("hit")).join(named, same_row, "left").drop("_id", "_hash")

@@ -509,58 +509,94 @@ def test_first_cut_is_the_plain_weighted_median(spark):
 # 10
 
 
-UNITS = {ends: re.compile(f"[^{ends}]+[{ends}]*|[{ends}]+") for ends in (line_dedup.CLAUSES, line_dedup.FEEDS)}
-UNIT = UNITS[line_dedup.CLAUSES]
-
-
-def deduplicated(rows, unit=UNIT):
-    distinct = sorted({(i is not None, i, t or "") for i, t in rows}, key=lambda x: (x[0], x[1] or 0, x[2]))
-    occ = defaultdict(list)
-    for _, i, t in distinct:
-        u = unit.findall(t)
-        for k in range(len(u) - 2):
-            occ[tuple(x.strip(" \t\n\r\x0b\x0c") for x in u[k : k + 3])].append((i, t, k))
-    cut = defaultdict(set)
-    for v in occ.values():
-        for i, t, k in v[1:]:
-            cut[i, t] |= {k, k + 1, k + 2}
-    for i, t in rows:
-        yield i, t if t is None else "".join(x for k, x in enumerate(unit.findall(t)) if k not in cut[i, t])
-
-
-@pytest.mark.parametrize("ends", UNITS)
-def test_line_dedup(docs, texts, ends):
-    plain = [x for x in texts if x[0] != 8]  # texts of one id are ordered by their hashes
-    got = line_dedup.dedup_lines(docs.where("doc_id IS NULL OR doc_id <> 8"), ends)
-    assert got.columns == docs.columns
+def deduplicated(rows, ends=line_dedup.FEEDS):
+    """Every row a document of its own; equal ids go by the text's hash."""
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, signed(rows[k][1]), k))
+    units = [[x for x in re.split(ends, t or "") if x] for _, t in rows]
+    seen, cut = set(), defaultdict(set)
+    for r in order:
+        for k in range(len(units[r]) - 2):
+            window = tuple(x.strip(" \t\n\r\x0b\x0c") for x in units[r][k : k + 3])
+            if window in seen:
+                cut[r] |= {k, k + 1, k + 2}
+            seen.add(window)
+    return [(i, t if t is None else "".join(x for k, x in enumerate(units[r]) if k not in cut[r])) for r, (i, t) in enumerate(rows)]
+
+
+ENDS = {"feeds": line_dedup.FEEDS, "sentences": line_dedup.SENTENCES}
+
+
+@pytest.mark.parametrize("ends", ENDS)
+def test_line_dedup(docs, texts, ends, spark):
+    page = "one\ntwo\n\nthree\nfour. five! six? seven\n"
+    more = [(9, page), (9, page), (9, "zero\n" + page), (9, page + "eight\nnine"), (None, page), (None, page), (400, "zero\n" + page * 3), (401, "\n\n" + page)]
+    made = docs.unionByName(spark.createDataFrame([(i, t, len(t)) for i, t in more], "doc_id long, text string, n_chars long"), True)
+    got = line_dedup.dedup_lines(made, ENDS[ends])
+    assert got.columns == made.columns
     rows = got.select("doc_id", "text", "n_chars").collect()
-    same([r[:2] for r in rows], list(deduplicated(plain, UNITS[ends])))
+    want = deduplicated([*texts, *more], ENDS[ends])
+    same([r[:2] for r in rows], want)
+    assert sum(t == "" for i, t in want) > 3
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_words_stay_whole(spark):
+    """Marks inside words end no line."""
+    rows = [(1, "See http://www.bbc.co.uk/a and 1.5 or a@b.c.d today. More to come"), (2, "Our shop is at http://www.bbc.co.uk/b and 1.5 or a@b.c.d always. More to come")]
+    for ends in ENDS.values():
+        same(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), ends).collect(), rows)
+
+
+@pytest.mark.parametrize("doc_id", [None, 9])
+def test_of_repeated_rows_one_stays(spark, doc_id):
+    text = "one\ntwo\nthree\nfour"
+    docs = spark.createDataFrame([(doc_id, text)] * 5, "doc_id long, text string").repartition(3)
+    same(line_dedup.dedup_lines(docs).collect(), [(doc_id, text)] + [(doc_id, "")] * 4)
+    assert sorted(r["n_removed"] for r in line_dedup.dedup_report(docs).collect()) == [0, 4, 4, 4, 4]
+
+
+def test_line_dedup_of_awkward_rows_equals_sql(spark):
+    """Repeated and null-id rows by the query's own SQL."""
+    import duckdb
+
+    from isobar.llm.queries import ORACLE_SQL
+
+    text = "one\ntwo\n\nthree \n four"
+    rows = [(None, text), (None, text), (9, text), (9, text), (10, "x\n" + text), (11, None), (12, ""), (13, "three\nfour\nfive"), (14, "three\nfour\nfive\n")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    columns = ["doc_id", "n_removed", "n_chars_removed", "text_sha256"]
+    want = [tuple(r) for r in con.execute(ORACLE_SQL["op10_line_dedup"]).fetchall()]
+    got = line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).select(columns).collect(), want)
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
-    rows = [(1, "a. b. c. d.", 1, 2, 3, 4, 5), (2, "a. b. c. e.", 6, 7, 8, 9, 10), (None, None, 1, 1, 1, 1, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, cut int, __text int, row int, `a.b` int, key int")
+    rows = [(1, "a\nb\nc\nd", 1, 2, 3, 4, 5), (2, "a\nb\nc\ne", 6, 7, 8, 9, 10), (None, None, 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut int, number int, row int, `a.b` int, key int")
     got = line_dedup.dedup_lines(docs)
     assert got.dtypes == docs.dtypes
-    same(got.collect(), [rows[0], (2, " e.", *rows[1][2:]), rows[2]])
+    same(got.collect(), [rows[0], (2, "e", *rows[1][2:]), rows[2]])
 
 
-def test_a_window_stays_once(docs):
+@pytest.mark.parametrize("ends", ENDS.values())
+def test_a_window_stays_once(docs, ends):
     """Whatever repeats is still there in one place."""
-    rows = [r["text"] or "" for r in line_dedup.dedup_lines(docs).select("text").collect()]
+    rows = [r["text"] or "" for r in line_dedup.dedup_lines(docs, ends).select("text").collect()]
     before = {r["text"] for r in docs.select("text").collect()}
     for t in before - {None}:
-        for piece in UNIT.findall(t):
+        for piece in re.split(ends, t):
             assert any(piece.strip() in x for x in rows)
 
 
 def test_every_later_window_goes(spark):
     """Short ones, and those beside a first occurrence."""
-    p = "p one, p two, p three,"
-    rows = [(1, f"a1, {p} a2,"), (2, f"x1, x2, {p} y1, y2,"), (3, f"x1, x2, {p} y1, y2,"), (4, "home. news. help."), (5, "home. news. help.")]
+    p = "p one\np two\np three\n"
+    rows = [(1, f"a1\n{p}a2\n"), (2, f"x1\nx2\n{p}y1\ny2\n"), (3, f"x1\nx2\n{p}y1\ny2\n"), (4, "home\nnews\nhelp"), (5, "home\nnews\nhelp")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    same(got, [rows[0], (2, "x1, x2, y1, y2,"), (3, ""), rows[3], (5, "")])
+    same(got, [rows[0], (2, "x1\nx2\ny1\ny2\n"), (3, ""), rows[3], (5, "")])
 
 
 # all
@@ -606,3 +642,60 @@ def test_a_very_long_text(spark):
 def test_personal_data_of_awkward_rows(docs, texts):
     got = summary(personal_data(docs.withColumn("text", F.when(F.col("doc_id") == 303, "a@b.c 1.2.3.4").otherwise(F.col("text"))))).collect()
     assert len(got) == len(texts) and {r["spans"] for r in got} == {"", "email:0:5,ip:6:13"}
+
+
+def executed(df):
+    """The final plan of a run over all rows."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_broadcast_is_measured(spark, monkeypatch):
+    """Many items of one text have few shingles; their names aren't broadcast by hint."""
+    from isobar.llm import common
+
+    asked = []
+    plain = common.if_small
+    monkeypatch.setattr(decontamination, "if_small", lambda df, *a: asked.append((df.columns, df.count())) or plain(df, *a))
+    text = " ".join(f"w{k}" for k in range(13))
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.lit(text).alias("text"))
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], len(r["items"])) for r in decontamination.decontaminate(docs, items).collect()}
+    assert got == {1: (13, 3000), 2: (0, 0)}
+    assert (["same", "item"], 3000) in asked and [n for c, n in asked if c == ["same", "n"]] == [1]
+
+
+def test_shingles_beyond_the_broadcast(spark, docs, texts, monkeypatch):
+    """The same rows where nothing is small enough."""
+    from isobar.llm import common
+
+    items = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts[:20]) if t], "item_id long, text string")
+    plain = decontamination.decontaminate(docs, items).collect()
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "if_small", lambda df, *a: df)
+    assert sorted(map(repr, decontamination.decontaminate(docs, items).collect())) == sorted(map(repr, plain))
+
+
+def test_a_hub_is_split(spark):
+    """Links of one node are dealt to several tasks."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "128m", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    seen = []
+    plain = Written.__init__
+
+    def watched(self, df, label):
+        if label == "large":
+            seen.append(executed(df))
+        plain(self, df, label)
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(Written, "__init__", watched)
+            links = spark.range(1, 60_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+            assert stars(links).where("root = 0").count() == 59_999
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert any("skew=true" in p or "isSkewJoin=true" in p or "skewed" in p for p in seen)
