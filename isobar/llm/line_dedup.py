@@ -76,7 +76,7 @@ def marks(rows: DataFrame, ends: str = FEEDS) -> DataFrame:
 def _with_cuts(docs: DataFrame, ends: str) -> DataFrame:
     """row (a document as it is), cut (null: nothing repeats), text without the cut."""
     rows = numbered(docs).df
-    found = rows.join(marks(rows, ends), "number", "left")
+    found = rows.join(marks(rows, ends).hint("merge"), "number", "left")
     found = found.withColumn("own", F.when(F.col("cut").isNotNull(), lines(F.col("row.text"), ends)))
     left = F.array_except(F.sequence(F.lit(0), F.size("own") - 1), F.col("cut"))
     rest = F.array_join(F.transform(left, lambda i: F.get("own", i)), "")
