@@ -150,3 +150,92 @@ def test_other_files_are_refused(spark, tmp_path):
         read_netcdf(spark, str(tmp_path / "x.nc"), "tas")
     with pytest.raises(NotImplementedError):
         read_netcdf(spark, "x.grib", "tas")
+
+
+def bundle(spark):
+    cells = [(float(t), float(la), float(lo), t * 100.0 + la + lo / 1000) for t in range(50) for la in (-45, 0, 45) for lo in range(0, 360, 30) if (t + lo) % 7]
+    cells[3] = (*cells[3][:3], None)
+    cells[4] = (*cells[4][:3], float("nan"))
+    cube = spark.createDataFrame(cells, "time double, lat double, lon double, value double").repartition(5)
+    mean = cube.groupBy("time").agg(F.avg(F.when(~F.isnan("value"), F.col("value"))).alias("value"))
+    return cells, cube, mean
+
+
+def test_what_is_written_is_read(spark, tmp_path):
+    from isobar.sources import netcdf_sink as sink
+
+    cells, cube, mean = bundle(spark)
+    path = str(tmp_path / "out.nc")
+    sink.write_netcdf({"tas": sink.Table(cube, ("time", "lat", "lon"), {"units": "K", "scale": 2.0}), "mean": sink.Table(mean, ("time",))}, path, {"title": "both"})
+    got = {(r[0], r[1], r[2]): r[3] for r in read_netcdf(spark, path, "tas").collect()}
+    assert len(got) == 50 * 3 * 12
+    want = {c[:3]: None if c[3] is None or c[3] != c[3] else c[3] for c in cells}
+    assert all(got[k] == want.get(k) for k in got) and want.keys() <= got.keys()
+    assert sorted(map(tuple, read_netcdf(spark, path, "mean").collect())) == sorted((r["time"], r["value"]) for r in mean.collect())
+    assert netcdf.describe(path, "tas")["units"] == "K" and [p.name for p in tmp_path.iterdir()] == ["out.nc"]
+    assert read_netcdf(spark, path, "tas").where("time = 49 AND lat > 0").count() == 12
+    with pytest.raises(FileExistsError):
+        sink.write_netcdf({"mean": sink.Table(mean, ("time",))}, path)
+    sink.write_netcdf({"mean": sink.Table(mean.where("time < 3"), ("time",))}, path, overwrite=True)
+    assert read_netcdf(spark, path, "mean").count() == 3
+
+
+def test_times_become_days(spark, tmp_path):
+    from isobar.functions.calendars import decoded
+    from isobar.sources import netcdf_sink as sink
+
+    days = spark.sql("SELECT timestamp_ntz'2001-03-01 06:00:00' + make_dt_interval(id) AS time, cast(id AS double) AS value FROM range(40)")
+    path = str(tmp_path / "days.nc")
+    sink.write_netcdf({"x": sink.Table(days, ("time",))}, path)
+    about = netcdf.describe(path, "time")
+    got = read_netcdf(spark, path, "x").select(decoded(F.col("time"), about["units"], about["calendar"])["time"].alias("time"), "value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, days.collect()))
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    from isobar.sources import netcdf_sink as sink
+
+    _, cube, mean = bundle(spark)
+    kept = tmp_path / "kept.nc"
+    sink.write_netcdf({"mean": sink.Table(mean, ("time",))}, str(kept))
+    before = kept.read_bytes()
+    broken = cube.withColumn("value", F.when(F.col("time") == 49, F.raise_error(F.lit("broken"))).otherwise(F.col("value")))
+    for rows, said in ((broken, "broken"), (cube.union(cube.where("time = 49")), "one cell")):
+        with pytest.raises(Exception, match=said):
+            sink.write_netcdf({"tas": sink.Table(rows, ("time", "lat", "lon"))}, str(kept), overwrite=True)
+        assert [p.name for p in tmp_path.iterdir()] == ["kept.nc"] and kept.read_bytes() == before
+    made = sink.Writer({"part": str(tmp_path / "p"), "path": str(tmp_path / "q"), "begins": "[0]", "cells": "[1]", "blocks": "2"})
+    (tmp_path / "p").write_bytes(b"x")
+    with pytest.raises(OSError, match="1 of 2"):
+        made.commit([sink.Done(1), None])
+    assert [p.name for p in tmp_path.iterdir()] == ["kept.nc"]
+    with pytest.raises(NotImplementedError):
+        sink.write_netcdf({"mean": sink.Table(mean, ("time",))}, "s3://bucket/x.nc")
+
+
+def test_blocks_of_a_task(tmp_path):
+    """Blocks over several batches, of two variables, and cells without rows."""
+    import os
+
+    import pyarrow as pa
+
+    from isobar.sources import netcdf_sink as sink
+
+    size = sink.BLOCK
+    part = tmp_path / "part"
+    part.write_bytes(b"\0" * ((2 * size + 5) * 8))
+    made = sink.Writer({"part": str(part), "path": str(tmp_path / "x"), "begins": json_list(0, (size + 3) * 8), "cells": json_list(size + 3, size + 2), "blocks": "4"})
+    rows = [(0, 0, None, False), (0, 5, 1.5, True), (0, size - 1, 2.5, True), (0, size, None, False), (0, size + 2, 3.5, True), (1, 0, None, False), (1, 0, 4.5, True), (1, size, None, False)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 3], strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["v", "at", "value", "real"]) for k in (0, 3, 6)]
+    assert made.write(iter(batches)).blocks == 4
+    x = np.frombuffer(part.read_bytes(), ">f8")
+    fill = netcdf.FILL[sink.DOUBLE]
+    want = np.full(2 * size + 5, fill)
+    want[[5, size - 1, size + 2, size + 3]] = [1.5, 2.5, 3.5, 4.5]
+    np.testing.assert_array_equal(x, want)
+    made.commit([sink.Done(4)])
+    assert os.listdir(tmp_path) == ["x"]
+
+
+def json_list(*numbers):
+    return "[" + ",".join(map(str, numbers)) + "]"
