@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -84,6 +84,10 @@ def feature_table(long: DataFrame) -> DataFrame:
     return long.select("feature").distinct().withColumn("j", (F.row_number().over(Window.orderBy("feature")) - 1).cast("int"))
 
 
+class NotConverged(ArithmeticError):
+    """Modes that the passes allowed didn't settle."""
+
+
 def _leading(rows: DataFrame, n: int, modes: int) -> tuple[np.ndarray, np.ndarray]:
     """The largest eigenvalues of the rows' products and their vectors."""
     if n <= AT_ONCE:
@@ -91,6 +95,7 @@ def _leading(rows: DataFrame, n: int, modes: int) -> tuple[np.ndarray, np.ndarra
         return values[::-1][:modes], vecs[:, ::-1][:, :modes]
     block = np.linalg.qr(np.random.default_rng(17).normal(size=(n, modes + SPARE)))[0]
     basis, applied = np.zeros((n, 0)), np.zeros((n, 0))
+    worst = np.inf
     for _ in range(BLOCKS):
         image = product(rows, n, block)
         basis, applied = np.hstack([basis, block]), np.hstack([applied, image])
@@ -98,15 +103,16 @@ def _leading(rows: DataFrame, n: int, modes: int) -> tuple[np.ndarray, np.ndarra
         values, y = np.linalg.eigh((small + small.T) / 2)
         values, y = values[::-1][:modes], y[:, ::-1][:, :modes]
         vecs = basis @ y
-        if np.linalg.norm(applied @ y - vecs * values, axis=0).max() <= RESIDUAL * max(values[0], 1e-300):
-            break
+        worst = np.linalg.norm(applied @ y - vecs * values, axis=0).max() / max(values[0], 1e-300)
+        if worst <= RESIDUAL:
+            return values, vecs
         for _ in range(2):  # twice is enough
             image = image - basis @ (basis.T @ image)
         block, r = np.linalg.qr(image)
         block = block[:, np.abs(np.diag(r)) > 1e-12 * np.sqrt((applied * applied).sum())][:, : n - basis.shape[1]]
-        if not block.shape[1]:
-            break
-    return values, vecs
+        if not block.shape[1]:  # the space can't grow: it holds the modes
+            return values, vecs
+    raise NotConverged(f"after {BLOCKS} passes the modes' residual is {worst:.1e} of the first eigenvalue; {RESIDUAL:.0e} is asked for")
 
 
 def fit(long: DataFrame, modes: int = 2, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,17 +150,22 @@ def amplitude(pcs: DataFrame, value: str = "raw") -> DataFrame:
     return pcs.groupBy("sample").agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("amplitude"))
 
 
-def loading_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """mode_a, mode_b, r over the shared features."""
-    x = a.select(F.col("mode").alias("mode_a"), "feature", F.col("loading").alias("x"))
-    y = b.select(F.col("mode").alias("mode_b"), "feature", F.col("loading").alias("y"))
-    return x.join(y, "feature").groupBy("mode_a", "mode_b").agg(F.corr("x", "y").alias("r"))
+def loading_correlation(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """mode_a, mode_b, r over the shared features; of each group of features where
+    ``by`` names columns of both."""
+    keys = [*(by or []), "feature"]
+    x = a.select(F.col("mode").alias("mode_a"), *keys, F.col("loading").alias("x"))
+    y = b.select(F.col("mode").alias("mode_b"), *keys, F.col("loading").alias("y"))
+    return x.join(y, keys).groupBy(*(by or []), "mode_a", "mode_b").agg(F.corr("x", "y").alias("r"))
 
 
 def mode_order(new: DataFrame, reference: DataFrame) -> dict[int, tuple[int, float]]:
     """Where each of two modes goes, and its sign, to agree with the reference: swapped if
-    the off-diagonal correlations are larger, flipped where the one that stays is negative."""
+    the off-diagonal correlations are larger, flipped where the one that stays is negative.
+    The tables have the features that decide."""
     r = {(x["mode_a"], x["mode_b"]): x["r"] or 0.0 for x in loading_correlation(new, reference).collect()}  # four rows
+    if not r:
+        raise ValueError("the two sets of modes share no feature that decides their order")
     at = lambda i, j: r.get((i, j), 0.0)
     swap = abs(at(0, 1)) + abs(at(1, 0)) > abs(at(0, 0)) + abs(at(1, 1))
     to = {0: 1, 1: 0} if swap else {0: 0, 1: 1}
@@ -169,9 +180,11 @@ def reordered(table: DataFrame, order: dict[int, tuple[int, float]]) -> DataFram
     return table.select(*[new[c].alias(c) if c in new else c for c in table.columns]) if "loading" in table.columns else table.withColumn("mode", mode)
 
 
-def match_modes(new: DataFrame, reference: DataFrame) -> DataFrame:
-    """Two modes' loadings put in the reference's order and sign."""
-    return reordered(new.select("mode", "feature", "loading"), mode_order(new, reference))
+def match_modes(new: DataFrame, reference: DataFrame, deciding: Column | None = None) -> DataFrame:
+    """Two modes' loadings put in the reference's order and sign, by the features that
+    decide (all, if there is no condition)."""
+    some = (lambda df: df) if deciding is None else (lambda df: df.where(deciding))
+    return reordered(new.select("mode", "feature", "loading"), mode_order(some(new), some(reference)))
 
 
 def scaled(loadings: DataFrame, modes: DataFrame) -> DataFrame:

@@ -69,8 +69,9 @@ class _Registry:
         return [self.datasets[n] for n in names or self.datasets]
 
     def _pair(self, a: str, b: str, variable: str, side: bool = True) -> DataFrame:
-        """Both cubes' rows of a variable; the first is the reference side."""
+        """Both cubes' rows of a variable, at the same times; the first is the reference side."""
         x, y = (d.cube.where(F.col("variable") == variable) for d in self._named([a, b]))
+        validate.raise_errors(validate.same_grid(x, y, ["time"]))
         return x.withColumn("side", F.lit("ref")).unionByName(y.withColumn("side", F.lit("test")), allowMissingColumns=True)
 
 
@@ -111,13 +112,17 @@ class ReplicabilityTest(_Registry):
 
     def perform_rep_test(self, names: list[str], resamples: int = 10_000) -> None:
         """Scores of both ensembles against the observations, their effect sizes and
-        tests, by variable, season, region and metric."""
+        tests, by variable, season, region and metric.  Both have the same times, which
+        give the months that seasons are made of."""
         a, b = self._named(names)
         validate.raise_errors(validate.same_grid(a.cube, b.cube, ["variable", "lat", "lon"]))
-        month = F.col("k") % 12 + 1
+        validate.raise_errors(validate.same_grid(a.cube, b.cube, ["time"]))
+        steps = a.cube.select("k", F.month("time").alias("month")).distinct()
+        obs = self.obs.select("variable", "k", "lat", "lon", "value").join(steps, "k")
         samples = None
         for d, side in ((a, "ref"), (b, "test")):
-            scores = reduce.season_region_scores(d.cube.select("variable", "realization", "k", "lat", "lon", "value"), self.obs.select("variable", "k", "lat", "lon", "value"), month, ["variable"])
+            cube = d.cube.select("variable", "realization", "k", "lat", "lon", "value", F.month("time").alias("month"))
+            scores = reduce.season_region_scores(cube, obs, F.col("month"), ["variable"])
             scores = scores.select("variable", "season", "region", "metric", F.lit(side).alias("side"), F.col("score").alias("value"))
             samples = scores if samples is None else samples.unionByName(scores)
         keys = ["variable", "season", "region", "metric"]
@@ -210,7 +215,8 @@ class MJOEvaluation(Evaluation):
         return self.tables["lead_lag"].select("dataset", "lag", "r")
 
     def ceof_corr_table(self) -> DataFrame:
-        return _table(self.tables["ceof_scores"], ["ceof_corr"], "obs", ["mode"])
+        """Correlations with the observation's loadings by variable and mode."""
+        return _table(self.tables["ceof_corr"], ["ceof_corr"], "obs", ["variable", "mode"])
 
     def ceof_bias_table(self) -> DataFrame:
         """Biases of explained variance by mode, of the greatest correlation and the period."""

@@ -39,6 +39,8 @@ class MJOConfig(Configured):
     frequency: tuple[float, float] = (1 / 80, 1 / 30)
     wavenumber: tuple[float, float] = (0, 4)
     max_lag: int = 30
+    #: The variable whose loadings decide the modes' order and sign.
+    deciding: str = "ua850"
 
 
 @dataclass

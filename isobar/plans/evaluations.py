@@ -154,7 +154,8 @@ def power_scores(power: DataFrame, reference: str, c: MJOConfig) -> DataFrame:
 
 def mjo(sim: DataFrame, obs: DataFrame, c: MJOConfig | None = None, cycle: int = 365) -> Tables:
     """Combined modes of the observation and of the simulation (matched in order and
-    sign); the sets obs, sim_on_obs and sim_on_sim with scores and biases; spectra over
+    sign by the variable that decides); the sets obs, sim_on_obs and sim_on_sim with
+    scores, biases and the correlation of every variable's loadings; spectra over
     their background, with scores and biases.
     sim, obs: variable, k, lat, lon, value, and time where leap days are to go."""
     c = c or MJOConfig()
@@ -165,17 +166,20 @@ def mjo(sim: DataFrame, obs: DataFrame, c: MJOConfig | None = None, cycle: int =
     made = {name: mjo_modes(spectrum.prefilter(cube, cycle, c.rolling), c.modes) for name, cube in cubes.items()}
     (o_table, o_loads, o_long), (s_table, s_loads, s_long) = made["obs"], made["sim"]
     o_loads = o_loads.withColumn("loading", F.when(F.col("mode") == 0, -F.col("loading")).otherwise(F.col("loading")))
-    order = eof.mode_order(s_loads, o_loads)
+    variable = F.split("feature", "/")[0]
+    deciding = [x.where(variable == c.deciding) for x in (s_loads, o_loads)]
+    order = eof.mode_order(*deciding)
     s_loads, s_table = eof.reordered(s_loads, order), eof.reordered(s_table, order)
     sets = {"obs": (o_long, o_loads, o_table), "sim_on_obs": (s_long, o_loads, o_table), "sim_on_sim": (s_long, s_loads, s_table)}
     found = {name: mjo_set(*x, c) for name, x in sets.items()}
     of = lambda part: _union([x[part].withColumn("dataset", F.lit(name)) for name, x in found.items()])
-    corr = _union([eof.loading_correlation(o_loads, x[1]).where("mode_a = mode_b").select(F.lit(name).alias("dataset"), F.col("mode_a").alias("mode"), F.col("r").alias("ceof_corr")) for name, x in sets.items()])
+    by = lambda x: x.withColumn("variable", variable)
+    corr = _union([eof.loading_correlation(by(o_loads), by(x[1]), ["variable"]).where("mode_a = mode_b").select(F.lit(name).alias("dataset"), "variable", F.col("mode_a").alias("mode"), F.col("r").alias("ceof_corr")) for name, x in sets.items()])
     share = _union([x[2].select(F.lit(name).alias("dataset"), "mode", (100 * F.col("var_frac")).alias("explained_var")) for name, x in sets.items()])
     power = checkpointed(_union([spectra(cube, cycle, c).withColumn("dataset", F.lit(name)) for name, cube in cubes.items()]))
     return {
         "ceof": _union([x[1].withColumn("dataset", F.lit(name)) for name, x in sets.items()]), "pcs": of("pcs"), "lead_lag": of("lead_lag"),
-        "ceof_scores": biases(share, ["mode"], "obs", ["explained_var"]).join(corr, ["dataset", "mode"]),
+        "ceof_scores": biases(share, ["mode"], "obs", ["explained_var"]), "ceof_corr": corr,
         "scores": biases(of("summary"), [], "obs", ["max_corr", "period"]),
         "activity": biases(of("activity"), ["phase"], "obs", ["amplitude", "active_amplitude", "days", "active_days"]),
         "power": spectrum.normalised(power, ["dataset", "variable"]), "power_scores": power_scores(power, "obs", c),

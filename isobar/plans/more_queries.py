@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import calendars
 from ..functions import expr as E
 from ..operators import eof, regrid, spectrum, validate
 from ..operators import windows as W
 from ..session import shared_folder
-from ..sources import files
+from ..sources import files, netcdf, netcdf_sink
 from ..streaming import events
 from . import bindings as B
 from ..operators import tracks as T
@@ -437,7 +438,7 @@ def _mjo(spark, d):
     from . import evaluations
     from .config import MJOConfig
 
-    return evaluations.mjo(B.hourly_field(spark, d, 1), B.hourly_field(spark, d, 0), MJOConfig(wavenumber=(0, 3), frequency=(1 / 48, 1 / 4)), 24)
+    return evaluations.mjo(B.hourly_field(spark, d, 1), B.hourly_field(spark, d, 0), MJOConfig(wavenumber=(0, 3), frequency=(1 / 48, 1 / 4), deciding="view"), 24)
 
 
 @query("ev_mjo_ceof_scores", digits=4)
@@ -445,6 +446,11 @@ def ev_mjo_ceof(spark, d):
     return _mjo(spark, d)["ceof_scores"]
 
 
+@query("ev_mjo_ceof_corr", digits=4)
+def ev_mjo_corr(spark, d):
+    return _mjo(spark, d)["ceof_corr"]
+
+
 @query("ev_mjo_lead_lag", digits=4)
 def ev_mjo_lead_lag(spark, d):
     return _mjo(spark, d)["lead_lag"]
@@ -548,3 +554,33 @@ def snk13(spark, d):
     files.write_result(o, f"{path}.csv", kind="csv")
     a, b = spark.read.parquet(path), spark.read.csv(f"{path}.csv", header=True, schema=o.schema)
     return a.join(b.withColumnRenamed("value", "again"), ["k", "lat", "lon"]).where(F.abs(F.col("value") - F.col("again")) < 1e-9).drop("again")
+
+
+@query("src1_snk4_netcdf", f"""WITH {B.COARSE}, m AS (SELECT k, avg(value) AS mean FROM obs GROUP BY k)
+    SELECT CAST(k AS DOUBLE) AS k, lat, lon, round(value, 5) AS value, round(mean, 5) AS mean FROM obs JOIN m USING (k) WHERE lat BETWEEN -45 AND 45 AND k BETWEEN 12 AND 35""", 5)
+def src1_snk4(spark, d):
+    """Two variables written as one NetCDF file by all tasks, and a band of two years read
+    of it: limits of latitude and step become ranges of the file."""
+    o, path = B.observed(spark, d), f"{scratch(spark, 'bundle')}.nc"
+    mean = o.groupBy("k").agg(F.avg("value").alias("value"))
+    netcdf_sink.write_netcdf({"tas": netcdf_sink.Table(o, ("k", "lat", "lon"), {"units": "K"}), "mean": netcdf_sink.Table(mean, ("k",))}, path)
+    read = lambda v: netcdf.read_netcdf(spark, path, v).where("k BETWEEN 12 AND 35")
+    cells = read("tas").where("lat BETWEEN -45 AND 45 AND value IS NOT NULL")
+    return cells.join(read("mean").withColumnRenamed("value", "mean"), "k")
+
+
+DAYS_SQL = """SELECT c AS calendar, row_number() OVER (PARTITION BY c ORDER BY y, m, d) - 1 AS n, y AS year, m AS month, d AS day
+    FROM (SELECT unnest(['standard', 'noleap', '360_day', 'julian']) AS c), (SELECT unnest(range(1900, 2101)) AS y), (SELECT unnest(range(1, 13)) AS m), (SELECT unnest(range(1, 32)) AS d)
+    WHERE CASE WHEN c = '360_day' THEN d <= 30 WHEN m = 2 THEN d <= 28 + CAST(CASE c WHEN 'noleap' THEN false WHEN 'julian' THEN y % 4 = 0 ELSE y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0) END AS INTEGER)
+               ELSE d <= 30 + CAST(m NOT IN (4, 6, 9, 11) AS INTEGER) END"""
+
+
+@query("val3_calendars", f"""WITH o AS (SELECT (l_orderkey * 7 + l_linenumber * 10007) % 72360 AS n, count(*) AS rows FROM lineitem GROUP BY 1), c AS ({DAYS_SQL})
+    SELECT calendar, CAST(n AS BIGINT) AS n, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(day AS INTEGER) AS day, rows FROM o JOIN c USING (n)""")
+def val3_calendars(spark, d):
+    """Hours since 1900, spread over two centuries, as dates of four calendars."""
+    n = ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 10007) % 72360).cast("long").alias("n")
+    rows = B.table(spark, d, "lineitem").groupBy(n).agg(F.count(F.lit(1)).alias("rows"))
+    names = ("standard", "noleap", "360_day", "julian")
+    dates = F.explode(F.array(*[F.struct(F.lit(c).alias("calendar"), calendars.decoded(F.col("n") * 24 + 6, "hours since 1900-01-01 00:00:00", c).alias("x")) for c in names])).alias("y")
+    return rows.select("n", "rows", dates).select("y.calendar", "n", "y.x.year", "y.x.month", "y.x.day", "rows")

@@ -10,7 +10,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendars import decoded
 from ..functions.expr import KNOTS, lon_wrap
+from .netcdf import describe, read_netcdf
 
 BLANK = " \t\r"
 
@@ -76,12 +78,27 @@ def best_track(raw: DataFrame, layout: str = "v4", agency: str = "wmo") -> DataF
     return raw.select("storm", "step", "season", "time", lat.alias("lat"), lon.alias("_lon"), (wind / KNOTS).alias("wind"), psl.alias("psl")).withColumn("lon", lon_wrap("_lon")).drop("_lon")
 
 
+def first_match(spark: SparkSession, folder: str, name: str) -> str:
+    """The first path in order, in the folder or below, whose own name fits; files and
+    tables in folders alike."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for depth in ("", "*/", "*/*/"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{depth}{name}")
+        found += [str(x.getPath()) for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
+        if found:
+            return min(found)
+    raise FileNotFoundError(f"{folder}/{name}")
+
+
 def read_observations(spark: SparkSession, folder: str, variables: list[str], sim_times: DataFrame, realization: int | None = None) -> DataFrame:
-    """Per variable the files data_obs*_{variable}.parquet in a folder, one
-    realization, at the simulation's times, all of which have to be there."""
+    """Per variable the first of data_obs*_{variable}.nc or .parquet in a folder, one
+    realization, at the simulation's times, all of which have to be there.  The time of a
+    NetCDF file is decoded by its units and calendar."""
     parts = []
     for v in variables:
-        obs = spark.read.option("pathGlobFilter", f"data_obs*_{v}.parquet").option("recursiveFileLookup", True).parquet(folder)
+        path = first_match(spark, folder, f"data_obs*_{v}.{{nc,nc4,parquet}}")
+        obs = spark.read.parquet(path) if path.endswith(".parquet") else read_times(spark, path, v)
         if realization is not None and "realization" in obs.columns:
             obs = obs.where(F.col("realization") == realization).drop("realization")
         parts.append(obs.withColumn("variable", F.lit(v)))
@@ -94,6 +111,12 @@ def read_observations(spark: SparkSession, folder: str, variables: list[str], si
     return out.join(sim_times.select("time").distinct(), "time", "left_semi")
 
 
+def read_times(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """A variable of a NetCDF file with its time as a timestamp."""
+    about = describe(path, "time")
+    return read_netcdf(spark, path, variable).withColumn("time", decoded(F.col("time"), about["units"], about.get("calendar"))["time"])
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """file, name, unstructured, members, years, wind_factor of each dataset; lines
     with an exclamation mark are comments."""

@@ -38,12 +38,12 @@ def test_iso_tables(spark, evaluation, tmp_path):
 
 def test_mjo_tables(spark, evaluation):
     obs = B.hourly_field(spark, FOLDER, 0)
-    e = evaluation.compute_mjo_scores("hours", obs, MJOConfig(wavenumber=(0, 3), frequency=(1 / 48, 1 / 4)), 24)
+    e = evaluation.compute_mjo_scores("hours", obs, MJOConfig(wavenumber=(0, 3), frequency=(1 / 48, 1 / 4), deciding="view"), 24)
     loads = e.ceof_plots().toPandas()
     assert len(loads) == 2 * 2 * 3 * 8 and set(loads["variable"]) == {"click", "purchase", "view"}
     assert e.lead_lag_corr_plot().count() == 3 * 61
     corr = e.ceof_corr_table().where("row = 'obs'").toPandas()
-    assert corr["value"].tolist() == pytest.approx([1, 1])
+    assert corr["value"].tolist() == pytest.approx([1] * 6) and set(corr["column"]) == {f"ceof_corr {v} {m}" for v in ("click", "purchase", "view") for m in (0, 1)}
     bias = e.ceof_bias_table().toPandas()
     assert len(bias) == 3 * 4 and set(bias["column"]) == {"explained_var_bias 0", "explained_var_bias 1", "max_corr_bias", "period_bias"}
     assert e.activity_per_phase_plots().count() == 2 * 3 * 8 and e.activity_per_phase_bias_tables().count() == 2 * 3 * 8

@@ -94,16 +94,18 @@ def test_mjo(spark):
     """Modes, sets and scores against a decomposition of the filtered fields."""
     from isobar.operators import spectrum
 
-    got = {k: v.toPandas() for k, v in more_queries._mjo(spark, FOLDER).items() if k in ("ceof_scores", "pcs", "lead_lag", "scores", "activity", "power_scores", "power")}
-    x = {}
+    got = {k: v.toPandas() for k, v in more_queries._mjo(spark, FOLDER).items() if k in ("ceof_scores", "ceof_corr", "pcs", "lead_lag", "scores", "activity", "power_scores", "power")}
+    x, columns = {}, None
     for name, odd in (("obs", 0), ("sim", 1)):
         p = spectrum.prefilter(B.hourly_field(spark, FOLDER, odd), 24, 120).toPandas()
-        x[name] = p.pivot(index="k", columns=["variable", "lon"], values="value").sort_index().sort_index(axis=1).to_numpy(float)
+        wide = p.pivot(index="k", columns=["variable", "lon"], values="value").sort_index().sort_index(axis=1)
+        x[name], columns = wide.to_numpy(float), wide.columns
     svd = {name: np.linalg.svd(v, full_matrices=False) for name, v in x.items()}
     sets = {"obs": ("obs", "obs"), "sim_on_obs": ("sim", "obs"), "sim_on_sim": ("sim", "sim")}
     scores = got["ceof_scores"].set_index(["dataset", "mode"])
-    vo = svd["obs"][2][:2]
-    swap = abs(np.corrcoef(svd["sim"][2][0], vo[1])[0, 1]) + abs(np.corrcoef(svd["sim"][2][1], vo[0])[0, 1]) > abs(np.corrcoef(svd["sim"][2][0], vo[0])[0, 1]) + abs(np.corrcoef(svd["sim"][2][1], vo[1])[0, 1])
+    of = {v: columns.get_level_values("variable") == v for v in ("click", "purchase", "view")}
+    r = np.corrcoef(svd["sim"][2][:2, of["view"]], svd["obs"][2][:2, of["view"]])[:2, 2:]  # one variable decides
+    swap = abs(r[0, 1]) + abs(r[1, 0]) > abs(r[0, 0]) + abs(r[1, 1])
     order = {"obs": [0, 1], "sim": [1, 0] if swap else [0, 1]}
     for name, (data, modes) in sets.items():
         s, v = svd[modes][1], svd[modes][2]
@@ -112,8 +114,12 @@ def test_mjo(spark):
         own = got["pcs"].query("dataset == @name").pivot(index="sample", columns="mode", values="std").sort_index().to_numpy()
         plain = (x[data] @ v[order[modes]].T) / np.sqrt(s[order[modes]] ** 2 / (len(x[modes]) - 1))
         assert np.allclose(np.abs(own), np.abs(plain))
-        if modes == "sim":
-            assert (scores.loc[name]["ceof_corr"] >= 0).all()
+        corr = got["ceof_corr"].query("dataset == @name").set_index(["variable", "mode"])["ceof_corr"]
+        for variable, at in of.items():
+            for m in (0, 1):
+                plain = np.corrcoef(v[order[modes]][m, at], svd["obs"][2][m, at])[0, 1]
+                assert abs(corr[variable, m]) == pytest.approx(abs(plain))
+                assert variable != "view" or corr[variable, m] >= 0
         curve = got["lead_lag"].query("dataset == @name").set_index("lag")["r"]
         for lag in (-30, -7, 0, 12):
             a, b = (own[: len(own) - lag, 0], own[lag:, 1]) if lag >= 0 else (own[-lag:, 0], own[:lag, 1])
@@ -144,3 +150,15 @@ def test_tc_correlations(spark):
         x, y = full["model"].to_numpy(float), full["control"].to_numpy(float)
         x, y = x - np.average(x, weights=w), y - np.average(y, weights=w)
         assert spatial["model", metric] == pytest.approx((w * x * y).sum() / np.sqrt((w * x * x).sum() * (w * y * y).sum()))
+
+
+def test_modes_that_do_not_settle_are_an_error(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=600).tolist()) for i in range(500)], "sample int, x array<double>")
+    monkeypatch.setattr(eof, "BLOCKS", 3)
+    with pytest.raises(eof.NotConverged, match="residual"):
+        eof.fit(rows.select("sample", F.posexplode("x").alias("feature", "value")), 2)
+    monkeypatch.setattr(eof, "BLOCKS", 60)
+    assert eof.fit(rows.where("sample < 8").select("sample", F.posexplode("x").alias("feature", "value")), 2)[0].count() == 2

@@ -50,6 +50,53 @@ def test_identical_ensembles(spark, cube):
         test.report()
 
 
+def _steps(spark, start, unit, n, members=4):
+    """Members on a small grid at n steps from a date."""
+    rng = np.random.default_rng(3)
+    rows = [("tas", m, k, lat, 0.0, float(rng.normal())) for m in range(members) for k in range(n) for lat in (-50.0, 50.0)]
+    time = F.expr(f"timestamp_ntz'{start}' + make_interval(0, {'k' if unit == 'month' else 0}, 0, {'k' if unit == 'day' else 0})")
+    return spark.createDataFrame(rows, "variable string, realization int, k int, lat double, lon double, value double").withColumn("time", time)
+
+
+@pytest.mark.parametrize("start,unit,n,seasons", [("2000-01-01", "day", 60, {"All", "DJF", "MAM"}), ("2000-07-01", "month", 2, {"All", "JJA"}), ("1999-12-01", "month", 3, {"All", "DJF"})])
+def test_seasons_come_from_time(spark, start, unit, n, seasons):
+    """Daily cubes, and those that begin in any month, have their own seasons only."""
+    cube = _steps(spark, start, unit, n)
+    if unit == "day":
+        cube = cube.where("month(time) <= 2")
+        seasons = seasons - {"MAM"}
+    test = ReplicabilityTest([SimulationData(cube, "a"), SimulationData(cube.withColumn("value", F.col("value") * 2), "b")], cube.where("realization = 0").drop("realization"))
+    test.perform_rep_test(["a", "b"], 50)
+    assert {r[0] for r in test.get_eff_sizes(["a", "b"]).select("season").distinct().collect()} == seasons
+
+
+def test_unequal_times_are_refused(spark):
+    a, b = _steps(spark, "2000-01-01", "month", 3), _steps(spark, "2000-02-01", "month", 3)
+    sims, obs = [SimulationData(a, "a"), SimulationData(b, "b")], a.where("realization = 0").drop("realization")
+    with pytest.raises(ValueError, match="only"):
+        ReplicabilityTest(sims, obs).perform_rep_test(["a", "b"], 10)
+    for method in ("abs_diff_plot", "eff_size_plot"):
+        with pytest.raises(ValueError, match="only"):
+            getattr(DataDiagnostics(sims), method)("a", "b", "tas")
+
+
+def test_the_first_observation_file_is_read(spark, tmp_path):
+    """Of two products the first in order, tables of several parts, and NetCDF with a calendar."""
+    from isobar.sources import netcdf_sink
+
+    stamps = spark.sql("SELECT timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(id) AS time FROM range(4)")
+    obs = lambda x: stamps.withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0), "value": F.lit(x)})
+    obs(1.0).repartition(3).write.parquet(str(tmp_path / "deep" / "data_obs_a_tas.parquet"))
+    obs(2.0).write.parquet(str(tmp_path / "deep" / "data_obs_b_tas.parquet"))
+    netcdf_sink.write_netcdf({"pr": netcdf_sink.Table(obs(3.0), ("time", "lat", "lon"))}, str(tmp_path / "data_obs_x_pr.nc"))
+    got = files.read_observations(spark, str(tmp_path), ["tas", "pr"], stamps).toPandas()
+    assert got.groupby("variable")["value"].agg(["size", "max"]).to_dict("index") == {"tas": {"size": 4, "max": 1.0}, "pr": {"size": 4, "max": 3.0}}
+    with pytest.raises(KeyError):
+        files.read_observations(spark, str(tmp_path), ["pr"], stamps.union(spark.sql("SELECT timestamp_ntz'2002-01-01 00:00:00'")))
+    with pytest.raises(FileNotFoundError):
+        files.read_observations(spark, str(tmp_path), ["ua"], stamps)
+
+
 def test_shifted_ensemble_is_told(spark, cube):
     obs = cube.where("realization = 0").drop("realization")
     test = ReplicabilityTest([SimulationData(cube, "a"), SimulationData(cube.withColumn("value", F.col("value") + 5), "b")], obs)
