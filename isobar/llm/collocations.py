@@ -3,14 +3,16 @@
 A task takes its texts in shards of bounded size.  A shard's words get ids, and the
 suffixes of its pieces are sorted by numpy prefix doubling; suffixes that share their
 first n words lie side by side, so that the stretches between longest common prefixes
-below n are the shard's n-grams with their counts.  Counts are merged by language and
-phrase, summed on the map side first.
+below n are the shard's n-grams with their counts.  Counts are merged by key, summed
+on the map side first.
 
-A phrase can only be frequent if its words and pairs are.  So there are three rounds
-over the texts: single words, pairs of frequent words, and longer phrases all of whose
-pairs are frequent.  What is frequent is told to the tasks by a bitmap over hashes,
-``BITS`` bits at any size of the input; a bit that two phrases share only lets more
-through, as the merged counts decide.
+A phrase can only be frequent if its words, pairs and triples are.  So there are four
+rounds over the texts: the first three count single words, pairs of frequent words and
+triples of frequent pairs, by 64-bit hashes alone; the last counts, by language and
+phrase, what is frequent and the longer phrases all of whose triples are: a run of such
+triples is sorted like a text, of words that overlap.  What is frequent is told to the tasks by a
+bitmap over the hashes, ``BITS`` bits at any size of the input.  Hashes or bits that
+several words or pairs share only let more through: the last round's counts decide.
 
 Scores are exact, in decimals of 38 digits: a times n may have 34 digits and the
 product of two counts 37.  Contained phrases are compared with those one word longer:
@@ -24,6 +26,8 @@ empty result; columns besides lang and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +44,7 @@ from .common import Written, whole
 #: Words of the longest phrase, its least count, and the rows of a language.
 WORDS, LEAST, ROWS = 5, 100, 2000
 #: Characters of a shard, about.
-SHARD = 8_000_000
+SHARD = 6_000_000
 #: Bits of what tells frequent words or pairs: 16 MB.
 BITS = 1 << 27
 PIECE_ENDS, SPACES = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
@@ -79,36 +83,32 @@ def kept(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def ends_after(ids: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """ids with -1 behind each entry whose next one it may not stand beside."""
-    return np.insert(ids, np.flatnonzero(~good) + 1, -1)
-
-
-def suffixes(ids: np.ndarray, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffixes(ids: np.ndarray, words: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Places of words in the order of what follows them, and for each length up to
-    ``words`` whether a place begins a new run of equal prefixes (or has none).
+    ``words``: whether the prefix differs from that of the place before, and whether
+    it is as long.
 
     Ranks of prefixes of 1, 2, 4 ... words come from those of half the length; the last
     round takes the remainder.
     """
     rank = ids + 1  # 0 ends a piece
-    long, size = rank, 1
+    key, size = rank, 1
     while size < words:
         step = min(size, words - size)
-        behind = np.zeros_like(long)
+        long = np.unique(key, return_inverse=True)[1] if size > 1 else rank
+        behind = np.zeros_like(rank)
         behind[:-size] = (long if step == size else _prefix_rank(rank, step))[size:]
-        _, long = np.unique(long * (behind.max(initial=0) + 1) + behind, return_inverse=True)
+        key = long * (behind.max(initial=0) + 1) + behind
         size += step
-    order = np.argsort(long, kind="stable")
+    order = np.argsort(key)
     order = order[ids[order] >= 0]
-    # A prefix that meets a piece's end has fewer words; it opens no run of its length.
-    starts, same, whole_ = [], np.ones(len(order), bool), np.ones(len(order), bool)
+    starts, same, full = [], np.ones(len(order), bool), np.ones(len(order), bool)
     padded = np.concatenate([ids, np.full(words, -1)])
     for n in range(words):
         here = padded[order + n]
-        whole_ = whole_ & (here >= 0)
+        full = full & (here >= 0)
         same = same & np.concatenate([[False], here[1:] == here[:-1]])
-        starts.append((~same, whole_))
+        starts.append((~same, full))
     return order, starts
 
 
@@ -122,7 +122,7 @@ def _prefix_rank(rank: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def grams(made: Shard, ids: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def grams(ids: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """First places and counts of the phrases of each length."""
     if not (ids >= 0).any():
         return
@@ -135,50 +135,105 @@ def grams(made: Shard, ids: np.ndarray, least: int, most: int) -> Iterator[tuple
         yield order[runs[real]], count[real], n
 
 
-def rows(made: Shard, lang: str, ids: np.ndarray, least: int, most: int) -> Iterator[pa.RecordBatch]:
-    for places, count, n in grams(made, ids, least, most):
-        parts = [made.words.take(pa.array(ids[places + k])) for k in range(n)]
-        own = made.hashes[ids[places]]
-        for k in range(1, n):
-            own = mixed(own, made.hashes[ids[places + k]])
-        phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-        mark = (own % np.uint64(BITS)).astype(np.int64)
-        columns = [pa.array([lang] * len(count), pa.string()), phrase, pa.array(np.full(len(count), n, np.int32)), pa.array(count.astype(np.int64)), pa.array(mark)]
-        table = pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "f", "mark"])
-        yield from (table[k : k + 50_000] for k in range(0, len(count), 50_000))
+def _parts(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    table = pa.RecordBatch.from_arrays(columns, names=names)
+    yield from (table[k : k + 50_000] for k in range(0, len(table), 50_000))
+
+
+def known(made: Shard, single: np.ndarray | None, double: np.ndarray | None) -> np.ndarray:
+    """The ids, with ends where a word isn't frequent and between pairs that aren't."""
+    ids = made.ids
+    if single is not None:
+        ids = np.where((ids >= 0) & kept(single, made.hashes)[ids], ids, -1)
+    if double is not None and len(ids) > 1:
+        pair = kept(double, mixed(made.hashes[ids[:-1]], made.hashes[ids[1:]])) & (ids[:-1] >= 0) & (ids[1:] >= 0)
+        ids = np.insert(ids, np.flatnonzero(~pair) + 1, -1)
+    if single is None:
+        return ids
+    ends = np.concatenate([[True], ids < 0, [True]])
+    return ids[~(ends[1:-1] & ends[:-2]) & ~((ids >= 0) & ends[:-2] & ends[2:])]  # ends in a row, and words alone
+
+
+def _hashes(made: Shard, ids: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Of the n words from these places on."""
+    return reduce(mixed, (made.hashes[ids[places + k]] for k in range(n)))
+
+
+def frequent(docs: DataFrame, n: int, least: int, size: int, single: Broadcast | None = None, double: Broadcast | None = None) -> tuple[Broadcast, Broadcast | None]:
+    """The bitmaps of phrases of n words that may be frequent, as their parts are, and,
+    where frequent pairs are given, of the words in them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(h: np.ndarray, f: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+            yield from _parts([pa.array(h.view(np.int64)), pa.array(f.astype(np.int32)), pa.array(np.full(len(f), inside))], ["h", "f", "inside"])
+
+        for lang, texts in shards(batches, size):
+            made = shard(texts, lang)
+            if len(made.words):
+                ids = known(made, *(None if b is None else b.value for b in (single, double)))
+                for places, f, _ in grams(ids, n, n):
+                    yield from rows(_hashes(made, ids, places, n), f, False)
+                if double is not None:
+                    words = np.unique(ids[ids >= 0])
+                    yield from rows(made.hashes[words], np.ones(len(words)), True)
+
+    counted = _taken(docs).mapInArrow(count, "h long, f int, inside boolean").groupBy("inside", "h").agg(F.sum("f").alias("f"))
+    found = Written(counted.where((F.col("f") >= least) | F.col("inside")).select("inside", F.col("h").bitwiseAND(BITS - 1).alias("mark")), "frequent")
+    made = bitmap(found.df.where("NOT inside")), None if double is None else bitmap(found.df.where("inside"))
+    found.drop()
+    return made
+
+
+def bitmap(marks: DataFrame) -> Broadcast:
+    """Bits at the marks, as many bytes at any size; sent to all tasks."""
+    one = F.col("mark") + 1  # buckets of 32,768 bits count from one
+    some = marks.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+    made = np.zeros(BITS // 8, np.uint8)
+    for bucket, bits in some.toLocalIterator():
+        made[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return marks.sparkSession.sparkContext.broadcast(made)
+
+
+def _taken(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole().alias("text"))
 
 
-SCHEMA = "lang string, phrase string, words int, f long, mark long"
+def triples(made: Shard, ids: np.ndarray, triple: np.ndarray) -> np.ndarray:
+    """A number for each place's triple of words, -1 where it isn't frequent."""
+    at = np.flatnonzero((ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0))
+    at = at[kept(triple, _hashes(made, ids, at, 3))]
+    out = np.full(len(ids), -1)
+    out[at] = _prefix_rank(ids + 1, 3)[at]
+    return out
 
 
-def counts(docs: DataFrame, least: int, most: int, single: Broadcast | None = None, double: Broadcast | None = None) -> DataFrame:
-    """lang, phrase, words, f, mark of all phrases of so many words, of frequent words
-    and pairs only where these are given."""
+def phrases(docs: DataFrame, single: Broadcast, double: Broadcast, triple: Broadcast, inside: Broadcast, size: int) -> DataFrame:
+    """lang, phrase, f of phrases that may be frequent and of the words in them; the null
+    phrase of a language has the number of its words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, texts in shards(batches):
+        def rows(phrase: pa.Array, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from _parts([pa.array([lang] * len(f), pa.string()), phrase, pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
+
+        for lang, texts in shards(batches, size):
             made = shard(texts, lang)
-            ids = made.ids
             if not len(made.words):
                 continue
-            if single is not None:
-                ids = np.where((ids >= 0) & kept(single.value, made.hashes)[ids], ids, -1)
-            if double is not None and len(ids) > 1:
-                pair = kept(double.value, mixed(made.hashes[ids[:-1]], made.hashes[ids[1:]])) & (ids[:-1] >= 0) & (ids[1:] >= 0)
-                ids = ends_after(ids, np.append(pair, True))
-            if single is not None:
-                beside = np.concatenate([[-1], ids, [-1]]) < 0
-                ids = ids[~(beside[1:-1] & beside[:-2]) & ~((ids >= 0) & beside[:-2] & beside[2:])]  # ends in a row, and words alone
-            yield from rows(made, lang, ids, least, most)
-
-    taken = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole().alias("text"))
-    summed = taken.mapInArrow(count, SCHEMA).groupBy("lang", "phrase")
-    return summed.agg(F.first("words").alias("words"), F.sum("f").alias("f"), F.first("mark").alias("mark"))
-
-
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
-    """Languages and texts, about SHARD characters of one language at a time and at most
-    twice as many held."""
+            single_counts = np.bincount(made.ids[made.ids >= 0], minlength=len(made.words))
+            own = np.flatnonzero(kept(inside.value, made.hashes) & (single_counts > 0))
+            yield from rows(pa.array([None], pa.string()), single_counts.sum(keepdims=True))
+            yield from rows(made.words.take(pa.array(own)), single_counts[own])
+            ids = known(made, single.value, double.value)
+            longer = ((places, f, n + 2) for places, f, n in grams(triples(made, ids, triple.value), 1, WORDS - 2))
+            for places, f, n in chain(grams(ids, 2, 2), longer):
+                yield from rows(pc.binary_join_element_wise(*(made.words.take(pa.array(ids[places + k])) for k in range(n)), " "), f)
+
+    return _taken(docs).mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def shards(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[tuple[str, list[str]]]:
+    """Languages and texts, about so many characters of one language at a time and at
+    most twice as many held."""
     held: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for batch in batches:
@@ -188,34 +243,22 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]
                 held.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text)
             done += len(run)
-            while size and (max(size.values()) >= SHARD or sum(size.values()) >= 2 * SHARD):
-                full = max(size, key=size.__getitem__)
-                del size[full]
-                yield full, held.pop(full)
+            while size and (max(size.values()) >= full or sum(size.values()) >= 2 * full):
+                most = max(size, key=size.__getitem__)
+                del size[most]
+                yield most, held.pop(most)
     yield from held.items()
 
 
-def bitmap(frequent: DataFrame) -> Broadcast:
-    """Bits of the marks, as many bytes at any size; sent to all tasks."""
-    one = F.col("mark") + 1  # buckets of 32,768 bits count from one
-    some = frequent.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
-    made = np.zeros(BITS // 8, np.uint8)
-    for bucket, bits in some.toLocalIterator():
-        made[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
-    return frequent.sparkSession.sparkContext.broadcast(made)
-
-
-def collocations(docs: DataFrame, least: int = LEAST, most_rows: int = ROWS) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
-    single = Written(counts(docs, 1, 1), "words")
-    total = single.df.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = single.df.where(F.col("f") >= least)
-    one = bitmap(often)
-    pairs = Written(counts(docs, 2, 2, one).where(F.col("f") >= least), "pairs")
-    two = bitmap(pairs.df)
-    longer = counts(docs, 3, WORDS, one, two).where(F.col("f") >= least)
-    phrases = Written(often.unionByName(pairs.df).unionByName(longer).drop("mark"), "phrases")
-    return best(phrases.df, Written(total, "totals").df, most_rows)
+def collocations(docs: DataFrame, least: int = LEAST, most_rows: int = ROWS, size: int = SHARD) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the best phrases of each language; shards
+    have about ``size`` characters."""
+    single, _ = frequent(docs, 1, least, size)
+    double, _ = frequent(docs, 2, least, size, single)
+    triple, inside = frequent(docs, 3, least, size, single, double)
+    every = Written(phrases(docs, single, double, triple, inside, size).where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases").df
+    often = every.where("phrase IS NOT NULL").withColumn("words", F.size(F.split("phrase", " ")))
+    return best(often, every.where("phrase IS NULL").select("lang", F.col("f").alias("n")), most_rows)
 
 
 def best(phrases: DataFrame, total: DataFrame, most_rows: int = ROWS) -> DataFrame:
