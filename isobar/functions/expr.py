@@ -62,6 +62,40 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def arc_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column, n: int, signed: bool = False) -> Column:
+    """Array of n points (lat, lon), evenly spaced along the great circle from the first
+    place to the second, both included; longitudes from 0 to 360, or from -180 to 180
+    where they are signed.  Two points are the places as they are; places that are one
+    have n equal points, and between opposite ones, which no one circle joins, the points
+    are null."""
+    ends = F.array(F.struct(lat1.cast("double").alias("lat"), lon1.cast("double").alias("lon")), F.struct(lat2.cast("double").alias("lat"), lon2.cast("double").alias("lon")))
+    if n <= 2:
+        return ends
+    place = lambda p: F.struct((F.cos(F.radians(p["lat"])) * F.cos(F.radians(p["lon"]))).alias("x"), (F.cos(F.radians(p["lat"])) * F.sin(F.radians(p["lon"]))).alias("y"), F.sin(F.radians(p["lat"])).alias("z"))
+    shares = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def along(arc: Column) -> Column:
+        c, a, b = arc["c"], arc["p"][0], arc["p"][1]
+
+        def point(k: Column) -> Column:
+            f = k / (n - 1)
+            u = F.when(c == 0, F.lit(1.0) - f).when(F.abs(F.sin(c)) > 1e-12, F.sin((F.lit(1.0) - f) * c) / F.sin(c))
+            v = F.when(c == 0, f).when(F.abs(F.sin(c)) > 1e-12, F.sin(f * c) / F.sin(c))
+            x, y, z = (u * a[d] + v * b[d] for d in "xyz")
+            lon = F.degrees(F.atan2(y, x))
+            return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), (F.pmod(lon + 180, F.lit(360.0)) - 180 if signed else F.pmod(lon, F.lit(360.0))).alias("lon"))
+
+        return F.transform(shares, point)
+
+    arc = F.struct(great_circle(lat1, lon1, lat2, lon2, 1.0).alias("c"), F.transform(ends, place).alias("p"))
+    return F.transform(F.array(arc), along)[0]
+
+
+def arc_spacing(lat1: Column, lon1: Column, lat2: Column, lon2: Column, n: int, radius: float = EARTH_M) -> Column:
+    """Distance between neighbours of arc_points(), in the radius's unit."""
+    return great_circle(lat1, lon1, lat2, lon2, radius) / max(n - 1, 1)
+
+
 #: Basin codes and names.
 BASIN_NAMES = {1: "NATL", 2: "EPAC", 3: "CPAC", 4: "WPAC", 5: "NIO", 6: "SIO", 7: "SPAC", 8: "SATL", 9: "FLA", 20: "NHEMI", 21: "SHEMI"}
 

@@ -6,9 +6,11 @@ nodes of following times are linked to the nearest one in reach.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import great_circle
@@ -125,27 +127,80 @@ def nearest_index(points: DataFrame, axis: DataFrame, name: str) -> DataFrame:
     return points.withColumn(f"{name}_index", index)
 
 
-#: Degrees of latitude that a first search around a point reaches; further ones double it.
-REACH = 4.0
+#: Levels that a step of the search goes down, cells of a leaf at most where places
+#: differ, and the deepest level (a cube's number has 21 bits an axis).
+DOWN, LEAF, DEEPEST = 2, 32, 20
+
+
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    """x, y, z on the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [(F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z")]
+
+
+def _cube(level: int) -> Column:
+    """Number of the cube that holds x, y, z, of 2^level an axis."""
+    n = 1 << level
+    axis = lambda c: F.greatest(F.lit(0), F.least(F.floor((F.col(c) + 1) / 2 * n), F.lit(n - 1))).cast("long")
+    return F.shiftleft(axis("x"), 42).bitwiseOR(F.shiftleft(axis("y"), 21)).bitwiseOR(axis("z"))
+
+
+def _parent(cube: Column) -> Column:
+    """The cube DOWN levels up that holds this one."""
+    part = lambda by: F.shiftright(F.shiftright(cube, by).bitwiseAND((1 << 21) - 1), DOWN)
+    return F.shiftleft(part(42), 42).bitwiseOR(F.shiftleft(part(21), 21)).bitwiseOR(part(0))
+
+
+def _nearer(level: int) -> Column:
+    """Squared distance of a point (px, py, pz) from a cube's nearest place."""
+    side = 2.0 / (1 << level)
+    out = F.lit(0.0)
+    for c, by in (("px", 42), ("py", 21), ("pz", 0)):
+        middle = (F.shiftright("cube", by).bitwiseAND((1 << 21) - 1) + 0.5) * side - 1
+        off = F.greatest(F.abs(F.col(c) - middle) - side / 2, F.lit(0.0))
+        out = out + off * off
+    return out
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame) -> DataFrame:
     """Points (id, lat, lon) with the cell (cell, distance in degrees of arc) of a grid of
     any shape (cell, lat, lon) that is nearest on the sphere; ties go to the smaller cell.
-
-    Points and cells meet in bands of latitude; points whose nearest cell might lie
-    beyond their bands look again in bands of twice the height, until none is left."""
-    found, open_ = None, points.select("id", F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    reach = REACH
-    while True:
-        band = lambda x, r=reach: F.floor(x / F.lit(r))
-        near = open_.withColumn("band", F.explode(F.sequence(band(F.col("la")) - 1, band(F.col("la")) + 1)))
-        met = near.join(grid.withColumn("band", band(F.col("lat"))), "band")
-        met = met.withColumn("distance", F.degrees(great_circle(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"), 1.0)))
-        best = met.groupBy("id", "la", "lo").agg(F.min(F.struct("distance", "cell")).alias("b")).select("id", "la", "lo", "b.cell", "b.distance")
-        sure = checkpointed(best.where(F.col("distance") <= reach) if reach < 180 else best).select("id", "cell", "distance")
-        found = sure if found is None else found.unionByName(sure)
-        open_ = checkpointed(open_.join(sure.select("id"), "id", "left_anti"))
-        if reach >= 180 or not open_.limit(1).count():
-            return found
-        reach *= 2
+    Points or cells without a place are left out.
+
+    Cells are placed in cubes around the unit sphere, halved level by level until a
+    cube has few of them, so that poles and the date line are places like others.  A
+    point goes down by equi-joins from cubes to the cubes in them; it keeps those that
+    may be nearer than the nearest cell known, a few at every level, whatever the size
+    of the grid."""
+    cells = checkpointed(grid.where("lat IS NOT NULL AND lon IS NOT NULL").select("cell", F.col("lat").alias("lat"), F.col("lon").alias("lon"), *_on_sphere("lat", "lon")))
+    depth = DOWN
+    while depth < DEEPEST:
+        most = cells.groupBy(_cube(depth).alias("cube")).agg(F.count_distinct("lat", "lon").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= LEAF:
+            break
+        depth += DOWN
+    leaves = cells.withColumn("cube", _cube(depth))
+    tiles = {depth: leaves.groupBy("cube").agg(F.min_by(F.struct("x", "y", "z"), "cell").alias("rep"))}
+    for level in range(depth - DOWN, 0, -DOWN):
+        tiles[level + DOWN] = checkpointed(tiles[level + DOWN])
+        tiles[level] = tiles[level + DOWN].groupBy(_parent(F.col("cube")).alias("cube")).agg(F.first("rep").alias("rep"))
+
+    known = [F.col(c) for c in ("id", "la", "lo", "px", "py", "pz")]
+    x, y, z = _on_sphere("la", "lo")
+    open_ = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    open_ = open_.select("id", "la", "lo", x.alias("px"), y.alias("py"), z.alias("pz"))
+    top = [(r["cube"], *r["rep"]) for r in tiles[DOWN].collect()]  # 64 cubes at most
+    schema = "array<struct<cube: long, rep: struct<x: double, y: double, z: double>>>"
+    first = F.from_json(F.lit(json.dumps([{"cube": c, "rep": {"x": a, "y": b, "z": d}} for c, a, b, d in top])), schema)
+    met = open_.select(*known, F.inline(first))
+    squared = sum(((F.col(f"p{c}") - F.col(f"rep.{c}")) * (F.col(f"p{c}") - F.col(f"rep.{c}")) for c in "xyz"), F.lit(0.0))
+    for level in range(DOWN, depth + 1, DOWN):
+        if level > DOWN:
+            below = tiles[level].withColumn("parent", _parent(F.col("cube")))
+            met = kept.withColumnRenamed("cube", "parent").join(below, "parent").select(*known, "cube", "rep")  # noqa: F821
+        nearest = F.min(squared).over(Window.partitionBy("id", "la", "lo"))
+        met = met.withColumns({"_at_most": nearest * (1 + 1e-9) + 1e-15, "_at_least": _nearer(level)})
+        kept = checkpointed(met.where("_at_least <= _at_most").select(*known, "cube"))
+    distance = F.degrees(great_circle(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"), 1.0))
+    found = kept.join(leaves.select("cube", "cell", "lat", "lon"), "cube").groupBy("id", "la", "lo").agg(F.min(F.struct(distance.alias("distance"), "cell")).alias("b"))
+    return found.select("id", "b.cell", "b.distance")

@@ -584,3 +584,17 @@ def val3_calendars(spark, d):
     names = ("standard", "noleap", "360_day", "julian")
     dates = F.explode(F.array(*[F.struct(F.lit(c).alias("calendar"), calendars.decoded(F.col("n") * 24 + 6, "hours since 1900-01-01 00:00:00", c).alias("x")) for c in names])).alias("y")
     return rows.select("n", "rows", dates).select("y.calendar", "n", "y.x.year", "y.x.month", "y.x.day", "rows")
+
+
+@query("fun5_arc_points", f"""WITH {B.TRACKS}, s AS (SELECT dataset, storm, pt, radians(lat) AS a, radians(lon) AS b, radians(lead(lat) OVER w) AS c, radians(lead(lon) OVER w) AS d FROM points WINDOW w AS (PARTITION BY dataset, storm ORDER BY pt)),
+    g AS (SELECT *, 2 * asin(sqrt(least(pow(sin((c - a) / 2), 2) + cos(a) * cos(c) * pow(sin((d - b) / 2), 2), 1))) AS g FROM s WHERE c IS NOT NULL AND (a <> c OR b <> d)),
+    u AS (SELECT *, sin((1 - k / 4.0::DOUBLE) * g) / sin(g) AS u, sin(k / 4.0::DOUBLE * g) / sin(g) AS v FROM g, (SELECT unnest(range(5)) AS k)),
+    p AS (SELECT *, u * cos(a) * cos(b) + v * cos(c) * cos(d) AS x, u * cos(a) * sin(b) + v * cos(c) * sin(d) AS y, u * sin(a) + v * sin(c) AS z FROM u)
+    SELECT dataset, storm, pt, CAST(k AS INTEGER) AS k, round(degrees(atan2(z, sqrt(x * x + y * y))), 4) AS lat, round((round(degrees(atan2(y, x)), 4) + 360) % 360, 4) AS lon, round(6371.22 * g / 4, 4) AS spacing FROM p""")
+def fun5_arc(spark, d):
+    """Five points along every step of a track."""
+    w = Window.partitionBy("dataset", "storm").orderBy("pt")
+    s = B.track_points(spark, d).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 IS NOT NULL AND (lat <> lat2 OR lon <> lon2)")
+    ends = [F.col(c) for c in ("lat", "lon", "lat2", "lon2")]
+    s = s.select("dataset", "storm", "pt", E.arc_spacing(*ends, 5, 6371.22).alias("spacing"), F.posexplode(E.arc_points(*ends, 5, signed=True)).alias("k", "p"))
+    return s.select("dataset", "storm", "pt", "k", F.round("p.lat", 4).alias("lat"), F.round(F.pmod(F.round("p.lon", 4) + 360, F.lit(360.0)), 4).alias("lon"), F.round("spacing", 4).alias("spacing"))

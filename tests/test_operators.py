@@ -332,3 +332,78 @@ def test_netcdf(spark, tmp_path):
     assert got["value"].dropna().tolist() == [1, 2, 3, 5, 6]
     with pytest.raises(NotImplementedError):
         read_netcdf(spark, "x.grib", "tas")
+
+
+def _arcs(points, cells):
+    a, b = np.radians(points), np.radians(cells)
+    h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
+    return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1))))
+
+
+@pytest.mark.parametrize("kind", ["regular", "scattered", "patch", "one"])
+def test_nearest_cells(spark, kind):
+    """Poles, the date line, grids on one side only and repeated places, against all distances."""
+    from isobar.operators import detect
+
+    rng = np.random.default_rng(1)
+    if kind == "regular":
+        cells = [(la, lo) for la in np.arange(-90, 90.1, 7.5) for lo in np.arange(0, 360, 9.0)]
+    elif kind == "scattered":
+        cells = [(np.degrees(np.arcsin(u)), lo) for u, lo in zip(rng.uniform(-1, 1, 900), rng.uniform(-180, 180, 900), strict=True)]
+    elif kind == "patch":
+        cells = [(40 + la, 5 + lo) for la, lo in rng.uniform(0, 0.01, (400, 2))] + [(40.0, 5.0)] * 50
+    else:
+        cells = [(10.0, 20.0)]
+    points = [(90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0), (1e-9, 359.9999999), (89.9, 200.0), (-40.0, 185.0), (40.005, 5.005)]
+    points += [(float(np.degrees(np.arcsin(u))), float(lo)) for u, lo in zip(rng.uniform(-1, 1, 60), rng.uniform(-200, 400, 60), strict=True)]
+    grid = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(cells)] + [(9999, None, 1.0)], "cell int, lat double, lon double")
+    own = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(999, None, 0.0)], "id int, lat double, lon double")
+    got = {r["id"]: (r["cell"], r["distance"]) for r in detect.nearest_cell(own, grid).collect()}
+    far = _arcs(np.array(points), np.array(cells, float))
+    assert got.keys() == set(range(len(points)))
+    for k, (cell, distance) in got.items():
+        assert distance == pytest.approx(far[k].min(), abs=1e-9) and far[k][cell] == pytest.approx(far[k].min(), abs=1e-9)
+        ties = np.flatnonzero(far[k] == far[k].min())
+        assert len(ties) == 1 or cell <= ties.max()
+    assert detect.nearest_cell(own, grid.limit(0)).count() == 0
+
+
+def test_candidates_do_not_grow_with_the_grid(spark, monkeypatch):
+    """What a point meets at the last level, on grids of 1,000 and 40,000 cells."""
+    from isobar.operators import detect
+
+    rng = np.random.default_rng(2)
+    point = lambda n: list(zip(np.degrees(np.arcsin(rng.uniform(-1, 1, n))).tolist(), rng.uniform(0, 360, n).tolist(), strict=True))
+    own = spark.createDataFrame([(k, *p) for k, p in enumerate(point(300))], "id int, lat double, lon double")
+    most = []
+    plain = detect.checkpointed
+    for n in (1_000, 40_000):
+        kept = []
+        monkeypatch.setattr(detect, "checkpointed", lambda df, kept=kept: (lambda out: (kept.append(out.count()) if "px" in out.columns else None, out)[1])(plain(df)))
+        grid = spark.createDataFrame(pd.DataFrame([(k, *p) for k, p in enumerate(point(n))], columns=["cell", "lat", "lon"]))
+        assert detect.nearest_cell(own, grid).count() == 300
+        most.append(max(kept) / 300)
+    assert most[1] < 1.5 * most[0] + 5 and most[1] < 40
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_points_along_an_arc(spark, signed):
+    rows = [(0.0, 0.0, 0.0, 90.0), (10.0, 350.0, 20.0, 15.0), (-30.0, 170.0, 5.0, -160.0), (89.0, 10.0, 89.0, 190.0), (5.0, 5.0, 5.0, 5.0), (0.0, 0.0, 0.0, 180.0)]
+    from isobar.functions import expr as E
+
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    ends = [F.col(c) for c in "abcd"]
+    got = df.select("a", "b", "c", "d", E.arc_points(*ends, 7, signed).alias("p"), E.arc_points(*ends, 2).alias("two"), E.arc_spacing(*ends, 7, 1.0).alias("s")).collect()
+    for r in got:
+        a, b, c, d = (np.radians(r[k]) for k in range(4))
+        p, q = (np.array([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)]) for la, lo in ((a, b), (c, d)))
+        angle = np.arccos(np.clip(p @ q, -1, 1))
+        assert [tuple(x) for x in r["two"]] == [(r["a"], r["b"]), (r["c"], r["d"])] and r["s"] == pytest.approx(angle / 6, abs=1e-8)
+        if r["d"] == 180.0 and r["a"] == 0.0:
+            assert all(x["lat"] is None for x in r["p"])
+            continue
+        for k, x in enumerate(r["p"]):
+            la, lo = np.radians([x["lat"], x["lon"]])
+            at = np.array([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
+            assert np.arccos(np.clip(at @ p, -1, 1)) == pytest.approx(angle * k / 6, abs=1e-6) and np.arccos(np.clip(at @ q, -1, 1)) == pytest.approx(angle * (6 - k) / 6, abs=1e-6)
+            assert (-180 <= x["lon"] < 180) if signed else (0 <= x["lon"] <= 360)
