@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..functions.expr import ratio
+from . import ranges
 
 
 def cohen(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,7 +53,11 @@ def ks(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Greatest distance of the two empirical distributions.  Equal values are
     taken together before the running sums."""
     v = samples.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.sum(_side("test")).alias("a"), F.sum(_side("ref")).alias("b"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if not keys:
+        placed, total = ranges.running(v, "value", ["a", "b"])
+        gap = F.abs(F.col("a_run") / F.lit(total["a"] or None) - F.col("b_run") / F.lit(total["b"] or None))
+        return placed.agg(F.max(gap).alias("d"), F.sum("a").alias("n"), F.sum("b").alias("m"))
+    w = Window.partitionBy(*keys)
     run = w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     gap = F.abs(ratio(F.sum("a").over(run), F.sum("a").over(w)) - ratio(F.sum("b").over(run), F.sum("b").over(w)))
     return v.withColumns({"gap": gap}).groupBy(*keys).agg(F.max("gap").alias("d"), F.sum("a").alias("n"), F.sum("b").alias("m"))
@@ -61,8 +66,11 @@ def ks(samples: DataFrame, keys: list[str]) -> DataFrame:
 def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     """u of the test side, both sizes, and the ties' sum of t^3 - t."""
     v = samples.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.sum(_side("test")).alias("a"), F.sum(_side("ref")).alias("b"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("b").over(w), F.lit(0))
+    if keys:
+        below = F.coalesce(F.sum("b").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        v, _ = ranges.running(v, "value", ["b"])
+        below = F.col("b_run") - F.col("b")
     t = F.col("a") + F.col("b")
     scored = v.withColumns({"u": F.col("a") * (below + F.col("b") / 2), "t": t * t * t - t})
     return scored.groupBy(*keys).agg(F.sum("u").alias("u"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum("t").cast("double").alias("ties"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from . import ranges
 
 
 def ordered(keys: list[str], k: str = "k"):
@@ -16,12 +17,17 @@ def ordered(keys: list[str], k: str = "k"):
 
 def rolling_anomaly(series: DataFrame, keys: list[str], size: int = 120) -> DataFrame:
     """Value less its trailing mean over ``size`` rows.  The first ``size`` rows and
-    the last one are dropped, as the analysis that this step belongs to does."""
+    the last one are dropped, as the analysis that this step belongs to does.  One
+    series without keys is dealt out in stretches."""
+    mean_over = lambda run: F.when(F.count("value").over(run) == size, F.avg("value").over(run))
+    if not keys:
+        rows, total = ranges.numbered(series, "k")
+        out = ranges.framed(rows, size - 1, lambda w: {"_mean": mean_over(w.rowsBetween(-(size - 1), 0))})
+        return out.where((F.col("_n") > size) & (F.col("_n") < total)).withColumn("value", F.col("value") - F.col("_mean")).drop("_n", "_mean")
     w = ordered(keys)
     run = w.rowsBetween(-(size - 1), 0)
     n, last = F.row_number().over(w), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    mean = F.when(F.count("value").over(run) == size, F.avg("value").over(run))
-    out = series.withColumns({"_n": n, "_last": last, "_mean": mean}).where((F.col("_n") > size) & (F.col("_n") < F.col("_last")))
+    out = series.withColumns({"_n": n, "_last": last, "_mean": mean_over(run)}).where((F.col("_n") > size) & (F.col("_n") < F.col("_last")))
     return out.withColumn("value", F.col("value") - F.col("_mean")).drop("_n", "_last", "_mean")
 
 
@@ -91,9 +97,13 @@ def average_rank(x: Column, over) -> Column:
 
 
 def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank correlation of columns x and y where both are there."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    """Rank correlation of columns x and y where both are there.  Without keys, ranks
+    are those of the values, which the rows then meet."""
     full = pairs.dropna(subset=["x", "y"])
+    if not keys:
+        rank = lambda c: ranges.average_ranks(full, c).select(c, F.col("rank").alias(f"_{c}"))
+        return full.select("x", "y").join(rank("x"), "x").join(rank("y"), "y").agg(F.corr("_x", "_y").alias("value"))
+    w = Window.partitionBy(*keys)
     return full.withColumns({"_x": average_rank(F.col("x"), w), "_y": average_rank(F.col("y"), w)}).groupBy(*keys).agg(F.corr("_x", "_y").alias("value"))
 
 
@@ -108,9 +118,13 @@ def smooth121(series: DataFrame, keys: list[str], passes: int = 1) -> DataFrame:
 
 def detrend(series: DataFrame, keys: list[str], keep_mean: bool = True) -> DataFrame:
     """Value less its least-squares line; the mean is put back."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     x, y = F.col("k").cast("double"), F.col("value")
     x = F.when(y.isNotNull(), x)
+    if not keys:  # four numbers
+        m = series.agg(ratio(F.covar_pop(y, x), F.var_pop(x)).alias("slope"), F.avg(x).alias("x"), F.avg(y).alias("y")).first()
+        line = F.lit(m["slope"]).cast("double") * (F.col("k") - F.lit(m["x"]).cast("double"))
+        return series.withColumn("value", y - line - (F.lit(0.0) if keep_mean else F.lit(m["y"]).cast("double")))
+    w = Window.partitionBy(*keys)
     slope = ratio(F.covar_pop(y, x).over(w), F.var_pop(x).over(w))
     line = slope * (F.col("k") - F.avg(x).over(w))
     return series.withColumn("value", y - line - (F.lit(0.0) if keep_mean else F.avg(y).over(w)))
