@@ -209,7 +209,7 @@ def src4(spark, d):
 @query("stream_windowed_mean", "SELECT event_type, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS k, round(avg(value), 5) AS value, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL", 5)
 def stream1(spark, d):
     agg = events.windowed_mean(events.event_stream(spark, f"{d}/events.parquet"))
-    done = events.drain(agg, scratch(spark, "stream"), scratch(spark, "stream-state"))
+    done = events.drain(agg, scratch(spark, "stream"), scratch(spark, "stream-state"), ["w", "event_type"])
     k = ((F.unix_timestamp("w.start") - 1704067200) / 3600).cast("int")
     return done.select("event_type", k.alias("k"), "value", "n")
 
