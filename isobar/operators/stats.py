@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -153,23 +154,68 @@ def mean_interval(samples: DataFrame, keys: list[str], resamples: int = 1000, se
     return samples.groupBy(*keys).applyInPandas(one, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "lo double, hi double"]))
 
 
-#: A test's name to p-values by key.
-def all_tests(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, test, p of the four tests."""
+#: Takes samples of many keys at once, (keys x values of the test side, keys x values of
+#: the reference side) with equal numbers of values, and gives a p-value a key, or an
+#: object with these as ``pvalue``.
+Test = Callable[[np.ndarray, np.ndarray], object]
 
+
+def by_test(samples: DataFrame, keys: list[str], test: Test) -> DataFrame:
+    """keys, p of a test of one's own.  A key's values are in ascending order, nulls left
+    out; a key with an empty side has no p.  The function is sent to the workers once;
+    there it gets the keys of a batch, those with equal numbers of values together."""
+    own = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("value")).cast("double"))).alias(s)
+    rows = samples.groupBy(*keys).agg(own("test"), own("ref"))
+
+    def tested(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            p = np.full(len(frame), np.nan)
+            sizes = pd.Series(list(zip(frame["test"].map(len), frame["ref"].map(len), strict=True)), dtype=object)
+            for (n, m), at in sizes.groupby(sizes).groups.items():
+                if n and m:
+                    x, y = (np.stack(frame[side].iloc[at].to_list()).astype(float) for side in ("test", "ref"))
+                    found = test(x, y)
+                    p[at] = np.broadcast_to(getattr(found, "pvalue", found), len(at))
+            yield frame[keys].assign(p=p)
+
+    kinds = dict(samples.dtypes)
+    made = rows.mapInPandas(tested, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "p double"]))
+    return made.withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
+
+
+def _t_test(samples: DataFrame, keys: list[str]) -> DataFrame:
+    return with_t_p(welch(samples, keys))
+
+
+def _ks_test(samples: DataFrame, keys: list[str]) -> DataFrame:
     @F.pandas_udf("double")
-    def ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    def p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series(special.ks_two_sided(*(x.to_numpy(float) for x in (d, n, m))))
 
+    return ks(samples, keys).withColumn("p", p("d", "n", "m"))
+
+
+def _u_test(samples: DataFrame, keys: list[str]) -> DataFrame:
     @F.pandas_udf("double")
-    def u_p(u: pd.Series, n: pd.Series, m: pd.Series, t: pd.Series) -> pd.Series:
+    def p(u: pd.Series, n: pd.Series, m: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(special.mann_whitney_two_sided(*(x.to_numpy(float) for x in (u, n, m, t))))
 
-    named = lambda df, test, p: df.select(*keys, F.lit(test).alias("test"), p.alias("p"))
-    out = named(with_t_p(welch(samples, keys)), "T-test", F.col("p"))
-    out = out.union(named(ks(samples, keys), "KS-test", ks_p("d", "n", "m")))
-    out = out.union(named(mann_whitney(samples, keys), "U-test", u_p("u", "n", "m", "ties")))
-    return out.union(named(bootstrap_test(samples, keys), "Bootstrap", F.col("p")))
+    return mann_whitney(samples, keys).withColumn("p", p("u", "n", "m", "ties"))
+
+
+#: Tests by name: the built-in ones are functions of samples and keys that give p by key.
+BUILT_IN: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {"T-test": _t_test, "KS-test": _ks_test, "U-test": _u_test, "Bootstrap": bootstrap_test}
+
+
+def all_tests(samples: DataFrame, keys: list[str], tests: list[str] | dict[str, Test | None] | None = None) -> DataFrame:
+    """keys, test, p of the tests: names of built-in ones, or names with functions of
+    one's own (None: the built-in one of that name); all built-in ones, if none are named."""
+    asked = dict.fromkeys(BUILT_IN if tests is None else tests) | (tests if isinstance(tests, dict) else {})
+    unknown = [n for n, f in asked.items() if f is None and n not in BUILT_IN]
+    if unknown or not asked:
+        raise KeyError(f"no test {', '.join(unknown)}")
+    made = [(by_test(samples, keys, f) if f else BUILT_IN[n](samples, keys)).select(*keys, F.lit(n).alias("test"), "p") for n, f in asked.items()]
+    return reduce(DataFrame.union, made)
 
 
 def rejections(p_values: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:

@@ -91,10 +91,12 @@ class DataDiagnostics(_Registry):
         rows = self._pair(a, b, variable)
         return plots.map_table(reduce.difference_map(rows, "ref", "test", "side", ocean))
 
-    def eff_size_plot(self, a: str, b: str, variable: str, alpha: float = 0.05, resamples: int = 5000) -> DataFrame:
+    def eff_size_plot(self, a: str, b: str, variable: str, alpha: float = 0.05, resamples: int = 5000, test: stats.Test | None = None) -> DataFrame:
+        """Effect sizes, and where they are significant: by the pooled t-test or a test of
+        one's own (see stats.Test)."""
         means = self._pair(a, b, variable).groupBy("side", "realization", "lat", "lon").agg(F.avg("value").alias("value"))
         d = stats.cohen_bootstrap(means.select("lat", "lon", "side", "value"), ["lat", "lon"], resamples).withColumnRenamed("d", "value")
-        p = stats.with_t_p(stats.welch(means, ["lat", "lon"], equal=True))
+        p = stats.by_test(means, ["lat", "lon"], test) if test else stats.with_t_p(stats.welch(means, ["lat", "lon"], equal=True))
         return plots.map_table(d, stats.significant(p, alpha))
 
     def bias_plot(self, name: str, variable: str, obs: DataFrame) -> DataFrame:
@@ -110,10 +112,10 @@ class ReplicabilityTest(_Registry):
         self.obs, self.alpha = obs, alpha
         self.results: dict[str, tuple[DataFrame, DataFrame]] = {}
 
-    def perform_rep_test(self, names: list[str], resamples: int = 10_000) -> None:
+    def perform_rep_test(self, names: list[str], resamples: int = 10_000, tests: list[str] | dict[str, stats.Test | None] | None = None) -> None:
         """Scores of both ensembles against the observations, their effect sizes and
         tests, by variable, season, region and metric.  Both have the same times, which
-        give the months that seasons are made of."""
+        give the months that seasons are made of.  tests: see stats.all_tests()."""
         a, b = self._named(names)
         validate.raise_errors(validate.same_grid(a.cube, b.cube, ["variable", "lat", "lon"]))
         validate.raise_errors(validate.same_grid(a.cube, b.cube, ["time"]))
@@ -126,7 +128,7 @@ class ReplicabilityTest(_Registry):
             scores = scores.select("variable", "season", "region", "metric", F.lit(side).alias("side"), F.col("score").alias("value"))
             samples = scores if samples is None else samples.unionByName(scores)
         keys = ["variable", "season", "region", "metric"]
-        self.results[" - ".join(names)] = stats.cohen_bootstrap(samples, keys, resamples), stats.rejections(stats.all_tests(samples, keys), keys[:3], self.alpha)
+        self.results[" - ".join(names)] = stats.cohen_bootstrap(samples, keys, resamples), stats.rejections(stats.all_tests(samples, keys, tests), keys[:3], self.alpha)
 
     def _result(self, names: list[str]) -> tuple[DataFrame, DataFrame]:
         """Names in either order."""

@@ -97,6 +97,39 @@ def test_the_first_observation_file_is_read(spark, tmp_path):
         files.read_observations(spark, str(tmp_path), ["ua"], stamps)
 
 
+def _pooled(x, y):
+    """The pooled t-test of many keys, as a test of one's own."""
+    from types import SimpleNamespace
+
+    n, m = x.shape[1], y.shape[1]
+    spread = np.sqrt((x.var(1, ddof=1) * (n - 1) + y.var(1, ddof=1) * (m - 1)) / (n + m - 2) * (1 / n + 1 / m))
+    t = (x.mean(1) - y.mean(1)) / spread
+    return SimpleNamespace(pvalue=special.t_two_sided(t, np.full(len(t), float(n + m - 2))))
+
+
+def test_tests_of_ones_own(spark, cube):
+    """Equal to the built-in one, in the map and in the matrix, beside others by name."""
+    other = cube.withColumn("value", F.col("value") + F.when(F.col("lat") > 0, 1.5).otherwise(0))
+    d = DataDiagnostics([SimulationData(cube, "a"), SimulationData(other, "b")])
+    plain, own = (d.eff_size_plot("a", "b", "tas", resamples=50, **more).toPandas().sort_values(["lat", "lon"]) for more in ({}, {"test": _pooled}))
+    assert plain["significant"].tolist() == own["significant"].tolist() and 0 < own["significant"].sum() < len(own)
+
+    rows = [(k, s, float(v)) for k in range(40) for s, n in (("test", 4 + k % 3), ("ref", 6)) for v in np.random.default_rng(k).normal(k % 5, 1, n) * (1 if s == "ref" else 2)]
+    rows += [(90, "test", 1.0), (91, "test", None), (91, "ref", 2.0)]
+    samples = spark.createDataFrame(rows, "key int, side string, value double")
+    want = {r["key"]: r["p"] for r in stats.with_t_p(stats.welch(samples, ["key"], equal=True)).collect()}
+    got = {r["key"]: r["p"] for r in stats.by_test(samples, ["key"], _pooled).collect()}
+    assert got.keys() == want.keys() and got[90] is None and got[91] is None
+    assert all(got[k] == pytest.approx(want[k]) for k in range(40))
+
+    test = ReplicabilityTest([SimulationData(cube, "a"), SimulationData(other, "b")], cube.where("realization = 0").drop("realization"))
+    test.perform_rep_test(["a", "b"], 50, {"mine": lambda x, y: np.zeros(len(x)), "never": lambda x, y: 1.0, "KS-test": None})
+    found = test.get_test_results(["a", "b"]).groupBy("test").agg(F.bool_and("rejected").alias("all"), F.bool_or("rejected").alias("any")).collect()
+    assert {r["test"]: (r["all"], r["any"]) for r in found if r["test"] != "KS-test"} == {"mine": (True, True), "never": (False, False)} and len(found) == 3
+    with pytest.raises(KeyError, match="Sign"):
+        stats.all_tests(samples, ["key"], ["Sign-test"])
+
+
 def test_shifted_ensemble_is_told(spark, cube):
     obs = cube.where("realization = 0").drop("realization")
     test = ReplicabilityTest([SimulationData(cube, "a"), SimulationData(cube.withColumn("value", F.col("value") + 5), "b")], obs)
