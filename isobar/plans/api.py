@@ -3,6 +3,7 @@ is asked for."""
 
 from __future__ import annotations
 
+import functools
 import warnings
 from dataclasses import dataclass, field
 
@@ -75,17 +76,46 @@ class _Registry:
         return x.withColumn("side", F.lit("ref")).unionByName(y.withColumn("side", F.lit("test")), allowMissingColumns=True)
 
 
+#: Bins of time series: what time is cut to, and the bin's number.
+BINS = {
+    "annual": ("year", lambda t: F.year(t)),
+    "monthly": ("month", lambda t: F.year(t) * 12 + F.month(t) - 1),
+    "daily": ("day", lambda t: F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date"))),
+}
+
+
 class DataDiagnostics(_Registry):
-    def time_series_plot(self, variable: str, names: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-        """Yearly means over members of area means, with their spread."""
-        out = None
-        for d in self._named(names):
-            lo, hi = validate.year_range(d.cube, start, end)
-            cube = d.cube.where((F.col("variable") == variable) & F.year("time").between(lo, hi))
-            by_time = cube.groupBy("realization", "time").agg(weighted_mean("value", weight()).alias("value"))
-            yearly = reduce.resample(by_time, ["realization"], {"k": F.year("time")}).withColumn("label", F.lit(d.name))
-            out = yearly if out is None else out.unionByName(yearly)
-        return plots.time_series(out)
+    def time_series_plot(
+        self, variable: str, names: list[str] | None = None, start: int | None = None, end: int | None = None,
+        frequency: str = "annual", obs: dict[str, DataFrame] | None = None, members: bool = False,
+    ) -> DataFrame:
+        """kind, label, realization, k (the year; months or days are counted from year 0 and
+        from 1970), start (the bin's first day), mean, q05, q95, lo, hi.  Means over the
+        bins of area means: of ensembles over their members, with their spread; of
+        observations, and of single members where they are asked for, alone."""
+        if frequency not in BINS:
+            raise ValueError(f"no frequency {frequency}; there are {', '.join(BINS)}")
+        unit, number = BINS[frequency]
+        named = self._named(names)
+        lo, hi = start, end
+        for cube in [d.cube for d in named] + list((obs or {}).values()):
+            lo, hi = validate.year_range(cube, lo, hi)
+
+        def binned(cube: DataFrame, label: str, own: list[str]) -> DataFrame:
+            found = cube.where((F.col("variable") == variable) & F.year("time").between(lo, hi))
+            by_time = found.groupBy(*own, "time").agg(weighted_mean("value", weight()).alias("value"))
+            return reduce.resample(by_time, own, {"k": number(F.col("time")), "start": F.trunc("time", unit) if unit != "day" else F.to_date("time")}).withColumn("label", F.lit(label))
+
+        union = lambda parts: functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        each = union([binned(d.cube, d.name, ["realization"]) for d in named])
+        starts = each.select("k", "start").distinct()
+        out = [plots.time_series(each).join(starts, "k").withColumn("kind", F.lit("ensemble"))]
+        if members:
+            out.append(each.withColumnRenamed("value", "mean").withColumn("kind", F.lit("member")))
+        for name, cube in (obs or {}).items():
+            out.append(binned(cube, name, []).withColumnRenamed("value", "mean").withColumn("kind", F.lit("observation")))
+        out[0] = out[0].withColumn("realization", F.lit(None).cast(each.schema["realization"].dataType))
+        return union(out).select("kind", "label", "realization", "k", "start", "mean", "q05", "q95", "lo", "hi")
 
     def abs_diff_plot(self, a: str, b: str, variable: str, ocean: bool = False) -> DataFrame:
         rows = self._pair(a, b, variable)

@@ -97,6 +97,31 @@ def test_the_first_observation_file_is_read(spark, tmp_path):
         files.read_observations(spark, str(tmp_path), ["ua"], stamps)
 
 
+@pytest.mark.parametrize("frequency", ["annual", "monthly", "daily"])
+def test_time_series_by_bins(spark, frequency):
+    """Means of area means, members, and an observation, by pandas."""
+    cube = _steps(spark, "1999-12-20", "day", 50)
+    other = cube.withColumn("value", F.col("value") * 3 + 1)
+    obs = cube.where("realization = 1").drop("realization")
+    d = DataDiagnostics([SimulationData(cube, "a"), SimulationData(other, "b")])
+    got = d.time_series_plot("tas", ["b"], frequency=frequency, obs={"seen": obs}, members=True).toPandas()
+    plain = other.toPandas()
+    cut = {"annual": "Y", "monthly": "M", "daily": "D"}[frequency]
+    plain["bin"] = plain["time"].dt.to_period(cut)
+    by_time = plain.groupby(["realization", "bin", "time"])["value"].mean().reset_index()  # both latitudes weigh the same
+    each = by_time.groupby(["realization", "bin"])["value"].mean().unstack("realization")
+    of = lambda kind: got[got["kind"] == kind].assign(bin=lambda x: pd.to_datetime(x["start"]).dt.to_period(cut)).set_index("bin").sort_index()
+    whole, member, seen = of("ensemble"), of("member"), of("observation")
+    assert np.allclose(whole["mean"], each.mean(axis=1)) and np.allclose(whole["q05"], each.quantile(0.05, axis=1)) and (whole["lo"] <= whole["mean"] + 1e-12).all()
+    assert len(whole) == len(each) == len(seen) and len(member) == each.size and set(got["label"]) == {"b", "seen"}
+    assert all(np.allclose(member[member["realization"] == r]["mean"].sort_index(), each[r]) for r in each.columns)
+    assert np.allclose(seen["mean"] * 3 + 1, each[1]) and seen["lo"].isna().all()
+    first = whole.iloc[0]
+    assert first["k"] == {"annual": 1999, "monthly": 1999 * 12 + 11, "daily": 10945}[frequency]
+    with pytest.raises(ValueError, match="hourly"):
+        d.time_series_plot("tas", frequency="hourly")
+
+
 def _pooled(x, y):
     """The pooled t-test of many keys, as a test of one's own."""
     from types import SimpleNamespace
