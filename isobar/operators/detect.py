@@ -7,6 +7,8 @@ nodes of following times are linked to the nearest one in reach.
 from __future__ import annotations
 
 import json
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,20 @@ def _degrees(lat1, lon1, lat2, lon2):
     return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(a, 1))))
 
 
-def closed(field: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int, delta: float, distance: float) -> bool:
+def _neighbours(reached: np.ndarray, cyclic: bool) -> np.ndarray:
+    """Cells that are reached, or stand beside one that is."""
+    grown = reached.copy()
+    grown[:, 1:] |= reached[:, :-1]
+    grown[:, :-1] |= reached[:, 1:]
+    grown[1:] |= reached[:-1]
+    grown[:-1] |= reached[1:]
+    if cyclic:
+        grown[:, 0] |= reached[:, -1]
+        grown[:, -1] |= reached[:, 0]
+    return grown
+
+
+def closed(field: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int, delta: float, distance: float, cyclic: bool = True) -> bool:
     """Does the field rise by delta (fall, if negative) from (i, j) on every way out
     to the distance?  The cells that are reached below that level grow by whole rows of
     neighbours, until they end or lie beyond the distance."""
@@ -32,10 +47,7 @@ def closed(field: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int,
     reached = np.zeros(field.shape, bool)
     reached[i, j] = True
     while True:
-        grown = reached | np.roll(reached, 1, 1) | np.roll(reached, -1, 1)
-        grown[1:] |= reached[:-1]
-        grown[:-1] |= reached[1:]
-        grown &= below
+        grown = _neighbours(reached, cyclic) & below
         grown[i, j] = True
         if (grown & far).any():
             return False
@@ -44,42 +56,148 @@ def closed(field: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int,
         reached = grown
 
 
+@dataclass(frozen=True)
+class Tiles:
+    """A sphere cut into bands of ``size`` degrees of latitude, and each band into tiles
+    about as wide where it is widest, fewer towards the poles; ``halo`` degrees around a
+    tile belong to what it sees."""
+
+    size: float
+    halo: float
+
+    @property
+    def bands(self) -> int:
+        return max(1, math.ceil(180 / self.size - 1e-9))
+
+    def _half(self, band: int) -> float:
+        """Half the longitudes that a band's halo has beyond a tile's ends."""
+        top = max(abs(-90 + band * self.size - self.halo), abs(-90 + (band + 1) * self.size + self.halo))
+        if top + self.halo >= 90:
+            return 180.0
+        return math.degrees(math.asin(min(1.0, math.sin(math.radians(self.halo)) / math.cos(math.radians(top)))))
+
+    def count(self, band: int) -> int:
+        """Tiles of a band: one where its halo goes round the pole."""
+        if self._half(band) >= 90:
+            return 1
+        a, b = -90 + band * self.size, min(90.0, -90 + (band + 1) * self.size)
+        widest = 1.0 if a <= 0 <= b else max(math.cos(math.radians(a)), math.cos(math.radians(b)))
+        return max(1, round(360 * widest / self.size))
+
+    def _seen(self, band: int) -> Column:
+        """The tiles of one band that see a place."""
+        lat, lon = F.col("lat"), F.pmod(F.col("lon"), F.lit(360.0))
+        low, high, n = -90 + band * self.size, -90 + (band + 1) * self.size, self.count(band)
+        own = (lat >= low) & (F.lit(True) if band == self.bands - 1 else lat < high)
+        width, half = 360 / n, self._half(band)
+        home = F.least(F.floor(lon / width), F.lit(n - 1)).cast("int")
+        if n == 1 or 2 * half + width >= 360:
+            tiles = F.sequence(F.lit(0), F.lit(n - 1))
+        else:
+            ends = [F.floor((lon + off) / width).cast("int") for off in (-half, half)]
+            tiles = F.array_distinct(F.transform(F.sequence(*ends), lambda x: F.pmod(x, F.lit(n))))
+        entries = F.transform(tiles, lambda t: F.struct(F.lit(band).alias("band"), t.alias("tile"), (own & (t == home)).alias("own")))
+        return F.when(lat.between(low - self.halo, high + self.halo), entries).otherwise(F.slice(entries, 1, 0))
+
+    def seen(self) -> Column:
+        """Array of (band, tile, own) of the tiles that see a place (lat, lon)."""
+        return F.concat(*[self._seen(band) for band in range(self.bands)])
+
+
+def _window(pdf: pd.DataFrame, columns: list[str], middle: float | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, bool]:
+    """Fields as latitude x longitude, the axes, and whether the longitudes go round.
+    Longitudes are as they came, in order from the far side of the middle on."""
+    lon = pdf["lon"].to_numpy(float)
+    turned = lon if middle is None else (lon - middle + 180) % 360
+    lats, i = np.unique(pdf["lat"].to_numpy(float), return_inverse=True)
+    order, first, j = np.unique(np.round(turned, 9), return_index=True, return_inverse=True)
+    grid = {}
+    for c in columns:
+        grid[c] = np.full((len(lats), len(order)), np.nan)
+        grid[c][i, j] = pdf[c].to_numpy(float)
+    step = np.median(np.diff(order)) if len(order) > 1 else 360.0
+    return grid, lats, lon[first], bool(order[0] + 360 - order[-1] <= 1.5 * step)
+
+
+def _first_most(values: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[int, int]:
+    """Place of the greatest value; of equal ones the southernmost, then the least
+    longitude."""
+    a, b = np.nonzero(values == np.nanmax(values))
+    k = np.lexsort((lon[b] % 360, lat[a]))[0]
+    return int(a[k]), int(b[k])
+
+
 def detect_nodes(
     fields: DataFrame, keys: list[str], psl_delta: float = 200.0, psl_dist: float = 5.5, z_delta: float = -6.0, z_dist: float = 6.5,
-    z_offset: float = 1.0, merge_dist: float = 6.0, wind_dist: float = 2.0,
+    z_offset: float = 1.0, merge_dist: float = 6.0, wind_dist: float = 2.0, tile: float | None = None, step: float = 2.5,
 ) -> DataFrame:
     """keys, lat, lon, psl, wind of nodes.  fields: keys (member, time), lat, lon, psl,
-    thickness (z300 - z500), wind.  A group is one time's grid, which fits in a task."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = {c: pdf.pivot(index="lat", columns="lon", values=c).sort_index() for c in ("psl", "thickness", "wind")}
-        lat, lon = grid["psl"].index.to_numpy(float), grid["psl"].columns.to_numpy(float)
-        psl, thick, wind = (grid[c].to_numpy(float) for c in ("psl", "thickness", "wind"))
-        lows = np.ones(psl.shape, bool)
-        padded = np.pad(np.pad(psl, ((0, 0), (1, 1)), mode="wrap"), ((1, 1), (0, 0)), constant_values=np.inf)
+    thickness (z300 - z500), wind, on a regular grid; more columns don't matter.
+
+    Without tile, a group is one time's grid.  With it (in degrees) a group is a tile of
+    a time's grid and the cells around it that its candidates' criteria can ask for, so
+    grids of any size fit in tasks: every criterion ends at a distance, and ``step`` is the
+    greatest step of the grid (a greater one is an error).  Nodes are the same for all
+    tiles.  Candidates of a time, which can't be close to each other, are then merged by
+    distance, the deepest first (of equal ones the southernmost, then the least longitude).
+
+    A missing pressure is no minimum and stops a way out; a grid that doesn't go round
+    has ends in longitude.  Empty fields have no nodes."""
+    reach = max(psl_dist, z_dist + z_offset, wind_dist) + 2 * step
+    tiles = Tiles(tile, reach) if tile else None
+    kinds = dict(fields.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    own = ["lat", "lon", "psl", "wind"]
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        middle = None
+        if tiles:
+            middle = (int(pdf["_tile"].iloc[0]) + 0.5) * 360 / tiles.count(int(pdf["_band"].iloc[0]))
+        else:
+            pdf = pdf.assign(_own=True)
+        grid, lat, lon, round_ = _window(pdf, ["psl", "thickness", "wind", "_own"], middle)
+        if tiles and max(np.diff(lat).max(initial=0), np.median(np.diff(lon) % 360) if len(lon) > 1 else 0) > step + 1e-9:
+            raise ValueError(f"the grid's steps are over {step} degrees")
+        psl, thick, wind = grid["psl"], grid["thickness"], grid["wind"]
+        edge = np.pad(psl, ((0, 0), (1, 1)), mode="wrap") if round_ else np.pad(psl, ((0, 0), (1, 1)), constant_values=np.inf)
+        padded = np.pad(edge, ((1, 1), (0, 0)), constant_values=np.inf)
+        lows = grid["_own"] == 1
         for di in (0, 1, 2):
             for dj in (0, 1, 2):
                 if (di, dj) != (1, 1):
                     lows &= psl < padded[di : di + len(lat), dj : dj + len(lon)]
-        found = []
-        for i, j in sorted(zip(*np.nonzero(lows), strict=True), key=lambda p: psl[p]):
-            if any(_degrees(lat[i], lon[j], a, b) <= merge_dist for a, b, *_ in found):
-                continue
-            if not closed(psl, lat, lon, i, j, psl_delta, psl_dist):
+        rows = []
+        for i, j in zip(*np.nonzero(lows), strict=True):
+            if not closed(psl, lat, lon, i, j, psl_delta, psl_dist, round_):
                 continue
             d = _degrees(lat[i], lon[j], lat[:, None], lon[None, :])
-            near = np.where(d <= z_offset, thick, -np.inf)
-            a, b = np.unravel_index(near.argmax(), near.shape)
-            if closed(thick, lat, lon, a, b, z_delta, z_dist):
-                found.append((lat[i], lon[j], psl[i, j], wind[d <= wind_dist].max()))
-        out = pd.DataFrame(found, columns=["lat", "lon", "psl", "wind"])
+            near = np.where(d <= z_offset, thick, np.nan)
+            if np.isnan(near).all():
+                continue
+            if closed(thick, lat, lon, *_first_most(near, lat, lon), z_delta, z_dist, round_):
+                around = wind[d <= wind_dist]
+                rows.append((lat[i], lon[j], psl[i, j], np.nan if np.isnan(around).all() else np.nanmax(around)))
+        out = pd.DataFrame(rows, columns=own)
         for c in keys:
             out[c] = pdf[c].iloc[0]
-        return out[[*keys, "lat", "lon", "psl", "wind"]]
-
-    kinds = dict(fields.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "lat double, lon double, psl double, wind double"])
-    return fields.groupBy(*keys).applyInPandas(one, schema)
+        return out[[*keys, *own]]
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        lat, lon = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
+        kept: list[int] = []
+        for k in np.lexsort((lon % 360, lat, pdf["psl"].to_numpy(float))):
+            if not kept or (_degrees(lat[k], lon[k], lat[kept], lon[kept]) > merge_dist).all():
+                kept.append(int(k))
+        return pdf.iloc[kept][[*keys, *own]]
+
+    cells = fields.select(*keys, "lat", "lon", "psl", "thickness", "wind")
+    schema = ", ".join(x for x in (named, "lat double, lon double, psl double, wind double") if x)
+    if not tiles:
+        # A time's candidates are all in one group already.
+        return cells.groupBy(*keys).applyInPandas(lambda pdf: merged(found(pdf)), schema)
+    at = F.col("_at")
+    dealt = cells.withColumn("_at", F.explode(tiles.seen())).withColumns({"_band": at["band"], "_tile": at["tile"], "_own": at["own"]}).drop("_at")
+    return dealt.groupBy(*keys, "_band", "_tile").applyInPandas(found, schema).groupBy(*keys).applyInPandas(merged, schema)
 
 
 def stitch_nodes(
