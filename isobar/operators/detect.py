@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import great_circle
 from ..session import checkpointed
+from . import regrid
+from .validate import InvalidData
 
 
 def _degrees(lat1, lon1, lat2, lon2):
@@ -209,7 +211,8 @@ def stitch_nodes(
 
     A node is linked to the nearest one in reach at the next step that has one (up to
     ``gap`` steps on); where several choose the same node, the nearest keeps it.
-    Chains are named by their first node by doubling jumps, a join a round.
+    Chains are named by their first node by doubling jumps, a written join a round, of
+    which there are as many as the longest chain has binary digits.
     """
     a = nodes.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(gap))).alias("d"), "step", *keys, F.col("lat").alias("la"), F.col("lon").alias("lo"))
     b = nodes.select(F.col("node").alias("b"), F.col("step").alias("to"), *keys, F.col("lat").alias("lb"), F.col("lon").alias("lo2"))
@@ -218,9 +221,12 @@ def stitch_nodes(
     chosen = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "dist", "b"))).where("r = 1")
     kept = chosen.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "dist", "a"))).where("r = 1")
     jump = nodes.select(F.col("node").alias("b")).join(kept.select("b", "a"), "b", "left").select(F.col("b").alias("node"), F.coalesce("a", "b").alias("head"))
-    steps = nodes.agg(F.max("step") - F.min("step")).first()[0] or 0
-    for _ in range(max(1, int(steps).bit_length())):  # a chain has a node a step at most
-        jump = jump.join(jump.select(F.col("node").alias("head"), F.col("head").alias("far")), "head").select("node", F.col("far").alias("head"))
+    moved = True
+    while moved:  # twice as far a round, until all chains are at their heads
+        further = jump.join(jump.select(F.col("node").alias("head"), F.col("head").alias("far")), "head")
+        further = checkpointed(further.select("node", F.col("far").alias("head"), (F.col("far") != F.col("head")).alias("moved")))
+        moved = bool(further.where("moved").limit(1).collect())
+        jump = further.drop("moved")
     w = Window.partitionBy("head")
     strong = F.count_if((F.col("wind") >= min_wind) & (F.abs("lat") <= max_lat)).over(w)
     named = nodes.join(jump, "node").withColumns({"n": F.count(F.lit(1)).over(w), "strong": strong})
@@ -229,10 +235,36 @@ def stitch_nodes(
     return kept.withColumn("pt", pt).withColumnRenamed("head", "track").drop("n", "strong")
 
 
-def tracker_input(data: DataFrame, topography: DataFrame) -> DataFrame:
-    """Fields with the surface geopotential: topography, on the same grid, times
-    gravity; only shared cells stay."""
-    return data.join(topography.select("lat", "lon", (F.col("value") * 9.80665).alias("phis")), ["lat", "lon"])
+#: The variables that tracking asks for, under the names they get.
+TRACKED = {"psl": "psl", "uas": "ubot", "vas": "vbot", "zg300": "z300", "zg500": "z500"}
+
+
+def tracker_input(cube: DataFrame, keys: list[str], topography: DataFrame | None = None) -> DataFrame:
+    """keys, lat, lon, psl, ubot, vbot, z300, z500, phis, and what detection reads: thickness
+    (z300 - z500) and wind.  cube: variable, keys, lat, lon, value.
+
+    A variable that isn't there is an error.  Places and times are those that all five
+    variables have rows for; a null value stays null.  The surface geopotential is the
+    cube's own phis, or the topography (lat, lon, value in metres; brought onto the grid)
+    times gravity, or null where neither is given."""
+    wanted = [*TRACKED, "phis"]
+    own = cube.where(F.col("variable").isin(wanted))
+    there = {r["variable"] for r in own.select("variable").distinct().collect()}  # six names at most
+    missing = [v for v in TRACKED if v not in there]
+    if missing:
+        raise InvalidData(f"no variable {', '.join(missing)}")
+    is_ = lambda v: F.col("variable") == v
+    place = [*keys, "lat", "lon"]
+    wide = own.groupBy(*place).agg(
+        *[F.max(F.when(is_(v), F.col("value"))).alias(n) for v, n in TRACKED.items()], F.max(F.when(is_("phis"), F.col("value"))).alias("phis"),
+        *[F.bool_or(is_(v)).alias(f"_{v}") for v in TRACKED],
+    )
+    wide = wide.where(" AND ".join(f"_{v}" for v in TRACKED)).drop(*[f"_{v}" for v in TRACKED])
+    if "phis" not in there and topography is not None:
+        grid = own.where(is_("psl")).select("lat", "lon").distinct()
+        ground = regrid.bilinear(topography.select("lat", "lon", "value"), grid, []).select("lat", "lon", (F.col("value") * 9.80665).alias("phis"))
+        wide = wide.drop("phis").join(ground, ["lat", "lon"])
+    return wide.select(*place, *TRACKED.values(), "phis", (F.col("z300") - F.col("z500")).alias("thickness"), F.hypot("ubot", "vbot").alias("wind"))
 
 
 def nearest_index(points: DataFrame, axis: DataFrame, name: str) -> DataFrame:

@@ -55,9 +55,12 @@ def by_basin(points: DataFrame, code: int) -> DataFrame:
 
 
 def by_time(points: DataFrame, months: tuple[int, int] = (1, 12), years: tuple[int, int] | None = None) -> DataFrame:
-    """Points of storms whose first point is in the months and years."""
+    """Points of storms whose first point is in the months and years.  Months that end
+    before they begin go over the turn of the year; equal ones are the whole year."""
     first = points.groupBy(*STORM).agg(F.min_by(F.struct("month", "year"), "pt").alias("g"))
-    keep = F.col("g.month").between(*months) & (F.lit(True) if years is None else F.col("g.year").between(*years))
+    begin, end = months
+    inside = F.col("g.month").between(begin, end) if begin < end else (F.col("g.month") >= begin) | (F.col("g.month") <= end)
+    keep = inside & (F.lit(True) if years is None else F.col("g.year").between(*years))
     return points.join(first.where(keep).select(*STORM), STORM, "left_semi")
 
 

@@ -14,7 +14,7 @@ from ..functions.expr import weight, weighted_mean
 from ..operators import reduce, regrid, stats, validate
 from ..operators.windows import dispersion
 from ..sources.files import result_name, write_result
-from . import evaluations, plots
+from . import evaluations, plots, storms
 from .config import ISOConfig, MJOConfig, TCConfig
 
 
@@ -351,3 +351,12 @@ class ScientificEvaluation(_Registry):
         """Monthly, yearly, climatological and spatial metrics of tracks, biases and
         correlations against the control."""
         return TCEvaluation(evaluations.tc(points, control, years, config), control)
+
+    def evaluate_storms(
+        self, name: str, references: dict[str, storms.TrackSet], control: str | None = None, start: int | None = None, end: int | None = None,
+        wind_factor: float = 1.0, config: TCConfig | None = None, topography: DataFrame | None = None,
+    ) -> TCEvaluation:
+        """The same from the dataset's fields: its storms are found, tracked and compared
+        with the references' (see storms.from_fields())."""
+        cube = self._named([name])[0].cube
+        return TCEvaluation(storms.from_fields(cube, name, references, control, start, end, wind_factor, config, topography), control or next(iter(references)))

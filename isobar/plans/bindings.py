@@ -117,6 +117,21 @@ def seasonal_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_points(spark, sf_dir).withColumn("month", (F.dayofmonth("ts") % 12 + 1).cast("int"))
 
 
+def storm_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as members of a simulation (variable, realization, time, lat, lon, value):
+    each has a storm that lasts three days and begins in a month of its own."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
+    cells = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    for axis, ends in (("lat", (-1, 27)), ("lon", (91, 115))):
+        cells = cells.withColumn(axis, F.explode(F.sequence(*[F.lit(x) for x in ends]).cast("array<double>")))
+    r2 = F.pow(F.col("lat") - 8.1 - F.col("k") * 0.5 - F.col("s") % 5, F.lit(2)) + F.pow(F.col("lon") - 100.1 - F.col("k") * 0.5, F.lit(2))
+    wind = 5 + (30 - F.abs(F.col("k") - 4.3)) * F.exp(-r2 / 16)
+    values = {"psl": 101000 - 3000 * F.exp(-r2 / 4), "uas": 0.6 * wind, "vas": 0.8 * wind, "zg300": 9000 + 30 * F.exp(-r2 / 9), "zg500": F.lit(5000.0)}
+    time = F.expr("cast(timestamp_ntz'2024-01-01 00:00:00' + make_ym_interval(0, cast(s % 12 as int)) + make_dt_interval(0, k * 6) as timestamp_ntz)")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), x.alias("value")) for v, x in values.items()]))
+    return cells.select(F.col("s").alias("realization"), time.alias("time"), "lat", "lon", each.alias("x")).select("x.variable", "realization", "time", "lat", "lon", "x.value")
+
+
 CUBE = """cube AS (SELECT l_returnflag AS variable, l_linenumber AS realization, l_shipdate AS time, CAST((l_suppkey % 18) * 10 - 85 AS DOUBLE) AS lat,
  CAST((l_partkey % 36) * 10 AS DOUBLE) AS lon, l_extendedprice / 7.0 AS value, l_quantity AS quantity FROM lineitem)"""
 DAYS = """days AS (SELECT l_returnflag AS variable, l_linenumber AS realization, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS k, CAST((l_suppkey % 6) * 30 - 75 AS DOUBLE) AS lat, CAST((l_partkey % 4) * 90 AS DOUBLE) AS lon, l_extendedprice / 7.0 AS value FROM lineitem)"""
@@ -132,3 +147,6 @@ e3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY ts, event_i
 points AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'model' END AS dataset, CAST(user_id * 1000 + n AS BIGINT) AS storm, CAST(pt AS INTEGER) AS pt, ts,
  CAST((user_id * 37 + pt * 3) % 100 - 50 AS DOUBLE) AS lat, CAST((user_id * 53 + event_id * 7) % 360 AS DOUBLE) AS lon, value / 7.0 AS wind,
  1010.0::DOUBLE - pow(value / 7.0, 1.2) + event_id % 5 AS pres, CAST(month(ts) AS INTEGER) AS month, CAST(year(ts) AS INTEGER) AS year FROM e3)"""
+STORM_FIELDS = """spots AS (SELECT s_suppkey AS s, k, 8.1::DOUBLE + k * 0.5::DOUBLE + s_suppkey % 5 AS y, 100.1::DOUBLE + k * 0.5::DOUBLE AS x FROM supplier, (SELECT unnest(range(12)) AS k)),
+r AS (SELECT *, round(y) AS lat, round(x) AS lon, pow(round(y) - y, 2) + pow(round(x) - x, 2) AS r2 FROM spots),
+found AS (SELECT 'model' AS dataset, CAST(s AS VARCHAR) AS storm, k AS pt, lat, lon, 0.9::DOUBLE * (5 + (30 - abs(k - 4.3::DOUBLE)) * exp(-r2 / 16)) AS wind, (101000 - 3000 * exp(-r2 / 4)) / 100 AS pres, s % 12 + 1 AS month FROM r)"""

@@ -56,4 +56,9 @@ class TCConfig(Configured):
     max_gap: int = 3
     min_wind: float = 10.0
     max_lat: float = 50.0
+    #: Points of a track that have to reach the wind within the latitude.
+    min_strong: int = 10
     bin: float = 2.5
+    #: Degrees of a tile of a large grid (0: a time's grid is one), and its greatest step.
+    tile: float = 0.0
+    step: float = 2.5

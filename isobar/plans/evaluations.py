@@ -190,12 +190,14 @@ def mjo(sim: DataFrame, obs: DataFrame, c: MJOConfig | None = None, cycle: int =
 
 
 def storm_tracks(fields: DataFrame, c: TCConfig | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Tracks (track, pt, step, lat, lon, psl, wind) of the storms of a cube.  fields:
-    keys, step, lat, lon, psl, thickness, wind."""
+    """Tracks (keys, track, pt, step, lat, lon, psl, wind) of the storms of a cube.  fields:
+    keys, step, lat, lon, psl, thickness, wind.  A key named time is a step's time."""
     c = c or TCConfig()
-    nodes = detect.detect_nodes(fields, [*keys, "step"], c.psl_delta, c.psl_dist, c.z_delta, c.z_dist, c.z_offset, c.merge_dist)
+    tile = c.tile or None
+    nodes = detect.detect_nodes(fields, [*keys, "step"], c.psl_delta, c.psl_dist, c.z_delta, c.z_dist, c.z_offset, c.merge_dist, tile=tile, step=c.step)
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    return detect.stitch_nodes(nodes, c.reach, c.max_gap, c.min_length, c.min_wind, c.max_lat, keys=keys)
+    linked = tuple(k for k in keys if k != "time")
+    return detect.stitch_nodes(nodes, c.reach, c.max_gap, c.min_length, c.min_wind, c.max_lat, c.min_strong, linked)
 
 
 def correlations(rows: DataFrame, keys: list[str], control: str, values: list[str]) -> DataFrame:
@@ -209,15 +211,15 @@ METRICS = ("count", "tcd", "ace", "pace", "lmi")
 MAPS = ("count", "gen", "tcd", "ace", "pace", "minpres", "maxwind")
 
 
-def tc(points: DataFrame, control: str, years: float | dict[str, float], c: TCConfig | None = None) -> Tables:
+def tc(points: DataFrame, control: str, years: float | dict[str, float], c: TCConfig | None = None, members: float | dict[str, float] = 1) -> Tables:
     """Monthly, yearly, climatological, storm and spatial metrics of tracks; biases and
     temporal and spatial correlations against the control.  years: model years (members
-    times years), of all datasets or of each."""
+    times years), of all datasets or of each; yearly totals are a member's."""
     c = c or TCConfig()
     kept = tracks.by_wind(points, c.min_wind)
     fitted = tracks.quadratic(kept, control)
     storms = checkpointed(tracks.storm_stats(kept).join(tracks.pressure_energy(kept, fitted), tracks.STORM))
-    monthly, yearly = tracks.monthly(storms, years), tracks.yearly(storms)
+    monthly, yearly = tracks.monthly(storms, years), tracks.yearly(storms, members)
     clim = tracks.climatology(storms, years).join(tracks.yearly_means(storms), "dataset")
     maps = checkpointed(tracks.spatial_bundle(kept, storms, fitted, c.bin, years))
     by_time = correlations(monthly, ["month"], control, list(METRICS)).dropna(subset=["x", "y"])

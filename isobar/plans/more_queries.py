@@ -16,7 +16,7 @@ from ..sources import files, netcdf, netcdf_sink
 from ..streaming import events
 from . import bindings as B
 from ..operators import tracks as T
-from .queries import ORACLE_SQL, PCS, PHASE, QUERIES, _kernel_sql, _members, _pcs, query  # noqa: F401
+from .queries import ORACLE_SQL, PCS, PHASE, QUAD, QUERIES, _kernel_sql, _members, _pcs, query  # noqa: F401
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -500,6 +500,39 @@ def ev_tc_storm_bias(spark, d):
     return _tc(spark, d)["storm_bias"].drop("storm_pace")
 
 
+PACE_SQL = f"""kept AS (SELECT * FROM points JOIN (SELECT dataset, storm FROM points GROUP BY ALL HAVING max(wind) >= 10) USING (dataset, storm)), {QUAD.replace("FROM points", "FROM kept")},
+    pa AS (SELECT dataset, storm, sum(1e-4 * pow(1.94384449 * (c2*(1010-pres)*(1010-pres) + c1*(1010-pres) + c0), 2)) AS pace FROM kept, co GROUP BY ALL), sp AS (SELECT * FROM s JOIN pa USING (dataset, storm))"""
+
+
+@query("ev_tc_pressure_energy", f"""WITH {B.TRACKS}, {STORMS_SQL}, {PACE_SQL}, e AS (SELECT dataset, years, CAST(unnest(range(1, 13)) AS INTEGER) AS month FROM n),
+    m AS (SELECT e.dataset, e.month, coalesce(sum(pace), 0) / any_value(years) AS monthly FROM e LEFT JOIN sp ON sp.dataset = e.dataset AND sp.month = e.month GROUP BY ALL),
+    c AS (SELECT dataset, sum(pace) / any_value(years) AS climatology, avg(pace) AS storm FROM sp JOIN n USING (dataset) GROUP BY ALL)
+    SELECT m.dataset, m.month, round(monthly, 3) AS monthly, round(climatology, 3) AS climatology, round(storm, 3) AS storm FROM m JOIN c USING (dataset)""", 3)
+def ev_tc_pace(spark, d):
+    """Energy worked out from pressure, by month, a year and a storm."""
+    t = _tc(spark, d)
+    clim = t["climatology"].select("dataset", F.col("uclim_pace").alias("climatology"), F.col("storm_pace").alias("storm"))
+    return t["monthly"].select("dataset", "month", F.col("pace").alias("monthly")).join(clim, "dataset")
+
+
+@query("ev_tc_from_fields", f"""WITH {B.TRACKS}, {B.STORM_FIELDS}, p AS (SELECT dataset, CAST(storm AS VARCHAR) AS storm, pt, lat, lon, wind, pres, CAST(day(ts) % 12 + 1 AS INTEGER) AS month FROM points WHERE dataset = 'control' UNION ALL SELECT * FROM found),
+    kept AS (SELECT * FROM p JOIN (SELECT dataset, storm FROM p GROUP BY ALL HAVING max(wind) >= 10) USING (dataset, storm)), {QUAD.replace("FROM points", "FROM kept")},
+    s AS (SELECT dataset, storm, arg_min(month, pt) AS month, count(*) * 0.25 AS tcd, sum(1e-4 * pow(1.94384449 * wind, 2)) AS ace, sum(1e-4 * pow(1.94384449 * (c2*(1010-pres)*(1010-pres) + c1*(1010-pres) + c0), 2)) AS pace,
+     arg_min(abs(lat), (-wind, pt)) AS lmi FROM kept, co GROUP BY ALL),
+    n AS (SELECT 'control' AS dataset, 1 AS members UNION ALL SELECT 'model', count(DISTINCT s_suppkey) FROM supplier), e AS (SELECT dataset, members, CAST(unnest(range(1, 13)) AS INTEGER) AS month FROM n)
+    SELECT e.dataset, e.month, round(count(s.storm) / any_value(members), 5) AS count, round(coalesce(sum(tcd), 0) / any_value(members), 5) AS tcd, round(coalesce(sum(ace), 0) / any_value(members), 4) AS ace,
+     round(coalesce(sum(pace), 0) / any_value(members), 3) AS pace, round(avg(lmi), 5) AS lmi FROM e LEFT JOIN s ON s.dataset = e.dataset AND s.month = e.month GROUP BY ALL""")
+def ev_tc_from_fields(spark, d):
+    """Storms of the suppliers' fields, found, tracked and compared with the events' tracks."""
+    from . import storms
+
+    own = B.seasonal_tracks(spark, d).where("dataset = 'control'")
+    control = storms.TrackSet(own.withColumn("psl", F.col("pres") * 100))
+    t = storms.from_fields(B.storm_fields(spark, d), "model", {"control": control}, wind_factor=0.9)["monthly"]
+    digits = {"count": 5, "tcd": 5, "ace": 4, "pace": 3, "lmi": 5}
+    return t.select("dataset", "month", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
 @query("ev_tc_temporal_correlation", digits=5)
 def ev_tc_temporal(spark, d):
     return _tc(spark, d)["temporal_correlation"]
