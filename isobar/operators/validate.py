@@ -74,13 +74,16 @@ def gaps(stamps: DataFrame, k: str = "k") -> DataFrame:
 
 
 def plausible(cube: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Values beyond the catalogue's bounds; without bounds checked, a warning."""
+    """Values beyond the catalogue's bounds; without bounds checked, a warning.  Boundaries
+    that aren't null ask for a check that there isn't, which is an error."""
     m = cube.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).join(catalog, "variable")
     low, high = m.where("check_enabled AND lo < min"), m.where("check_enabled AND hi > max")
+    asked = m.where("check_enabled AND boundaries IS NOT NULL") if "boundaries" in catalog.columns else m.limit(0)
     return (
         _rows(low, "plausibility", F.col("variable"), "error", F.concat(F.lit("below "), F.col("min")))
         .union(_rows(high, "plausibility", F.col("variable"), "error", F.concat(F.lit("above "), F.col("max"))))
         .union(_rows(m.where("NOT check_enabled"), "plausibility", F.col("variable"), "warning", F.lit("not checked")))
+        .union(_rows(asked, "plausibility", F.col("variable"), "error", F.lit("boundaries are not checked")))
     )
 
 

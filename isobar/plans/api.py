@@ -14,7 +14,7 @@ from ..functions.expr import weight, weighted_mean
 from ..operators import reduce, regrid, stats, validate
 from ..operators.windows import dispersion
 from ..sources.files import result_name, write_result
-from . import evaluations, plots, storms
+from . import evaluations, plots, prepared, storms
 from .config import ISOConfig, MJOConfig, TCConfig
 
 
@@ -336,10 +336,13 @@ class ScientificEvaluation(_Registry):
             out = row if out is None else out.unionByName(row)
         return GeneralEvaluation({"scores": out})
 
-    def compute_iso_scores(self, name: str, config: ISOConfig | None = None, obs: DataFrame | None = None, years: tuple[int, int] | None = None, correct: bool = False) -> ISOEvaluation:
+    def compute_iso_scores(
+        self, name: str, config: ISOConfig | None = None, obs: DataFrame | prepared.PreparedISO | None = None, years: tuple[int, int] | None = None, correct: bool = False,
+        component_years: tuple[int, int] | None = None,
+    ) -> ISOEvaluation:
         """Extended modes of the intraseasonal oscillation, components, labels, monthly
-        shares and, with observations, their skill."""
-        return ISOEvaluation(evaluations.iso(self._named([name])[0].cube, obs, config, years, correct))
+        shares and, with observations (a field, or one prepared), their skill."""
+        return ISOEvaluation(evaluations.iso(self._named([name])[0].cube, obs, config, years, correct, component_years))
 
     def compute_mjo_scores(self, name: str, obs: DataFrame, config: MJOConfig | None = None, cycle: int = 365) -> MJOEvaluation:
         """Combined modes, components, lead-lag curves, activity and spectra, with

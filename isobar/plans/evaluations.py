@@ -4,6 +4,7 @@ Madden-Julian oscillation and tropical cyclones."""
 from __future__ import annotations
 
 from functools import reduce as fold
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from ..operators import windows as W
 from ..session import checkpointed
 from .config import ISOConfig, MJOConfig, TCConfig
 
+if TYPE_CHECKING:
+    from .prepared import PreparedISO
+
 Tables = dict[str, DataFrame]
 
 
@@ -76,20 +80,28 @@ def adjusted(amps: DataFrame, by: DataFrame) -> DataFrame:
     return scaled.withColumns({x: ratio(x, "alpha") for x in ("raw1", "raw2", "std1", "std2")}).drop("alpha")
 
 
-def iso(sim: DataFrame, obs: DataFrame | None = None, c: ISOConfig | None = None, years: tuple[int, int] | None = None, correct: bool = False) -> Tables:
+def iso(
+    sim: DataFrame, obs: DataFrame | PreparedISO | None = None, c: ISOConfig | None = None, years: tuple[int, int] | None = None, correct: bool = False,
+    component_years: tuple[int, int] | None = None,
+) -> Tables:
     """Modes of the observation if there is one, else of the simulation; components,
     labels and monthly shares; with an observation, the ratio of amplitudes (which the
     simulation's are divided by, if asked for) and the skill of the seasonality.
-    sim, obs: k, time, lat, lon, value, a field each."""
-    c = c or ISOConfig()
-    if obs is not None:
+    sim, obs: k, time, lat, lon, value, a field each; obs may be a prepared observation,
+    whose modes, settings and years count then.  Years are the modes'; amplitudes, labels
+    and shares are of the components' years (all steps, if none are given)."""
+    ready = obs if obs is not None and not isinstance(obs, DataFrame) else None
+    c = ready.config if ready else c or ISOConfig()
+    if ready:
+        sim, obs = ready.on_grid(sim), None
+    elif obs is not None:
         sim, obs = regrid.to_coarser(sim.select("k", "time", "lat", "lon", "value"), obs.select("k", "time", "lat", "lon", "value"), ["k", "time"])
     fields = {name: checkpointed(band(cube, c)) for name, cube in (("sim", sim), ("obs", obs)) if cube is not None}
     source = fields.get("obs", fields["sim"])
-    if years is None:
+    if years is None and ready is None:
         ends = source.agg(F.year(F.min("time")).alias("a"), F.year(F.max("time")).alias("b")).first()
         years = ends["a"], ends["b"]
-    modes = {season: iso_modes(source, season, c, years) for season in ("winter", "summer")}
+    modes = ready.modes if ready else {season: iso_modes(source, season, c, years) for season in ("winter", "summer")}
     tables: Tables = {}
     for season, (table, loads) in modes.items():
         tables |= {f"modes_{season}": table, f"eeof_{season}": eof.scaled(loads, table)}
@@ -97,15 +109,19 @@ def iso(sim: DataFrame, obs: DataFrame | None = None, c: ISOConfig | None = None
     amps: dict[str, DataFrame] = {}
     for name, field in fields.items():
         tables[f"pcs_{name}"], amps[name] = iso_components(field, modes, c)
-        amps[name] = checkpointed(amps[name])
-    if "obs" in fields:
+    if ready:
+        tables["pcs_obs"], amps["obs"] = ready.pcs, ready.amplitudes
+    for name, found in amps.items():
+        own = F.lit(True) if component_years is None else F.year("time").between(*component_years)
+        amps[name] = checkpointed(found.where(own))
+    if "obs" in amps:
         tables["alpha"] = alpha(amps["sim"], amps["obs"])
         if correct:
             amps["sim"] = adjusted(amps["sim"], tables["alpha"])
-    for name in fields:
+    for name in amps:
         tables[f"labels_{name}"] = W.labels(amps[name])
         tables[f"freq_{name}"] = W.monthly_share(tables[f"labels_{name}"], month)
-    if "obs" in fields:
+    if "obs" in amps:
         off = lambda name, to: tables[f"freq_{name}"].select("month", (F.col("f2") - F.col("f1")).alias(to))
         tables["skill"] = W.taylor_skill(off("sim", "x").join(off("obs", "y"), "month"))
     return tables

@@ -428,6 +428,16 @@ def ev_iso_skill(spark, d):
     return _iso(spark, d)["skill"]
 
 
+@query("src14_prepared_observations", digits=4)
+def src14(spark, d):
+    """Observations prepared and saved, and a simulation evaluated from what was saved."""
+    from . import evaluations, prepared
+
+    path = scratch(spark, "prepared")
+    prepared.prepare_iso(B.daily(spark, d, "R"), path, (1995, 2001))
+    return evaluations.iso(B.daily(spark, d, "A"), prepared.load_iso(spark, path), correct=True)["skill"]
+
+
 @query("ev_iso_monthly_share", digits=6)
 def ev_iso_freq(spark, d):
     t = _iso(spark, d)
