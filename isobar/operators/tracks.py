@@ -195,7 +195,7 @@ def spatial_bundle(points: DataFrame, storms: DataFrame, pace: list[float], step
 
 
 def stitch(points: DataFrame, gap_seconds: int, key: str = "user_id", time: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Number a key's points into tracks that end at a longer gap."""
+    """Number a key's points into tracks that end at a longer gap, to the microsecond."""
     w = Window.partitionBy(key).orderBy(time, tie)
-    gap = F.expr(f"timestampdiff(SECOND, _prev, {time})") > gap_seconds
+    gap = F.expr(f"timestampdiff(MICROSECOND, _prev, {time})") > gap_seconds * 1_000_000
     return points.withColumn("_prev", F.lag(time).over(w)).withColumn("track", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_prev")

@@ -71,9 +71,9 @@ def all_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as storm tracks: a user's events until a gap of over a day."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    hours = F.expr("timestampdiff(SECOND, prev, ts)")
+    gap = F.expr("timestampdiff(MICROSECOND, prev, ts)")  # whole seconds would leave out a gap's fraction
     e = table(spark, sf_dir, "events").withColumn("prev", F.lag("ts").over(w))
-    e = e.withColumn("n", F.sum(F.when(hours > 86400, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("n", F.sum(F.when(gap > 86400 * 1_000_000, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     own = Window.partitionBy("user_id", "n").orderBy("ts", "event_id")
     e = e.withColumn("pt", F.row_number().over(own) - 1)
     wind = F.col("value") / 7.0
