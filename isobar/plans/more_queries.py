@@ -216,7 +216,7 @@ def stream1(spark, d):
 
 @query("stream_sessions", f"WITH {B.TRACKS} SELECT storm // 1000 AS user_id, CAST(count(*) AS BIGINT) AS n, round(max(wind * 7.0), 5) AS most FROM points GROUP BY storm", 5)
 def stream2(spark, d):
-    agg = events.sessions(events.event_stream(spark, f"{d}/events.parquet"), "86401 seconds")
+    agg = events.sessions(events.event_stream(spark, f"{d}/events.parquet"), "86400 seconds")
     return events.drain(agg, scratch(spark, "sessions"), scratch(spark, "sessions-state")).select("user_id", "n", "most")
 
 

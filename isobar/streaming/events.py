@@ -25,7 +25,7 @@ def windowed_mean(stream: DataFrame, size: str = "1 hour", late: str = "10 minut
 
 
 def sessions(stream: DataFrame, gap: str = "24 hours", late: str = "24 hours", key: str = "user_id") -> DataFrame:
-    """Runs of a key's events that are less than the gap apart."""
+    """Runs of a key's events that are at most the gap apart."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
 
