@@ -8,7 +8,9 @@ still stands where its window came first.
 What ends a line is a parameter, a pattern of the places between lines.  ``FEEDS``, the
 default, are those behind line feeds; ``SENTENCES`` also those behind a full stop,
 exclamation or question mark that white space follows, for passages that repeat inside
-longer lines.  Neither cuts a word.
+longer lines; ``CLAUSES``, which the query takes, also those behind commas, semicolons,
+colons and dots of omission that white space follows, and behind full-width marks.  None
+cuts a word.
 
 Rows are numbered once, in a written table, so that rows of equal id and text are
 documents of their own.  Occurrences are in the order of ids (null first), of the
@@ -33,6 +35,8 @@ from .common import Written
 LINES = 3
 #: Where a line ends.
 FEEDS, SENTENCES = r"(?<=\n)(?!\n)", r"(?<=\n)(?!\n)|(?<=[.!?])(?=[\x20\x09-\x0D])"
+#: Also at clauses.
+CLAUSES = r"(?<=\n)(?!\n)|(?<=[.,;:!?…])(?=[\x20\x09\x0B-\x0D])|(?<=[、。！，：；？])(?![.,;:!?…、。！，：；？\n])"
 BLANK = " \t\n\r\x0b\x0c"
 
 

@@ -11,7 +11,7 @@ from .bpe_codec import digests, encode_decode
 from .collocations import collocations
 from .common import table
 from .decontamination import decontaminate
-from .line_dedup import dedup_report
+from .line_dedup import CLAUSES, dedup_report
 from .lm_scoring import lm_scores
 from .pii import personal_data, summary
 from .quality_classifier import quality_scores
@@ -49,7 +49,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_report(table(spark, sf_dir, "documents"))
+    found = dedup_report(table(spark, sf_dir, "documents"), CLAUSES)
     return found.select("doc_id", "n_removed", "n_chars_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -124,7 +124,7 @@ FROM low LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 ORACLE_SQL["op10_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
-                  regexp_extract_all(coalesce(text, ''), '[^\n]+\n*|\n+') AS l FROM documents),
+                  regexp_extract_all(coalesce(text, ''), '(?:[^.,;:!?…、。！，：；？\n]|[.,;:!?…、。！，：；？]*[.,;:!?…][^\x20\x09\x0B-\x0D.,;:!?…、。！，：；？\n])+(?:[.,;:!?…、。！，：；？]*\n+|[.,;:!?…、。！，：；？]+|\z)|[.,;:!?…、。！，：；？]*\n+|[.,;:!?…、。！，：；？]+') AS l FROM documents),
 k AS (SELECT r, doc_id, l, list_transform(l, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS k FROM d),
 w AS (SELECT r, doc_id, i, k[i:i+2] AS g FROM (SELECT *, unnest(range(1, len(l) - 1)) AS i FROM k WHERE len(l) >= 3)),
 o AS (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, r, i) AS k FROM w),

@@ -573,6 +573,30 @@ def test_line_dedup_of_awkward_rows_equals_sql(spark):
     same(got.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).select(columns).collect(), want)
 
 
+def test_clauses_inside_lines_are_found_and_words_stay_whole(spark, tmp_path):
+    """The query's rule, by its SQL: passages inside longer lines go, words are not cut."""
+    import duckdb
+
+    from isobar.llm.queries import ORACLE_SQL, QUERIES
+
+    passage = "first of all, it rained; then it stopped: nobody knew why, as ever."
+    rows = [
+        (1, f"A beginning without marks and {passage} An end"), (2, f"Quite another one, though: {passage} And more"), (3, None), (4, ""), (5, "...!? a.b,c .\n\n;x: y"),
+        (6, "See http://www.bbc.co.uk/a, and 1.5, or 8:30. More"), (7, "At http://www.bbc.co.uk/b, and 1.5, or 8:30. More"), (8, "一二，三四。五六！七\n八。。.b c：\n"), (9, "九，三四。五六！七\n八。。.b c：\n"),
+        (10, "x, y, z, a.b"), (11, "x, y, z, a.b"), (12, "one.\n two, \n three...four,\t five.\x0b six"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()
+    same(got, [tuple(r) for r in con.execute(ORACLE_SQL["op10_line_dedup"]).fetchall()])
+    assert {r["doc_id"]: r["n_removed"] for r in got}[2] == 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, line_dedup.CLAUSES).collect()}
+    same(kept.items(), deduplicated(rows, line_dedup.CLAUSES))
+    assert kept[7] == "At http://www.bbc.co.uk/b," and kept[2] == "Quite another one, though: first of all, And more"
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     rows = [(1, "a\nb\nc\nd", 1, 2, 3, 4, 5), (2, "a\nb\nc\ne", 6, 7, 8, 9, 10), (None, None, 1, 1, 1, 1, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, cut int, number int, row int, `a.b` int, key int")
