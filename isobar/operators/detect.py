@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,17 +106,22 @@ class Tiles:
         return F.concat(*[self._seen(band) for band in range(self.bands)])
 
 
-def _window(pdf: pd.DataFrame, columns: list[str], middle: float | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, bool]:
+def _numbers(group: pa.Table, name: str) -> np.ndarray:
+    """A column as floats; null is not a number."""
+    return group.column(name).to_numpy().astype(float)
+
+
+def _window(group: pa.Table, columns: list[str], middle: float | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, bool]:
     """Fields as latitude x longitude, the axes, and whether the longitudes go round.
     Longitudes are as they came, in order from the far side of the middle on."""
-    lon = pdf["lon"].to_numpy(float)
+    lon = _numbers(group, "lon")
     turned = lon if middle is None else (lon - middle + 180) % 360
-    lats, i = np.unique(pdf["lat"].to_numpy(float), return_inverse=True)
+    lats, i = np.unique(_numbers(group, "lat"), return_inverse=True)
     order, first, j = np.unique(np.round(turned, 9), return_index=True, return_inverse=True)
     grid = {}
     for c in columns:
         grid[c] = np.full((len(lats), len(order)), np.nan)
-        grid[c][i, j] = pdf[c].to_numpy(float)
+        grid[c][i, j] = _numbers(group, c)
     step = np.median(np.diff(order)) if len(order) > 1 else 360.0
     return grid, lats, lon[first], bool(order[0] + 360 - order[-1] <= 1.5 * step)
 
@@ -151,13 +156,13 @@ def detect_nodes(
     named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
     own = ["lat", "lon", "psl", "wind"]
 
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+    def found(group: pa.Table) -> pa.Table:
         middle = None
         if tiles:
-            middle = (int(pdf["_tile"].iloc[0]) + 0.5) * 360 / tiles.count(int(pdf["_band"].iloc[0]))
+            middle = (group["_tile"][0].as_py() + 0.5) * 360 / tiles.count(group["_band"][0].as_py())
         else:
-            pdf = pdf.assign(_own=True)
-        grid, lat, lon, round_ = _window(pdf, ["psl", "thickness", "wind", "_own"], middle)
+            group = group.append_column("_own", pa.array(np.ones(len(group), bool)))
+        grid, lat, lon, round_ = _window(group, ["psl", "thickness", "wind", "_own"], middle)
         if tiles and max(np.diff(lat).max(initial=0), np.median(np.diff(lon) % 360) if len(lon) > 1 else 0) > step + 1e-9:
             raise ValueError(f"the grid's steps are over {step} degrees")
         psl, thick, wind = grid["psl"], grid["thickness"], grid["wind"]
@@ -179,27 +184,26 @@ def detect_nodes(
             if closed(thick, lat, lon, *_first_most(near, lat, lon), z_delta, z_dist, round_):
                 around = wind[d <= wind_dist]
                 rows.append((lat[i], lon[j], psl[i, j], np.nan if np.isnan(around).all() else np.nanmax(around)))
-        out = pd.DataFrame(rows, columns=own)
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, *own]]
+        values = np.array(rows, float).reshape(len(rows), len(own)).T
+        numbers = [pa.array(x, pa.float64(), from_pandas=True) for x in values]
+        return pa.table([*[pa.repeat(group[c][0], len(rows)) for c in keys], *numbers], names=[*keys, *own])
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        lat, lon = pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float)
+    def merged(group: pa.Table) -> pa.Table:
+        lat, lon = _numbers(group, "lat"), _numbers(group, "lon")
         kept: list[int] = []
-        for k in np.lexsort((lon % 360, lat, pdf["psl"].to_numpy(float))):
+        for k in np.lexsort((lon % 360, lat, _numbers(group, "psl"))):
             if not kept or (_degrees(lat[k], lon[k], lat[kept], lon[kept]) > merge_dist).all():
                 kept.append(int(k))
-        return pdf.iloc[kept][[*keys, *own]]
+        return group.select([*keys, *own]).take(pa.array(kept, pa.int64()))
 
     cells = fields.select(*keys, "lat", "lon", "psl", "thickness", "wind")
     schema = ", ".join(x for x in (named, "lat double, lon double, psl double, wind double") if x)
     if not tiles:
         # A time's candidates are all in one group already.
-        return cells.groupBy(*keys).applyInPandas(lambda pdf: merged(found(pdf)), schema)
+        return cells.groupBy(*keys).applyInArrow(lambda group: merged(found(group)), schema)
     at = F.col("_at")
     dealt = cells.withColumn("_at", F.explode(tiles.seen())).withColumns({"_band": at["band"], "_tile": at["tile"], "_own": at["own"]}).drop("_at")
-    return dealt.groupBy(*keys, "_band", "_tile").applyInPandas(found, schema).groupBy(*keys).applyInPandas(merged, schema)
+    return dealt.groupBy(*keys, "_band", "_tile").applyInArrow(found, schema).groupBy(*keys).applyInArrow(merged, schema)
 
 
 def stitch_nodes(
