@@ -351,7 +351,7 @@ def lm_scores(docs: DataFrame, divisor: int = 10, frequent: int = FREQUENT) -> D
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, w array<long>, context array<int>"
     part = Written(marked.mapInArrow(scored, schema), "scored").df
     rare = part.select("row", F.explode(F.arrays_zip("w", "context")).alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.context").alias("at"))
-    met = rare.join(made.df, "w", "left").select("row", F.col("c").isNotNull().cast("long").alias("known"), _base(state).alias("base"), _score(state).alias("score"))
+    met = rare.join(made.df, "w", "left").select("row", F.col("c").isNotNull().cast("long").alias("known"), _base(state).alias("base"), F.log10(_probability(state)).alias("score"))
     rest = met.groupBy("row").agg(*[F.sum(x).alias(f"r_{x}") for x in ("known", "base", "score")])
     both = part.drop("w", "context").join(rest, "row", "left")
     whole_ = lambda x, zero: F.col(x) + F.coalesce(f"r_{x}", F.lit(zero))
@@ -365,13 +365,13 @@ def _base(state: State) -> Column:
     return F.log10((F.coalesce("c", F.lit(0)) + F.lit(BASE_ADD)) / F.lit(state.total + BASE_ADD * (state.vocabulary + 1)))
 
 
-def _score(state: State) -> Column:
-    """log10 of a rare token's probability, from its row of the model or none."""
+def _probability(state: State) -> Column:
+    """A token's probability in the context ``at``, from its row of the model or none."""
     by_context = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("at") + 1)
     parts = [by_context(state.behind(s[0]) / KEPT) * F.coalesce(F.col("root")[k].cast("double"), F.lit(state.unknown(s))) for k, s in enumerate(state.samples)]
     unseen = sum(parts[1:], parts[0])
     place = F.coalesce(F.array_position("context", F.col("at")), F.lit(0)).cast("int")
-    return F.log10(F.when(place > 0, F.try_element_at("p", F.greatest(place, F.lit(1))).cast("double")).otherwise(unseen))
+    return F.when(place > 0, F.try_element_at("p", F.greatest(place, F.lit(1))).cast("double")).otherwise(unseen)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

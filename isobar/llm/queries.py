@@ -12,7 +12,7 @@ from .collocations import collocations
 from .common import table
 from .decontamination import decontaminate
 from .line_dedup import CLAUSES, dedup_report
-from .lm_scoring import lm_scores
+from .lm_words import lm_word_scores
 from .pii import personal_data, summary
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -62,7 +62,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_word_scores(table(spark, sf_dir, "documents"))
 
 
 def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
