@@ -35,8 +35,8 @@ from .common import Written
 LINES = 3
 #: Where a line ends.
 FEEDS, SENTENCES = r"(?<=\n)(?!\n)", r"(?<=\n)(?!\n)|(?<=[.!?])(?=[\x20\x09-\x0D])"
-#: Also at clauses.
-CLAUSES = r"(?<=\n)(?!\n)|(?<=[.,;:!?…])(?=[\x20\x09\x0B-\x0D])|(?<=[、。！，：；？])(?![.,;:!?…、。！，：；？\n])"
+#: Also at clauses.  Places behind word characters and spaces, most of all, are left at once.
+CLAUSES = r"(?<!\w)(?<!\x20)(?:(?<=\n)(?!\n)|(?<=[.,;:!?…])(?=[\x20\x09\x0B-\x0D])|(?<=[、。！，：；？])(?![.,;:!?…、。！，：；？\n]))"
 BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -45,6 +45,13 @@ def lines(text: Column, ends: str = FEEDS) -> Column:
     return F.array_remove(F.split(text, ends, -1), "")
 
 
+def trimmed(each: Column) -> Column:
+    """Lines without BLANK characters at their ends.  Spaces alone are quick to trim; other
+    blanks, which ``btrim`` looks for in the whole line, only where they are."""
+    blank = lambda c: F.ascii(c).between(9, 13)
+    return F.transform(F.transform(each, lambda x: F.trim(x)), lambda x: F.when(blank(F.substring(x, -1, 1)) | blank(x), F.btrim(x, F.lit(BLANK))).otherwise(x))
+
+
 def numbered(docs: DataFrame) -> Written:
     """row (a document as it is), number."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -53,7 +60,7 @@ def numbered(docs: DataFrame) -> Written:
 
 def occurrences(rows: DataFrame, ends: str = FEEDS) -> DataFrame:
     """doc, key, number, p, a: each window's document, first line and hash."""
-    hashed = F.transform(lines(F.col("row.text"), ends), lambda x: F.xxhash64(F.btrim(x, F.lit(BLANK))))
+    hashed = F.transform(trimmed(lines(F.col("row.text"), ends)), lambda x: F.xxhash64(x))
     split = rows.select(F.col("row.doc_id").alias("doc"), F.xxhash64("row.text").alias("key"), "number", hashed.alias("l")).where(F.size("l") >= LINES)
     placed = split.select("doc", "key", "number", "l", F.explode(F.sequence(F.lit(0), F.size("l") - LINES)).alias("p"))
     return placed.select("doc", "key", "number", "p", F.xxhash64(*[F.get("l", F.col("p") + k) for k in range(LINES)]).alias("a"))
