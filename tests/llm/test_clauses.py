@@ -19,7 +19,8 @@ def now(text):
 
 def test_clauses_are_the_same(spark):
     rng = random.Random(9)
-    rows = [("".join(rng.choice(".,;:!?…、。！，：；？  \n\t\r\x0b\x0caé🙂1_\x85\xa0") for _ in range(rng.randrange(40))),) for _ in range(20_000)]
+    rows = [("".join(rng.choice(".,;:!?…、。！，：；？  \n\t\r\x0b\x0caé🙂1_\x00\x85\xa0") for _ in range(rng.randrange(40))),) for _ in range(20_000)]
+    rows += [(t.replace("\0", "$0\\"),) for (t,) in rows]
     rows += [(None,), ("",), ("\n",), ("a",), (" \n \t",), ("1," * 200_000,), ("ab. " * 50_000,), ("。" * 100_000,), ("\n" * 100_000,)]
     df = spark.createDataFrame(rows, "text string").repartition(4)
     assert df.where(~before("text").eqNullSafe(now("text"))).count() == 0
