@@ -7,12 +7,16 @@ below n are the shard's n-grams with their counts.  Counts are merged by key, su
 on the map side first.
 
 A phrase can only be frequent if its words, pairs and triples are.  So there are four
-rounds over the texts: the first three count single words, pairs of frequent words and
-triples of frequent pairs, by 64-bit hashes alone; the last counts, by language and
-phrase, what is frequent and the longer phrases all of whose triples are: a run of such
-triples is sorted like a text, of words that overlap.  What is frequent is told to the tasks by a
-bitmap over the hashes, ``BITS`` bits at any size of the input.  Hashes or bits that
-several words or pairs share only let more through: the last round's counts decide.
+rounds over the texts: of single words, of pairs of frequent words, of triples of frequent
+pairs, and of the longer phrases all of whose triples are frequent: a run of such triples
+is sorted like a text, of words that overlap.  What is frequent is told to the tasks by a
+bitmap over the hashes, ``BITS`` bits at any size of the input.  Bits that several share
+only let more through: each round's counts decide.
+
+Only the first round sends texts, those of words.  The others count by the 64-bit hashes of a
+phrase's words, one after the other; the phrases that are frequent, each once, get their
+texts from the words' table.  No frequent word shares its hash with another word: that is
+looked up, and the words are hashed anew if one does.
 
 Scores are exact, in decimals of 38 digits: a times n may have 34 digits and the
 product of two counts 37.  Contained phrases are compared with those one word longer:
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import groups
-from .common import Written, whole
+from .common import Written, if_small, whole
 
 #: Words of the longest phrase, its least count, and the rows of a language.
 WORDS, LEAST, ROWS = 5, 100, 2000
@@ -58,7 +62,7 @@ class Shard(NamedTuple):
     ids: np.ndarray
 
 
-def shard(texts: list[str], lang: str) -> Shard:
+def shard(texts: list[str], lang: str, salt: int = 0) -> Shard:
     pieces = pc.split_pattern_regex(pc.ascii_lower(pa.array(texts, pa.string())), PIECE_ENDS).flatten()
     split = pc.split_pattern_regex(pieces, SPACES)
     coded = split.values.dictionary_encode()
@@ -66,7 +70,7 @@ def shard(texts: list[str], lang: str) -> Shard:
     empty = pc.index(words, pa.scalar("", pa.string())).as_py()  # beside spaces at a piece's end
     offsets = split.offsets.to_numpy()
     bounds = np.insert(ids, offsets[1:], -1)
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    seed = xxhash.xxh3_64_intdigest(lang.encode(), salt)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words.to_pylist()), np.uint64, len(words))
     return Shard(words, hashes, bounds[bounds != empty] if empty >= 0 else bounds)
 
@@ -159,29 +163,60 @@ def _hashes(made: Shard, ids: np.ndarray, places: np.ndarray, n: int) -> np.ndar
     return reduce(mixed, (made.hashes[ids[places + k]] for k in range(n)))
 
 
-def frequent(docs: DataFrame, n: int, least: int, size: int, single: Broadcast | None = None, double: Broadcast | None = None) -> tuple[Broadcast, Broadcast | None]:
-    """The bitmaps of phrases of n words that may be frequent, as their parts are, and,
-    where frequent pairs are given, of the words in them."""
+def word_counts(docs: DataFrame, size: int, salt: int) -> DataFrame:
+    """lang, word, h, f of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(h: np.ndarray, f: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
-            yield from _parts([pa.array(h.view(np.int64)), pa.array(f.astype(np.int32)), pa.array(np.full(len(f), inside))], ["h", "f", "inside"])
+        for lang, texts in shards(batches, size):
+            made = shard(texts, lang, salt)
+            f = np.bincount(made.ids[made.ids >= 0], minlength=len(made.words))
+            own = np.flatnonzero(f)
+            columns = [pa.repeat(pa.scalar(lang, pa.string()), len(own)), made.words.take(pa.array(own)), pa.array(made.hashes[own].view(np.int64)), pa.array(f[own])]
+            yield from _parts(columns, ["lang", "word", "h", "f"])
+
+    return _taken(docs).mapInArrow(count, "lang string, word string, h long, f long").groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
+
+
+def keys(made: Shard, ids: np.ndarray, places: np.ndarray, n: int) -> pa.Array:
+    """The hashes of the n words from these places on, as bytes."""
+    words = made.hashes[ids[places[:, None] + np.arange(n)]]
+    ends = np.arange(len(places) + 1, dtype=np.int32) * (8 * n)
+    return pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(ends), pa.py_buffer(words.tobytes())])
 
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """words (the hashes), mark and f from key and f."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False) // 8
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        words = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+        h = words[starts[:-1]]
+        for k in range(1, sizes.max(initial=0)):
+            some = sizes > k
+            h[some] = mixed(h[some], words[starts[:-1][some] + k])
+        mark = (h % np.uint64(BITS)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(words.view(np.int64))), pa.array(mark), b.column(1)], names=["words", "mark", "f"])
+
+
+def frequent(docs: DataFrame, n: int, least: int, size: int, salt: int, single: Broadcast, double: Broadcast | None = None, triple: Broadcast | None = None) -> Written:
+    """words (hashes), mark, f of the frequent phrases of n words, or of more than three
+    where frequent triples are given."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in shards(batches, size):
-            made = shard(texts, lang)
-            if len(made.words):
-                ids = known(made, *(None if b is None else b.value for b in (single, double)))
-                for places, f, _ in grams(ids, n, n):
-                    yield from rows(_hashes(made, ids, places, n), f, False)
-                if double is not None:
-                    words = np.unique(ids[ids >= 0])
-                    yield from rows(made.hashes[words], np.ones(len(words)), True)
-
-    counted = _taken(docs).mapInArrow(count, "h long, f int, inside boolean").groupBy("inside", "h").agg(F.sum("f").alias("f"))
-    found = Written(counted.where((F.col("f") >= least) | F.col("inside")).select("inside", F.col("h").bitwiseAND(BITS - 1).alias("mark")), "frequent")
-    made = bitmap(found.df.where("NOT inside")), None if double is None else bitmap(found.df.where("inside"))
-    found.drop()
-    return made
+            made = shard(texts, lang, salt)
+            if not len(made.words):
+                continue
+            ids = known(made, *(None if b is None else b.value for b in (single, double)))
+            if triple is None:
+                found = grams(ids, n, n)
+            else:
+                found = ((places, f, k + 2) for places, f, k in grams(triples(made, ids, triple.value), n - 2, WORDS - 2))
+            for places, f, k in found:
+                yield from _parts([keys(made, ids, places, k), pa.array(f.astype(np.int64))], ["key", "f"])
+
+    counted = _taken(docs).mapInArrow(count, "key binary, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    return Written(counted.where(F.col("f") >= least).mapInArrow(opened, "words array<long>, mark long, f long"), "frequent")
 
 
 def bitmap(marks: DataFrame) -> Broadcast:
@@ -207,28 +242,15 @@ def triples(made: Shard, ids: np.ndarray, triple: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrases(docs: DataFrame, single: Broadcast, double: Broadcast, triple: Broadcast, inside: Broadcast, size: int) -> DataFrame:
-    """lang, phrase, f of phrases that may be frequent and of the words in them; the null
-    phrase of a language has the number of its words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(phrase: pa.Array, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield from _parts([pa.array([lang] * len(f), pa.string()), phrase, pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
-
-        for lang, texts in shards(batches, size):
-            made = shard(texts, lang)
-            if not len(made.words):
-                continue
-            single_counts = np.bincount(made.ids[made.ids >= 0], minlength=len(made.words))
-            own = np.flatnonzero(kept(inside.value, made.hashes) & (single_counts > 0))
-            yield from rows(pa.array([None], pa.string()), single_counts.sum(keepdims=True))
-            yield from rows(made.words.take(pa.array(own)), single_counts[own])
-            ids = known(made, single.value, double.value)
-            longer = ((places, f, n + 2) for places, f, n in grams(triples(made, ids, triple.value), 1, WORDS - 2))
-            for places, f, n in chain(grams(ids, 2, 2), longer):
-                yield from rows(pc.binary_join_element_wise(*(made.words.take(pa.array(ids[places + k])) for k in range(n)), " "), f)
-
-    return _taken(docs).mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def named(found: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """lang, phrase, words (their number), f of phrases of words' hashes; n: how many rows
+    ``words`` (lang, word, h) has."""
+    found = found.select(F.size("words").alias("size"), "words", "f")
+    for k in range(WORDS):  # a shorter phrase meets its last word again
+        own = words.select(F.col("h").alias(f"h{k}"), F.col("word").alias(f"w{k}"), *["lang"] * (k == 0))
+        found = found.withColumn(f"h{k}", F.element_at("words", F.least(F.lit(k + 1), "size"))).join(if_small(own, n), f"h{k}").drop(f"h{k}")
+    text = F.array_join(F.slice(F.array(*[f"w{k}" for k in range(WORDS)]), F.lit(1), F.col("size")), " ")
+    return found.select("lang", text.alias("phrase"), F.col("size").alias("words"), "f")
 
 
 def shards(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[tuple[str, list[str]]]:
@@ -253,12 +275,25 @@ def shards(batches: Iterator[pa.RecordBatch], full: int) -> Iterator[tuple[str,
 def collocations(docs: DataFrame, least: int = LEAST, most_rows: int = ROWS, size: int = SHARD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language; shards
     have about ``size`` characters."""
-    single, _ = frequent(docs, 1, least, size)
-    double, _ = frequent(docs, 2, least, size, single)
-    triple, inside = frequent(docs, 3, least, size, single, double)
-    every = Written(phrases(docs, single, double, triple, inside, size).where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases").df
-    often = every.where("phrase IS NOT NULL").withColumn("words", F.size(F.split("phrase", " ")))
-    return best(often, every.where("phrase IS NULL").select("lang", F.col("f").alias("n")), most_rows)
+    for salt in count():
+        every = Written(word_counts(docs, size, salt), "words")
+        words = Written(every.df.where(F.col("f") >= least), "often")
+        n = words.df.count()
+        if every.df.join(if_small(words.df.select("h"), n), "h").count() == n:
+            break
+        every.drop()
+        words.drop()
+    single = bitmap(words.df.select(F.col("h").bitwiseAND(BITS - 1).alias("mark")))
+    pairs = frequent(docs, 2, least, size, salt, single)
+    double = bitmap(pairs.df)
+    threes = frequent(docs, 3, least, size, salt, single, double)
+    more = frequent(docs, 4, least, size, salt, single, double, bitmap(threes.df))
+    found = named(pairs.df.unionByName(threes.df).unionByName(more.df), words.df, n)
+    often = Written(found.unionByName(words.df.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")), "phrases").df
+    total = Written(every.df.groupBy("lang").agg(F.sum("f").alias("n")), "total").df
+    for old in (every, words, pairs, threes, more):
+        old.drop()
+    return best(often, total, most_rows)
 
 
 def best(phrases: DataFrame, total: DataFrame, most_rows: int = ROWS) -> DataFrame:

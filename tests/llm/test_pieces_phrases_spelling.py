@@ -157,6 +157,43 @@ def test_shared_bits_change_nothing(docs, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs, 3).collect())) == plain
 
 
+def test_rows_with_text_grow_as_the_shards(spark, monkeypatch):
+    """Five times the texts, in which all pairs of words are frequent that weren't: no phrase's text comes from every shard."""
+    sent, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def seen(self, f, schema, *a, **b):
+        out = plain(self, f, schema, *a, **b)
+        if "string" in schema and f.__name__ == "count":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", seen)
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(60)), "en") for _ in range(400)]
+    made = []
+    for some in (rows[:80], rows):
+        sent.clear()
+        got = collocations.collocations(spark.createDataFrame(some, "text string, lang string").coalesce(1), 20, 2000, 1000)
+        assert sorted(map(tuple, got.collect())) == sorted(phrase_report(some, 20, 2000))
+        made.append(sum(sent))
+    assert 0 < made[1] < 6 * made[0]
+
+
+def test_words_of_one_hash_are_told_apart(docs, monkeypatch):
+    """Words are hashed anew where frequent ones share a hash with others."""
+    plain = sorted(map(tuple, collocations.collocations(docs, 3).collect()))
+    counts, salts = collocations.word_counts, []
+
+    def clashing(docs, size, salt):
+        salts.append(salt)
+        made = counts(docs, size, salt)
+        return made if salt else made.withColumn("h", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(collocations, "word_counts", clashing)
+    assert sorted(map(tuple, collocations.collocations(docs, 3).collect())) == plain and salts == [0, 1]
+
+
 def test_scores_beyond_64_bits(spark):
     big = 10**14
     rows = [("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big - 1), ("en", "c", 1, 7), ("en", "b c", 2, 5)]
