@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -68,6 +68,7 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 @dataclass
@@ -81,14 +82,21 @@ class Tokens:
 
 
 def tokens(texts: list[str]) -> Tokens:
-    split = [[*text.encode().translate(_LOWER).split(), END] for text in texts]
-    coded = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
-    distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    starts = np.cumsum([0, *map(len, split)])[:-1]
-    context = np.concatenate([[0], CLASS[np.frombuffer(b"".join(w[-1:] for w in distinct), np.uint8)][codes][:-1]])
+    joined = b" \xff ".join([*(text.encode() for text in texts), b""])  # no byte of UTF-8 is FF
+    data = np.frombuffer(joined.translate(_LOWER), np.uint8)
+    inside = ~SPACE[data]
+    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    ends = np.flatnonzero(data[first] == 0xFF)
+    kept = data[inside]
+    bounds = np.append(np.cumsum(inside)[first] - 1, len(kept)).astype(np.int32)
+    kept[bounds[ends]] = END[0]
+    coded = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]).dictionary_encode()
+    context = np.concatenate([[0], CLASS[kept[bounds[1:] - 1]][:-1]])
+    starts = np.concatenate([[0], ends[:-1] + 1])
     context[starts] = 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 6 for w in distinct), np.int64, len(distinct))
-    return Tokens(codes, hashes, context, starts)
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct, repeat(42)), np.uint64, len(distinct)) >> np.uint64(6)
+    return Tokens(coded.indices.to_numpy(), hashes.view(np.int64), context, starts)
 
 
 def counts(docs: DataFrame) -> DataFrame:

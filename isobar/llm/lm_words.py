@@ -95,11 +95,16 @@ def pairs(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def sent() -> pa.RecordBatch:
-            w, ctx, n = merged(*map(np.concatenate, zip(*held, strict=True)))
-            bucket = bucket_of(w, ctx)
-            order = np.argsort(bucket, kind="stable")
-            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), *_lists(np.append(first, len(w)), w[order], ctx[order], n[order])], names=["bucket", "w", "ctx", "n"])
+            w, ctx, n = map(np.concatenate, zip(*held, strict=True))
+            bucket, h = bucket_of(w, ctx), pair_hash(w, ctx)
+            # By bucket, and there by token, which compresses; pairs that such an order parts meet in ``counted``.
+            order = np.argsort(bucket.astype(np.uint64) << np.uint64(53) | (w.view(np.uint64) & np.uint64(0x7FFFFFF)) << np.uint64(26) | h >> np.uint64(38))
+            w, ctx, n, bucket = w[order], ctx[order], n[order], bucket[order]
+            one = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1])]))
+            n = np.add.reduceat(n, one)
+            w, ctx, n, bucket = w[one], ctx[one], (n & HELD - 1) | np.where(n >= HELD, HELD, 0), bucket[one]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *_lists(np.append(first, len(w)), w, ctx, n)], names=["bucket", "w", "ctx", "n"])
 
         for batch in batches:
             done, out = 0, np.array(batch.column(0), bool)
@@ -122,7 +127,8 @@ def pairs(docs: DataFrame) -> DataFrame:
         n, out = n & HELD - 1, n >= HELD
         bits = np.zeros(SHARE, bool)
         bits[mark[(n > 1) | (n == 1) & out]] = True
-        kept = bits[mark]
+        kept = np.flatnonzero(bits[mark])
+        kept = kept[np.argsort(w[kept])]
         key = (w.view(np.uint64) << np.uint64(6) | ctx.view(np.uint64) & np.uint64(63)).view(np.int64)[n > 0]
         order = np.argsort(key)
         first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
@@ -157,9 +163,9 @@ def _before(ctx: str = "ctx") -> Column:
 
 def vocabulary(made: DataFrame) -> DataFrame:
     """w, c, x: each token's training count and its counts by class."""
-    by_class = made.select(F.explode(F.arrays_zip("key", "count")).alias("y")).groupBy(F.col("y.key").alias("key")).agg(F.sum("y.count").alias("n"))
-    x = F.struct(F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("context"), "n")
-    rows = by_class.groupBy(F.shiftrightunsigned("key", 6).alias("w")).agg(F.sort_array(F.collect_list(x)).alias("x"), F.sum("n").alias("c"))  # 45 classes at most
+    each = made.select(F.explode(F.arrays_zip("key", "count")).alias("y")).select(F.shiftrightunsigned("y.key", 6).alias("w"), F.col("y.key").bitwiseAND(F.lit(63)).cast("int").alias("context"), F.col("y.count").alias("n"))
+    by_class = each.repartition("w").groupBy("w", "context").agg(F.sum("n").alias("n"))  # a token has 16 x 45 rows at most
+    rows = by_class.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("x"), F.sum("n").alias("c"))  # 45 classes at most
     return rows.select("w", "c", "x")
 
 
@@ -192,8 +198,8 @@ class Restaurants:
 
 def _met(seated: DataFrame, made: DataFrame, words: DataFrame, state: State) -> DataFrame:
     """The pairs with the class's probability, and the counts of token and context."""
-    found = seated.withColumn("at", F.col("ctx").bitwiseAND(F.lit(63)).cast("int")).withColumn("before", _before()).join(made, "w", "left")
-    found = found.select("w", "ctx", "n", "t", "before", F.col("c").isNotNull().cast("long").alias("known"), _base(state).alias("base"), _probability(state).alias("up"))
+    found = seated.join(made, "w", "left").withColumn("at", F.col("ctx").bitwiseAND(F.lit(63)).cast("int"))
+    found = found.select("w", "ctx", "n", "t", _before().alias("before"), F.col("c").isNotNull().cast("long").alias("known"), _base(state).alias("base"), _probability(state).alias("up"))
     own = words.select(F.col("w").alias("before"), F.col("c").alias("cu"), F.col("t").alias("tu"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double").alias(c)
     return found.join(own, "before", "left").select("w", "ctx", "n", "t", "known", "base", "up", zero("cu"), zero("tu"))
@@ -206,7 +212,7 @@ def reseated(met: DataFrame, shared: Restaurants, sweep: int) -> DataFrame:
             t = seat(n, (STRENGTH + shared.discount * tu) * up, shared.discount, pair_hash(w, ctx), sweep)
             yield pa.RecordBatch.from_arrays([b.column("w"), b.column("ctx"), b.column("n"), pa.array(t.astype(np.int64))], names=["w", "ctx", "n", "t"])
 
-    return met.mapInArrow(seats, "w long, ctx long, n long, t long")
+    return met.select("w", "ctx", "n", "up", "tu").mapInArrow(seats, "w long, ctx long, n long, t long")
 
 
 def pair_scores(met: DataFrame, shared: Restaurants) -> DataFrame:

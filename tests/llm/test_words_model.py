@@ -93,3 +93,25 @@ def test_same_counts_and_base(docs, none):
     rows = lambda df: sorted(repr(tuple(round(x, 5) if isinstance(x, float) else x for x in (r[c] for c in columns))) for r in df.collect())
     assert rows(lm_words.lm_word_scores(docs, frequent=40, most_contexts=40, most_pairs=40)) == rows(lm_scoring.lm_scores(docs))
     assert lm_words.lm_word_scores(none).count() == 0
+
+
+def test_tokens_equal_splitting():
+    texts = ["", " \t\n", "Ab ÿ\x0bcd\x0c", "日本 🙂\r\n\x00 \xa0x\x85", "a", " \x1cÀ "]
+    got = lm_scoring.tokens(texts)
+    want = [[*(w.lower() if w.isascii() else w for w in t.encode().translate(lm_scoring._LOWER).decode().replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w), None] for t in texts]
+    assert got.hashes[got.codes].tolist() == [hashed(w) for t in want for w in t]
+    assert got.context.tolist() == [klass(w) for t in want for w in [None, *t[:-1]]]
+    assert got.starts.tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
+def test_pairs_lie_by_token_and_meet_once(spark, tmp_path):
+    """What the disk holds is less so: equal tokens lie side by side, and their counts are dealt out once."""
+    rng = np.random.default_rng(3)
+    rows = [(False, " ".join(map(str, rng.integers(0, 30, 200)))) for _ in range(40)]
+    lm_words.pairs(spark.createDataFrame(rows, "held_out boolean, text string")).write.parquet(str(tmp_path / "pairs"))
+    made = spark.read.parquet(str(tmp_path / "pairs"))
+    assert all(r["w"] == sorted(r["w"]) for r in made.select("w").collect())
+    words = lm_words.vocabulary(made)
+    assert words._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    c = Counter(w for _, t in rows for w in [*t.split(), None])
+    assert {r["w"]: r["c"] for r in words.collect()} == {hashed(w): n for w, n in c.items()}
