@@ -243,12 +243,12 @@ class Near:
 def near(bits: np.ndarray, made: DataFrame, words: DataFrame, scores: DataFrame, state: State, shared: Restaurants, frequent: int, most_contexts: int, most_pairs: int) -> Broadcast:
     spark = made.sparkSession
     top = made.where(F.col("c") >= least_count(made, frequent))  # ``frequent`` rows of a few hundred bytes at most
-    before = words.where(F.col("c") >= least_count(words, most_contexts)).select("w", "c", "t").toPandas().sort_values("w")  # 8 MB at most
+    before = words.where(F.col("c") >= least_count(words, most_contexts)).select("w", "c", "t").toArrow().to_pandas().sort_values("w")  # 8 MB at most
     often = scores.where("n > 1").select("h", F.col("n").alias("c"), F.col("score").cast("float").alias("score"))
-    hot = often.where(F.col("c") >= least_count(often, most_pairs)).select("h", "score").toPandas().sort_values("h")  # 8 MB at most
+    hot = often.where(F.col("c") >= least_count(often, most_pairs)).select("h", "score").toArrow().to_pandas().sort_values("h")  # 8 MB at most
     c, t = before["c"].to_numpy(np.float64), before["t"].to_numpy(np.float64)
     return spark.sparkContext.broadcast(
-        Near(bits, common(top.toPandas(), state), before["w"].to_numpy(np.int64), shared.own(c).astype(np.float32), shared.behind(c, t).astype(np.float32), hot["h"].to_numpy(np.int64), hot["score"].to_numpy(np.float32))
+        Near(bits, common(top.toArrow().to_pandas(), state), before["w"].to_numpy(np.int64), shared.own(c).astype(np.float32), shared.behind(c, t).astype(np.float32), hot["h"].to_numpy(np.int64), hot["score"].to_numpy(np.float32))
     )
 
 
