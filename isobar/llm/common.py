@@ -4,8 +4,12 @@ whose small side is measured before it is broadcast."""
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,26 @@ class Written:
         atexit.unregister(self.drop)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind: they go when a query has ended,
+    not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def collected(spark: SparkSession) -> None:
+    """The driver gives back what queries that have ended left in its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def if_small(small: DataFrame, size: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small``, marked for broadcast if its measured size (by default its rows) is
     within the limit; else as it is, for a join that Spark splits where it is

@@ -158,9 +158,11 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, keys: np.ndarr
     """Tables taken by each token's customers, who sit down one after another: at
     a new table with weight ``new``, at those of their token with their number less
     the discount for each table.  keys tell the (token, context) pairs apart."""
-    order = np.argsort(-customers, kind="stable")
+    out = np.minimum(customers, 1).astype(np.float64)
+    several = np.flatnonzero(customers > 1)
+    order = several[np.argsort(-customers[several], kind="stable")]
     c, w, keys = customers[order], new[order], keys[order]
-    tables = np.minimum(c, 1).astype(np.float64)
+    tables = np.ones(len(order))
     n, size = 1, 1
     while n < (c[0] if len(c) else 0):
         active = int(np.searchsorted(-c, -n, side="left"))  # those with more than n
@@ -171,7 +173,6 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, keys: np.ndarr
         u = chance(keys[:active], sweep, n)
         tables[:active] += u < p if size == 1 else binomial(some, p, u, chance(keys[:active], sweep, n, 1))
         n += size
-    out = np.empty_like(tables)
     out[order] = tables
     return out
 
@@ -308,10 +309,11 @@ def base_score(c: np.ndarray, state: State) -> np.ndarray:
     return np.log10((c + BASE_ADD) / (state.total + BASE_ADD * (state.vocabulary + 1)))
 
 
-def least_count(made: DataFrame, most: int) -> int:
+def least_count(made: DataFrame, most: int, rows: Column | None = None) -> int:
     """A count that at most ``most`` tokens reach, close to the largest such number
-    of tokens: from a histogram of sixteen bins to a doubling."""
-    bins = made.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("bin")).collect()
+    of tokens: from a histogram of sixteen bins to a doubling.  rows: how many a row stands
+    for, summed."""
+    bins = made.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg((F.count(F.lit(1)) if rows is None else rows).alias("n"), F.min("c").alias("c")).orderBy(F.desc("bin")).collect()
     reached, least = 0, 1 << 62
     for r in bins:  # a thousand at most
         reached += r["n"]

@@ -115,3 +115,31 @@ def test_pairs_lie_by_token_and_meet_once(spark, tmp_path):
     assert words._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     c = Counter(w for _, t in rows for w in [*t.split(), None])
     assert {r["w"]: r["c"] for r in words.collect()} == {hashed(w): n for w, n in c.items()}
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = 0
+    while files.hasNext():
+        found += files.next().getName().startswith("shuffle_")
+    return found
+
+
+def test_no_shuffle_files_stay(spark, docs):
+    """Disk holds one query's shuffles at a time; the session's setting is as it was."""
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    kept = spark.conf.get(key, "false")
+    found = lm_words.lm_word_scores(docs, frequent=40, most_contexts=40, most_pairs=40)
+    assert shuffle_files(spark) <= before and spark.conf.get(key, "false") == kept
+    assert found.count() == docs.count()
+
+
+def test_occurrences_meet_marked_pairs_packed(spark):
+    rng = np.random.default_rng(2)
+    h, row = rng.integers(-(2**62), 2**62, 50), rng.integers(0, 9, 400) + (rng.integers(0, 3, 400) << 33)
+    which = rng.integers(0, 50, 400)
+    at = lambda x: x.view(np.uint64) % 4
+    scores = [(int(k), h[at(h) == k].tobytes(), np.ones((at(h) == k).sum(), np.int8).tobytes(), *(np.arange(50.0)[at(h) == k].tobytes() for _ in range(2))) for k in range(4)]
+    met = [(int(k), row[part].tobytes(), h[which][part].tobytes()) for k in range(4) for half in (0, 1) for part in [(at(h[which]) == k) & (np.arange(400) % 2 == half)]]
+    got = lm_words.pair_sums(spark.createDataFrame(met, "at int, rows binary, h binary"), spark.createDataFrame(scores, "at int, h binary, known binary, base binary, score binary"))
+    assert {tuple(r) for r in got.collect()} == {(int(r), int((row == r).sum()), float(which[row == r].sum()), float(which[row == r].sum())) for r in set(row)}
