@@ -237,10 +237,10 @@ class Restaurants:
 def _met(seated: DataFrame, made: DataFrame, words: DataFrame, state: State) -> DataFrame:
     """The pairs with the class's probability, and the counts of token and context."""
     found = seated.join(made, "w", "left").withColumn("at", F.col("ctx").bitwiseAND(F.lit(63)).cast("int"))
-    found = found.select("w", "ctx", "n", "t", _before().alias("before"), F.col("c").isNotNull().cast("long").alias("known"), _base(state).alias("base"), _probability(state).alias("up"))
+    found = found.select("w", "ctx", "n", "t", _before().alias("before"), F.coalesce("c", F.lit(0)).cast("long").alias("cw"), _probability(state).alias("up"))
     own = words.select(F.col("w").alias("before"), F.col("c").alias("cu"), F.col("t").alias("tu"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double").alias(c)
-    return found.join(own, "before", "left").select("w", "ctx", "n", "t", "known", "base", "up", zero("cu"), zero("tu"))
+    return found.join(own, "before", "left").select("w", "ctx", "n", "t", "cw", "up", zero("cu"), zero("tu"))
 
 
 @dataclass
@@ -248,6 +248,7 @@ class Known:
     """The commonest tokens and contexts, broadcast."""
 
     words: Common
+    count: np.ndarray  # of each common token
     context: np.ndarray  # hashes of the commonest words before, in order
     c: np.ndarray
     t: np.ndarray
@@ -259,7 +260,8 @@ def known(made: DataFrame, words: DataFrame, state: State, frequent: int, most_c
     before = words.where(F.col("c") >= least_count(words, most_contexts)).select("w", "c", "t").toArrow()
     w, c, t = (before.column(x).to_numpy() for x in ("w", "c", "t"))
     order = np.argsort(w)
-    return Known(_common(top, state), w[order], c[order], t[order])
+    count = top.column("c").to_numpy()[np.argsort(top.column("w").to_numpy())]
+    return Known(_common(top, state), count, w[order], c[order], t[order])
 
 
 def _common(top: pa.Table, state: State) -> Common:
@@ -311,24 +313,24 @@ def reseated(seated: DataFrame, made: DataFrame, words: DataFrame, state: State,
 
 
 def pair_scores(seated: DataFrame, made: DataFrame, words: DataFrame, state: State, shared: Restaurants, table: Broadcast, spread: int) -> list[Written]:
-    """The marked pairs in groups by their hash: h, c (training count), known, base, score as
-    bytes, in two tables as in ``reseated``."""
-    schema = "at int, h binary, c binary, known binary, base binary, score binary"
+    """The marked pairs in groups by their hash: h, c (training count), count (of the token),
+    score as bytes, in two tables as in ``reseated``."""
+    schema = "at int, h binary, c binary, count binary, score binary"
 
-    def packed(w: np.ndarray, ctx: np.ndarray, n: np.ndarray, t: np.ndarray, is_known: np.ndarray, base: np.ndarray, up: np.ndarray, cu: np.ndarray, tu: np.ndarray) -> list[pa.Array]:
+    def packed(w: np.ndarray, ctx: np.ndarray, n: np.ndarray, t: np.ndarray, cw: np.ndarray, up: np.ndarray, cu: np.ndarray, tu: np.ndarray) -> list[pa.Array]:
         h = pair_hash(w, ctx)
         at = (h % np.uint64(spread)).astype(np.int32)
         p = (n - shared.discount * t) / (STRENGTH + cu) + shared.behind(cu, tu) * up
         order = np.argsort(at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        return [pa.array(at[order[first]]), *_bytes(first, *(x[order] for x in (h, n, is_known.astype(np.int8), base, np.log10(p))))]
+        return [pa.array(at[order[first]]), *_bytes(first, *(x[order] for x in (h, n, cw, np.log10(p).astype(np.float32))))]
 
-    names = ["at", "h", "c", "known", "base", "score"]
+    names = ["at", "h", "c", "count", "score"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             here, at, w, ctx, n, t, up, cu, tu = _settled(b, table.value)
-            made = packed(w, ctx, n, t, np.ones(len(w)), table.value.words.base[at], up, cu, tu)
+            made = packed(w, ctx, n, t, table.value.count[at], up, cu, tu)
             if len(made[0]):
                 yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(made[0]), pa.int64()) for _ in range(4))], names=[*names, "w", "ctx", "n", "t"])
             left = b.filter(pa.array(~here))
@@ -336,7 +338,7 @@ def pair_scores(seated: DataFrame, made: DataFrame, words: DataFrame, state: Sta
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(packed(*(np.array(b.column(c)) for c in ("w", "ctx", "n", "t", "known", "base", "up", "cu", "tu"))), names=names)
+            yield pa.RecordBatch.from_arrays(packed(*(np.array(b.column(c)) for c in ("w", "ctx", "n", "t", "cw", "up", "cu", "tu"))), names=names)
 
     first = Written(seated.mapInArrow(near, f"{schema}, w long, ctx long, n long, t long"), "scores")
     met = _met(first.df.where("at is null").select("w", "ctx", "n", "t"), made, words, state)
@@ -361,13 +363,13 @@ def near(bits: np.ndarray, table: Known, scores: DataFrame, most_pairs: int) ->
     def of_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some = _numbers(b.column("c")) >= max(least, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(_numbers(b.column("h"))[some]), pa.array(_numbers(b.column("score"), np.float64)[some].astype(np.float32))], names=["h", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(_numbers(b.column("h"))[some]), pa.array(_numbers(b.column("score"), np.float32)[some])], names=["h", "score"])
 
     least = least_count(scores.select("c").mapInArrow(bins, "c long, n long"), most_pairs, F.sum("n"))
     hot = scores.mapInArrow(of_least, "h long, score float").toArrow()  # 5 MB at most
     h, score = (hot.column(c).to_numpy() for c in ("h", "score"))
     order = np.argsort(h)
-    return Near(table.words, table.context, table.c, table.t, bits, h[order], score[order])
+    return Near(table.words, table.count, table.context, table.c, table.t, bits, h[order], score[order])
 
 
 def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +414,7 @@ def _local(t: Tokens, known: Near, shared: Restaurants, out: np.ndarray) -> tupl
     return ctx, h.view(np.int64)[back], kind[back], base[back], score[out.astype(int), back], own[back], behind[back], common_up[back]
 
 
-def pair_sums(met: DataFrame, scores: DataFrame) -> DataFrame:
+def pair_sums(met: DataFrame, scores: DataFrame, state: State) -> DataFrame:
     """row, known, base, score: sums over the rows' occurrences of marked pairs; both tables lie
     in groups by hash, and sums go on in groups by the rows' partition."""
     names = ["known", "base", "score"]
@@ -426,7 +428,8 @@ def pair_sums(met: DataFrame, scores: DataFrame) -> DataFrame:
         order = np.argsort(key)
         at, found = _found(key[order], h)
         at = order[at[found]]
-        which, *values = by_row(rows[found], *(_numbers(right.column(c), k)[at] for c, k in zip(names, (np.int8, np.float64, np.float64), strict=True)))
+        count = _numbers(right.column("count"))[at]
+        which, *values = by_row(rows[found], count > 0, base_score(count.astype(np.float64), state), _numbers(right.column("score"), np.float32)[at])
         part = which >> 33
         first = np.flatnonzero(np.diff(part, prepend=-1))
         return pa.table([pa.array(part[first]), *_bytes(first, which, *values)], ["part", "rows", *names])
@@ -488,7 +491,7 @@ def _scores(docs: DataFrame, divisor: int, frequent: int, most_contexts: int, mo
     for old in seated:
         old.drop()
     collected(spark)
-    packed = reduce(DataFrame.unionByName, [x.df.where("at is not null").select("at", "h", "c", "known", "base", "score") for x in scores])
+    packed = reduce(DataFrame.unionByName, [x.df.where("at is not null").select("at", "h", "c", "count", "score") for x in scores])
     table = spark.sparkContext.broadcast(near(bits, table, packed, most_pairs))
     collected(spark)
 
@@ -536,7 +539,7 @@ def _scores(docs: DataFrame, divisor: int, frequent: int, most_contexts: int, mo
     part = written.df.where("group is null")
     sums = lambda df: df.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("known", "base", "score")])
     # Each of the joins is written as its sums, so that the shuffles of one at a time are on disk.
-    of_pair = Written(pair_sums(written.df.where("group is not null").select(F.col("group").alias("at"), "rows", "h"), packed), "of_pair")
+    of_pair = Written(pair_sums(written.df.where("group is not null").select(F.col("group").alias("at"), "rows", "h"), packed.drop("c"), state), "of_pair")
     for old in scores:
         old.drop()
     two = part.select("row", F.explode(F.arrays_zip("w", "at", "own", "behind")).alias("x")).select("row", "x.w", "x.at", "x.own", "x.behind")

@@ -139,7 +139,10 @@ def test_occurrences_meet_marked_pairs_packed(spark):
     h, row = rng.integers(-(2**62), 2**62, 50), rng.integers(0, 9, 400) + (rng.integers(0, 3, 400) << 33)
     which = rng.integers(0, 50, 400)
     at = lambda x: x.view(np.uint64) % 4
-    scores = [(int(k), h[at(h) == k].tobytes(), np.ones((at(h) == k).sum(), np.int8).tobytes(), *(np.arange(50.0)[at(h) == k].tobytes() for _ in range(2))) for k in range(4)]
+    scores = [(int(k), h[at(h) == k].tobytes(), np.arange(50)[at(h) == k].tobytes(), np.arange(50, dtype=np.float32)[at(h) == k].tobytes()) for k in range(4)]
     met = [(int(k), row[part].tobytes(), h[which][part].tobytes()) for k in range(4) for half in (0, 1) for part in [(at(h[which]) == k) & (np.arange(400) % 2 == half)]]
-    got = lm_words.pair_sums(spark.createDataFrame(met, "at int, rows binary, h binary"), spark.createDataFrame(scores, "at int, h binary, known binary, base binary, score binary"))
-    assert {tuple(r) for r in got.collect()} == {(int(r), int((row == r).sum()), float(which[row == r].sum()), float(which[row == r].sum())) for r in set(row)}
+    state = lm_scoring.State(50, 2000, np.zeros(0), 0.5, 0.5, np.zeros(0), 0.0)
+    got = lm_words.pair_sums(spark.createDataFrame(met, "at int, rows binary, h binary"), spark.createDataFrame(scores, "at int, h binary, count binary, score binary"), state)
+    base = lm_scoring.base_score(which.astype(float), state)
+    want = {int(r): (int((which[row == r] > 0).sum()), pytest.approx(base[row == r].sum()), float(which[row == r].sum())) for r in set(row)}
+    assert {r["row"]: tuple(r)[1:] for r in got.collect()} == want
