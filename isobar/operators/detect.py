@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,9 @@ from ..session import checkpointed
 from . import regrid
 from .validate import InvalidData
 
+#: Cells of the grids that are searched at once, at most (a larger grid goes alone).
+CELLS = 1 << 20
+
 
 def _degrees(lat1, lon1, lat2, lon2):
     a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
@@ -27,34 +31,52 @@ def _degrees(lat1, lon1, lat2, lon2):
 
 
 def _neighbours(reached: np.ndarray, cyclic: bool) -> np.ndarray:
-    """Cells that are reached, or stand beside one that is."""
+    """Cells of each grid that are reached, or stand beside one that is."""
     grown = reached.copy()
-    grown[:, 1:] |= reached[:, :-1]
-    grown[:, :-1] |= reached[:, 1:]
-    grown[1:] |= reached[:-1]
-    grown[:-1] |= reached[1:]
+    grown[..., 1:] |= reached[..., :-1]
+    grown[..., :-1] |= reached[..., 1:]
+    grown[..., 1:, :] |= reached[..., :-1, :]
+    grown[..., :-1, :] |= reached[..., 1:, :]
     if cyclic:
-        grown[:, 0] |= reached[:, -1]
-        grown[:, -1] |= reached[:, 0]
+        grown[..., 0] |= reached[..., -1]
+        grown[..., -1] |= reached[..., 0]
     return grown
 
 
-def closed(field: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int, delta: float, distance: float, cyclic: bool = True) -> bool:
-    """Does the field rise by delta (fall, if negative) from (i, j) on every way out
-    to the distance?  The cells that are reached below that level grow by whole rows of
-    neighbours, until they end or lie beyond the distance."""
-    sign = 1.0 if delta > 0 else -1.0
-    below = sign * field < sign * field[i, j] + abs(delta)
-    far = _degrees(lat[i], lon[j], lat[:, None], lon[None, :]) > distance
+def _around(lat: np.ndarray, lon: np.ndarray, i: int, j: int, distance: float, cyclic: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Rows and columns of a window that has the cells up to a distance from (i, j) and
+    those beside them, the distances in it, and whether its columns go round."""
+    rows = np.nonzero(np.abs(lat - lat[i]) <= distance + 1e-6)[0]
+    rows = np.arange(max(rows[0] - 1, 0), min(rows[-1] + 2, len(lat)))
+    n = len(lon)
+    columns = (np.arange(n) + j - n // 2) % n if cyclic else np.arange(n)
+    d = _degrees(lat[i], lon[j], lat[rows, None], lon[None, columns])
+    near = np.nonzero((d <= distance).any(0))[0]
+    a, b = max(near[0] - 1, 0), min(near[-1] + 2, n)
+    if cyclic and (near[0] == 0 or near[-1] == n - 1):
+        a, b = 0, n
+    return rows, columns[a:b], d[:, a:b], cyclic and b - a == n
+
+
+def closed(fields: np.ndarray, of: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int, delta: float, distance: float, cyclic: bool = True) -> np.ndarray:
+    """Of the grids numbered ``of`` (fields: grids x lat x lon): does the field rise by delta
+    (fall, if negative) from (i, j) on every way out to the distance?  The cells that are
+    reached below that level grow by whole rows of neighbours, until they end or lie
+    beyond the distance."""
+    rows, columns, d, cyclic = _around(lat, lon, i, j, distance, cyclic)
+    far = d > distance
+    here = (slice(None), int(np.nonzero(rows == i)[0][0]), int(np.nonzero(columns == j)[0][0]))
+    field = (1.0 if delta > 0 else -1.0) * fields[np.ix_(of, rows, columns)]
+    below = field < (field[here] + abs(delta))[:, None, None]
     reached = np.zeros(field.shape, bool)
-    reached[i, j] = True
+    reached[here] = True
+    escaped = np.zeros(len(of), bool)
     while True:
         grown = _neighbours(reached, cyclic) & below
-        grown[i, j] = True
-        if (grown & far).any():
-            return False
-        if (grown == reached).all():
-            return True
+        grown[here] = True
+        escaped |= (grown & far).any((1, 2))
+        if (escaped | (grown == reached).all((1, 2))).all():
+            return ~escaped
         reached = grown
 
 
@@ -122,16 +144,58 @@ def _window(group: pa.Table, columns: list[str], middle: float | None) -> tuple[
     for c in columns:
         grid[c] = np.full((len(lats), len(order)), np.nan)
         grid[c][i, j] = _numbers(group, c)
-    step = np.median(np.diff(order)) if len(order) > 1 else 360.0
-    return grid, lats, lon[first], bool(order[0] + 360 - order[-1] <= 1.5 * step)
-
-
-def _first_most(values: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[int, int]:
-    """Place of the greatest value; of equal ones the southernmost, then the least
-    longitude."""
-    a, b = np.nonzero(values == np.nanmax(values))
-    k = np.lexsort((lon[b] % 360, lat[a]))[0]
-    return int(a[k]), int(b[k])
+    return grid, lats, lon[first], _goes_round(order)
+
+
+def _goes_round(lon: np.ndarray) -> bool:
+    """Do longitudes, in order, close the circle?"""
+    step = np.median(np.diff(lon)) if len(lon) > 1 else 360.0
+    return bool(lon[0] + 360 - lon[-1] <= 1.5 * step)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A column of lists: begin and length of each (-1: null) in the values, as floats."""
+    offsets = column.offsets.to_numpy()
+    length = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), -1)
+    return offsets[:-1], length, column.values.to_numpy(zero_copy_only=False).astype(float, copy=False)
+
+
+def _alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of a batch of grids that have the same axes, CELLS of cells at most at a
+    time, and these axes.  Rows without places are left out."""
+    (i, n, lat), (j, m, lon) = _lists(batch["lat"]), _lists(batch["lon"])
+    rows: dict[tuple[bytes, bytes], list[int]] = {}
+    for k in np.nonzero((n > 0) & (m > 0))[0]:
+        rows.setdefault((lat[i[k] : i[k] + n[k]].tobytes(), lon[j[k] : j[k] + m[k]].tobytes()), []).append(int(k))
+    for (a, b), own in rows.items():
+        y, x = np.frombuffer(a), np.frombuffer(b)
+        most = max(1, CELLS // (len(y) * len(x)))
+        for k in range(0, len(own), most):
+            yield np.array(own[k : k + most]), y, x
+
+
+def _stack(column: pa.Array, rows: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Rows of a column of grids as grids x lat x lon; null is not a number."""
+    begin, length, values = _lists(column)
+    cells, known = shape[0] * shape[1], length[rows] >= 0
+    if (length[rows][known] != cells).any():
+        raise ValueError(f"a grid of {shape[0]} x {shape[1]} places has other than {cells} values")
+    out = np.full((len(rows), cells), np.nan)
+    out[known] = values[begin[rows][known][:, None] + np.arange(cells)]
+    return out.reshape(len(rows), *shape)
+
+
+def places(grids: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, lat, lon, values: a row a place.  grids: a row a grid, with lat and lon its axes
+    and values arrays with a number for each place, row by row of latitude.  A null array
+    is null at all places."""
+    none = F.array_repeat(F.lit(None).cast("double"), F.size("lat") * F.size("lon"))
+    zipped = F.arrays_zip(*[F.coalesce(F.col(v), none).alias(v) for v in values])
+    cells = grids.select(*keys, "lat", "lon", F.posexplode(zipped).alias("_k", "_v"))
+    at = F.size("lon")
+    return cells.select(
+        *keys, F.get("lat", F.floor(F.col("_k") / at).cast("int")).alias("lat"), F.get("lon", F.col("_k") % at).alias("lon"), *[F.col("_v")[v].alias(v) for v in values]
+    )
 
 
 def detect_nodes(
@@ -141,6 +205,11 @@ def detect_nodes(
     """keys, lat, lon, psl, wind of nodes.  fields: keys (member, time), lat, lon, psl,
     thickness (z300 - z500), wind, on a regular grid; more columns don't matter.
 
+    Where lat and lon are arrays, a row is a time's whole grid: they are its axes, and the
+    fields are arrays of all places, row by row of latitude (see places()).  A task then
+    searches its own rows, many grids at once; nothing is shuffled.  Keys are of one row
+    each.
+
     Without tile, a group is one time's grid.  With it (in degrees) a group is a tile of
     a time's grid and the cells around it that its candidates' criteria can ask for, so
     grids of any size fit in tasks: every criterion ends at a distance, and ``step`` is the
@@ -155,6 +224,53 @@ def detect_nodes(
     kinds = dict(fields.dtypes)
     named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
     own = ["lat", "lon", "psl", "wind"]
+    of = ["psl", "thickness", "wind"]
+
+    def nodes(psl: np.ndarray, thick: np.ndarray, wind: np.ndarray, inside: np.ndarray | bool, lat: np.ndarray, lon: np.ndarray, round_: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the grid, and lat, lon, psl, wind, of the nodes of grids x lat x lon."""
+        edge = np.pad(psl, ((0, 0), (0, 0), (1, 1)), **({"mode": "wrap"} if round_ else {"constant_values": np.inf}))
+        padded = np.pad(edge, ((0, 0), (1, 1), (0, 0)), constant_values=np.inf)
+        lows = np.broadcast_to(inside, psl.shape).copy()
+        for di in (0, 1, 2):
+            for dj in (0, 1, 2):
+                if (di, dj) != (1, 1):
+                    lows &= psl < padded[:, di : di + len(lat), dj : dj + len(lon)]
+        grids, at = np.nonzero(lows.reshape(len(psl), -1))
+        order = np.argsort(at, kind="stable")
+        cells, first = np.unique(at[order], return_index=True)
+        found = []
+        for cell, g in zip(cells, np.split(grids[order], first[1:]), strict=True) if len(cells) else ():
+            i, j = divmod(int(cell), len(lon))
+            g = g[closed(psl, g, lat, lon, i, j, psl_delta, psl_dist, round_)]
+            # The warmest place near it; of equal ones the southernmost, then the least longitude.
+            rows, columns, d, _ = _around(lat, lon, i, j, z_offset, round_)
+            a, b = (x[k] for x, k in zip((rows, columns), np.nonzero(d <= z_offset), strict=True))
+            turn = np.lexsort((lon[b] % 360, lat[a]))
+            a, b = a[turn], b[turn]
+            near = thick[g[:, None], a, b]
+            known = ~np.isnan(near).all(1)
+            g, core = g[known], np.where(np.isnan(near), -np.inf, near)[known].argmax(1)
+            warm = np.zeros(len(g), bool)
+            for k in np.unique(core):
+                warm[core == k] = closed(thick, g[core == k], lat, lon, int(a[k]), int(b[k]), z_delta, z_dist, round_)
+            g = g[warm]
+            rows, columns, d, _ = _around(lat, lon, i, j, wind_dist, round_)
+            a, b = (x[k] for x, k in zip((rows, columns), np.nonzero(d <= wind_dist), strict=True))
+            found.append((g, np.stack([np.full(len(g), lat[i]), np.full(len(g), lon[j]), psl[g, i, j], np.fmax.reduce(wind[g[:, None], a, b], axis=1)])))
+        if not found:
+            return np.zeros(0, int), np.zeros((len(own), 0))
+        return np.concatenate([g for g, _ in found]), np.concatenate([x for _, x in found], axis=1)
+
+    def kept(lat: np.ndarray, lon: np.ndarray, psl: np.ndarray) -> list[int]:
+        """Of a time's nodes the deepest, and those that are far from all deeper ones."""
+        out: list[int] = []
+        for k in np.lexsort((lon % 360, lat, psl)):
+            if not out or (_degrees(lat[k], lon[k], lat[out], lon[out]) > merge_dist).all():
+                out.append(int(k))
+        return out
+
+    def numbers(values: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x, pa.float64(), from_pandas=True) for x in values]
 
     def found(group: pa.Table) -> pa.Table:
         middle = None
@@ -162,42 +278,37 @@ def detect_nodes(
             middle = (group["_tile"][0].as_py() + 0.5) * 360 / tiles.count(group["_band"][0].as_py())
         else:
             group = group.append_column("_own", pa.array(np.ones(len(group), bool)))
-        grid, lat, lon, round_ = _window(group, ["psl", "thickness", "wind", "_own"], middle)
+        grid, lat, lon, round_ = _window(group, [*of, "_own"], middle)
         if tiles and max(np.diff(lat).max(initial=0), np.median(np.diff(lon) % 360) if len(lon) > 1 else 0) > step + 1e-9:
             raise ValueError(f"the grid's steps are over {step} degrees")
-        psl, thick, wind = grid["psl"], grid["thickness"], grid["wind"]
-        edge = np.pad(psl, ((0, 0), (1, 1)), mode="wrap") if round_ else np.pad(psl, ((0, 0), (1, 1)), constant_values=np.inf)
-        padded = np.pad(edge, ((1, 1), (0, 0)), constant_values=np.inf)
-        lows = grid["_own"] == 1
-        for di in (0, 1, 2):
-            for dj in (0, 1, 2):
-                if (di, dj) != (1, 1):
-                    lows &= psl < padded[di : di + len(lat), dj : dj + len(lon)]
-        rows = []
-        for i, j in zip(*np.nonzero(lows), strict=True):
-            if not closed(psl, lat, lon, i, j, psl_delta, psl_dist, round_):
-                continue
-            d = _degrees(lat[i], lon[j], lat[:, None], lon[None, :])
-            near = np.where(d <= z_offset, thick, np.nan)
-            if np.isnan(near).all():
-                continue
-            if closed(thick, lat, lon, *_first_most(near, lat, lon), z_delta, z_dist, round_):
-                around = wind[d <= wind_dist]
-                rows.append((lat[i], lon[j], psl[i, j], np.nan if np.isnan(around).all() else np.nanmax(around)))
-        values = np.array(rows, float).reshape(len(rows), len(own)).T
-        numbers = [pa.array(x, pa.float64(), from_pandas=True) for x in values]
-        return pa.table([*[pa.repeat(group[c][0], len(rows)) for c in keys], *numbers], names=[*keys, *own])
+        at, values = nodes(*[grid[c][None] for c in of], grid["_own"][None] == 1, lat, lon, round_)
+        return pa.table([*[pa.repeat(group[c][0], len(at)) for c in keys], *numbers(values)], names=[*keys, *own])
 
     def merged(group: pa.Table) -> pa.Table:
-        lat, lon = _numbers(group, "lat"), _numbers(group, "lon")
-        kept: list[int] = []
-        for k in np.lexsort((lon % 360, lat, _numbers(group, "psl"))):
-            if not kept or (_degrees(lat[k], lon[k], lat[kept], lon[kept]) > merge_dist).all():
-                kept.append(int(k))
-        return group.select([*keys, *own]).take(pa.array(kept, pa.int64()))
-
-    cells = fields.select(*keys, "lat", "lon", "psl", "thickness", "wind")
+        stay = kept(*[_numbers(group, c) for c in ("lat", "lon", "psl")])
+        return group.select([*keys, *own]).take(pa.array(stay, pa.int64()))
+
+    def found_in_grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, lat, lon in _alike(batch):
+                (y, a), (_, b) = np.unique(lat, return_index=True), np.unique(np.round(lon, 9), return_index=True)
+                psl, thick, wind = (_stack(batch[c], rows, (len(lat), len(lon)))[:, a][:, :, b] for c in of)
+                at, values = nodes(psl, thick, wind, True, y, lon[b], _goes_round(lon[b]))
+                order = np.argsort(at, kind="stable")
+                at, values = at[order], values[:, order]
+                grids, first, count = np.unique(at, return_index=True, return_counts=True)
+                stay = np.ones(len(at), bool)
+                for k, n in zip(first[count > 1], count[count > 1], strict=True):
+                    stay[k : k + n] = False
+                    stay[k + np.array(kept(*values[:3, k : k + n]))] = True
+                which = pa.array(rows[at[stay]], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch[c].take(which) for c in keys], *numbers(values[:, stay])], names=[*keys, *own])
+
     schema = ", ".join(x for x in (named, "lat double, lon double, psl double, wind double") if x)
+    gridded = kinds["lat"].startswith("array")
+    if gridded and not tiles:
+        return fields.select(*keys, "lat", "lon", *of).mapInArrow(found_in_grids, schema)
+    cells = (places(fields, keys, of) if gridded else fields).select(*keys, "lat", "lon", *of)
     if not tiles:
         # A time's candidates are all in one group already.
         return cells.groupBy(*keys).applyInArrow(lambda group: merged(found(group)), schema)
@@ -216,8 +327,10 @@ def stitch_nodes(
     A node is linked to the nearest one in reach at the next step that has one (up to
     ``gap`` steps on); where several choose the same node, the nearest keeps it.
     Chains are named by their first node by doubling jumps, a written join a round, of
-    which there are as many as the longest chain has binary digits.
+    which there are as many as the longest chain has binary digits.  Nodes are written
+    first: they are read several times, and what finds them is to run once.
     """
+    nodes = checkpointed(nodes)
     a = nodes.select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(gap))).alias("d"), "step", *keys, F.col("lat").alias("la"), F.col("lon").alias("lo"))
     b = nodes.select(F.col("node").alias("b"), F.col("step").alias("to"), *keys, F.col("lat").alias("lb"), F.col("lon").alias("lo2"))
     dist = F.degrees(great_circle(F.col("la"), F.col("lo"), F.col("lb"), F.col("lo2"), 1.0))
@@ -243,14 +356,38 @@ def stitch_nodes(
 TRACKED = {"psl": "psl", "uas": "ubot", "vas": "vbot", "zg300": "z300", "zg500": "z500"}
 
 
+def _tracker_grids(grids: DataFrame, keys: list[str], topography: DataFrame | None) -> DataFrame:
+    """tracker_input() of grids; times without all five variables are left out."""
+    missing = [v for v in TRACKED if v not in grids.columns]
+    if missing:
+        raise InvalidData(f"no variable {', '.join(missing)}")
+    axes = ["lat", "lon"]
+    own = grids.where(" AND ".join(f"{v} IS NOT NULL" for v in TRACKED))
+    if "phis" not in grids.columns and topography is not None:
+        shapes = own.select(*axes).distinct().withColumn("_n", F.array_repeat(F.lit(0.0), F.size("lat") * F.size("lon")))
+        cells = places(shapes.select(F.struct(*axes).alias("_of"), *axes, "_n"), ["_of"], ["_n"]).drop("_n")
+        ground = regrid.bilinear(topography.select("lat", "lon", "value"), cells.select(*axes).distinct(), []).select(*axes, (F.col("value") * 9.80665).alias("phis"))
+        at = [F.array_position(F.col(f"_of.{c}"), F.col(c)) for c in axes]
+        ordered = F.array_sort(F.collect_list(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(at)], "phis")))
+        known = cells.join(ground, axes, "left").groupBy("_of").agg(F.transform(ordered, lambda x: x["phis"]).alias("phis"))
+        own = own.join(known.select("_of.*", "phis"), axes)
+    elif "phis" not in grids.columns:
+        own = own.withColumn("phis", F.lit(None).cast("array<double>"))
+    own = own.select(*keys, *axes, *[F.col(v).alias(n) for v, n in TRACKED.items()], "phis")
+    return own.withColumns({"thickness": F.zip_with("z300", "z500", lambda a, b: a - b), "wind": F.zip_with("ubot", "vbot", F.hypot)})
+
+
 def tracker_input(cube: DataFrame, keys: list[str], topography: DataFrame | None = None) -> DataFrame:
     """keys, lat, lon, psl, ubot, vbot, z300, z500, phis, and what detection reads: thickness
-    (z300 - z500) and wind.  cube: variable, keys, lat, lon, value.
+    (z300 - z500) and wind.  cube: variable, keys, lat, lon, value; or a row a grid: keys,
+    lat, lon and the variables as arrays (see places()), which are arrays again.
 
     A variable that isn't there is an error.  Places and times are those that all five
     variables have rows for; a null value stays null.  The surface geopotential is the
     cube's own phis, or the topography (lat, lon, value in metres; brought onto the grid)
     times gravity, or null where neither is given."""
+    if "variable" not in cube.columns:
+        return _tracker_grids(cube, keys, topography)
     wanted = [*TRACKED, "phis"]
     own = cube.where(F.col("variable").isin(wanted))
     there = {r["variable"] for r in own.select("variable").distinct().collect()}  # six names at most

@@ -6,7 +6,10 @@ often lie exactly between two roundings, which engines settle differently.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -117,19 +120,36 @@ def seasonal_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_points(spark, sf_dir).withColumn("month", (F.dayofmonth("ts") % 12 + 1).cast("int"))
 
 
+def dealt(rows: DataFrame, key: str, most: int = 500) -> DataFrame:
+    """Rows dealt out by key over as many tasks as have so many rows each, or over all cores."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / most))
+    return rows.repartition(tasks, key)
+
+
+def grid(value: Callable[[Column], Column]) -> Column:
+    """A number for each place of a grid, row by row of latitude, from the squared distance
+    to the place: the sum of dy2 (an array over the latitudes) and dx2 (longitudes)."""
+    return F.flatten(F.transform("dy2", lambda a: F.transform("dx2", lambda b: value(a + b))))
+
+
 def storm_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as members of a simulation (variable, realization, time, lat, lon, value):
-    each has a storm that lasts three days and begins in a month of its own."""
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
-    cells = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    for axis, ends in (("lat", (-1, 27)), ("lon", (91, 115))):
-        cells = cells.withColumn(axis, F.explode(F.sequence(*[F.lit(x) for x in ends]).cast("array<double>")))
-    r2 = F.pow(F.col("lat") - 8.1 - F.col("k") * 0.5 - F.col("s") % 5, F.lit(2)) + F.pow(F.col("lon") - 100.1 - F.col("k") * 0.5, F.lit(2))
-    wind = 5 + (30 - F.abs(F.col("k") - 4.3)) * F.exp(-r2 / 16)
-    values = {"psl": 101000 - 3000 * F.exp(-r2 / 4), "uas": 0.6 * wind, "vas": 0.8 * wind, "zg300": 9000 + 30 * F.exp(-r2 / 9), "zg500": F.lit(5000.0)}
+    """Suppliers as members of a simulation, a row a time's grid (realization, time, lat,
+    lon, and the variables as arrays): each has a storm that lasts three days and begins
+    in a month of its own."""
+    own = dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s")), "s")
+    steps = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    lat, lon = [F.sequence(*[F.lit(x) for x in ends]).cast("array<double>") for ends in ((-1, 27), (91, 115))]
     time = F.expr("cast(timestamp_ntz'2024-01-01 00:00:00' + make_ym_interval(0, cast(s % 12 as int)) + make_dt_interval(0, k * 6) as timestamp_ntz)")
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), x.alias("value")) for v, x in values.items()]))
-    return cells.select(F.col("s").alias("realization"), time.alias("time"), "lat", "lon", each.alias("x")).select("x.variable", "realization", "time", "lat", "lon", "x.value")
+    placed = steps.select(
+        F.col("s").alias("realization"), time.alias("time"), lat.alias("lat"), lon.alias("lon"), (30 - F.abs(F.col("k") - 4.3)).alias("top"),
+        F.transform(lat, lambda y: F.pow(y - 8.1 - F.col("k") * 0.5 - F.col("s") % 5, F.lit(2))).alias("dy2"), F.transform(lon, lambda x: F.pow(x - 100.1 - F.col("k") * 0.5, F.lit(2))).alias("dx2"),
+    )
+    fields = placed.withColumns({
+        "psl": grid(lambda r2: 101000 - 3000 * F.exp(r2 / -4)), "_wind": grid(lambda r2: 5 + F.col("top") * F.exp(r2 / -16)), "zg300": grid(lambda r2: 9000 + 30 * F.exp(r2 / -9)),
+        "zg500": F.array_repeat(F.lit(5000.0), F.size("lat") * F.size("lon")),
+    })
+    winds = {"uas": F.transform("_wind", lambda w: 0.6 * w), "vas": F.transform("_wind", lambda w: 0.8 * w)}
+    return fields.withColumns(winds).select("realization", "time", "lat", "lon", "psl", "uas", "vas", "zg300", "zg500")
 
 
 CUBE = """cube AS (SELECT l_returnflag AS variable, l_linenumber AS realization, l_shipdate AS time, CAST((l_suppkey % 18) * 10 - 85 AS DOUBLE) AS lat,

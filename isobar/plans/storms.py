@@ -55,7 +55,8 @@ def settings(spark: SparkSession, sets: dict[str, TrackSet], years: tuple[int, i
 
 def simulated_tracks(cube: DataFrame, years: tuple[int, int], c: TCConfig, topography: DataFrame | None = None) -> TrackSet:
     """The storms of a cube (variable, realization if there are members, time, lat, lon,
-    value), at its six-hour steps in the years."""
+    value; or a row a grid, see detect.tracker_input()), at its six-hour steps in the
+    years."""
     members = ["realization"] if "realization" in cube.columns else []
     own = cube.where(F.year("time").between(*years) & (F.hour("time") % 6 == 0) & (F.minute("time") == 0))
     fields = detect.tracker_input(own, [*members, "time"], topography)
