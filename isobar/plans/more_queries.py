@@ -399,10 +399,12 @@ def src67(spark, d):
     """Detection on a made field: suppliers' storms that drift with the hours."""
     from ..operators import detect
 
-    where = B.table(spark, d, "supplier").select("s_suppkey")
-    cells = where.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("lat", F.explode(F.sequence(F.lit(-5), F.lit(30)).cast("array<double>"))).withColumn("lon", F.explode(F.sequence(F.lit(90), F.lit(125)).cast("array<double>")))
-    r2 = F.pow(F.col("lat") - 8.1 - F.col("step") * 0.5 - F.col("s_suppkey") % 11, 2) + F.pow(F.col("lon") - 100.1 - F.col("step"), 2)
-    fields = cells.select("s_suppkey", "step", "lat", "lon", (101000 - 3000 * F.exp(-r2 / 4)).alias("psl"), (4000 + 30 * F.exp(-r2 / 9)).alias("thickness"), (5 + 30 * F.exp(-r2 / 16)).alias("wind"))
+    steps = B.dealt(B.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    lat, lon = [F.sequence(*[F.lit(x) for x in ends]).cast("array<double>") for ends in ((-5, 30), (90, 125))]
+    dy2 = F.transform(lat, lambda y: F.pow(y - 8.1 - F.col("step") * 0.5 - F.col("s_suppkey") % 11, F.lit(2)))
+    placed = steps.select("s_suppkey", "step", lat.alias("lat"), lon.alias("lon"), dy2.alias("dy2"), F.transform(lon, lambda x: F.pow(x - 100.1 - F.col("step"), F.lit(2))).alias("dx2"))
+    shapes = {"psl": lambda r2: 101000 - 3000 * F.exp(r2 / -4), "thickness": lambda r2: 4000 + 30 * F.exp(r2 / -9), "wind": lambda r2: 5 + 30 * F.exp(r2 / -16)}
+    fields = placed.select("s_suppkey", "step", "lat", "lon", *[B.grid(f).alias(v) for v, f in shapes.items()])
     nodes = detect.detect_nodes(fields, ["s_suppkey", "step"])
     place = F.row_number().over(Window.partitionBy("s_suppkey", "step").orderBy("lat", "lon"))  # 36 x 36 at most
     nodes = nodes.withColumn("node", (F.col("s_suppkey").cast("long") * 12 + F.col("step")) * 2000 + place)
