@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,30 +43,53 @@ def _neighbours(reached: np.ndarray, cyclic: bool) -> np.ndarray:
     return grown
 
 
-def _around(lat: np.ndarray, lon: np.ndarray, i: int, j: int, distance: float, cyclic: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Rows and columns of a window that has the cells up to a distance from (i, j) and
-    those beside them, the distances in it, and whether its columns go round."""
-    rows = np.nonzero(np.abs(lat - lat[i]) <= distance + 1e-6)[0]
-    rows = np.arange(max(rows[0] - 1, 0), min(rows[-1] + 2, len(lat)))
-    n = len(lon)
-    columns = (np.arange(n) + j - n // 2) % n if cyclic else np.arange(n)
-    d = _degrees(lat[i], lon[j], lat[rows, None], lon[None, columns])
-    near = np.nonzero((d <= distance).any(0))[0]
-    a, b = max(near[0] - 1, 0), min(near[-1] + 2, n)
-    if cyclic and (near[0] == 0 or near[-1] == n - 1):
-        a, b = 0, n
-    return rows, columns[a:b], d[:, a:b], cyclic and b - a == n
-
-
-def closed(fields: np.ndarray, of: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int, delta: float, distance: float, cyclic: bool = True) -> np.ndarray:
+class _Windows:
+    """Windows around places of one grid's axes, of which many are asked for again."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, cyclic: bool):
+        self.lat, self.lon, self.cyclic = lat, lon, cyclic
+        self.known: dict[tuple[int, int, float], tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = {}
+        self.held = 0
+
+    def around(self, i: int, j: int, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Rows and columns of a window that has the cells up to a distance from (i, j) and
+        those beside them, the distances in it, and whether its columns go round."""
+        key = (i, j, distance)
+        if key not in self.known:
+            if self.held > CELLS:
+                self.known, self.held = {}, 0
+            self.known[key] = self._around(*key)
+            self.held += self.known[key][2].size
+        return self.known[key]
+
+    def _around(self, i: int, j: int, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        lat, lon, n = self.lat, self.lon, len(self.lon)
+        rows = np.nonzero(np.abs(lat - lat[i]) <= distance + 1e-6)[0]
+        rows = np.arange(max(rows[0] - 1, 0), min(rows[-1] + 2, len(lat)))
+        columns = (np.arange(n) + j - n // 2) % n if self.cyclic else np.arange(n)
+        d = _degrees(lat[i], lon[j], lat[rows, None], lon[None, columns])
+        near = np.nonzero((d <= distance).any(0))[0]
+        a, b = max(near[0] - 1, 0), min(near[-1] + 2, n)
+        if self.cyclic and (near[0] == 0 or near[-1] == n - 1):
+            a, b = 0, n
+        return rows, columns[a:b], d[:, a:b], self.cyclic and b - a == n
+
+    def within(self, i: int, j: int, distance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the cells up to a distance from (i, j)."""
+        rows, columns, d, _ = self.around(i, j, distance)
+        a, b = np.nonzero(d <= distance)
+        return rows[a], columns[b]
+
+
+def closed(fields: np.ndarray, of: np.ndarray, windows: _Windows, i: int, j: int, delta: float, distance: float) -> np.ndarray:
     """Of the grids numbered ``of`` (fields: grids x lat x lon): does the field rise by delta
     (fall, if negative) from (i, j) on every way out to the distance?  The cells that are
     reached below that level grow by whole rows of neighbours, until they end or lie
     beyond the distance."""
-    rows, columns, d, cyclic = _around(lat, lon, i, j, distance, cyclic)
+    rows, columns, d, cyclic = windows.around(i, j, distance)
     far = d > distance
     here = (slice(None), int(np.nonzero(rows == i)[0][0]), int(np.nonzero(columns == j)[0][0]))
-    field = (1.0 if delta > 0 else -1.0) * fields[np.ix_(of, rows, columns)]
+    field = (1.0 if delta > 0 else -1.0) * fields[of[:, None, None], rows[:, None], columns]
     below = field < (field[here] + abs(delta))[:, None, None]
     reached = np.zeros(field.shape, bool)
     reached[here] = True
@@ -185,6 +208,27 @@ def _stack(column: pa.Array, rows: np.ndarray, shape: tuple[int, int]) -> np.nda
     return out.reshape(len(rows), *shape)
 
 
+@dataclass(frozen=True)
+class Reading:
+    """Grids that are read, or made, in the tasks that search them, so that they go through
+    nothing else.  rows: a row a grid.  read, as for mapInArrow(): of the rows' batches,
+    batches that have also lat and lon (the axes) and variables as arrays (see
+    places()), a few grids at a time."""
+
+    rows: DataFrame
+    read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+    def over(self, change: Callable[[DataFrame], DataFrame]) -> Reading:
+        """The grids of the changed rows."""
+        return replace(self, rows=change(self.rows))
+
+    def grids(self, variables: list[str]) -> DataFrame:
+        """The grids as rows."""
+        columns, read = [*self.rows.columns, "lat", "lon", *variables], self.read
+        kinds = [f"`{c}` {k}" for c, k in self.rows.dtypes] + [f"`{c}` array<double>" for c in ("lat", "lon", *variables)]
+        return self.rows.mapInArrow(lambda batches: (b.select(columns) for b in read(batches)), ", ".join(kinds))
+
+
 def places(grids: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, lat, lon, values: a row a place.  grids: a row a grid, with lat and lon its axes
     and values arrays with a number for each place, row by row of latitude.  A null array
@@ -199,7 +243,7 @@ def places(grids: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def detect_nodes(
-    fields: DataFrame, keys: list[str], psl_delta: float = 200.0, psl_dist: float = 5.5, z_delta: float = -6.0, z_dist: float = 6.5,
+    fields: DataFrame | Reading, keys: list[str], psl_delta: float = 200.0, psl_dist: float = 5.5, z_delta: float = -6.0, z_dist: float = 6.5,
     z_offset: float = 1.0, merge_dist: float = 6.0, wind_dist: float = 2.0, tile: float | None = None, step: float = 2.5,
 ) -> DataFrame:
     """keys, lat, lon, psl, wind of nodes.  fields: keys (member, time), lat, lon, psl,
@@ -208,7 +252,7 @@ def detect_nodes(
     Where lat and lon are arrays, a row is a time's whole grid: they are its axes, and the
     fields are arrays of all places, row by row of latitude (see places()).  A task then
     searches its own rows, many grids at once; nothing is shuffled.  Keys are of one row
-    each.
+    each.  A Reading's grids are read there, too.
 
     Without tile, a group is one time's grid.  With it (in degrees) a group is a tile of
     a time's grid and the cells around it that its candidates' criteria can ask for, so
@@ -221,14 +265,18 @@ def detect_nodes(
     has ends in longitude.  Empty fields have no nodes."""
     reach = max(psl_dist, z_dist + z_offset, wind_dist) + 2 * step
     tiles = Tiles(tile, reach) if tile else None
-    kinds = dict(fields.dtypes)
-    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
     own = ["lat", "lon", "psl", "wind"]
     of = ["psl", "thickness", "wind"]
+    read = None
+    if isinstance(fields, Reading):
+        fields, read = (fields.grids(of), None) if tiles else (fields.rows, fields.read)
+    kinds = dict(fields.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
 
-    def nodes(psl: np.ndarray, thick: np.ndarray, wind: np.ndarray, inside: np.ndarray | bool, lat: np.ndarray, lon: np.ndarray, round_: bool) -> tuple[np.ndarray, np.ndarray]:
+    def nodes(psl: np.ndarray, thick: np.ndarray, wind: np.ndarray, inside: np.ndarray | bool, windows: _Windows) -> tuple[np.ndarray, np.ndarray]:
         """Number of the grid, and lat, lon, psl, wind, of the nodes of grids x lat x lon."""
-        edge = np.pad(psl, ((0, 0), (0, 0), (1, 1)), **({"mode": "wrap"} if round_ else {"constant_values": np.inf}))
+        lat, lon = windows.lat, windows.lon
+        edge = np.pad(psl, ((0, 0), (0, 0), (1, 1)), **({"mode": "wrap"} if windows.cyclic else {"constant_values": np.inf}))
         padded = np.pad(edge, ((0, 0), (1, 1), (0, 0)), constant_values=np.inf)
         lows = np.broadcast_to(inside, psl.shape).copy()
         for di in (0, 1, 2):
@@ -241,10 +289,9 @@ def detect_nodes(
         found = []
         for cell, g in zip(cells, np.split(grids[order], first[1:]), strict=True) if len(cells) else ():
             i, j = divmod(int(cell), len(lon))
-            g = g[closed(psl, g, lat, lon, i, j, psl_delta, psl_dist, round_)]
+            g = g[closed(psl, g, windows, i, j, psl_delta, psl_dist)]
             # The warmest place near it; of equal ones the southernmost, then the least longitude.
-            rows, columns, d, _ = _around(lat, lon, i, j, z_offset, round_)
-            a, b = (x[k] for x, k in zip((rows, columns), np.nonzero(d <= z_offset), strict=True))
+            a, b = windows.within(i, j, z_offset)
             turn = np.lexsort((lon[b] % 360, lat[a]))
             a, b = a[turn], b[turn]
             near = thick[g[:, None], a, b]
@@ -252,10 +299,9 @@ def detect_nodes(
             g, core = g[known], np.where(np.isnan(near), -np.inf, near)[known].argmax(1)
             warm = np.zeros(len(g), bool)
             for k in np.unique(core):
-                warm[core == k] = closed(thick, g[core == k], lat, lon, int(a[k]), int(b[k]), z_delta, z_dist, round_)
+                warm[core == k] = closed(thick, g[core == k], windows, int(a[k]), int(b[k]), z_delta, z_dist)
             g = g[warm]
-            rows, columns, d, _ = _around(lat, lon, i, j, wind_dist, round_)
-            a, b = (x[k] for x, k in zip((rows, columns), np.nonzero(d <= wind_dist), strict=True))
+            a, b = windows.within(i, j, wind_dist)
             found.append((g, np.stack([np.full(len(g), lat[i]), np.full(len(g), lon[j]), psl[g, i, j], np.fmax.reduce(wind[g[:, None], a, b], axis=1)])))
         if not found:
             return np.zeros(0, int), np.zeros((len(own), 0))
@@ -281,7 +327,7 @@ def detect_nodes(
         grid, lat, lon, round_ = _window(group, [*of, "_own"], middle)
         if tiles and max(np.diff(lat).max(initial=0), np.median(np.diff(lon) % 360) if len(lon) > 1 else 0) > step + 1e-9:
             raise ValueError(f"the grid's steps are over {step} degrees")
-        at, values = nodes(*[grid[c][None] for c in of], grid["_own"][None] == 1, lat, lon, round_)
+        at, values = nodes(*[grid[c][None] for c in of], grid["_own"][None] == 1, _Windows(lat, lon, round_))
         return pa.table([*[pa.repeat(group[c][0], len(at)) for c in keys], *numbers(values)], names=[*keys, *own])
 
     def merged(group: pa.Table) -> pa.Table:
@@ -289,11 +335,14 @@ def detect_nodes(
         return group.select([*keys, *own]).take(pa.array(stay, pa.int64()))
 
     def found_in_grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, windows = None, None
         for batch in batches:
             for rows, lat, lon in _alike(batch):
                 (y, a), (_, b) = np.unique(lat, return_index=True), np.unique(np.round(lon, 9), return_index=True)
                 psl, thick, wind = (_stack(batch[c], rows, (len(lat), len(lon)))[:, a][:, :, b] for c in of)
-                at, values = nodes(psl, thick, wind, True, y, lon[b], _goes_round(lon[b]))
+                if last != (axes := (lat.tobytes(), lon.tobytes())):
+                    last, windows = axes, _Windows(y, lon[b], _goes_round(lon[b]))
+                at, values = nodes(psl, thick, wind, True, windows)
                 order = np.argsort(at, kind="stable")
                 at, values = at[order], values[:, order]
                 grids, first, count = np.unique(at, return_index=True, return_counts=True)
@@ -305,6 +354,8 @@ def detect_nodes(
                 yield pa.RecordBatch.from_arrays([*[batch[c].take(which) for c in keys], *numbers(values[:, stay])], names=[*keys, *own])
 
     schema = ", ".join(x for x in (named, "lat double, lon double, psl double, wind double") if x)
+    if read:
+        return fields.mapInArrow(lambda batches: found_in_grids(read(batches)), schema)
     gridded = kinds["lat"].startswith("array")
     if gridded and not tiles:
         return fields.select(*keys, "lat", "lon", *of).mapInArrow(found_in_grids, schema)
@@ -356,6 +407,25 @@ def stitch_nodes(
 TRACKED = {"psl": "psl", "uas": "ubot", "vas": "vbot", "zg300": "z300", "zg500": "z500"}
 
 
+def _tracked(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What detection reads, of a reading of the variables that tracking asks for."""
+
+    def tracked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read(batches):
+            missing = [v for v in TRACKED if v not in batch.schema.names]
+            if missing:
+                raise InvalidData(f"no variable {', '.join(missing)}")
+            for v in TRACKED:
+                batch = batch.filter(batch[v].is_valid())
+            z300, z500, u, v = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("zg300", "zg500", "uas", "vas"))
+            ends = np.concatenate([[0], np.cumsum(batch["psl"].value_lengths().to_numpy())])
+            for name, values in (("thickness", z300 - z500), ("wind", np.hypot(u, v))):
+                batch = batch.append_column(name, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+            yield batch
+
+    return tracked
+
+
 def _tracker_grids(grids: DataFrame, keys: list[str], topography: DataFrame | None) -> DataFrame:
     """tracker_input() of grids; times without all five variables are left out."""
     missing = [v for v in TRACKED if v not in grids.columns]
@@ -377,15 +447,18 @@ def _tracker_grids(grids: DataFrame, keys: list[str], topography: DataFrame | No
     return own.withColumns({"thickness": F.zip_with("z300", "z500", lambda a, b: a - b), "wind": F.zip_with("ubot", "vbot", F.hypot)})
 
 
-def tracker_input(cube: DataFrame, keys: list[str], topography: DataFrame | None = None) -> DataFrame:
+def tracker_input(cube: DataFrame | Reading, keys: list[str], topography: DataFrame | None = None) -> DataFrame | Reading:
     """keys, lat, lon, psl, ubot, vbot, z300, z500, phis, and what detection reads: thickness
     (z300 - z500) and wind.  cube: variable, keys, lat, lon, value; or a row a grid: keys,
-    lat, lon and the variables as arrays (see places()), which are arrays again.
+    lat, lon and the variables as arrays (see places()), which are arrays again; or a
+    Reading of these, whose reading has then what detection reads.
 
     A variable that isn't there is an error.  Places and times are those that all five
     variables have rows for; a null value stays null.  The surface geopotential is the
     cube's own phis, or the topography (lat, lon, value in metres; brought onto the grid)
     times gravity, or null where neither is given."""
+    if isinstance(cube, Reading):
+        return replace(cube, read=_tracked(cube.read))
     if "variable" not in cube.columns:
         return _tracker_grids(cube, keys, topography)
     wanted = [*TRACKED, "phis"]

@@ -7,11 +7,16 @@ often lie exactly between two roundings, which engines settle differently.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import detect
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -126,30 +131,41 @@ def dealt(rows: DataFrame, key: str, most: int = 500) -> DataFrame:
     return rows.repartition(tasks, key)
 
 
-def grid(value: Callable[[Column], Column]) -> Column:
-    """A number for each place of a grid, row by row of latitude, from the squared distance
-    to the place: the sum of dy2 (an array over the latitudes) and dx2 (longitudes)."""
-    return F.flatten(F.transform("dy2", lambda a: F.transform("dx2", lambda b: value(a + b))))
+def made(lat: np.ndarray, lon: np.ndarray, off: Callable[[pa.RecordBatch], tuple[list[np.ndarray], list[np.ndarray]]], fields: Callable[[pa.RecordBatch, np.ndarray], dict[str, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A reader (see detect.Reading) of made grids.  off: what is taken from the latitudes
+    and longitudes of each row; fields: of squared distances (grids x places), the variables."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, detect.CELLS // (len(lat) * len(lon)))
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                rows = batch.slice(k, most)
+                y, x = (reduce(lambda a, b: a - b[:, None], of, axis[None]) ** 2 for axis, of in zip((lat, lon), off(rows), strict=True))
+                grids = {"lat": np.broadcast_to(lat, y.shape), "lon": np.broadcast_to(lon, x.shape)} | fields(rows, (y[:, :, None] + x[:, None]).reshape(len(y), -1))
+                for name, values in grids.items():
+                    rows = rows.append_column(name, pa.FixedSizeListArray.from_arrays(values.ravel(), values.shape[1]).cast(pa.list_(pa.float64())))
+                yield rows
 
+    return read
 
-def storm_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as members of a simulation, a row a time's grid (realization, time, lat,
-    lon, and the variables as arrays): each has a storm that lasts three days and begins
-    in a month of its own."""
+
+def storm_fields(spark: SparkSession, sf_dir: str) -> detect.Reading:
+    """Suppliers as members of a simulation, a row a time's grid (realization, k, time; the
+    variables are made where they are read): each has a storm that lasts three days and
+    begins in a month of its own."""
     own = dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s")), "s")
-    steps = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    lat, lon = [F.sequence(*[F.lit(x) for x in ends]).cast("array<double>") for ends in ((-1, 27), (91, 115))]
     time = F.expr("cast(timestamp_ntz'2024-01-01 00:00:00' + make_ym_interval(0, cast(s % 12 as int)) + make_dt_interval(0, k * 6) as timestamp_ntz)")
-    placed = steps.select(
-        F.col("s").alias("realization"), time.alias("time"), lat.alias("lat"), lon.alias("lon"), (30 - F.abs(F.col("k") - 4.3)).alias("top"),
-        F.transform(lat, lambda y: F.pow(y - 8.1 - F.col("k") * 0.5 - F.col("s") % 5, F.lit(2))).alias("dy2"), F.transform(lon, lambda x: F.pow(x - 100.1 - F.col("k") * 0.5, F.lit(2))).alias("dx2"),
-    )
-    fields = placed.withColumns({
-        "psl": grid(lambda r2: 101000 - 3000 * F.exp(r2 / -4)), "_wind": grid(lambda r2: 5 + F.col("top") * F.exp(r2 / -16)), "zg300": grid(lambda r2: 9000 + 30 * F.exp(r2 / -9)),
-        "zg500": F.array_repeat(F.lit(5000.0), F.size("lat") * F.size("lon")),
-    })
-    winds = {"uas": F.transform("_wind", lambda w: 0.6 * w), "vas": F.transform("_wind", lambda w: 0.8 * w)}
-    return fields.withColumns(winds).select("realization", "time", "lat", "lon", "psl", "uas", "vas", "zg300", "zg500")
+    rows = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).select(F.col("s").alias("realization"), "k", time.alias("time"))
+
+    def off(rows: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        s, k = rows["realization"].to_numpy(), rows["k"].to_numpy()
+        return [np.full(len(k), 8.1), k * 0.5, s % 5], [np.full(len(k), 100.1), k * 0.5]
+
+    def fields(rows: pa.RecordBatch, r2: np.ndarray) -> dict[str, np.ndarray]:
+        wind = 5 + (30 - np.abs(rows["k"].to_numpy() - 4.3))[:, None] * np.exp(-r2 / 16)
+        return {"psl": 101000 - 3000 * np.exp(-r2 / 4), "uas": 0.6 * wind, "vas": 0.8 * wind, "zg300": 9000 + 30 * np.exp(-r2 / 9), "zg500": np.full(r2.shape, 5000.0)}
+
+    return detect.Reading(rows, made(np.arange(-1.0, 28), np.arange(91.0, 116), off, fields))
 
 
 CUBE = """cube AS (SELECT l_returnflag AS variable, l_linenumber AS realization, l_shipdate AS time, CAST((l_suppkey % 18) * 10 - 85 AS DOUBLE) AS lat,

@@ -205,10 +205,10 @@ def mjo(sim: DataFrame, obs: DataFrame, c: MJOConfig | None = None, cycle: int =
 # --- tropical cyclones -------------------------------------------------------------------
 
 
-def storm_tracks(fields: DataFrame, c: TCConfig | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def storm_tracks(fields: DataFrame | detect.Reading, c: TCConfig | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Tracks (keys, track, pt, step, lat, lon, psl, wind) of the storms of a cube.  fields:
-    keys, step, lat, lon, psl, thickness, wind, of cells or as grids (see
-    detect.detect_nodes()).  A key named time is a step's time."""
+    keys, step, lat, lon, psl, thickness, wind, of cells, grids or a reading
+    (see detect.detect_nodes()).  A key named time is a step's time."""
     c = c or TCConfig()
     tile = c.tile or None
     nodes = detect.detect_nodes(fields, [*keys, "step"], c.psl_delta, c.psl_dist, c.z_delta, c.z_dist, c.z_offset, c.merge_dist, tile=tile, step=c.step)

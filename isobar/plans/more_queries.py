@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -399,13 +400,17 @@ def src67(spark, d):
     """Detection on a made field: suppliers' storms that drift with the hours."""
     from ..operators import detect
 
-    steps = B.dealt(B.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    lat, lon = [F.sequence(*[F.lit(x) for x in ends]).cast("array<double>") for ends in ((-5, 30), (90, 125))]
-    dy2 = F.transform(lat, lambda y: F.pow(y - 8.1 - F.col("step") * 0.5 - F.col("s_suppkey") % 11, F.lit(2)))
-    placed = steps.select("s_suppkey", "step", lat.alias("lat"), lon.alias("lon"), dy2.alias("dy2"), F.transform(lon, lambda x: F.pow(x - 100.1 - F.col("step"), F.lit(2))).alias("dx2"))
-    shapes = {"psl": lambda r2: 101000 - 3000 * F.exp(r2 / -4), "thickness": lambda r2: 4000 + 30 * F.exp(r2 / -9), "wind": lambda r2: 5 + 30 * F.exp(r2 / -16)}
-    fields = placed.select("s_suppkey", "step", "lat", "lon", *[B.grid(f).alias(v) for v, f in shapes.items()])
-    nodes = detect.detect_nodes(fields, ["s_suppkey", "step"])
+    rows = B.dealt(B.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
+
+    def off(rows):
+        s, k = rows["s_suppkey"].to_numpy(), rows["step"].to_numpy()
+        return [np.full(len(k), 8.1), k * 0.5, s % 11], [np.full(len(k), 100.1), k]
+
+    def fields(rows, r2):
+        return {"psl": 101000 - 3000 * np.exp(-r2 / 4), "thickness": 4000 + 30 * np.exp(-r2 / 9), "wind": 5 + 30 * np.exp(-r2 / 16)}
+
+    grids = detect.Reading(rows, B.made(np.arange(-5.0, 31), np.arange(90.0, 126), off, fields))
+    nodes = detect.detect_nodes(grids, ["s_suppkey", "step"])
     place = F.row_number().over(Window.partitionBy("s_suppkey", "step").orderBy("lat", "lon"))  # 36 x 36 at most
     nodes = nodes.withColumn("node", (F.col("s_suppkey").cast("long") * 12 + F.col("step")) * 2000 + place)
     return detect.stitch_nodes(nodes, keys=("s_suppkey",)).select("s_suppkey", "track", "pt", "step", "lat", "lon", "psl", "wind")

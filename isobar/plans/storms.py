@@ -53,19 +53,24 @@ def settings(spark: SparkSession, sets: dict[str, TrackSet], years: tuple[int, i
     return spark.createDataFrame(rows, "name string, members int, years int, wind_factor double")
 
 
-def simulated_tracks(cube: DataFrame, years: tuple[int, int], c: TCConfig, topography: DataFrame | None = None) -> TrackSet:
+def _rows(cube: DataFrame | detect.Reading) -> DataFrame:
+    return cube.rows if isinstance(cube, detect.Reading) else cube
+
+
+def simulated_tracks(cube: DataFrame | detect.Reading, years: tuple[int, int], c: TCConfig, topography: DataFrame | None = None) -> TrackSet:
     """The storms of a cube (variable, realization if there are members, time, lat, lon,
-    value; or a row a grid, see detect.tracker_input()), at its six-hour steps in the
-    years."""
-    members = ["realization"] if "realization" in cube.columns else []
-    own = cube.where(F.year("time").between(*years) & (F.hour("time") % 6 == 0) & (F.minute("time") == 0))
-    fields = detect.tracker_input(own, [*members, "time"], topography)
+    value; or grids or a reading of them, see detect.tracker_input()), at its six-hour
+    steps in the years."""
+    over = lambda x, change: x.over(change) if isinstance(x, detect.Reading) else change(x)
+    cube = over(cube, lambda x: x.where(F.year("time").between(*years) & (F.hour("time") % 6 == 0) & (F.minute("time") == 0)))
+    rows = _rows(cube)
+    members = ["realization"] if "realization" in rows.columns else []
     hours = F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / 3600)
-    fields = fields.withColumn("step", (hours / 6).cast("long"))
+    fields = over(detect.tracker_input(cube, [*members, "time"], topography), lambda x: x.withColumn("step", (hours / 6).cast("long")))
     found = evaluations.storm_tracks(fields, c, (*members, "time"))
     storm = F.concat_ws("/", *members, "track")
     points = found.select(storm.alias("storm"), "pt", F.year("time").alias("year"), F.month("time").alias("month"), "time", "lat", "lon", "wind", "psl")
-    count = own.select(*members).distinct().count() if members else 1
+    count = rows.select(*members).distinct().count() if members else 1
     return TrackSet(points, max(count, 1), years)
 
 
@@ -120,7 +125,7 @@ def scores(
 
 
 def from_fields(
-    cube: DataFrame, name: str, references: dict[str, TrackSet], control: str | None = None, start: int | None = None, end: int | None = None,
+    cube: DataFrame | detect.Reading, name: str, references: dict[str, TrackSet], control: str | None = None, start: int | None = None, end: int | None = None,
     wind_factor: float = 1.0, c: TCConfig | None = None, topography: DataFrame | None = None, **more: object,
 ) -> Tables:
     """A simulation's storms against observed ones, of the years asked for (all that the
@@ -130,6 +135,6 @@ def from_fields(
     if name in references:
         raise validate.InvalidData(f"{name} is a reference's name")
     c = c or TCConfig()
-    years = validate.year_range(cube, start, end)
+    years = validate.year_range(_rows(cube), start, end)
     own = replace(simulated_tracks(cube, years, c, topography), wind_factor=wind_factor)
     return scores({**references, name: own}, control or next(iter(references)), years, c, **more)

@@ -1,5 +1,7 @@
 """Whole grids as rows: searched where they are, with the nodes of their cells."""
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -108,12 +110,38 @@ def test_odd_grids(spark):
 
 def test_searching_grids_shuffles_nothing(both):
     _, grids = both
-    assert "Exchange" not in detect.detect_nodes(grids, ["step"])._jdf.queryExecution().toString()
+    for fields in (grids, detect.Reading(grids, iter)):
+        assert "Exchange" not in detect.detect_nodes(fields, ["step"])._jdf.queryExecution().toString()
+
+
+def test_grids_that_are_read_where_they_are_searched(both):
+    """A reading gives what its grids as rows give, with tiles and without, of any rows."""
+    _, grids = both
+    rows = grids.select("step", F.col("lat").alias("y"), F.col("lon").alias("x"), *[F.col(v).alias(f"_{v}") for v in VALUES])
+
+    def read(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield batch.slice(k, 1).rename_columns(["step", "lat", "lon", *VALUES])
+
+    reading = detect.Reading(rows, lambda batches: (b.append_column("y", b["lat"]).append_column("x", b["lon"]) for b in read(batches)))
+    want = _ordered(detect.detect_nodes(grids, ["step"]))
+    assert _ordered(detect.detect_nodes(reading, ["step"])) == want
+    assert _ordered(detect.detect_nodes(reading.over(lambda r: r.where("step > 2")), ["step"])) == [r for r in want if r[0] > 2]
+    kept = detect.Reading(grids.select("step", F.struct(*grids.columns[1:]).alias("of")), _unpacked)
+    assert _ordered(detect.detect_nodes(kept, ["step"], tile=30.0, step=5.0)) == want
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for k, of in enumerate(batch.schema.field("of").type):
+            batch = batch.append_column(of.name, batch["of"].field(k))
+        yield batch
 
 
 def test_fields_are_spread_over_tasks(spark):
     """Suppliers come as one small file; their grids don't stay in one task."""
-    fields = bindings.storm_fields(spark, f"{DATA}/sf0.01")
+    fields = bindings.storm_fields(spark, f"{DATA}/sf0.01").rows
     assert fields.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
     rows = spark.range(60_000).withColumnRenamed("id", "s")
     assert bindings.dealt(rows, "s").rdd.getNumPartitions() == 120 and bindings.dealt(rows, "s").count() == 60_000
@@ -135,8 +163,9 @@ def test_nodes_are_found_once(spark):
 
 def test_tracker_input_of_grids(spark):
     """As for cells; ground is brought onto the axes, and a time without a variable is left out."""
-    fields = bindings.storm_fields(spark, f"{DATA}/sf0.001").where("realization < 2")
     kinds, keys = ["psl", "uas", "vas", "zg300", "zg500"], ["realization", "time"]
+    reading = bindings.storm_fields(spark, f"{DATA}/sf0.001").over(lambda rows: rows.where("realization < 2"))
+    fields = reading.grids(kinds)
     cube = detect.places(fields, keys, kinds).unpivot([*keys, "lat", "lon"], kinds, "variable", "value")
     ground = spark.createDataFrame([(float(y), float(x), y + 2.0 * x) for y in (-10, 40) for x in (80, 120)], "lat double, lon double, value double")
     values = ["psl", "ubot", "vbot", "z300", "z500", "phis", "thickness", "wind"]
@@ -144,16 +173,23 @@ def test_tracker_input_of_grids(spark):
         want = detect.tracker_input(cube, keys, topography)
         got = detect.places(detect.tracker_input(fields, keys, topography), keys, values)
         assert want.count() == fields.count() * 29 * 25 and want.select(got.columns).exceptAll(got).count() == 0
+    read = detect.tracker_input(reading, keys).grids(["thickness", "wind"])
+    same = read.join(detect.tracker_input(fields, keys).select(*keys, "thickness", F.col("wind").alias("w")), [*keys, "thickness"])
+    apart = F.array_max(F.zip_with("wind", "w", lambda a, b: F.abs(a - b)))  # two libraries' hypot
+    assert read.count() == fields.count() == same.where(apart < 1e-12).count()
     some = fields.withColumn("vas", F.when(F.hour("time") > 0, F.col("vas")))
     assert detect.tracker_input(some, keys).where("hour(time) = 0").count() == 0 < detect.tracker_input(some, keys).count()
+    left = detect.Reading(some.select(*keys, F.struct("lat", "lon", *kinds).alias("of")), _unpacked)
+    assert detect.tracker_input(left, keys).grids(["wind"]).count() == detect.tracker_input(some, keys).count()
     with pytest.raises(detect.InvalidData, match="zg500"):
         detect.tracker_input(fields.drop("zg500"), keys)
+    with pytest.raises(Exception, match="no variable zg500"):
+        detect.tracker_input(detect.Reading(fields.drop("zg500"), iter), keys).grids(["wind"]).count()
 
 
 def test_made_fields_are_their_formula(spark):
-    row = bindings.storm_fields(spark, f"{DATA}/sf0.001").where("realization = 3 AND day(time) = 2 AND hour(time) = 0").first()
-    import math
-
+    fields = bindings.storm_fields(spark, f"{DATA}/sf0.001").grids(["psl", "uas", "vas", "zg300", "zg500"])
+    row = fields.where("realization = 3 AND day(time) = 2 AND hour(time) = 0").first()
     k = 4
     for a in (0, 5, 28):
         for b in (0, 11, 24):
