@@ -415,11 +415,14 @@ def _tracked(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
             missing = [v for v in TRACKED if v not in batch.schema.names]
             if missing:
                 raise InvalidData(f"no variable {', '.join(missing)}")
-            for v in TRACKED:
-                batch = batch.filter(batch[v].is_valid())
-            z300, z500, u, v = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("zg300", "zg500", "uas", "vas"))
-            ends = np.concatenate([[0], np.cumsum(batch["psl"].value_lengths().to_numpy())])
-            for name, values in (("thickness", z300 - z500), ("wind", np.hypot(u, v))):
+            whole = np.logical_and.reduce([batch[v].is_valid().to_numpy(zero_copy_only=False) for v in TRACKED])
+            batch = batch if whole.all() else batch.filter(pa.array(whole))
+            for name, a, b, of in (("thickness", "zg300", "zg500", np.subtract), ("wind", "uas", "vas", np.hypot)):
+                length = batch[a].value_lengths()
+                if not length.equals(batch[b].value_lengths()):
+                    raise ValueError(f"{a} and {b} have not the same places")
+                ends = np.concatenate([[0], np.cumsum(length.to_numpy())])
+                values = of(*[batch[v].flatten().to_numpy(zero_copy_only=False) for v in (a, b)])
                 batch = batch.append_column(name, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
             yield batch
 
@@ -451,7 +454,7 @@ def tracker_input(cube: DataFrame | Reading, keys: list[str], topography: DataFr
     """keys, lat, lon, psl, ubot, vbot, z300, z500, phis, and what detection reads: thickness
     (z300 - z500) and wind.  cube: variable, keys, lat, lon, value; or a row a grid: keys,
     lat, lon and the variables as arrays (see places()), which are arrays again; or a
-    Reading of these, whose reading has then what detection reads.
+    Reading of these, whose reading has then what detection reads (which the ground isn't).
 
     A variable that isn't there is an error.  Places and times are those that all five
     variables have rows for; a null value stays null.  The surface geopotential is the
