@@ -187,6 +187,17 @@ def test_tracker_input_of_grids(spark):
         detect.tracker_input(detect.Reading(fields.drop("zg500"), iter), keys).grids(["wind"]).count()
 
 
+def test_readings_of_other_lengths_are_an_error(spark):
+    """Two grids whose lengths differ between variables, but not in sum."""
+    kinds = ["psl", "uas", "vas", "zg300", "zg500"]
+    fields = bindings.storm_fields(spark, f"{DATA}/sf0.001").over(lambda rows: rows.where("realization = 1 AND k < 2").coalesce(1)).grids(kinds)
+    n = F.when(F.col("k") == 0, 724).otherwise(726)
+    for v in ("zg300", "vas"):
+        bad = fields.withColumn(v, F.slice(F.concat(v, F.array(F.lit(0.0))), F.lit(1), n))
+        with pytest.raises(Exception, match="not the same places"):
+            detect.detect_nodes(detect.tracker_input(detect.Reading(bad, iter), ["realization", "time"]), ["realization", "time"]).count()
+
+
 def test_made_fields_are_their_formula(spark):
     fields = bindings.storm_fields(spark, f"{DATA}/sf0.001").grids(["psl", "uas", "vas", "zg300", "zg500"])
     row = fields.where("realization = 3 AND day(time) = 2 AND hour(time) = 0").first()
